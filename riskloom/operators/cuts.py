@@ -149,7 +149,7 @@ def overgrant_sweep(rows: DataFrame, target: str = TARGET) -> DataFrame:
         effect.join(table, "feature")
         .join(delta.select("feature", F.col("effect").alias("flag_delta_pp")), "feature", "left")
         .select(
-            F.col("feature").cast("double").alias("cut"), "n", F.when("varies", F.col("effect")).alias("effect"), "flag_delta_pp"
+            F.col("feature").cast("double").alias("cut"), "n", F.when(F.col("varies"), F.col("effect")).alias("effect"), "flag_delta_pp"
         )
         .withColumn("chosen", (F.row_number().over(top) == 1).cast("int"))
     )
