@@ -167,9 +167,9 @@ def purpose_rates(rows: DataFrame, target: str = TARGET, min_rows: int = P.MIN_C
     return t.drop("bads").withColumn("chosen", ((F.col("n") >= min_rows) & (F.col("delta_pp") >= threshold)).cast("int"))
 
 
-def fit_purposes(rows: DataFrame, target: str = TARGET, min_rows: int = P.MIN_CATEGORY_ROWS) -> tuple[str, ...]:
+def fit_purposes(rows: DataFrame, target: str = TARGET, min_rows: int = P.MIN_CATEGORY_ROWS, threshold: float = P.MIN_FLAG_DELTA_PP) -> tuple[str, ...]:
     """Sorted list of the purposes that stand out; none fails."""
-    chosen = purpose_rates(rows, target, min_rows).filter("chosen = 1").agg(F.array_sort(F.collect_set("purpose")).alias("v")).first()["v"]
+    chosen = purpose_rates(rows, target, min_rows, threshold).filter("chosen = 1").agg(F.array_sort(F.collect_set("purpose")).alias("v")).first()["v"]
     if not chosen:
         raise ValueError("no purpose stands out with enough rows")
     return tuple(chosen)
@@ -191,7 +191,7 @@ def fit_auxiliary_cuts(
         "prev_count_cola": first_crossing(history_counts(apps, target), target=target, threshold=threshold),
         "prev_actividad_12m_cola": first_crossing(recent_counts(apps, target=target), target=target, start=1, threshold=threshold),
         "prev_sobreconcesion_corte": float(best["cut"]),
-        "prev_finalidades_urgentes": fit_purposes(apps, target, min_rows),
+        "prev_finalidades_urgentes": fit_purposes(apps, target, min_rows, threshold),
     }
 
 

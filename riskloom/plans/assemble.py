@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import params as P
+from riskloom.functions.nullsafe import holds
 from riskloom.operators import stages as S
 from riskloom.operators.audits import assembly_measures
 from riskloom.operators.cleaning import fix_types
@@ -147,3 +148,19 @@ def train_population(assembled: DataFrame, split: DataFrame) -> tuple[DataFrame,
     train = only(assembled, "train", split)
     require_same_population(train, split.filter(F.col("split") == "train"), "training part")
     return train, train.select(ID, TARGET, "AMT_CREDIT", "HAS_BUREAU_HISTORY")
+
+
+def absence_recovery(df: DataFrame, rules: Mapping[str, object]) -> DataFrame:
+    """For each imputed column: missing rows, those another column gives away, and the residual."""
+    columns = list(rules)
+    aggs = []
+    for i, c in enumerate(columns):
+        gap, told = F.col(c).isNull(), holds(rules[c])
+        aggs += [F.count_if(gap).alias(f"m{i}"), F.count_if(gap & told).alias(f"t{i}"), F.count_if(gap & ~told).alias(f"r{i}")]
+    cells = F.array(
+        *[
+            F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("missing"), F.col(f"t{i}").alias("recovered"), F.col(f"r{i}").alias("residual"))
+            for i, c in enumerate(columns)
+        ]
+    )
+    return df.agg(*aggs).select(F.explode(cells).alias("x")).select("x.*")

@@ -18,7 +18,7 @@ from riskloom.operators import woe as W
 from riskloom.operators.gram import pairwise_pearson, spearman
 from riskloom.queries import standin as S
 from riskloom.queries.base import P_CUTS, RELATIVE, clients, hist_t, labels, n_if
-from riskloom.queries.registry import add
+from riskloom.queries.registry import add, cte
 
 K, Y = "SK_ID_CURR", "TARGET"
 TENTHS = "[0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]"
@@ -338,7 +338,8 @@ def _den_sql() -> str:
         for i, f in enumerate(_DENS)
         for m in P.DENOMINATOR_MINIMA
     )
-    keys = "feature, minimum, side"
+    cte("den_rows", rows)
+    rows, keys = "SELECT * FROM den_rows", "feature, minimum, side"
     spread = f"SELECT {keys} FROM ({rows}) GROUP BY ALL HAVING min(v) < max(v)"
     return f"SELECT {keys}, n, effect FROM (SELECT {keys}, count(v) AS n FROM ({rows}) WHERE v IS NOT NULL GROUP BY {keys}) LEFT JOIN (SELECT {keys}, effect FROM ({rank_sql(rows, keys)}) JOIN ({spread}) USING ({keys})) USING ({keys})"
 
@@ -368,8 +369,8 @@ def _rec_sql() -> str:
             a = absolutes.get(other, other)
             for name, cond in _STRATA.items():
                 out.append(f"SELECT '{reading}' AS reading, '{other}' AS counterpart, '{name}' AS stratum, {reading} AS v, {a} AS w, {Y} AS y FROM {base} WHERE {cond}")
-    rows = union(out)
-    keys = "reading, counterpart, stratum"
+    cte("rec_rows", union(out))
+    rows, keys = "SELECT * FROM rec_rows", "reading, counterpart, stratum"
 
     def effect(v: str, name: str) -> str:
         data = f"SELECT {keys}, {v} AS v, y FROM ({rows}) WHERE v IS NOT NULL"
