@@ -114,12 +114,12 @@ def _constants(s, d):
 
 add("P11_drop_constants", _constants, f"SELECT {K}, {Y}, FLAG_EMAIL, AGE_YEARS FROM app1")
 _SEL = {
-    "candidates": {"BUREAU_LOAN_COUNT": "HAS_BUREAU_HISTORY", "BUREAU_DEBT_CREDIT_RATIO": "HAS_BUREAU_HISTORY", "EXT_SOURCE_3": None, "NAME_HOUSING_TYPE": None, "BUREAU_ACTIVE_COUNT": "HAS_BUREAU_HISTORY"},
+    "candidates": {"BUREAU_LOAN_COUNT": "HAS_BUREAU_HISTORY", "BUREAU_CREDITS_PER_YEAR": "HAS_BUREAU_HISTORY", "EXT_SOURCE_3": None, "NAME_HOUSING_TYPE": None, "BUREAU_ACTIVE_COUNT": "HAS_BUREAU_HISTORY"},
     "discards": {"FLAG_EMAIL": "frozen"},
     "protected": ["AGE_YEARS"],
     "redundant": {"BUREAU_ACTIVE_COUNT": ["BUREAU_LOAN_COUNT"]},
 }
-_SELCOLS = [K, Y, "BUREAU_LOAN_COUNT", "BUREAU_DEBT_CREDIT_RATIO", "BUREAU_ACTIVE_COUNT", "EXT_SOURCE_3", "FLAG_EMAIL", "AGE_YEARS", "HAS_BUREAU_HISTORY", "NAME_HOUSING_TYPE"]
+_SELCOLS = [K, Y, "BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "BUREAU_ACTIVE_COUNT", "EXT_SOURCE_3", "FLAG_EMAIL", "AGE_YEARS", "HAS_BUREAU_HISTORY", "NAME_HOUSING_TYPE"]
 
 
 def _selector(s, d):
@@ -133,7 +133,7 @@ def _selector(s, d):
 _IN = "(SELECT * FROM cl_h WHERE HAS_BUREAU_HISTORY = 1)"
 _SELIV = union(
     [
-        *(iv_sql(strat(qbin(_IN, c))) for c in ("BUREAU_LOAN_COUNT", "BUREAU_DEBT_CREDIT_RATIO", "BUREAU_ACTIVE_COUNT")),
+        *(iv_sql(strat(qbin(_IN, c))) for c in ("BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "BUREAU_ACTIVE_COUNT")),
         *(iv_sql(strat(qbin("cl_h", c))) for c in ("EXT_SOURCE_3", "AGE_YEARS")),
         *(iv_sql(strat(vbin("cl_h", c))) for c in ("NAME_HOUSING_TYPE", "FLAG_EMAIL")),
     ]
@@ -146,14 +146,14 @@ add(
     ("origin",),
 )
 _B = Pr.Buckets(
-    median=("EXT_SOURCE_1", "EXT_SOURCE_3", "AMT_INCOME_TOTAL", "AMT_ANNUITY", "ANNUITY_TO_INCOME_RATIO", "BUREAU_LOAN_COUNT", "BUREAU_DEBT_CREDIT_RATIO", "PREV_REFUSED_RATIO"),
+    median=("EXT_SOURCE_1", "EXT_SOURCE_3", "AMT_INCOME_TOTAL", "AMT_ANNUITY", "ANNUITY_TO_INCOME_RATIO", "BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "PREV_REFUSED_RATIO"),
     onehot=("FLAG_OWN_CAR", "HORA_FRANJA"),
     ordinal={"NAME_EDUCATION_TYPE": Pr.EDUCATION, "BB_TRAJECTORY": TRAJECTORIES},
     woe=("ORGANIZATION_TYPE",),
     plain=("HAS_BUREAU_HISTORY",),
     zero=("BUREAU_OVERDUE_UNION",),
 )
-_RAW = ["EXT_SOURCE_1", "EXT_SOURCE_3", "AMT_INCOME_TOTAL", "AMT_ANNUITY", "BUREAU_LOAN_COUNT", "BUREAU_DEBT_CREDIT_RATIO", "PREV_REFUSED_RATIO", "FLAG_OWN_CAR", "HOUR_APPR_PROCESS_START", "NAME_EDUCATION_TYPE", "BB_TRAJECTORY", "ORGANIZATION_TYPE", "HAS_BUREAU_HISTORY", "BUREAU_OVERDUE_UNION"]
+_RAW = ["EXT_SOURCE_1", "EXT_SOURCE_3", "AMT_INCOME_TOTAL", "AMT_ANNUITY", "BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "PREV_REFUSED_RATIO", "FLAG_OWN_CAR", "HOUR_APPR_PROCESS_START", "NAME_EDUCATION_TYPE", "BB_TRAJECTORY", "ORGANIZATION_TYPE", "HAS_BUREAU_HISTORY", "BUREAU_OVERDUE_UNION"]
 
 
 def _chain():
@@ -177,7 +177,7 @@ def _m(c: str, e: str | None = None) -> str:
 _INC = "CASE WHEN AMT_INCOME_TOTAL > (SELECT 3 * quantile_cont(AMT_INCOME_TOTAL, 0.99) FROM cl_tr) THEN (SELECT 3 * quantile_cont(AMT_INCOME_TOTAL, 0.99) FROM cl_tr) ELSE AMT_INCOME_TOTAL END"
 _HP = "CASE WHEN HOUR_APPR_PROCESS_START >= 6 AND HOUR_APPR_PROCESS_START < 12 THEN 'manana' WHEN HOUR_APPR_PROCESS_START >= 12 AND HOUR_APPR_PROCESS_START < 18 THEN 'tarde' WHEN HOUR_APPR_PROCESS_START IS NOT NULL THEN 'fuera de horario' END"
 _PSQL = (
-    f"SELECT {K}, {Y}, {_m('EXT_SOURCE_1')}, {_m('EXT_SOURCE_3')}, {_m('AMT_INCOME_TOTAL', _INC)}, {_m('AMT_ANNUITY')}, {_m('ANNUITY_TO_INCOME_RATIO', f'AMT_ANNUITY / ({_INC})')}, {_m('BUREAU_LOAN_COUNT')}, {_m('BUREAU_DEBT_CREDIT_RATIO')}, {_m('PREV_REFUSED_RATIO')}, "
+    f"SELECT {K}, {Y}, {_m('EXT_SOURCE_1')}, {_m('EXT_SOURCE_3')}, {_m('AMT_INCOME_TOTAL', _INC)}, {_m('AMT_ANNUITY')}, {_m('ANNUITY_TO_INCOME_RATIO', f'AMT_ANNUITY / ({_INC})')}, {_m('BUREAU_LOAN_COUNT')}, {_m('BUREAU_CREDITS_PER_YEAR')}, {_m('PREV_REFUSED_RATIO')}, "
     f"CASE WHEN FLAG_OWN_CAR = 'Y' THEN 1 ELSE 0 END AS FLAG_OWN_CAR_Y, CASE WHEN {_HP} = 'manana' THEN 1 ELSE 0 END AS HORA_FRANJA_manana, CASE WHEN {_HP} = 'tarde' THEN 1 ELSE 0 END AS HORA_FRANJA_tarde, CASE WHEN {_HP} = 'fuera de horario' THEN 1 ELSE 0 END AS \"HORA_FRANJA_fuera de horario\", "
     f"CASE WHEN {_HP} IS NULL THEN 1 ELSE 0 END AS \"HORA_FRANJA_Other\", CASE NAME_EDUCATION_TYPE {_EDU} ELSE -1 END AS NAME_EDUCATION_TYPE, CASE BB_TRAJECTORY WHEN 'sin mora' THEN 0 WHEN 'mejora' THEN 1 WHEN 'empeora' THEN 2 WHEN 'estable' THEN 3 ELSE -1 END AS BB_TRAJECTORY, "
     f"coalesce(woe, 0) AS ORGANIZATION_TYPE_WOE, HAS_BUREAU_HISTORY, coalesce(BUREAU_OVERDUE_UNION, 0) AS BUREAU_OVERDUE_UNION FROM cl LEFT JOIN (SELECT bin, woe FROM ({woe_sql(strat(vbin('cl_tr', 'ORGANIZATION_TYPE')))})) ON bin = coalesce(ORGANIZATION_TYPE, '{NULO}')"
@@ -282,7 +282,7 @@ def _resolve_sql() -> str:
 
 
 add("R2_resolve_redundancy", _resolved, _resolve_sql(), ("a", "b", "keep", "motive"))
-_STAB = ["BUREAU_LOAN_COUNT", "BUREAU_DEBT_CREDIT_RATIO", "NAME_HOUSING_TYPE"]
+_STAB = ["BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "NAME_HOUSING_TYPE"]
 
 
 def _stability(s, d):
@@ -308,7 +308,7 @@ def _register(s, d):
     df = clients(s, d, "h").select(*_SELCOLS)
     df = checkpointed(G.OneHot(columns=["NAME_HOUSING_TYPE"]).fit(df).transform(df))
     m = R.IvSelector(**_SEL).fit(df)
-    cols = ["BUREAU_LOAN_COUNT", "BUREAU_DEBT_CREDIT_RATIO", "EXT_SOURCE_3", "FLAG_EMAIL", "AGE_YEARS", "HAS_BUREAU_HISTORY"]
+    cols = ["BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "EXT_SOURCE_3", "FLAG_EMAIL", "AGE_YEARS", "HAS_BUREAU_HISTORY"]
     return R.selection_register(s, cols, m, {c: _owner(c) for c in cols}).select("feature", "source", "iv", "in_band", "kept")
 
 
@@ -316,7 +316,7 @@ add(
     "R7_selection_register",
     _register,
     "SELECT c AS feature, o AS source, iv, CASE WHEN cand AND iv >= 0.015 AND iv < 0.025 THEN 1 ELSE 0 END AS in_band, CASE WHEN c = 'FLAG_EMAIL' THEN 0 WHEN c IN ('AGE_YEARS', 'HAS_BUREAU_HISTORY') THEN 1 WHEN iv >= 0.02 THEN 1 ELSE 0 END AS kept FROM (VALUES "
-    + ", ".join(f"('{c}', '{_owner(c)}', {c in _SEL['candidates']})" for c in ("BUREAU_LOAN_COUNT", "BUREAU_DEBT_CREDIT_RATIO", "EXT_SOURCE_3", "FLAG_EMAIL", "AGE_YEARS", "HAS_BUREAU_HISTORY"))
+    + ", ".join(f"('{c}', '{_owner(c)}', {c in _SEL['candidates']})" for c in ("BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "EXT_SOURCE_3", "FLAG_EMAIL", "AGE_YEARS", "HAS_BUREAU_HISTORY"))
     + ") AS t(c, o, cand) LEFT JOIN sel_iv ON feature = c",
     ("feature", "source"),
 )

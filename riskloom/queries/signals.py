@@ -93,7 +93,7 @@ def drop(df, *cols):
 
 # -- binning -----------------------------------------------------------------------------------
 
-_NUM = ["BUREAU_LOAN_COUNT", "BUREAU_DEBT_CREDIT_RATIO", "BUREAU_CURRENT_OVERDUE_SUM", "EXT_SOURCE_3"]
+_NUM = ["BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "BUREAU_CURRENT_OVERDUE_SUM", "EXT_SOURCE_3"]
 
 
 def _quantile_bins(s, d):
@@ -155,7 +155,7 @@ _FLAGS = [("HAS_BUREAU_HISTORY", "HAS_BUREAU_HISTORY", None, "global (nulo=0)")]
 ]
 _RANKED = [
     ("BUREAU_LOAN_COUNT", "BUREAU_LOAN_COUNT", None, "no nulos (auto-cond.)"),
-    ("BUREAU_DEBT_CREDIT_RATIO", "BUREAU_DEBT_CREDIT_RATIO", _HISTORY, "con historial"),
+    ("BUREAU_CREDITS_PER_YEAR", "BUREAU_CREDITS_PER_YEAR", _HISTORY, "con historial"),
     ("EXT_SOURCE_3", "coalesce(EXT_SOURCE_3, 0e0)", None, "global (fill 0)"),
     ("BUREAU_DAYS_CREDIT_MIN", "BUREAU_DAYS_CREDIT_MIN", "BUREAU_CLOSED_COUNT > 0", "con créditos cerrados"),
 ]
@@ -171,8 +171,8 @@ add("M1_flag_signal", lambda s, d: drop(M.flag_signal(clients(s, d, "h"), items(
 add("M2_rank_signal", lambda s, d: drop(M.rank_signal(clients(s, d, "h"), items(_RANKED)), "p"), rank_sql(value_rows("cl_h", _RANKED)), _FP)
 add(
     "M2_class_medians",
-    lambda s, d: M.class_medians(clients(s, d, "h"), ["BUREAU_LOAN_COUNT", "BUREAU_DEBT_CREDIT_RATIO"]),
-    union(f"SELECT '{c}' AS feature, median({c}) FILTER (WHERE {Y} = 0) AS median0, median({c}) FILTER (WHERE {Y} = 1) AS median1 FROM cl_h" for c in ("BUREAU_LOAN_COUNT", "BUREAU_DEBT_CREDIT_RATIO")),
+    lambda s, d: M.class_medians(clients(s, d, "h"), ["BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR"]),
+    union(f"SELECT '{c}' AS feature, median({c}) FILTER (WHERE {Y} = 0) AS median0, median({c}) FILTER (WHERE {Y} = 1) AS median1 FROM cl_h" for c in ("BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR")),
     ("feature",),
 )
 _OLD = [(n, e, None, "global") for n, e, _, _ in _FLAGS]
@@ -243,7 +243,7 @@ SELECT feature, {n_if('hit AND y = 1')} AS hit_bads, {n_if('hit AND y = 0')} AS
 
 two_by_two_sql = _two_sql
 add("M9_two_by_two_tests", lambda s, d: M.two_by_two(hist_t(s, d), {k: F.expr(v) for k, v in _TAIL.items()}).drop("p", "significant"), _two_sql("hist_t", _TAIL), ("feature", "test"))
-_CORR = ["BUREAU_LOAN_COUNT", "BUREAU_ACTIVE_COUNT", "BUREAU_DEBT_CREDIT_RATIO", "BUREAU_CURRENT_OVERDUE_SUM", "EXT_SOURCE_1", "EXT_SOURCE_3", "HAS_BUREAU_HISTORY"]
+_CORR = ["BUREAU_LOAN_COUNT", "BUREAU_ACTIVE_COUNT", "BUREAU_CREDITS_PER_YEAR", "BUREAU_CURRENT_OVERDUE_SUM", "EXT_SOURCE_1", "EXT_SOURCE_3", "HAS_BUREAU_HISTORY"]
 add(
     "M10_pearson_pairs",
     lambda s, d: pairwise_pearson(clients(s, d, "h"), _CORR),
@@ -419,7 +419,7 @@ def strat(long: str, stratum: str = "'all'") -> str:
 
 
 add("V1_woe_table", _woe, woe_sql(strat(union([qbin("cl_h", "EXT_SOURCE_3"), vbin("cl_h", "NAME_TYPE_SUITE")]))), ("feature", "stratum", "bin"))
-_IVC = ["BUREAU_LOAN_COUNT", "BUREAU_DEBT_CREDIT_RATIO", "EXT_SOURCE_1", "EXT_SOURCE_3"]
+_IVC = ["BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "EXT_SOURCE_1", "EXT_SOURCE_3"]
 _IVV = ["BUREAU_OVERDUE_UNION", "HAS_BUREAU_HISTORY", "CODE_GENDER", "OCCUPATION_TYPE"]
 add("V2_information_value", lambda s, d: W.information_value(clients(s, d, "h"), _IVC + _IVV), iv_sql(strat(union([*(qbin("cl_h", c) for c in _IVC), *(vbin("cl_h", c) for c in _IVV)]))), ("feature",))
 
@@ -432,18 +432,18 @@ def cond(rel: str, a: str, b: str, qa: bool, qb: bool, fa: str | None = None) ->
     return f"SELECT '{fa or a}' AS feature, {eb} AS stratum, {ea} AS bin, {Y} AS y FROM {src}"
 
 
-_CP = [("BUREAU_LOAN_COUNT", "EXT_SOURCE_3"), ("BUREAU_DEBT_CREDIT_RATIO", "EXT_SOURCE_3"), ("BUREAU_ACTIVE_COUNT", "EXT_SOURCE_1")]
+_CP = [("BUREAU_LOAN_COUNT", "EXT_SOURCE_3"), ("BUREAU_CREDITS_PER_YEAR", "EXT_SOURCE_3"), ("BUREAU_ACTIVE_COUNT", "EXT_SOURCE_1")]
 add(
     "V3_conditional_iv",
     lambda s, d: W.conditional_iv(clients(s, d, "h"), _CP).select("feature", F.col("stratum").alias("inside"), "iv"),
     union(f"SELECT feature, '{b}' AS inside, iv FROM ({iv_sql(cond('cl_h', a, b, True, True))})" for a, b in _CP),
     ("feature", "inside"),
 )
-_CAND = {"BUREAU_LOAN_COUNT": "HAS_BUREAU_HISTORY", "BUREAU_DEBT_CREDIT_RATIO": "HAS_BUREAU_HISTORY", "BUREAU_OVERDUE_UNION": "HAS_BUREAU_HISTORY", "NAME_HOUSING_TYPE": None, "FLAG_EMAIL": None, "EXT_SOURCE_3": None}
+_CAND = {"BUREAU_LOAN_COUNT": "HAS_BUREAU_HISTORY", "BUREAU_CREDITS_PER_YEAR": "HAS_BUREAU_HISTORY", "BUREAU_OVERDUE_UNION": "HAS_BUREAU_HISTORY", "NAME_HOUSING_TYPE": None, "FLAG_EMAIL": None, "EXT_SOURCE_3": None}
 
 
 def _iv_report_sql() -> str:
-    q = {"BUREAU_LOAN_COUNT", "BUREAU_DEBT_CREDIT_RATIO", "EXT_SOURCE_3"}
+    q = {"BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "EXT_SOURCE_3"}
     alone = union(f"SELECT feature, iv, n_bins FROM ({iv_sql(strat((qbin if c in q else vbin)('cl_h', c)))})" for c in _CAND)
     inside = union(f"SELECT feature, iv AS inside FROM ({iv_sql(cond('cl_h', c, p, c in q, False))})" for c, p in _CAND.items() if p)
     marked = {"BUREAU_OVERDUE_UNION", "FLAG_EMAIL"}
@@ -480,7 +480,7 @@ add(
     union(f"SELECT feature, inside, iv FROM (SELECT '{b}' AS inside, feature, iv FROM ({iv_sql(cond(_LIVE, a, b, True, b.startswith('PREV')))}))" for a, b in (("PREV_FUTURE_DUE_MAX", "HAS_PREV_APPLICATION"), ("PREV_FUTURE_DUE_VIVAS", "HAS_PREV_APPLICATION"), ("PREV_FUTURE_DUE_VIVAS", "PREV_FUTURE_DUE_MAX"))),
     ("feature", "inside"),
 )
-_OVER = ["BUREAU_LOAN_COUNT", "BUREAU_ACTIVE_COUNT", "BUREAU_DEBT_CREDIT_RATIO", "BUREAU_DAYS_CREDIT_MIN", "HAS_BUREAU_HISTORY"]
+_OVER = ["BUREAU_LOAN_COUNT", "BUREAU_ACTIVE_COUNT", "BUREAU_CREDITS_PER_YEAR", "BUREAU_DAYS_CREDIT_MIN", "HAS_BUREAU_HISTORY"]
 
 
 def _overlap(s, d):
@@ -489,7 +489,7 @@ def _overlap(s, d):
 
 _OV_SQL = union(f"SELECT '{c}' AS feature, CASE WHEN min({c}) < max({c}) THEN corr({c}, EXT_SOURCE_3) END AS r FROM cl_h WHERE HAS_BUREAU_HISTORY = 1 AND EXT_SOURCE_3 IS NOT NULL" for c in _OVER)
 add("V9_score_overlap", _overlap, f"SELECT * FROM ({_OV_SQL}) WHERE r IS NOT NULL", ("feature",))
-_INC = ["BUREAU_LOAN_COUNT", "BUREAU_DEBT_CREDIT_RATIO", "BUREAU_DAYS_CREDIT_MIN"]
+_INC = ["BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "BUREAU_DAYS_CREDIT_MIN"]
 _WITH = "(SELECT * FROM cl_h WHERE HAS_BUREAU_HISTORY = 1)"
 add(
     "V10_incremental_iv",
