@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom import params as P
 from riskloom.operators import evaluation as E
 from riskloom.operators import models as L
+from riskloom.operators import resample as R2
 from riskloom.operators import selection as R
 from riskloom.operators import splits as X
 from riskloom.operators import stages as G
@@ -517,3 +518,35 @@ def _cell(s, d, part: int):
 
 add("L9_summary", lambda s, d: _cell(s, d, 0))
 add("L10_strategy_cell", lambda s, d: _cell(s, d, 1))
+
+# -- synthetic rows ----------------------------------------------------------------------------
+
+
+def _synthetic_input(s, d):
+    t = modelling_table(s, d).withColumn("CAR", F.pmod(K, F.lit(2)).cast("double"))
+    return checkpointed(t.select(K, Y, "EXT_SOURCE_1", "EXT_SOURCE_3", "CAR"))
+
+
+_SX = ["EXT_SOURCE_1", "EXT_SOURCE_3", "CAR"]
+
+
+def _sizes(df):
+    return df.groupBy(Y).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("CAR").isin(0, 1)).alias("whole"), F.count_distinct(K).alias("ids"))
+
+
+add("X6_synthetic_minority", lambda s, d: _sizes(R2.synthetic_minority(_synthetic_input(s, d), _SX)), f"SELECT t.v AS {Y}, n, n AS whole, n AS ids FROM (SELECT count(*) AS n FROM lab WHERE {Y} = 0), (VALUES (0), (1)) AS t(v)")
+
+
+def _links(s, d):
+    return R2.tomek_links(_synthetic_input(s, d), _SX)
+
+
+_NNV = f"SELECT {K}, {Y}, a, b, {K} % 2 AS c FROM (SELECT {K}, {Y}, coalesce(EXT_SOURCE_1, (SELECT median(EXT_SOURCE_1) FROM app1)) AS a, coalesce(EXT_SOURCE_3, (SELECT median(EXT_SOURCE_3) FROM app1)) AS b FROM app1)"
+add(
+    "X7_tomek_links",
+    _links,
+    f"""WITH v AS ({_NNV}), u AS (SELECT a, b, c, min({K}) AS {K}, count(*) AS m, min({Y}) AS lo, max({Y}) AS hi FROM v GROUP BY 1, 2, 3),
+nn AS (SELECT p.{K} AS p, arg_min(q.{K}, sqrt(power(p.a - q.a, 2) + power(p.b - q.b, 2) + power(p.c - q.c, 2))) AS q FROM u p JOIN u q ON p.{K} <> q.{K} GROUP BY 1)
+SELECT x.p AS {K} FROM nn x JOIN nn y ON x.q = y.p AND y.q = x.p JOIN u ON u.{K} = x.p JOIN u w ON w.{K} = x.q WHERE u.m = 1 AND w.m = 1 AND u.lo <> w.lo
+UNION SELECT v.{K} FROM v JOIN u USING (a, b, c) WHERE u.m = 2 AND u.lo <> u.hi""",
+)
