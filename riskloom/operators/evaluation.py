@@ -284,20 +284,22 @@ def delong(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
     The component of a bad is the share of goods scored below it, and of a good the share of bads
     scored above it; both come with the running totals of the score.
     """
-    cells = df.groupBy(y, a, b).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    for name in (a, b):
-        n, bads = F.col("n"), F.col("bads")
-        goods = n - bads
-        parts = score_groups(df, y, name).select(
-            F.col(name),
-            ((F.col("cum_n") - F.col("cum_bads") - goods / 2) / (F.col("tot_n") - F.col("tot_bads"))).alias("below"),
-            (1 - (F.col("cum_bads") - bads / 2) / F.col("tot_bads")).alias("above"),
+    pairs = df.select(F.col(y).alias("_y"), F.col(a).alias("_sa"), F.col(b).alias("_sb"))
+    cells = pairs.groupBy("_y", "_sa", "_sb").agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    for side in ("a", "b"):
+        name, bads = f"_s{side}", F.col("bads")
+        goods = F.col("n") - bads
+        parts = score_groups(pairs, "_y", name).select(
+            name,
+            ((F.col("cum_n") - F.col("cum_bads") - goods / 2) / (F.col("tot_n") - F.col("tot_bads"))).alias("_below"),
+            (1 - (F.col("cum_bads") - bads / 2) / F.col("tot_bads")).alias("_above"),
         )
-        cells = cells.join(parts, name).withColumn(f"c_{name}", F.when(F.col(y) == 1, F.col("below")).otherwise(F.col("above"))).drop("below", "above")
-    w, ca, cb = F.col("w"), F.col(f"c_{a}"), F.col(f"c_{b}")
+        own = F.when(F.col("_y") == 1, F.col("_below")).otherwise(F.col("_above"))
+        cells = cells.join(parts, name).withColumn(f"_c{side}", own).drop("_below", "_above")
+    w, ca, cb = F.col("_w"), F.col("_ca"), F.col("_cb")
 
     def over(cls: int, e: Column) -> Column:
-        return F.sum(F.when(F.col(y) == cls, w * e))
+        return F.sum(F.when(F.col("_y") == cls, w * e))
 
     s = cells.agg(
         *[

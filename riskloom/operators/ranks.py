@@ -145,17 +145,17 @@ def unique_ranks(
 
 
 def _long(df: DataFrame, columns: Mapping[str, Column], by: list[str]) -> DataFrame:
-    """(by, feature, value) rows of several numeric expressions, NULLs left out."""
+    """(by, _feature, _value) rows of several numeric expressions, NULLs left out."""
     pairs = F.array(
         *[
-            F.struct(F.lit(name).alias("feature"), e.cast("double").alias("value"))
+            F.struct(F.lit(name).alias("_feature"), e.cast("double").alias("_value"))
             for name, e in columns.items()
         ]
     )
     return (
-        df.select(*by, F.explode(pairs).alias("p"))
-        .select(*by, "p.feature", "p.value")
-        .filter(F.col("value").isNotNull())
+        df.select(*by, F.explode(pairs).alias("_p"))
+        .select(*by, "_p._feature", "_p._value")
+        .filter(F.col("_value").isNotNull())
     )
 
 
@@ -219,32 +219,33 @@ def _read_brackets(df, exprs, by, brackets, spark) -> dict[tuple, float]:
     dtypes = dict(df.dtypes)
     schema = ", ".join(
         [f"`{b}` {dtypes[b]}" for b in by]
-        + ["feature string", "j int", "lo double", "hi double", "k bigint", "frac double"]
+        + ["_feature string", "_j int", "_lo double", "_hi double", "_k bigint", "_frac double"]
     )
     table = spark.createDataFrame([b[:-2] for b in brackets], schema)
-    keys = [*by, "feature", "j"]
+    keys = [*by, "_feature", "_j"]
+    value, lo, hi = F.col("_value"), F.col("_lo"), F.col("_hi")
     # one row per group, column and probability, built on the driver: safe to broadcast
-    hits = _long(df, exprs, by).join(F.broadcast(table), [*by, "feature"])
+    hits = _long(df, exprs, by).join(F.broadcast(table), [*by, "_feature"])
     counts = (
-        hits.filter(F.col("value") <= F.col("hi"))
-        .groupBy(*keys, "k", "frac", F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"))
+        hits.filter(value <= hi)
+        .groupBy(*keys, "_k", "_frac", F.when(value >= lo, value).alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
-    order = Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first())
-    run = counts.withColumn("cum", F.sum("c").over(order)).filter(F.col("v").isNotNull())
-    first, at = F.col("cum") - F.col("c"), F.col("k")
+    order = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
+    run = counts.withColumn("_cum", F.sum("_c").over(order)).filter(F.col("_v").isNotNull())
+    first, at = F.col("_cum") - F.col("_c"), F.col("_k")
     rows = (
-        run.groupBy(*keys, "frac")
+        run.groupBy(*keys, "_frac")
         .agg(
-            F.max(F.when((first <= at) & (at < F.col("cum")), F.col("v"))).alias("a"),
-            F.max(F.when((first <= at + 1) & (at + 1 < F.col("cum")), F.col("v"))).alias("b"),
+            F.max(F.when((first <= at) & (at < F.col("_cum")), F.col("_v"))).alias("_a"),
+            F.max(F.when((first <= at + 1) & (at + 1 < F.col("_cum")), F.col("_v"))).alias("_b"),
         )
         .collect()
     )
     found = {}
     for r in rows:
-        if r["a"] is None or (r["b"] is None and r["frac"] > 0):
+        if r["_a"] is None or (r["_b"] is None and r["_frac"] > 0):
             continue
-        step = 0.0 if r["frac"] == 0 else (r["b"] - r["a"]) * r["frac"]
-        found[tuple(r[x] for x in keys)] = r["a"] + step
+        step = 0.0 if r["_frac"] == 0 else (r["_b"] - r["_a"]) * r["_frac"]
+        found[tuple(r[x] for x in keys)] = r["_a"] + step
     return found
