@@ -111,19 +111,20 @@ def score_folds(
     fold are disjoint and complete by construction.
     """
     features = list(features)
-    cells = [(r["seed"], r["fold"]) for r in folds.select("seed", "fold").distinct().orderBy("seed", "fold").collect()]
+    cells: dict[int, list[int]] = {}
+    for r in folds.select("seed", "fold").distinct().orderBy("seed", "fold").collect():
+        cells.setdefault(r["seed"], []).append(r["fold"])
     oof, fitted = [], []
-    for seed, k in cells:
-        mine = folds.filter(F.col("seed") == seed).select(id_col, "fold")
-        rows = matrix.join(mine, id_col)
-        train, test = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
-        model = fit(train.drop("fold"), features)
-        for part, out in ((test, oof), (train, fitted)):
-            if part is train and not with_fit_scores:
-                continue
-            out.append(
-                positive_probability(model, part).select(id_col, F.col(target).cast("int").alias(target), F.lit(seed).alias("seed"), F.lit(k).alias("k"), "score")
-            )
+    for seed, ks in cells.items():
+        # the matrix meets its folds once per seed, and every fit reads what that join left
+        rows = checkpointed(matrix.join(folds.filter(F.col("seed") == seed).select(id_col, "fold"), id_col))
+        for k in ks:
+            train, test = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
+            model = fit(train.drop("fold"), features)
+            parts = ((test, oof), (train, fitted)) if with_fit_scores else ((test, oof),)
+            for part, out in parts:
+                scored = positive_probability(model, part)
+                out.append(scored.select(id_col, F.col(target).cast("int").alias(target), F.lit(seed).alias("seed"), F.lit(k).alias("k"), "score"))
     return reduce(DataFrame.unionByName, oof), reduce(DataFrame.unionByName, fitted) if fitted else None
 
 

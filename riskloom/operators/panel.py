@@ -1,7 +1,8 @@
 """Monthly panel: credit-month to credit, then credit to client.
 
-Two shuffles, the second over one row per credit. The half-window trajectory needs the window of the
-credit on each of its months, so it reuses the first partitioning instead of adding a join.
+Two shuffles, the second over one row per credit. Everything about the months of a credit, its
+half-window trajectory included, is kept as bits of the 97-month domain inside one hash aggregate, so
+rows are combined before the shuffle and never sorted.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskloom import params as P
 from riskloom.functions.nullsafe import any_of, as_flag, holds, ratio, require_columns
-from riskloom.operators.cleaning import IS_ARREARS, IS_BLIND, PANEL_STATES, SEVERITY, clean_panel
+from riskloom.operators.cleaning import FIRST_REPORTED, IS_ARREARS, IS_BLIND, PANEL_STATES, SEVERITY, clean_panel, state_position
 from riskloom.operators.history import resolve_cuts
 
 CREDIT, CLIENT = "SK_ID_BUREAU", "SK_ID_CURR"
@@ -85,22 +86,47 @@ def trajectory_label(code: Column) -> Column:
 
 def packed_state(month: str = MONTH, status: str = STATUS) -> Column:
     """Month and state in one integer, so the last state is a plain maximum kept in a hash aggregate."""
-    code = F.array_position(F.array(*[F.lit(s) for s in PANEL_STATES]), F.col(status)).cast("int") - 1
-    return (F.col(month) - P.PANEL_MONTHS[0]) * len(PANEL_STATES) + code
+    return (F.col(month) - P.PANEL_MONTHS[0]) * len(PANEL_STATES) + state_position(status)
 
 
 def unpacked_state(packed: Column) -> Column:
     """State of a packed (month, state)."""
-    return F.get(F.array(*[F.lit(s) for s in PANEL_STATES]), packed % len(PANEL_STATES))
+    return F.substring(F.lit("".join(PANEL_STATES)), packed % len(PANEL_STATES) + 1, F.lit(1))
 
 
-def distinct_months(month: str = MONTH) -> Column:
-    """Distinct months of a group as a bit count: the 97-month domain fits in two longs."""
+# months back from the application, in two longs: 0..62 and 63..96
+WORD = 63
+
+
+def month_words(month: str = MONTH) -> dict[str, Column]:
+    """The month of a row as one bit of two longs, computed once per row."""
     back = -F.col(month).cast("int")
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    return {
+        "_low": F.when(back < WORD, F.call_function("shiftleft", one, back)).otherwise(none),
+        "_high": F.when(back >= WORD, F.call_function("shiftleft", one, back - WORD)).otherwise(none),
+    }
+
+
+def distinct_months(month: str = MONTH) -> Column:
+    """Aggregate: distinct months of a group."""
+    words = month_words(month)
+    return F.bit_count(F.bit_or(words["_low"])) + F.bit_count(F.bit_or(words["_high"]))
+
+
+def newer_bits(middle: Column) -> tuple[Column, Column]:
+    """Bits of the months less than ``middle`` months back."""
     one = F.lit(1).cast("bigint")
-    low = F.bit_or(F.when(back < 63, F.call_function("shiftleft", one, back)).otherwise(F.lit(0).cast("bigint")))
-    high = F.bit_or(F.when(back >= 63, F.call_function("shiftleft", one, back - 63)).otherwise(F.lit(0).cast("bigint")))
-    return F.bit_count(low) + F.bit_count(high)
+    full = F.lit(2**WORD - 1).cast("bigint")
+    low = F.when(middle >= WORD, full).otherwise(F.call_function("shiftleft", one, F.least(middle, F.lit(WORD))) - 1)
+    high = F.when(middle > WORD, F.call_function("shiftleft", one, middle - WORD) - 1).otherwise(F.lit(0).cast("bigint"))
+    return low, high
+
+
+def worst_level(levels: list[tuple[Column, Column]], keep: tuple[Column, Column]) -> Column:
+    """Highest severity with a month among the kept bits; NULL without any."""
+    hits = [F.when((lo.bitwiseAND(keep[0]) != 0) | (hi.bitwiseAND(keep[1]) != 0), float(i)) for i, (lo, hi) in enumerate(levels)]
+    return F.coalesce(*reversed(hits))
 
 
 def guard_months(panel: DataFrame, credit: str = CREDIT, month: str = MONTH) -> DataFrame:
@@ -128,9 +154,13 @@ def aggregate_credits(
     """One row per credit of the panel. A gap, a repeated month or a missing key fails the query."""
     require_columns(panel, (CREDIT, MONTH, STATUS), "monthly panel")
     c = resolve_cuts(cuts, DEFAULT_CUTS, CUTS, CREDIT_CUTS, "monthly panel")
-    rows = with_window(clean_panel(panel))
-    recent = is_recent_half()
-    sev, late = F.col(SEVERITY), F.col(IS_ARREARS)
+    rows = clean_panel(panel).withColumns({**month_words(), "_pos": state_position()})
+    sev, late, pos, none = F.col(SEVERITY), F.col(IS_ARREARS), F.col("_pos"), F.lit(0).cast("bigint")
+    bits = {}
+    for i in range(len(PANEL_STATES) - FIRST_REPORTED):
+        at = pos == i + FIRST_REPORTED
+        bits[f"_lo{i}"] = F.bit_or(F.when(at, F.col("_low")).otherwise(none))
+        bits[f"_hi{i}"] = F.bit_or(F.when(at, F.col("_high")).otherwise(none))
     g = rows.groupBy(CREDIT).agg(
         F.count(F.lit(1)).alias("BB_MONTHS_OBS"),
         F.count(sev).alias("BB_MONTHS_REPORTED"),
@@ -139,11 +169,10 @@ def aggregate_credits(
         F.min(MONTH).alias("BB_WINDOW_INI"),
         F.max(MONTH).alias("BB_WINDOW_END"),
         F.sum(late).alias("_late"),
-        F.max(packed_state()).alias("_last"),
+        F.max((F.col(MONTH) - P.PANEL_MONTHS[0]) * len(PANEL_STATES) + pos).alias("_last"),
         F.max(F.when(late == 1, F.col(MONTH))).cast("double").alias("BB_LAST_DPD_MONTH"),
-        F.max(F.when(~recent, sev)).alias("BB_WORST_OLD_HALF"),
-        F.max(F.when(recent, sev)).alias("BB_WORST_RECENT_HALF"),
-        distinct_months().alias("_months"),
+        (F.bit_count(F.bit_or("_low")) + F.bit_count(F.bit_or("_high"))).alias("_months"),
+        *[e.alias(n) for n, e in bits.items()],
     )
     length = F.col("BB_WINDOW_END") - F.col("BB_WINDOW_INI") + 1
     broken = (length != F.col("BB_MONTHS_OBS")) | (F.col("_months") != F.col("BB_MONTHS_OBS"))
@@ -152,6 +181,12 @@ def aggregate_credits(
         message = F.concat(F.lit("broken monthly window or key: "), F.coalesce(F.col(CREDIT).cast("string"), F.lit("NULL")))
         g = g.withColumn("BB_MONTHS_OBS", F.when(broken, F.raise_error(message).cast("bigint")).otherwise(F.col("BB_MONTHS_OBS")))
     arrears = F.when(F.col("BB_MONTHS_REPORTED") > 0, F.col("_late").cast("double"))
+    # a month is recent when it is nearer the end: fewer months back than the middle of the window
+    middle = F.call_function("div", 1 - F.col("BB_WINDOW_INI") - F.col("BB_WINDOW_END"), F.lit(2)).cast("int")
+    newer = newer_bits(middle)
+    older = tuple(F.bitwise_not(x) for x in newer)
+    levels = [(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(len(PANEL_STATES) - FIRST_REPORTED)]
+    g = g.withColumns({"BB_WORST_OLD_HALF": worst_level(levels, older), "BB_WORST_RECENT_HALF": worst_level(levels, newer)})
     old, new = F.col("BB_WORST_OLD_HALF"), F.col("BB_WORST_RECENT_HALF")
     enough = F.col("BB_MONTHS_OBS") >= c["bb_min_meses_trayectoria"]
     return g.withColumns(
@@ -162,7 +197,7 @@ def aggregate_credits(
             "BB_LAST_STATUS": unpacked_state(F.col("_last")),
             "BB_CREDIT_TRAJECTORY": trajectory_code(old, new, enough),
         }
-    ).drop("_late", "_months", "_last")
+    ).drop("_late", "_months", "_last", *bits)
 
 
 def credit_bridge(history: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def partition_folds(assembled: DataFrame, chain_of, seeds: Iterable[int] = P.SEE
     """
     folds = stratified_folds(assembled, seeds, k)
     for seed in seeds:
-        rows = assembled.join(folds.filter(F.col("seed") == seed).select(ID, "fold"), ID)
+        rows = checkpointed(assembled.join(folds.filter(F.col("seed") == seed).select(ID, "fold"), ID))
         for f in range(k):
             fitted, matrix = S.fit_transform(chain_of(), rows.filter(F.col("fold") != f).drop("fold"))
             yield seed, f, matrix, S.apply_all(fitted, rows.filter(F.col("fold") == f).drop("fold"))

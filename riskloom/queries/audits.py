@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -27,10 +27,7 @@ GAPPY = ["AMT_ANNUITY", "AMT_CREDIT_MAX_OVERDUE", "AMT_CREDIT_SUM_LIMIT", "AMT_C
 
 def scratch(spark, what: str) -> str:
     """A fresh folder under the shared checkpoint folder of the session."""
-    base = checkpoint_dir(spark)
-    if base.startswith("/"):
-        return tempfile.mkdtemp(prefix=f"{what}-", dir=base if base.startswith("/tmp") else None) + "/out"
-    return f"{base}/{what}-{spark.sparkContext.applicationId}-{id(object())}"
+    return f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 # -- the split shared by several queries, in DuckDB text ----------------------------------------

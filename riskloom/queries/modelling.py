@@ -322,6 +322,25 @@ add(
     ("feature", "source"),
 )
 
+add("C23_partition_filter", lambda s, d: X.only(app(s, d), "valid", split(s, d)).select(K, Y), f"SELECT {K}, {Y} FROM split_t WHERE split = 'valid'")
+
+
+def _limits(s, d):
+    ref = {"AMT_INCOME_TOTAL": 100000.0, "OWN_CAR_AGE": 64.0}
+    return G.Winsorizer(columns=_W).fit(train(s, d)).report(s, ref)
+
+
+add(
+    "K9_winsor_limits",
+    _limits,
+    union(
+        f"SELECT '{c}' AS feature, count({c}) AS n, quantile_cont({c}, 0.99) AS percentile, {1 if c == 'OWN_CAR_AGE' else 3} AS factor, {_lim(c)} AS cap, {r} AS reference, ({_lim(c)} / {r} - 1) * 100 AS deviation_pct FROM app_tr"
+        for c, r in ((c, {"AMT_INCOME_TOTAL": "100000", "OWN_CAR_AGE": "64"}.get(c, "NULL")) for c in _W)
+    ),
+    ("feature",),
+    digits=4,
+)
+
 # -- splits and resampling ---------------------------------------------------------------------
 
 add("X1_stratified_split", split, "SELECT * FROM split_t", ("split",))

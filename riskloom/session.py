@@ -18,6 +18,8 @@ def local_session(cores: int | str = 8, app: str = "riskloom") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # the plans are built from many small expressions; recording a call site for each is slow
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
