@@ -23,23 +23,6 @@ def _slices(df: DataFrame, asked: int | None) -> int:
     return max(2, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_SLICES))
 
 
-def with_slices(df: DataFrame, value: str, keys: Iterable[str] = (), slices: int | None = None) -> DataFrame:
-    """Add ``_slice``: an order-preserving slice number of ``value`` within each key."""
-    keys = list(keys)
-    n = _slices(df, slices)
-    cuts = F.percentile_approx(
-        F.col(value).cast("double"), [i / n for i in range(1, n)], 20 * n
-    ).alias("_edges")
-    if keys:
-        edges = df.groupBy(*keys).agg(cuts)
-        sliced = df.join(edges, keys)
-    else:
-        sliced = df.withColumn("_edges", df.agg(cuts).scalar())
-    return sliced.withColumn(
-        "_slice", F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    ).drop("_edges")
-
-
 def prefix_by_value(
     df: DataFrame,
     value: str,
@@ -60,18 +43,25 @@ def prefix_by_value(
         .groupBy(*keys, value)
         .agg(*[e.alias(name) for name, e in aggs.items()])
     )
-    sliced = with_slices(per_value, value, keys, slices)
-    totals = sliced.groupBy(*keys, "_slice").agg(*[F.sum(n).alias(n) for n in aggs])
-    # at most one row per slice and key
-    anchor = keys or [F.lit(0)]
-    before = Window.partitionBy(*anchor).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*anchor)
-    offsets = totals.select(
-        *keys,
-        "_slice",
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off_{n}") for n in aggs],
-        *[F.sum(n).over(whole).alias(f"tot_{n}") for n in aggs],
+    # slice edges and totals of each key; both sides below read all of them, so that the collapsed
+    # values are computed and shuffled once and reused
+    n_slices = _slices(df, slices)
+    edges = F.percentile_approx(F.col(value).cast("double"), [i / n_slices for i in range(1, n_slices)], 20 * n_slices)
+    about = F.struct(edges.alias("edges"), *[F.sum(n).alias(f"tot_{n}") for n in aggs]).alias("_about")
+    if keys:
+        known = per_value.join(per_value.groupBy(*keys).agg(about), keys)
+    else:
+        known = per_value.withColumn("_about", per_value.agg(about).scalar())
+    below = F.size(F.filter("_about.edges", lambda e: e < F.col(value)))
+    sliced = known.select(
+        *keys, value, *aggs, F.coalesce(below, F.lit(0)).alias("_slice"), *[F.col(f"_about.tot_{n}").alias(f"tot_{n}") for n in aggs]
     )
+    totals = sliced.groupBy(*keys, "_slice").agg(
+        *[F.sum(n).alias(n) for n in aggs], *[F.max(f"tot_{n}").alias(f"tot_{n}") for n in aggs]
+    )
+    # at most one row per slice and key
+    onwards = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, 0)
+    offsets = totals.select(*keys, "_slice", *[(F.col(f"tot_{n}") - F.sum(n).over(onwards)).alias(f"_off_{n}") for n in aggs])
     inside = (
         Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     )

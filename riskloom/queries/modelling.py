@@ -543,7 +543,9 @@ add("L10_strategy_cell", lambda s, d: _cell(s, d, 1))
 
 def _synthetic_input(s, d):
     t = modelling_table(s, d).withColumn("CAR", F.pmod(K, F.lit(2)).cast("double"))
-    return checkpointed(t.select(K, Y, "EXT_SOURCE_1", "EXT_SOURCE_3", "CAR"))
+    # whole coordinates keep equal distances equal on both engines
+    whole = [F.floor(F.col(c) * 1000).cast("double").alias(c) for c in ("EXT_SOURCE_1", "EXT_SOURCE_3")]
+    return checkpointed(t.select(K, Y, *whole, "CAR"))
 
 
 _SX = ["EXT_SOURCE_1", "EXT_SOURCE_3", "CAR"]
@@ -560,12 +562,12 @@ def _links(s, d):
     return R2.tomek_links(_synthetic_input(s, d), _SX)
 
 
-_NNV = f"SELECT {K}, {Y}, a, b, {K} % 2 AS c FROM (SELECT {K}, {Y}, coalesce(EXT_SOURCE_1, (SELECT median(EXT_SOURCE_1) FROM app1)) AS a, coalesce(EXT_SOURCE_3, (SELECT median(EXT_SOURCE_3) FROM app1)) AS b FROM app1)"
+_NNV = f"SELECT {K}, {Y}, a, b, {K} % 2 AS c FROM (SELECT {K}, {Y}, floor(coalesce(EXT_SOURCE_1, (SELECT median(EXT_SOURCE_1) FROM app1)) * 1000) AS a, floor(coalesce(EXT_SOURCE_3, (SELECT median(EXT_SOURCE_3) FROM app1)) * 1000) AS b FROM app1)"
 add(
     "X7_tomek_links",
     _links,
     f"""WITH v AS ({_NNV}), u AS (SELECT a, b, c, min({K}) AS {K}, count(*) AS m, min({Y}) AS lo, max({Y}) AS hi FROM v GROUP BY 1, 2, 3),
-nn AS (SELECT p.{K} AS p, arg_min(q.{K}, sqrt(power(p.a - q.a, 2) + power(p.b - q.b, 2) + power(p.c - q.c, 2))) AS q FROM u p JOIN u q ON p.{K} <> q.{K} GROUP BY 1)
+nn AS (SELECT p.{K} AS p, q.{K} AS q FROM u p JOIN u q ON p.{K} <> q.{K} QUALIFY row_number() OVER (PARTITION BY p.{K} ORDER BY power(p.a - q.a, 2) + power(p.b - q.b, 2) + power(p.c - q.c, 2), q.{K}) = 1)
 SELECT x.p AS {K} FROM nn x JOIN nn y ON x.q = y.p AND y.q = x.p JOIN u ON u.{K} = x.p JOIN u w ON w.{K} = x.q WHERE u.m = 1 AND w.m = 1 AND u.lo <> w.lo
 UNION SELECT v.{K} FROM v JOIN u USING (a, b, c) WHERE u.m = 2 AND u.lo <> u.hi""",
 )
