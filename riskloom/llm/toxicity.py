@@ -5,7 +5,7 @@ Each n-gram's feature value is the logarithm of the ratio of its smoothed freque
 a logistic classifier is trained on these values, and its weights are multiplied with the ratios into one table.
 
 The classifier is fitted on a bounded sample of labelled texts: at most ``SAMPLE`` of each label, the lowest by a
-hash of the id. The intercept is corrected for the share of each label among all labelled rows. Scoring reads
+hash of the id, and of these the texts of at most ``MOST_CHARS`` code points. The intercept is corrected for the share of each label among all labelled rows. Scoring reads
 every whole text.
 
 Cases: null and empty texts get the score of a text without n-grams; labels other than 0 and 1 teach nothing;
@@ -29,10 +29,12 @@ ORDERS = (3, 4, 5)
 BITS = 20
 #: Most labelled texts of each label that the fit reads.
 SAMPLE = 1500
+#: Longer texts are not learned from (they are scored whole), so the sample's size has a bound.
+MOST_CHARS = 60_000
 #: n-grams found in fewer sampled texts carry no weight.
 LEAST_TEXTS = 3
 #: And so do those whose chi-square statistic against the label is smaller: in long texts their noise would add up.
-LEAST_EVIDENCE = 8.0
+LEAST_EVIDENCE = 11.0
 EPOCHS, BATCH, RATE, DECAY = 12, 32, 0.02, 1e-4
 HELD_OUT_OF = 5
 _K = np.uint32(0x01000193)
@@ -66,13 +68,6 @@ def ngrams(text: str, seen: np.ndarray) -> np.ndarray:
     return found
 
 
-@arrow_udf(T.ArrayType(T.IntegerType()))
-def ngram_sets(texts: pa.Array) -> pa.Array:
-    """The sets of hashed n-grams of texts."""
-    seen = np.zeros(1 << BITS, dtype=bool)
-    return pa.array([ngrams(t or "", seen).astype(np.int32) for t in texts.to_pylist()], pa.list_(pa.int32()))
-
-
 @dataclass(frozen=True)
 class Classifier:
     """Weights of n-grams that have one, and the intercept."""
@@ -87,15 +82,15 @@ class Classifier:
         return out
 
 
-def train(sets: list[np.ndarray], labels: np.ndarray, shares: tuple[float, float]) -> Classifier:
-    """Fit on n-gram sets; ``shares`` are the counts of labels 0 and 1 among all labelled rows."""
+def train(texts: list[str], labels: np.ndarray, shares: tuple[float, float]) -> Classifier:
+    """Fit on texts; ``shares`` are the counts of labels 0 and 1 among all labelled rows."""
     total = shares[0] + shares[1]
     if len(set(labels.tolist())) < 2:
         share = min(1 - 1e-6, max(1e-6, shares[1] / total)) if total else 1e-6
         return Classifier(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), float(np.log(share / (1 - share))))
-    counts = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
-    for s, y in zip(sets, labels):
-        counts[y][s] += 1
+    seen, counts = np.zeros(1 << BITS, dtype=bool), np.zeros((2, 1 << BITS), dtype=np.int32)
+    for t, y in zip(texts, labels):
+        counts[y][ngrams(t, seen)] += 1
     n0, n1 = int((labels == 0).sum()), int((labels == 1).sum())
     both = counts[0] + counts[1]
     excess = counts[1] - both * n1 / (n0 + n1)
@@ -103,9 +98,9 @@ def train(sets: list[np.ndarray], labels: np.ndarray, shares: tuple[float, float
     kept = np.flatnonzero((both >= LEAST_TEXTS) & (excess**2 >= LEAST_EVIDENCE * np.maximum(spread, 1e-9)))
     sides = [(1 + counts[y][kept]) / (2 + (labels == y).sum()) for y in (0, 1)]
     ratios = np.log(sides[1] / sides[0])
-    place = np.full(1 << BITS, -1, dtype=np.int64)
+    place = np.full(1 << BITS, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
-    rows = [p[p >= 0] for p in (place[s] for s in sets)]
+    rows = [p[p >= 0] for p in (place[ngrams(t, seen)] for t in texts)]  # a second reading, so that only kept n-grams are held
     weights, intercept = np.zeros(len(kept)), 0.0
     first, second, first_b, second_b = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
     balance = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
@@ -140,11 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
         part = marks.filter(F.col("toxic") == y).orderBy("order", "doc_id").limit(SAMPLE)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").select("order", "doc_id", "toxic", ngram_sets("text").alias("grams")).orderBy("order", "doc_id", F.size("grams")).limit(2 * SAMPLE).toArrow()
-    grams = found["grams"].combine_chunks()
-    offsets, values = grams.offsets.to_numpy(), grams.values.to_numpy()
-    sets = [values[i:j] for i, j in zip(offsets[:-1], offsets[1:])]
-    return train(sets, found["toxic"].to_numpy(), (float(shares.get(0, 0)), float(shares.get(1, 0))))
+    found = texts.join(F.broadcast(chosen), "doc_id").withColumn("text", F.coalesce("text", F.lit(""))).filter(F.length("text") <= MOST_CHARS)
+    found = found.select("order", "doc_id", "toxic", "text").orderBy("order", "doc_id", "text").limit(2 * SAMPLE).toArrow()
+    return train(found["text"].to_pylist(), found["toxic"].to_numpy(), (float(shares.get(0, 0)), float(shares.get(1, 0))))
 
 
 def scorer(model: Classifier):
