@@ -243,6 +243,7 @@ def classes(docs: DataFrame) -> DataFrame:
     named = members.join(prints, "fp")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     ids = prints.join(named.select("fp", "root").join(least, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    ids = staged(ids)  # so that both sides of the last join are dealt for it alone, and a frequent fingerprint can be split
     return own.join(ids, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
