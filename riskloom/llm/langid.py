@@ -109,8 +109,11 @@ class Joined:
         self.third = np.ascontiguousarray(three[2])
         self.tail = pair(four, 2)
 
-    def log_probabilities(self, padded: np.ndarray) -> np.ndarray:
-        """One row for each window of a byte array holding whole windows and ``REACH`` bytes more."""
+    def log_probabilities(self, padded: np.ndarray, closing: np.ndarray) -> np.ndarray:
+        """One row for each window of a byte array holding whole windows and ``REACH`` bytes more.
+
+        ``closing``: windows that end a text; the places from which a filter would see the next text don't count.
+        """
         out = []
         count = (len(padded) - REACH) // WINDOW
         for start in range(0, count, AT_ONCE):
@@ -122,6 +125,7 @@ class Joined:
             response[:, FILTERS : 2 * FILTERS] += self.third.take(data[2 : size + 2], axis=0)
             response[:, 2 * FILTERS :] += self.tail.take(pairs[2 : size + 2], axis=0)
             response = response.reshape(n, WINDOW, -1)
+            response[closing[start : start + n], WINDOW - REACH :] = -np.inf
             while response.shape[1] > 1:  # halving keeps the maximum over whole blocks
                 half = response.shape[1] // 2
                 response = np.maximum(response[:, :half], response[:, half:])
@@ -137,12 +141,14 @@ class Joined:
         at = 0
         while at < len(texts):  # whole texts up to a bound of windows; one longer text is alone
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 8 * AT_ONCE, side="right")))
-            got = []
             run = b"".join(t + bytes(-len(t) % WINDOW) for t in texts[at:upto])
-            got = self.log_probabilities(np.frombuffer(run + bytes(REACH), dtype=np.uint8))
+            last = ends[at:upto] - (ends[at - 1] if at else 0) - 1
+            closing = np.zeros(last[-1] + 1, dtype=bool)
+            closing[last] = True
+            got = self.log_probabilities(np.frombuffer(run + bytes(REACH), dtype=np.uint8), closing)
             owner = np.repeat(np.arange(at, upto), counts[at:upto])
             weight = np.full(len(owner), float(WINDOW))
-            weight[ends[at:upto] - (ends[at - 1] if at else 0) - 1] = [((len(t) - 1) % WINDOW) + 1 for t in texts[at:upto]]
+            weight[last] = [((len(t) - 1) % WINDOW) + 1 for t in texts[at:upto]]
             for k in range(sums.shape[1]):
                 sums[at:upto, k] += np.bincount(owner - at, weights=got[:, k] * weight, minlength=upto - at)
             at = upto
