@@ -115,9 +115,13 @@ def score_folds(
     for r in folds.select("seed", "fold").distinct().orderBy("seed", "fold").collect():
         cells.setdefault(r["seed"], []).append(r["fold"])
     oof, fitted = [], []
+    expected = matrix.count()
     for seed, ks in cells.items():
         # the matrix meets its folds once per seed, and every fit reads what that join left
         rows = checkpointed(matrix.join(folds.filter(F.col("seed") == seed).select(id_col, "fold"), id_col))
+        met = rows.count()
+        if met != expected:
+            raise ValueError(f"seed {seed}: {met} rows of the matrix have a fold, {expected} were given")
         for k in ks:
             train, test = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
             model = fit(train.drop("fold"), features)

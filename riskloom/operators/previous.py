@@ -71,18 +71,6 @@ PREVIOUS_FLAGS = (
     "PREV_ACTIVIDAD_12M_COLA",
     "PREV_RELACION_CORTA_ACTIVA",
 )
-# what each proportion is counted over
-DENOMINATORS = {
-    "PREV_CREDIT_APPLICATION_RATIO": "both amounts positive",
-    "PREV_OVERGRANTED_RATIO": "both amounts positive",
-    "PREV_CNT_PAYMENT_MEAN": "positive term",
-    "PREV_DOWN_PAYMENT_RATE_MEAN": "consumer loans only",
-    "PREV_IMPLIED_COST_MEAN": "approved with positive annuity, term and credit",
-    "PREV_EARLY_SETTLED_FLAG": "finished, both end dates",
-    "PREV_FUTURE_DUE_MAX": "planned end still to come",
-    "PREV_STREET_RATIO": "product combination defined",
-    "PREV_URGENT_PURPOSE_RATIO": "purpose declared",
-}
 
 
 def populations() -> dict[str, Column | None]:
@@ -116,11 +104,13 @@ def from_street() -> Column:
 def truncated_history() -> Column:
     """Any row of the oldest day from a returning client, in one hash aggregate and without a window.
 
-    Days are whole, so twice the age plus the returning bit orders by age first; the maximum belongs
-    to the oldest day and is odd as soon as one row of that day is returning.
+    Days are whole, or the aggregate fails; so twice the age plus the returning bit orders by age first, and the
+    maximum belongs to the oldest day and is odd as soon as one row of that day is returning.
     """
+    day = F.col("DAYS_DECISION")
+    whole = F.when(day != F.floor(day), F.raise_error(F.lit("DAYS_DECISION holds a fraction of a day")).cast("double")).otherwise(day)
     back = holds(F.col("NAME_CLIENT_TYPE").isin(*RETURNING)).cast("int")
-    top = F.max(-F.col("DAYS_DECISION") * 2 + back)
+    top = F.max(-whole * 2 + back)
     return F.coalesce(F.pmod(top, F.lit(2)).cast("int"), F.lit(0))
 
 

@@ -262,7 +262,7 @@ add(
     lambda s, d: A.numeric_profile(S.history(s, d), _PROFILED),
     union(f"SELECT '{c}' AS feature, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max, " + ", ".join(f"quantile_cont({c}, {p}) AS p{int(p * 100)}" for p in (0.01, 0.25, 0.5, 0.75, 0.99)) + " FROM hist_raw" for c in _PROFILED),
     ("feature",),
-    digits=2,
+    digits=4,
 )
 
 
@@ -353,8 +353,8 @@ add("AUD31_severe_tails", lambda s, d: A.severe_tails(S.history(s, d), _TAILED),
 _DRIFT = ((0.0, 1.0, 3.0, 5.0, 10.0), ("0-1a", "1-3a", "3-5a", "5a+"))
 add(
     "AUD32_null_drift",
-    lambda s, d: A.null_drift(S.history(s, d).filter("DAYS_CREDIT < 0"), fixed_bin(-F.col("DAYS_CREDIT") / 365.25, *_DRIFT), GAPPY),
-    "SELECT CASE WHEN a <= 1 THEN '0-1a' WHEN a <= 3 THEN '1-3a' WHEN a <= 5 THEN '3-5a' ELSE '5a+' END AS bin, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) / count(*) * 100 AS null_{c}" for c in GAPPY) + " FROM (SELECT *, -DAYS_CREDIT / 365.25 AS a FROM hist_raw WHERE DAYS_CREDIT < 0) GROUP BY 1",
+    lambda s, d: A.null_drift(S.history(s, d), F.when(F.col("DAYS_CREDIT") < 0, fixed_bin(-F.col("DAYS_CREDIT") / 365.25, *_DRIFT)).otherwise("other"), GAPPY),
+    "SELECT CASE WHEN a IS NULL OR a <= 0 THEN 'other' WHEN a <= 1 THEN '0-1a' WHEN a <= 3 THEN '1-3a' WHEN a <= 5 THEN '3-5a' ELSE '5a+' END AS bin, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) / count(*) * 100 AS null_{c}" for c in GAPPY) + " FROM (SELECT *, -DAYS_CREDIT / 365.25 AS a FROM hist_raw) GROUP BY 1",
     ("bin",),
 )
 add(

@@ -255,7 +255,7 @@ def _pairs_sql() -> str:
             if kind == "FM":
                 f, m = (a, b) if a in flags else (b, a)
                 ev = f"CASE WHEN (SELECT min({m}) FROM cl) >= 0 AND min({f}) FILTER (WHERE {m} IS NOT NULL) < max({f}) FILTER (WHERE {m} IS NOT NULL) AND min({m} > 0) FILTER (WHERE {f} IS NOT NULL) < max({m} > 0) FILTER (WHERE {f} IS NOT NULL) THEN corr({f}, CASE WHEN {m} > 0 THEN 1.0 WHEN {m} IS NOT NULL THEN 0.0 END) END"
-            out.append(f"SELECT '{a}' AS a, '{b}' AS b, '{_owner(a)}' AS table_a, '{_owner(b)}' AS table_b, '{kind}' AS kind, corr({a}, {b}) AS r, {ev} AS r_event, {n_if(f'{a} IS NOT NULL AND {b} IS NOT NULL')} AS n, {int(declared)} AS declared FROM cl")
+            out.append(f"SELECT '{a}' AS a, '{b}' AS b, '{_owner(a)}' AS table_a, '{_owner(b)}' AS table_b, '{kind}' AS kind, nullif(corr({a}, {b}), 'nan'::DOUBLE) AS r, {ev} AS r_event, {n_if(f'{a} IS NOT NULL AND {b} IS NOT NULL')} AS n, {int(declared)} AS declared FROM cl")
     over = "abs(r) > CASE WHEN kind = 'FF' THEN 0.5 ELSE 0.7 END OR coalesce(abs(r_event), 0) > 0.5"
     return f"SELECT * FROM (SELECT *, CASE WHEN {over} THEN 'above' WHEN kind <> 'FF' AND abs(r) >= 0.6 THEN 'band' WHEN declared = 1 THEN 'declared' END AS zone FROM ({union(out)})) WHERE zone IS NOT NULL"
 
@@ -376,15 +376,15 @@ st AS (SELECT rep, avg({Y}) AS rate, avg(EXT_SOURCE_3) AS mean_ext3, avg(AMT_CRE
 
 # -- evaluation --------------------------------------------------------------------------------
 
-cte("sc", f"SELECT {K}, {Y} AS y, round(1 - EXT_SOURCE_3, 2) AS s, round(1 - EXT_SOURCE_2, 2) AS s2, AMT_CREDIT AS amt, EXT_SOURCE_1 FROM app1 WHERE EXT_SOURCE_3 IS NOT NULL AND EXT_SOURCE_2 IS NOT NULL")
+cte("sc", f"SELECT {K}, {Y} AS y, round(1 - coalesce(EXT_SOURCE_3, 0.5), 2) AS s, round(1 - coalesce(EXT_SOURCE_2, 0.5), 2) AS s2, AMT_CREDIT AS amt, EXT_SOURCE_1 FROM app1")
 cte("sg", "SELECT *, sum(n) OVER w AS cn, sum(b) OVER w AS cb, sum(n) OVER () AS tn, sum(b) OVER () AS tb, sum(a) OVER () AS ta, sum(x) OVER () AS tx FROM (SELECT s, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS b, sum(amt) AS a, sum(amt * y) AS x FROM sc GROUP BY 1) WINDOW w AS (ORDER BY s)")
 
 
 def scores(s, d):
-    """Two scores, the target and the amount of each client with both."""
-    one = F.lit(1.0)
-    return app(s, d).filter("EXT_SOURCE_3 IS NOT NULL AND EXT_SOURCE_2 IS NOT NULL").select(
-        K, F.col(Y).alias("y"), F.round(one - F.col("EXT_SOURCE_3"), 2).alias("s"), F.round(one - F.col("EXT_SOURCE_2"), 2).alias("s2"), F.col("AMT_CREDIT").alias("amt"), "EXT_SOURCE_1"
+    """Two scores, the target and the amount of each client; an unknown source scores one half."""
+    one, half = F.lit(1.0), F.lit(0.5)
+    return app(s, d).select(
+        K, F.col(Y).alias("y"), F.round(one - F.coalesce("EXT_SOURCE_3", half), 2).alias("s"), F.round(one - F.coalesce("EXT_SOURCE_2", half), 2).alias("s2"), F.col("AMT_CREDIT").alias("amt"), "EXT_SOURCE_1"
     )
 
 
@@ -424,7 +424,7 @@ _SEG = {"women": "CODE_GENDER = 'F'", "with score 1": "EXT_SOURCE_1 IS NOT NULL"
 
 
 def _segments(s, d):
-    df = app(s, d).filter("EXT_SOURCE_3 IS NOT NULL").select(F.col(Y).alias("y"), F.round(F.lit(1.0) - F.col("EXT_SOURCE_3"), 2).alias("s"), F.col("AMT_CREDIT").alias("amt"), "CODE_GENDER", "EXT_SOURCE_1")
+    df = app(s, d).select(F.col(Y).alias("y"), F.round(F.lit(1.0) - F.coalesce("EXT_SOURCE_3", F.lit(0.5)), 2).alias("s"), F.col("AMT_CREDIT").alias("amt"), "CODE_GENDER", "EXT_SOURCE_1")
     t = E.by_segment(df, {n: F.expr(e) for n, e in _SEG.items()}, "y", "s", "amt")
     return t["sizes"].join(t["ranking"], "segment").join(t["errors"], "segment")
 
@@ -432,7 +432,7 @@ def _segments(s, d):
 def _segment_sql() -> str:
     out = []
     for n, e in _SEG.items():
-        rows = f"(SELECT {Y} AS y, round(1 - EXT_SOURCE_3, 2) AS s FROM app1 WHERE EXT_SOURCE_3 IS NOT NULL AND {e})"
+        rows = f"(SELECT {Y} AS y, round(1 - coalesce(EXT_SOURCE_3, 0.5), 2) AS s FROM app1 WHERE {e})"
         groups = f"(SELECT *, sum(n) OVER w AS cn, sum(b) OVER w AS cb, sum(n) OVER () AS tn, sum(b) OVER () AS tb FROM (SELECT s, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS b FROM {rows} GROUP BY 1) WINDOW w AS (ORDER BY s))"
         rank = _RANK.replace("FROM sg)", f"FROM {groups})")
         out.append(f"SELECT '{n}' AS segment, (SELECT count(*) FROM {rows}) AS n, (SELECT sum(y) FROM {rows}) AS bads, r.*, (SELECT avg(power(y - s, 2)) FROM {rows}) AS brier, (SELECT -avg(CASE WHEN y = 1 THEN ln(s) ELSE ln(1 - s) END) FROM {rows}) AS log_loss FROM ({rank}) r")

@@ -296,13 +296,13 @@ add(
 
 def _raw_months(s, d):
     rows = S.read(s, d, "lineitem").select(F.col("l_orderkey").alias("SK_ID_BUREAU"), (-F.floor(F.datediff(F.lit("2001-12-31"), "l_shipdate") / 30)).cast("int").alias("MONTHS_BALANCE"))
-    return B.guard_months(rows.filter("MONTHS_BALANCE >= -96 AND MONTHS_BALANCE <= 0"))
+    return B.guard_months(rows)
 
 
 add(
     "W13_repeated_months",
     _raw_months,
-    "SELECT SK_ID_BUREAU, count(*) AS n_rows, min(m) AS ini, max(m) AS fin, count(DISTINCT m) AS n_months, CASE WHEN max(m) - min(m) + 1 <> count(DISTINCT m) THEN 1 ELSE 0 END AS has_gap, CASE WHEN count(*) <> count(DISTINCT m) THEN 1 ELSE 0 END AS has_repeat FROM (SELECT l_orderkey AS SK_ID_BUREAU, -floor(date_diff('day', CAST(l_shipdate AS DATE), DATE '2001-12-31') / 30) AS m FROM lineitem) WHERE m BETWEEN -96 AND 0 GROUP BY 1",
+    "SELECT SK_ID_BUREAU, count(*) AS n_rows, min(m) AS ini, max(m) AS fin, count(DISTINCT m) AS n_months, CASE WHEN max(m) - min(m) + 1 <> count(DISTINCT m) THEN 1 ELSE 0 END AS has_gap, CASE WHEN count(*) <> count(DISTINCT m) THEN 1 ELSE 0 END AS has_repeat FROM (SELECT l_orderkey AS SK_ID_BUREAU, -floor(date_diff('day', CAST(l_shipdate AS DATE), DATE '2001-12-31') / 30) AS m FROM lineitem) GROUP BY 1",
 )
 
 

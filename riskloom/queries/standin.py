@@ -107,11 +107,11 @@ def application_columns() -> dict[str, str]:
 
 
 def history_columns() -> dict[str, str]:
-    """Credit history, one row per order of the customers that have one."""
+    """Credit history, one row per order; the orders of one customer in seven belong to a client unknown to the main table."""
     o, p = "o_orderkey", "o_totalprice"
     days = "DAYS_TO(o_orderdate, '2001-09-01')"
     return {
-        "SK_ID_CURR": "o_custkey",
+        "SK_ID_CURR": "CASE WHEN o_custkey % 7 = 3 THEN -o_custkey ELSE o_custkey END",
         "SK_ID_BUREAU": o,
         "CREDIT_ACTIVE": f"CASE WHEN o_orderstatus = 'F' THEN 'Closed' WHEN o_orderstatus = 'P' AND {o} % 5 = 0 THEN 'Sold' WHEN o_orderstatus = 'P' AND {o} % 11 = 0 THEN 'Bad debt' ELSE 'Active' END",
         "CREDIT_TYPE": "CASE o_orderpriority WHEN '1-URGENT' THEN 'Credit card' WHEN '2-HIGH' THEN 'Consumer credit' WHEN '3-MEDIUM' THEN 'Mortgage' WHEN '4-NOT SPECIFIED' THEN 'Car loan' ELSE 'Microloan' END",
@@ -131,9 +131,6 @@ def history_columns() -> dict[str, str]:
     }
 
 
-HAS_HISTORY = "o_custkey % 7 <> 3"
-
-
 def panel_status() -> str:
     """State of order ``o`` in month ``-mm``; some codes come untidy."""
     v = "(o * 7 + mm * mm * 3 + o * mm) % 23"
@@ -149,11 +146,11 @@ PANEL_LENGTH = "3 + n_lines * 3 + o % 5"
 
 
 def previous_columns() -> dict[str, str]:
-    """Previous applications, one row per event."""
+    """Previous applications, one row per event; three in ten belong to a client unknown to the main table."""
     e, v = "event_id", "value"
     return {
         "SK_ID_PREV": e,
-        "SK_ID_CURR": f"user_id * 10 + {e} % 10",
+        "SK_ID_CURR": f"CASE WHEN {e} % 10 < 7 THEN 1 ELSE -1 END * (user_id * 10 + {e} % 10)",
         "DAYS_DECISION": _dbl(f"CASE WHEN {e} % 997 = 0 THEN 365243 ELSE -(DAYS_TO(ts, '2024-02-01') * 88 + {e} % 88) - 1 END"),
         "DAYS_FIRST_DRAWING": _dbl(f"CASE WHEN {e} % 2 = 0 THEN 365243 ELSE -({e} % 900) END"),
         "DAYS_FIRST_DUE": _dbl(f"-({e} % 1100)"),
@@ -178,9 +175,6 @@ def previous_columns() -> dict[str, str]:
     }
 
 
-HAS_PREVIOUS = "event_id % 10 < 7"
-
-
 def _spark(expr: str) -> str:
     return re.sub(r"DAYS_TO\((\w+), ('[\d-]+')\)", r"datediff(DATE \2, CAST(\1 AS DATE))", expr)
 
@@ -208,7 +202,7 @@ def application(spark: SparkSession, sf: str) -> DataFrame:
 
 def history(spark: SparkSession, sf: str) -> DataFrame:
     """Credit history from the orders."""
-    return _select(read(spark, sf, "orders").filter(HAS_HISTORY), history_columns())
+    return _select(read(spark, sf, "orders"), history_columns())
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,7 +217,7 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
 
 def previous(spark: SparkSession, sf: str) -> DataFrame:
     """Previous applications from the events."""
-    return _select(read(spark, sf, "events").filter(HAS_PREVIOUS), previous_columns())
+    return _select(read(spark, sf, "events"), previous_columns())
 
 
 # -- DuckDB side -------------------------------------------------------------------------------
@@ -237,10 +231,10 @@ def ctes() -> dict[str, str]:
     """Name -> DuckDB text of the raw tables."""
     return {
         "app_raw": f"SELECT {_list(application_columns())} FROM customer",
-        "hist_raw": f"SELECT {_list(history_columns())} FROM orders WHERE {HAS_HISTORY}",
+        "hist_raw": f"SELECT {_list(history_columns())} FROM orders",
         "panel_raw": (
             f"SELECT o AS SK_ID_BUREAU, -mm AS MONTHS_BALANCE, {panel_status()} AS STATUS FROM (SELECT o, unnest(range(last, last + len)) AS mm FROM ("
             f"SELECT o, {PANEL_LAST} AS last, {PANEL_LENGTH} AS len FROM (SELECT l_orderkey AS o, count(*) AS n_lines FROM lineitem GROUP BY 1)))"
         ),
-        "prev_raw": f"SELECT {_list(previous_columns())} FROM events WHERE {HAS_PREVIOUS}",
+        "prev_raw": f"SELECT {_list(previous_columns())} FROM events",
     }

@@ -48,11 +48,25 @@ SCHEMAS = {
 }
 
 
+# Text columns of the tables that have no field-by-field schema
+TEXTS = (
+    "NAME_CONTRACT_TYPE", "CODE_GENDER", "FLAG_OWN_CAR", "FLAG_OWN_REALTY", "NAME_TYPE_SUITE", "NAME_INCOME_TYPE", "NAME_EDUCATION_TYPE",
+    "NAME_FAMILY_STATUS", "NAME_HOUSING_TYPE", "OCCUPATION_TYPE", "WEEKDAY_APPR_PROCESS_START", "ORGANIZATION_TYPE",
+    "FONDKAPREMONT_MODE", "HOUSETYPE_MODE", "WALLSMATERIAL_MODE", "EMERGENCYSTATE_MODE", "NAME_CONTRACT_STATUS",
+)
+
+
+def _by_rule(header: list[str]) -> T.StructType:
+    """Types of the wide tables by column name: keys and target are whole, the named texts are text, all else is a double."""
+    kind = lambda c: T.StringType() if c in TEXTS else T.LongType() if c.startswith("SK_ID_") or c == "TARGET" else T.DoubleType()
+    return T.StructType([T.StructField(c, kind(c)) for c in header])
+
+
 def _by_name(spark: SparkSession, path: str, schema: T.StructType | None) -> DataFrame:
     """A CSV with a header, its columns matched by name and typed by the declared schema."""
     header = spark.read.option("header", True).csv(path)
     if schema is None:
-        return header
+        schema = _by_rule(header.columns)
     have = set(header.columns)
     lacking = [f.name for f in schema.fields if f.name not in have]
     if lacking:
