@@ -108,87 +108,120 @@ def cast_narrow(df: DataFrame, types: Mapping[str, str] | None = None) -> DataFr
     return df.withColumns({c: F.col(c).cast(t) for c, t in types.items()}) if types else df
 
 
-def logical_class(column: str, description: str, special: str, is_text: bool, is_number: bool) -> str:
-    """Logical class of a column from its name, its description and its special note."""
-    name, desc, note = column.upper(), description.lower(), special.lower()
-
-    def starts(*xs: str) -> bool:
-        return name.startswith(xs)
-
-    texts = ("HOUSETYPE", "WALLSMATERIAL", "FONDKAPREMONT", "EMERGENCYSTATE")
-    normalised = "normalized" in note or starts("EXT_SOURCE_") or name.endswith(("_AVG", "_MODE", "_MEDI"))
-    rules = (
-        ("ID", "ID" in name or "identifier" in desc),
-        ("Categorical", normalised and any(t in name for t in texts)),
-        ("Normalized/Float", normalised),
-        ("Binary/Flag", starts("FLAG_", "REG_", "LIVE_") or "flag" in desc or "1 -" in desc or note in ("recoded", "grouped")),
-        ("Days/Time", starts("DAYS_") or "days" in desc or "time only relative" in note),
-        ("Count", starts("CNT_") or "number of" in desc or "count" in desc),
-        ("Amount/Price", starts("AMT_") or any(w in desc for w in ("amount", "price", "annuity"))),
-        ("Categorical", starts("NAME_", "CODE_") or name == "ORGANIZATION_TYPE" or is_text),
-    )
-    for label, hit in rules:
-        if hit:
-            return label
-    return "Numerical" if is_number else "Categorical"
+# Fixed values: (class, where to look, how, what). A column that hits several classes takes the one that
+# stands highest in CLASSES; building descriptions are normalised columns that hold text.
+CLASSES = ("ID", "Building text", "Normalized/Float", "Binary/Flag", "Days/Time", "Count", "Amount/Price", "Categorical", "Numerical")
+NAMING = (
+    ("ID", "name", "has", ("ID",)),
+    ("ID", "description", "has", ("identifier",)),
+    ("Normalized/Float", "name", "starts", ("EXT_SOURCE_",)),
+    ("Normalized/Float", "name", "ends", ("_AVG", "_MODE", "_MEDI")),
+    ("Normalized/Float", "note", "has", ("normalized",)),
+    ("Binary/Flag", "name", "starts", ("FLAG_", "REG_", "LIVE_")),
+    ("Binary/Flag", "description", "has", ("flag", "1 -")),
+    ("Binary/Flag", "note", "is", ("recoded", "grouped")),
+    ("Days/Time", "name", "starts", ("DAYS_",)),
+    ("Days/Time", "description", "has", ("days",)),
+    ("Days/Time", "note", "has", ("time only relative",)),
+    ("Count", "name", "starts", ("CNT_",)),
+    ("Count", "description", "has", ("number of", "count")),
+    ("Amount/Price", "name", "starts", ("AMT_",)),
+    ("Amount/Price", "description", "has", ("amount", "price", "annuity")),
+    ("Categorical", "name", "starts", ("NAME_", "CODE_")),
+    ("Categorical", "name", "is", ("ORGANIZATION_TYPE",)),
+    ("Categorical", "storage", "is", ("text", "other")),
+    ("Numerical", "storage", "is", ("integer", "float", "flag")),
+)
+BUILDING_TEXTS = ("HOUSETYPE", "WALLSMATERIAL", "FONDKAPREMONT", "EMERGENCYSTATE")
+# Fixed values: (class, storage, observed fact) -> status; whatever is not listed is fine
+FINDINGS = (
+    ("ID", "float", "any", "ERROR"),
+    ("Binary/Flag", "text", "yes or no", "IMPROVEMENT"),
+    ("Binary/Flag", "text", "other text", "WARNING"),
+    ("Binary/Flag", "integer", "zero or one", "IMPROVEMENT"),
+    ("Binary/Flag", "float", "zero or one", "IMPROVEMENT"),
+    ("Days/Time", "text", "any", "ERROR"),
+    ("Days/Time", "float", "fractional", "WARNING"),
+    ("Count", "text", "any", "ERROR"),
+    ("Count", "float", "fractional", "WARNING"),
+    ("Amount/Price", "text", "any", "ERROR"),
+    ("Normalized/Float", "text", "any", "ERROR"),
+    ("Categorical", "integer", "any", "WARNING"),
+    ("Categorical", "float", "any", "WARNING"),
+    ("Categorical", "flag", "any", "WARNING"),
+    ("Categorical", "text", "few levels", "IMPROVEMENT"),
+)
+FEW_LEVELS = 50
+#: Bits of the hash bitmap that bounds a column's distinct count from below.
+HASH_BITS = 4_096
+STORAGE = {"flag": (T.ByteType, T.BooleanType), "integer": INTEGERS, "float": FLOATS, "text": (T.StringType,)}
+
+
+def storage_of(kind: T.DataType) -> str:
+    """How a column is stored: flag, integer, float, text or other."""
+    return next((name for name, kinds in STORAGE.items() if isinstance(kind, kinds)), "other")
+
+
+def logical_class(column: str, description: str, note: str, storage: str) -> str:
+    """Logical class of a column: the highest one that a naming rule gives it."""
+    seen = {"name": column.upper(), "description": description.lower(), "note": note.lower(), "storage": storage}
+    tests = {"is": str.__eq__, "has": str.__contains__, "starts": str.startswith, "ends": str.endswith}
+    hits = {cls for cls, field, how, words in NAMING if any(tests[how](seen[field], w) for w in words)}
+    if "Normalized/Float" in hits and any(w in seen["name"] for w in BUILDING_TEXTS):
+        hits.add("Building text")
+    best = min(hits, key=CLASSES.index)
+    return "Categorical" if best == "Building text" else best
+
+
+def few_valued_texts(df: DataFrame, columns: Iterable[str], most: int = FEW_LEVELS) -> set[str]:
+    """The text columns with fewer than ``most`` distinct values, exactly.
+
+    Hashes set bits of a small bitmap: as many set bits as ``most`` settle that a column has too many
+    values. Only the others, whose values are few, are counted distinctly.
+    """
+    columns = list(columns)
+    if not columns:
+        return set()
+    bit = lambda c: F.when(F.col(c).isNotNull(), F.pmod(F.xxhash64(c), F.lit(HASH_BITS)))
+    bits = df.agg(*[F.bitmap_count(F.bitmap_construct_agg(bit(c))).alias(f"b{i}") for i, c in enumerate(columns)]).first()
+    open_ = [c for i, c in enumerate(columns) if bits[f"b{i}"] < most]
+    if not open_:
+        return set()
+    levels = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(open_)]).first()
+    return {c for i, c in enumerate(open_) if levels[f"d{i}"] < most}
 
 
 def verify_types(df: DataFrame, dictionary: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
     """Logical class and status (OK, IMPROVEMENT, WARNING, ERROR) of every column.
 
-    ``dictionary`` maps a column to its (description, special note). One aggregate answers whether a
-    column is whole-valued, only 0/1, only yes/no, or of low cardinality.
+    ``dictionary`` maps a column to its (description, special note). Facts observed in the data are
+    matched against ``FINDINGS``. A column without values shows every fact of its storage but fractions.
     """
     dictionary = dict(dictionary or {})
-    fields = df.schema.fields
-    kinds = {}
-    for f in fields:
-        text, number = isinstance(f.dataType, T.StringType), isinstance(f.dataType, T.NumericType)
-        kinds[f.name] = logical_class(f.name, *dictionary.get(f.name, ("", "")), text, number)
-    metrics = {}
-    for f in fields:
-        c, text, number = F.col(f.name), isinstance(f.dataType, T.StringType), isinstance(f.dataType, T.NumericType)
-        yes_no = c.isin("Y", "N", "y", "n", "1", "0") if text else F.lit(None).cast("boolean")
-        d = c.cast("double") if number else F.lit(None).cast("double")
-        metrics[f.name] = {
-            "whole": F.bool_and(F.coalesce(d == F.floor(d), F.lit(True))),
-            "zero_one": F.bool_and(F.coalesce(d.isin(0.0, 1.0), F.lit(number))),
-            "yes_no": F.bool_and(F.coalesce(yes_no, F.lit(text))),
-            # a text column of low cardinality: an approximate count is enough to tell 50 from many
-            "levels": F.approx_count_distinct(c) if text else F.lit(None).cast("bigint"),
-        }
-    wide = per_column(df, df.columns, metrics)
+    stored = {f.name: storage_of(f.dataType) for f in df.schema.fields}
+    few = few_valued_texts(df, [c for c, st in stored.items() if st == "text"])
+    facts = {}
+    for c, st in stored.items():
+        shown = [F.lit("any")]
+        if st == "text":
+            yes_no = F.coalesce(F.bool_and(F.col(c).isin("Y", "N", "y", "n", "1", "0")), F.lit(True))
+            shown += [F.when(yes_no, "yes or no").otherwise("other text"), F.lit("few levels" if c in few else None).cast("string")]
+        elif st in ("integer", "float"):
+            shown.append(F.when(F.coalesce(F.bool_and(F.col(c).isin(0, 1)), F.lit(True)), "zero or one"))
+            shown.append(F.when(F.bool_or(F.col(c) != F.floor(c)), "fractional"))
+        facts[c] = {"facts": F.array_compact(F.array(*shown))}
     spark = df.sparkSession
     declared = spark.createDataFrame(
-        [
-            (
-                f.name,
-                f.dataType.simpleString(),
-                kinds[f.name],
-                isinstance(f.dataType, FLOATS),
-                isinstance(f.dataType, T.StringType),
-                isinstance(f.dataType, T.NumericType),
-                isinstance(f.dataType, (T.ByteType, T.BooleanType)),
-            )
-            for f in fields
-        ],
-        "feature string, type string, logical string, is_float boolean, is_text boolean, is_num boolean, is_flag_type boolean",
+        [(f.name, f.dataType.simpleString(), stored[f.name], logical_class(f.name, *dictionary.get(f.name, ("", "")), stored[f.name])) for f in df.schema.fields],
+        "feature string, type string, storage string, logical string",
     )
-    k = F.col("logical")
-    is_float, text, num = F.col("is_float"), F.col("is_text"), F.col("is_num")
-    status = (
-        F.when((k == "ID") & is_float, "ERROR")
-        .when((k == "Binary/Flag") & F.col("is_flag_type"), "OK")
-        .when((k == "Binary/Flag") & text, F.when(F.col("yes_no"), "IMPROVEMENT").otherwise("WARNING"))
-        .when((k == "Binary/Flag") & num & F.col("zero_one"), "IMPROVEMENT")
-        .when(k.isin("Days/Time", "Count") & text, "ERROR")
-        .when(k.isin("Days/Time", "Count") & is_float & ~F.col("whole"), "WARNING")
-        .when(k.isin("Amount/Price", "Normalized/Float") & text, "ERROR")
-        .when((k == "Categorical") & num, "WARNING")
-        .when((k == "Categorical") & text & (F.col("levels") < 50), "IMPROVEMENT")
-        .otherwise("OK")
+    findings = spark.createDataFrame(FINDINGS, "logical string, storage string, fact string, status string")
+    seen = per_column(df, df.columns, facts).join(declared, "feature").withColumn("fact", F.explode("facts"))
+    return (
+        seen.join(findings, ["logical", "storage", "fact"], "left")
+        .groupBy("feature", "type", "logical")
+        .agg(F.coalesce(F.max("status"), F.lit("OK")).alias("status"))
     )
-    return declared.join(wide, "feature").select("feature", "type", "logical", status.alias("status"))
 
 
 def category_levels(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -218,7 +251,7 @@ def cleaning_report(df: DataFrame) -> DataFrame:
     marked = per_column(df, rows, {c: {"n": e} for c, e in rows.items()}).select(
         F.lit("row").alias("kind"), F.col("feature").alias("object"), "n"
     )
-    drops = [("column", c, 1) for c in cleaning.columns_to_drop(df)]
+    drops = [("column", c, 1) for c in cleaning.structural_drops(df.columns)]
     waits = [("deferred column", c, 1) for c in cleaning.DEFERRED_DROPS if c in df.columns]
     if not drops + waits:
         return marked

@@ -166,10 +166,16 @@ def calibration_errors(df: DataFrame, y: str, p: str, keys: Iterable[str] = ())
     return df.groupBy(*keys).agg(brier(y, p).alias("brier"), log_loss(y, p).alias("log_loss"))
 
 
+#: A Newton step is cut to this length, so that a start far from the maximum comes back.
+LONGEST_STEP = 4.0
+
+
 def calibration_line(df: DataFrame, y: str, p: str, keys: Iterable[str] = (), tol: float = 1e-10, max_iter: int = 50) -> DataFrame:
-    """Slope of a logistic of y on logit(p), and intercept with logit(p) as offset.
+    """Slope of a logistic of y on logit(p), and intercept with logit(p) as offset, per group of a few groups.
 
-    Newton steps over five sums per key; each step is one aggregate over the distinct probabilities.
+    Newton steps over sums per key; each step is one aggregate over the distinct probabilities. ``fit`` says what
+    has no finite value and comes back NULL: "one class" (both), "constant" or "separated" (the slope). Two classes
+    that overlap have one finite maximum; running out of steps before it is an error.
     """
     keys = list(keys)
     spark = df.sparkSession
@@ -178,17 +184,32 @@ def calibration_line(df: DataFrame, y: str, p: str, keys: Iterable[str] = (), to
         .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(y).cast("double")).alias("s"))
         .persist()
     )
-    ids = [tuple(r) for r in per_p.select(*keys).distinct().collect()] if keys else [()]
-    state = {i: {"a": 0.0, "b": 1.0, "c": 0.0} for i in ids}
-
-    def at(name: str) -> Column:
-        if not keys:
-            return F.lit(state[()][name])
-        return F.coalesce(*[F.when(_all_equal(keys, i), F.lit(v[name])) for i, v in state.items()])
-
     z, n, s = F.col("z"), F.col("n"), F.col("s")
     try:
+        good, bad = F.when(s < n, z), F.when(s > 0, z)
+        spread = per_p.groupBy(*keys).agg(
+            F.min(z).alias("z0"), F.max(z).alias("z1"), F.min(good).alias("g0"), F.max(good).alias("g1"), F.min(bad).alias("b0"), F.max(bad).alias("b1")
+        )
+        state, fit = {}, {}
+        for r in spread.collect():
+            i = tuple(r[k] for k in keys)
+            state[i] = {"a": 0.0, "b": 1.0, "c": 0.0}
+            if r["g0"] is None or r["b0"] is None:
+                fit[i] = "one class"
+            elif r["z0"] == r["z1"]:
+                fit[i] = "constant"
+            else:
+                fit[i] = "separated" if r["g1"] <= r["b0"] or r["b1"] <= r["g0"] else "ok"
+        moving = any(v != "one class" for v in fit.values())
+
+        def at(name: str) -> Column:
+            if not keys:
+                return F.lit(state[()][name])
+            return F.coalesce(*[F.when(_all_equal(keys, i), F.lit(v[name])) for i, v in state.items()])
+
         for _ in range(max_iter):
+            if not moving:
+                break
             mu, nu = _expit(at("a") + at("b") * z), _expit(at("c") + z)
             w, u = n * mu * (1 - mu), n * nu * (1 - nu)
             rows = per_p.groupBy(*keys).agg(
@@ -200,25 +221,30 @@ def calibration_line(df: DataFrame, y: str, p: str, keys: Iterable[str] = (), to
                 F.sum(s - n * nu).alias("k0"),
                 F.sum(u).alias("k00"),
             ).collect()
-            biggest = 0.0
+            moving = False
             for r in rows:
-                v = state[tuple(r[k] for k in keys)]
-                det = r["h00"] * r["h11"] - r["h01"] ** 2
-                if det <= 0 or r["k00"] <= 0:
-                    continue
-                da = (r["h11"] * r["g0"] - r["h01"] * r["g1"]) / det
-                db = (r["h00"] * r["g1"] - r["h01"] * r["g0"]) / det
-                dc = r["k0"] / r["k00"]
-                v["a"], v["b"], v["c"] = v["a"] + da, v["b"] + db, v["c"] + dc
-                biggest = max(biggest, abs(da), abs(db), abs(dc))
-            if biggest < tol:
-                break
+                i = tuple(r[k] for k in keys)
+                v, steps = state[i], {}
+                if fit[i] != "one class":
+                    steps["c"] = r["k0"] / r["k00"]
+                if fit[i] == "ok":
+                    det = r["h00"] * r["h11"] - r["h01"] ** 2
+                    steps["a"] = (r["h11"] * r["g0"] - r["h01"] * r["g1"]) / det
+                    steps["b"] = (r["h00"] * r["g1"] - r["h01"] * r["g0"]) / det
+                for name, step in steps.items():
+                    v[name] += max(-LONGEST_STEP, min(LONGEST_STEP, step))
+                    moving = moving or abs(step) > tol * (1 + abs(v[name]))
+        if moving:
+            raise RuntimeError(f"the calibration line has not settled after {max_iter} steps")
     finally:
         per_p.unpersist()
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys]
     ordered = [f.name for f in df.schema.fields if f.name in keys]
-    rows = [tuple(dict(zip(keys, i))[k] for k in ordered) + (v["b"], v["c"]) for i, v in state.items()]
-    return spark.createDataFrame(rows, ", ".join([*fields, "slope double", "intercept double"]))
+    rows = [
+        tuple(dict(zip(keys, i))[k] for k in ordered) + (v["b"] if fit[i] == "ok" else None, None if fit[i] == "one class" else v["c"], fit[i])
+        for i, v in state.items()
+    ]
+    return spark.createDataFrame(rows, ", ".join([*fields, "slope double", "intercept double", "fit string"]))
 
 
 def _all_equal(keys: list[str], values: tuple) -> Column:

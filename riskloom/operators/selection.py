@@ -128,34 +128,98 @@ def resolve_redundancy(
 # -- selector ----------------------------------------------------------------------------------
 
 
-def physical_columns(origin: str, columns: Iterable[str]) -> list[str]:
-    """The column itself, or its group of dummies."""
+# Roles that one origin may not hold together
+EXCLUSIVE = (
+    ("discard", "protected"),
+    ("loser", "protected"),
+    ("loser", "discard"),
+    ("loser", "winner"),
+    ("source", "protected"),
+    ("source", "loser"),
+    ("source", "winner"),
+    ("source", "recovered"),
+)
+
+
+def column_groups(columns: Iterable[str]) -> dict[str, list[str]]:
+    """Origin -> its columns: itself where it is a column, else the dummies that carry it before an underscore."""
+    groups: dict[str, list[str]] = {}
     columns = list(columns)
-    return [origin] if origin in columns else [c for c in columns if c.startswith(f"{origin}_")]
+    for c in columns:
+        for i in (i for i, ch in enumerate(c) if ch == "_"):
+            groups.setdefault(c[:i], []).append(c)
+    return groups | {c: [c] for c in columns}
+
 
+def declared_roles(settings: Mapping) -> list[tuple[str, str, str | None]]:
+    """(origin, role, other) rows of a selector's settings, contradictions refused.
 
-def origin_frame(df: DataFrame, origins: Mapping[str, str | None], categorical: Iterable[str], target: str = TARGET) -> tuple[DataFrame, dict[str, Column]]:
-    """One column per origin, NULL outside its presence, and the population of each.
+    ``other`` is the presence column of a candidate, the motive of a discard, a winner of a loser and a
+    recovered column of a source; winners and recovered columns get a row of their own.
+    """
+    rows = [(o, "candidate", presence) for o, presence in settings.get("candidates", {}).items()]
+    rows += [(o, "discard", motive) for o, motive in settings.get("discards", {}).items()]
+    rows += [(o, "protected", None) for o in settings.get("protected", [])]
+    for role, back, links in (("loser", "winner", "redundant"), ("source", "recovered", "sources")):
+        for o, others in settings.get(links, {}).items():
+            rows += [(o, role, x) for x in others] + [(x, back, o) for x in others]
+    held: dict[str, set[str]] = {}
+    for o, role, _ in rows:
+        held.setdefault(o, set()).add(role)
+    clashes = {o: pair for o, roles in held.items() for pair in EXCLUSIVE if roles.issuperset(pair)}
+    clashes |= {o: ("loser", "no candidate") for o, roles in held.items() if "loser" in roles and "candidate" not in roles}
+    if clashes:
+        raise ValueError(f"roles that exclude each other: {dict(sorted(clashes.items()))}")
+    return rows
+
+
+def origin_frame(df: DataFrame, groups: Mapping[str, list[str]], presence: Mapping[str, str | None], categorical: Iterable[str], target: str = TARGET) -> tuple[DataFrame, dict[str, Column]]:
+    """One column per origin (its position in ``groups``), NULL outside its presence, and the population of each.
 
     A dummy group becomes one text per combination; a categorical code becomes text.
     """
     categorical = set(categorical)
-    exprs, where = {}, {}
-    for o, presence in origins.items():
-        group = physical_columns(o, df.columns)
-        if len(group) == 1 and o not in categorical:
-            e = quoted(group[0])
-        else:
-            e = F.concat_ws("|", *[quoted(c).cast("string") for c in group])
-        if presence:
-            inside = quoted(presence) == 1
-            e = F.when(inside, e)
-        exprs[o] = e
-    frame = df.select(*[e.alias(f"o{i}") for i, e in enumerate(exprs.values())], target)
-    for i, (o, presence) in enumerate(origins.items()):
-        if presence:
+    out, where = [], {}
+    for i, (o, group) in enumerate(groups.items()):
+        plain = len(group) == 1 and o not in categorical
+        e = quoted(group[0]) if plain else F.concat_ws("|", *[quoted(c).cast("string") for c in group])
+        if presence.get(o):
+            e = F.when(quoted(presence[o]) == 1, e)
             where[f"o{i}"] = F.col(f"o{i}").isNotNull()
-    return frame, where
+        out.append(e.alias(f"o{i}"))
+    return df.select(*out, target), where
+
+
+def verdicts(iv: DataFrame, roles: DataFrame, min_iv: float = P.MIN_IV) -> DataFrame:
+    """(origin, iv, motive) of every measured origin; the motive is NULL where it stays.
+
+    ``roles`` holds (origin, role, other, there), where ``there`` says that ``other`` is in the frame.
+    An origin speaks for itself by its discard or its IV. A loser goes anyway while a winner stays, a source
+    stays anyway while something it recovers does, so losers are joined to the first verdicts and sources to both.
+    """
+    role = F.col("role")
+    asks = roles.groupBy("origin").agg(
+        F.max(F.when(role == "discard", F.col("other"))).alias("ruling"),
+        (F.bool_or(role == "candidate") & ~F.bool_or(role == "protected")).alias("judged"),
+        F.max(F.when(role.isin("loser", "source"), role)).alias("hangs"),
+    )
+    low = F.format_string(f"IV %.4f below {min_iv:.4f}", "iv")
+    own = F.coalesce("ruling", F.when(F.col("judged") & (F.col("iv") < min_iv), low))
+    opinions = iv.join(asks, "origin").select("origin", "iv", "hangs", own.alias("own"))
+
+    def staying(kind: str, known: DataFrame) -> DataFrame:
+        gone = known.filter("motive IS NOT NULL").select(F.col("origin").alias("other"), F.lit(True).alias("gone"))
+        left = F.array_sort(F.collect_list(F.when(F.col("there") & F.col("gone").isNull(), F.col("other"))))
+        links = roles.filter(role == kind).join(gone, "other", "left").groupBy("origin").agg(left.alias("left"))
+        return opinions.join(links, "origin")
+
+    free = opinions.filter("hangs IS NULL").select("origin", "iv", F.col("own").alias("motive"))
+    some = F.size("left") > 0
+    beaten = F.concat(F.lit("redundant with "), F.array_join("left", ", "))
+    losers = staying("loser", free).select("origin", "iv", F.when(some, beaten).otherwise(F.concat("own", F.lit("; no winner left"))).alias("motive"))
+    settled = free.unionByName(losers)
+    sources = staying("source", settled).select("origin", "iv", F.when(~some, F.concat("own", F.lit("; recovers nothing"))).alias("motive"))
+    return settled.unionByName(sources)
 
 
 class IvSelector(_Stage):
@@ -163,66 +227,34 @@ class IvSelector(_Stage):
 
     Settings: ``candidates`` (origin -> presence column or None), ``discards`` (origin -> motive),
     ``protected``, ``categorical``, ``redundant`` (loser -> winners) and ``sources`` (presence source ->
-    what it recovers). Columns without a decision pass through.
+    what it recovers). Columns without a decision pass through. The fitted state holds one row per declared origin.
     """
 
     model = ColumnDropModel
 
     def state_of(self, df):
-        target = self.get("target", TARGET)
+        target, spark = self.get("target", TARGET), df.sparkSession
         if target not in df.columns:
             raise ValueError("the IV selector needs the target")
-        candidates, discards = dict(self.get("candidates", {})), dict(self.get("discards", {}))
-        protected, sources = set(self.get("protected", [])), dict(self.get("sources", {}))
-        redundant = dict(self.get("redundant", {}))
-        min_iv = self.get("min_iv", P.MIN_IV)
-        winners = {g for gs in redundant.values() for g in gs}
-        recovered = {r for rs in sources.values() for r in rs}
-        self._check(candidates, discards, protected, redundant, winners, sources, recovered)
-        origins = sorted({*candidates, *discards, *protected, *sources})
-        have = [c for c in df.columns if c not in (ID, target)]
-        lost = sorted(o for o in {*origins, *winners} if not physical_columns(o, have))
-        if lost:
+        settings = {n: self.get(n, {}) for n in ("candidates", "discards", "protected", "redundant", "sources")}
+        rows = declared_roles(settings)
+        groups = column_groups(c for c in df.columns if c not in (ID, target))
+        needed = {o for o, role, _ in rows if role != "recovered"}
+        if lost := sorted(needed - set(groups)):
             raise KeyError(f"origins missing from the frame: {lost}")
-        iv = {}
-        if origins:
-            frame, where = origin_frame(df, {o: candidates.get(o) for o in origins}, self.get("categorical", []), target)
-            names = [f"o{i}" for i in range(len(origins))]
-            for r in information_value(frame, names, target, where=where).collect():
-                iv[origins[int(r["feature"][1:])]] = r["iv"]
-        out: dict[str, str] = {}
-        for o in origins:
-            if o in redundant or o in sources:
-                continue
-            if o in discards:
-                out[o] = discards[o]
-            elif o not in protected and o in candidates and iv[o] < min_iv:
-                out[o] = f"IV {iv[o]:.4f} under {min_iv:.4f}"
-        for o, rivals in redundant.items():
-            staying = [g for g in rivals if g not in out]
-            if staying:
-                out[o] = f"redundant with {' and '.join(staying)}"
-            elif iv[o] < min_iv:
-                out[o] = f"IV {iv[o]:.4f} under {min_iv:.4f}; its winner is gone too"
-        for o, gains in sources.items():
-            if any(r not in out and physical_columns(r, have) for r in gains):
-                continue
-            if o in discards:
-                out[o] = f"{discards[o]}; nothing left to recover"
-            elif o in candidates and iv[o] < min_iv:
-                out[o] = f"IV {iv[o]:.4f} under {min_iv:.4f}; nothing left to recover"
-        dropped = sorted({c for o in out for c in physical_columns(o, have)})
-        return {"iv": iv, "motives": out, "dropped": dropped, "kept": [c for c in df.columns if c not in dropped]}
-
-    @staticmethod
-    def _check(candidates, discards, protected, redundant, winners, sources, recovered):
-        if both := sorted(set(discards) & protected):
-            raise ValueError(f"discarded and protected at once: {both}")
-        losers = set(redundant)
-        if bad := sorted((losers - set(candidates)) | (losers & (set(discards) | protected | winners))):
-            raise ValueError(f"a redundant loser is a candidate only and wins no pair: {bad}")
-        if bad := sorted(set(sources) & (protected | losers | winners | recovered)):
-            raise ValueError(f"a presence source is not protected, paired or recovered: {bad}")
+        measured = sorted({o for o, role, _ in rows if role not in ("winner", "recovered")})
+        if not measured:
+            return {"iv": {}, "motives": {}, "dropped": [], "kept": df.columns}
+        frame, where = origin_frame(df, {o: groups[o] for o in measured}, settings["candidates"], self.get("categorical", []), target)
+        names = spark.createDataFrame([(f"o{i}", o) for i, o in enumerate(measured)], "feature string, origin string")
+        found = information_value(frame, [f"o{i}" for i in range(len(measured))], target, where=where)
+        roles = spark.createDataFrame([(*r, r[2] in groups) for r in rows], "origin string, role string, other string, there boolean")
+        # one row per declared origin; read once, so that the three verdicts share one measurement
+        ivs = [(r["origin"], r["iv"]) for r in names.join(found, "feature", "left").select("origin", "iv").collect()]
+        decided = verdicts(spark.createDataFrame(ivs, "origin string, iv double"), roles, self.get("min_iv", P.MIN_IV)).collect()
+        motives = {r["origin"]: r["motive"] for r in decided if r["motive"] is not None}
+        dropped = sorted({c for o in motives for c in groups[o]})
+        return {"iv": {r["origin"]: r["iv"] for r in decided}, "motives": motives, "dropped": dropped, "kept": [c for c in df.columns if c not in dropped]}
 
 
 # -- stability and register --------------------------------------------------------------------
@@ -301,34 +333,32 @@ def selection_register(
     recipe: Mapping[str, str] | None = None, pairs: Mapping[str, str] | None = None, folds: Mapping[str, int] | None = None,
     band: tuple[float, float] = P.IV_BAND, min_iv: float = P.MIN_IV,
 ) -> DataFrame:
-    """One row per declared column: table, recipe decision, IV, band, folds, redundancy, kept, motive."""
-    iv, motives = selector.fitted("iv"), selector.fitted("motives")
-    protected, discards = set(selector.get("protected", [])), dict(selector.get("discards", {}))
-    redundant, sources = dict(selector.get("redundant", {})), dict(selector.get("sources", {}))
-    decides = set(selector.get("candidates", {})) - protected
+    """One row per declared column: table, recipe decision, IV, band, folds, redundancy, kept, motive.
+
+    The declared columns joined to the selector's verdicts and to its roles; a column stays unless a verdict names it.
+    """
     recipe, pairs, folds = dict(recipe or {}), dict(pairs or {}), dict(folds or {})
-    rows = []
-    for c in columns:
-        v = iv.get(c)
-        in_band = c in decides and v is not None and band[0] <= v < band[1]
-        if c in motives:
-            kept, motive = False, motives[c]
-        elif c in sources:
-            kept, motive = True, f"presence source of {' and '.join(sources[c])}"
-        elif c in protected:
-            kept, motive = True, "protected"
-        elif c in discards:
-            kept, motive = False, discards[c]
-        elif c in redundant:
-            kept, motive = True, f"IV {v:.4f} reaches {min_iv:.4f}; its winner is gone"
-        elif v is not None:
-            kept, motive = v >= min_iv, f"IV {v:.4f} reaches {min_iv:.4f}"
-            if in_band and c in folds:
-                motive += f"; {folds[c]} folds"
-        else:
-            kept, motive = True, "no IV decision"
-        rows.append((c, table_of.get(c, ""), recipe.get(c), v, int(in_band), folds.get(c) if in_band else None, pairs.get(c), int(kept), motive))
-    return spark.createDataFrame(
-        rows,
-        "feature string, source string, recipe string, iv double, in_band int, folds int, redundancy string, kept int, motive string",
+    declared = spark.createDataFrame(
+        [(c, table_of.get(c, ""), recipe.get(c), pairs.get(c), folds.get(c)) for c in columns],
+        "feature string, source string, recipe string, redundancy string, folds int",
+    )
+    motives = selector.fitted("motives")
+    decided = spark.createDataFrame([(o, v, motives.get(o)) for o, v in selector.fitted("iv").items()], "feature string, iv double, out string")
+    settings = {n: selector.get(n, {}) for n in ("candidates", "discards", "protected", "redundant", "sources")}
+    roles = spark.createDataFrame(declared_roles(settings), "feature string, role string, other string").groupBy("feature").agg(
+        F.collect_set("role").alias("roles"), F.array_sort(F.collect_list(F.when(F.col("role") == "source", F.col("other")))).alias("recovers")
+    )
+    holds = lambda role: F.coalesce(F.array_contains("roles", role), F.lit(False))
+    near = F.coalesce((F.col("iv") >= band[0]) & (F.col("iv") < band[1]), F.lit(False)) & holds("candidate") & ~holds("protected")
+    enough = F.format_string(f"IV %.4f reaches {min_iv:.4f}", "iv")
+    why = (
+        F.when(holds("source"), F.concat(F.lit("recovers "), F.array_join("recovers", ", ")))
+        .when(holds("protected"), "protected")
+        .when(holds("loser"), F.concat(enough, F.lit("; no winner left")))
+        .when(F.col("iv").isNull(), "not judged by IV")
+        .otherwise(F.concat(enough, F.coalesce(F.concat(F.lit("; in "), F.when(near, F.col("folds")).cast("string"), F.lit(" folds")), F.lit(""))))
+    )
+    return declared.join(decided, "feature", "left").join(roles, "feature", "left").select(
+        "feature", "source", "recipe", "iv", near.cast("int").alias("in_band"), F.when(near, F.col("folds")).alias("folds"),
+        "redundancy", F.col("out").isNull().cast("int").alias("kept"), F.coalesce("out", why).alias("motive"),
     )

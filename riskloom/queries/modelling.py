@@ -309,17 +309,21 @@ def _register(s, d):
     df = clients(s, d, "h").select(*_SELCOLS)
     df = checkpointed(G.OneHot(columns=["NAME_HOUSING_TYPE"]).fit(df).transform(df))
     m = R.IvSelector(**_SEL).fit(df)
-    cols = ["BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "EXT_SOURCE_3", "FLAG_EMAIL", "AGE_YEARS", "HAS_BUREAU_HISTORY"]
-    return R.selection_register(s, cols, m, {c: _owner(c) for c in cols}).select("feature", "source", "iv", "in_band", "kept")
+    return R.selection_register(s, _REG, m, {c: _owner(c) for c in _REG}).select("feature", "source", "iv", "in_band", "kept", "motive")
 
 
+_REG = ["BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "BUREAU_ACTIVE_COUNT", "EXT_SOURCE_3", "FLAG_EMAIL", "AGE_YEARS", "HAS_BUREAU_HISTORY"]
 add(
     "R7_selection_register",
     _register,
-    "SELECT c AS feature, o AS source, iv, CASE WHEN cand AND iv >= 0.015 AND iv < 0.025 THEN 1 ELSE 0 END AS in_band, CASE WHEN c = 'FLAG_EMAIL' THEN 0 WHEN c IN ('AGE_YEARS', 'HAS_BUREAU_HISTORY') THEN 1 WHEN iv >= 0.02 THEN 1 ELSE 0 END AS kept FROM (VALUES "
-    + ", ".join(f"('{c}', '{_owner(c)}', {c in _SEL['candidates']})" for c in ("BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "EXT_SOURCE_3", "FLAG_EMAIL", "AGE_YEARS", "HAS_BUREAU_HISTORY"))
-    + ") AS t(c, o, cand) LEFT JOIN sel_iv ON feature = c",
-    ("feature", "source"),
+    """SELECT feature, source, iv, in_band, CASE WHEN motive LIKE '%below%' OR motive LIKE 'redundant%' OR motive = 'frozen' THEN 0 ELSE 1 END AS kept, motive FROM (
+SELECT c AS feature, o AS source, iv, CASE WHEN cand AND iv >= 0.015 AND iv < 0.025 THEN 1 ELSE 0 END AS in_band,
+CASE c WHEN 'FLAG_EMAIL' THEN 'frozen' WHEN 'AGE_YEARS' THEN 'protected' WHEN 'HAS_BUREAU_HISTORY' THEN 'not judged by IV'
+WHEN 'BUREAU_ACTIVE_COUNT' THEN CASE WHEN (SELECT iv FROM sel_iv WHERE feature = 'BUREAU_LOAN_COUNT') >= 0.02 THEN 'redundant with BUREAU_LOAN_COUNT' ELSE printf('IV %.4f ', iv) || CASE WHEN iv < 0.02 THEN 'below' ELSE 'reaches' END || ' 0.0200; no winner left' END
+ELSE printf('IV %.4f ', iv) || CASE WHEN iv < 0.02 THEN 'below' ELSE 'reaches' END || ' 0.0200' END AS motive FROM (VALUES """
+    + ", ".join(f"('{c}', '{_owner(c)}', {c in _SEL['candidates']})" for c in _REG)
+    + ") AS t(c, o, cand) LEFT JOIN sel_iv ON feature = c)",
+    ("feature", "source", "motive"),
 )
 
 add("C23_partition_filter", lambda s, d: X.only(app(s, d), "valid", split(s, d)).select(K, Y), f"SELECT {K}, {Y} FROM split_t WHERE split = 'valid'")
@@ -414,7 +418,14 @@ add(
 SELECT ((tn - tb) - (cn - cb)) / (tn - tb) AS f0, ((tn - tb) - (cn - cb) + n - b) / (tn - tb) AS f1, (tb - cb) / tb AS t0, (tb - cb + b) / tb AS t1 FROM sg)))""",
 )
 add("E4_calibration_errors", lambda s, d: E.calibration_errors(scores(s, d), "y", "s"), "SELECT avg(power(y - s, 2)) AS brier, -avg(CASE WHEN y = 1 THEN ln(greatest(least(s, 1 - 2.220446049250313e-16), 2.220446049250313e-16)) ELSE ln(1 - greatest(least(s, 1 - 2.220446049250313e-16), 2.220446049250313e-16)) END) AS log_loss FROM sc")
-add("E4_calibration_line", lambda s, d: E.calibration_line(scores(s, d), "y", "s"))
+# Newton steps over the distinct probabilities, as a recursive query
+_LINE = """SELECT b AS slope, c AS intercept, 'ok' AS fit FROM (WITH RECURSIVE g AS MATERIALIZED (SELECT ln(q / (1 - q)) AS z, n, k FROM (SELECT greatest(least(s, 1 - 1e-6), 1e-6) AS q, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS k FROM sc GROUP BY 1)),
+steps AS (SELECT 0 AS i, 0::DOUBLE AS a, 1::DOUBLE AS b, 0::DOUBLE AS c UNION ALL
+SELECT i + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01), c + k0 / k00 FROM (
+SELECT i, a, b, c, sum(k - n * m) AS g0, sum((k - n * m) * z) AS g1, sum(n * m * (1 - m)) AS h00, sum(n * m * (1 - m) * z) AS h01, sum(n * m * (1 - m) * z * z) AS h11, sum(k - n * u) AS k0, sum(n * u * (1 - u)) AS k00
+FROM (SELECT i, a, b, c, z, n, k, 1 / (1 + exp(-(a + b * z))) AS m, 1 / (1 + exp(-(c + z))) AS u FROM steps, g WHERE i < 25) GROUP BY 1, 2, 3, 4))
+SELECT b, c FROM steps WHERE i = 25)"""
+add("E4_calibration_line", lambda s, d: E.calibration_line(scores(s, d), "y", "s"), _LINE, ("fit",))
 add(
     "E5_calibration_table",
     lambda s, d: E.calibration_table(scores(s, d), "y", "s", K),
@@ -423,9 +434,12 @@ add(
 _SEG = {"women": "CODE_GENDER = 'F'", "with score 1": "EXT_SOURCE_1 IS NOT NULL"}
 
 
+def _segment_rows(s, d):
+    return app(s, d).select(F.col(Y).alias("y"), F.round(F.lit(1.0) - F.coalesce("EXT_SOURCE_3", F.lit(0.5)), 2).alias("s"), F.col("AMT_CREDIT").alias("amt"), "CODE_GENDER", "EXT_SOURCE_1")
+
+
 def _segments(s, d):
-    df = app(s, d).select(F.col(Y).alias("y"), F.round(F.lit(1.0) - F.coalesce("EXT_SOURCE_3", F.lit(0.5)), 2).alias("s"), F.col("AMT_CREDIT").alias("amt"), "CODE_GENDER", "EXT_SOURCE_1")
-    t = E.by_segment(df, {n: F.expr(e) for n, e in _SEG.items()}, "y", "s", "amt")
+    t = E.by_segment(_segment_rows(s, d), {n: F.expr(e) for n, e in _SEG.items()}, "y", "s", "amt")
     return t["sizes"].join(t["ranking"], "segment").join(t["errors"], "segment")
 
 
@@ -442,6 +456,22 @@ def _segment_sql() -> str:
 add("E6_by_segment", _segments, _segment_sql(), ("segment",))
 
 
+def _segment_part(part):
+    return lambda s, d: E.by_segment(_segment_rows(s, d), {n: F.expr(e) for n, e in _SEG.items()}, "y", "s", "amt")[part]
+
+
+_SEG_ROWS = union(f"SELECT '{n}' AS segment, {Y} AS y, round(1 - coalesce(EXT_SOURCE_3, 0.5), 2) AS s, AMT_CREDIT AS amt FROM app1 WHERE {e}" for n, e in _SEG.items())
+cte("seg_rows", _SEG_ROWS)
+cte("seg_groups", "SELECT *, sum(n) OVER w AS cn, sum(b) OVER w AS cb, sum(n) OVER t AS tn, sum(b) OVER t AS tb, sum(x) OVER t AS tx, sum(a) OVER t AS ta FROM (SELECT segment, s, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS b, sum(amt) AS a, sum(amt * y) AS x FROM seg_rows GROUP BY 1, 2) WINDOW w AS (PARTITION BY segment ORDER BY s), t AS (PARTITION BY segment)")
+add("E6_segment_curve", _segment_part("curve"), _curve_sql("seg_groups", "segment, "), ("segment",))
+add(
+    "E6_segment_line",
+    _segment_part("line"),
+    union(_LINE.replace("SELECT b AS slope", f"SELECT '{n}' AS segment, b AS slope").replace("FROM sc ", f"FROM seg_rows WHERE segment = '{n}' ") for n in _SEG),
+    ("segment", "fit"),
+)
+
+
 def _fold_diffs(s, d):
     df = scores(s, d)
     folds = X.stratified_folds(df.withColumnRenamed("y", Y), (0, 1), 5).select(K, "seed", "fold")

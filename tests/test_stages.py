@@ -72,16 +72,37 @@ def test_selector_rules(table):
     good = table.withColumn("s", F.col("TARGET") * 5 + F.col("r") / 50).withColumn("s2", F.col("s") * 2)
     m = R.IvSelector(candidates={"s": None, "r": None, "s2": None}, protected=["n"], discards={"b": "frozen"}, redundant={"s2": ["s"]}).fit(good.drop("t").withColumn("b", F.lit(1)).fillna(0))
     assert set(m.fitted("motives")) >= {"b", "s2"} and "s" not in m.fitted("motives") and "n" not in m.fitted("motives")
-    with pytest.raises(ValueError, match="discarded and protected"):
+    assert m.fitted("motives")["s2"] == "redundant with s"
+    with pytest.raises(ValueError, match="'r': ..discard., .protected"):
         R.IvSelector(discards={"r": "x"}, protected=["r"]).fit(table)
     with pytest.raises(KeyError, match="nope"):
         R.IvSelector(candidates={"nope": None}).fit(table)
-    with pytest.raises(ValueError, match="candidate only"):
+    with pytest.raises(ValueError, match="'r': ..loser., .no candidate"):
         R.IvSelector(candidates={"n": None}, redundant={"r": ["n"]}).fit(table)
-    with pytest.raises(ValueError, match="presence source"):
+    with pytest.raises(ValueError, match="'k': ..source., .protected"):
         R.IvSelector(candidates={"n": None}, protected=["k"], sources={"k": ["n"]}).fit(table)
 
 
+def test_verdicts_follow_their_order(spark):
+    iv = spark.createDataFrame([("a", 0.3), ("b", 0.001), ("la", 0.2), ("lb", 0.2), ("lc", 0.001), ("sa", 0.5), ("sb", 0.5), ("p", 0.0), ("d", 0.9)], "origin string, iv double")
+    settings = {
+        "candidates": {"a": None, "b": None, "la": None, "lb": None, "lc": None}, "protected": ["p"],
+        "discards": {"d": "frozen", "sa": "presence", "sb": "presence"},
+        "redundant": {"la": ["a", "b"], "lb": ["b"], "lc": ["b", "d"]}, "sources": {"sa": ["la", "lb"], "sb": ["la", "away"]},
+    }
+    rows = [(*r, r[2] != "away") for r in R.declared_roles(settings)]
+    roles = spark.createDataFrame(rows, "origin string, role string, other string, there boolean")
+    got = {r["origin"]: r["motive"] for r in R.verdicts(iv, roles, 0.02).collect()}
+    assert got == {
+        "a": None, "b": "IV 0.0010 below 0.0200", "d": "frozen", "p": None, "la": "redundant with a", "lb": None,
+        "lc": "IV 0.0010 below 0.0200; no winner left", "sa": None, "sb": "presence; recovers nothing",
+    }
+
+
+def test_columns_of_an_origin():
+    assert R.column_groups(["a", "x_1", "x_2", "a_b"]) == {"a": ["a"], "x": ["x_1", "x_2"], "x_1": ["x_1"], "x_2": ["x_2"], "a_b": ["a_b"]}
+
+
 def test_first_crossing_can_fall_between_counts(spark):
     rows = [(2, 0)] * 90 + [(2, 1)] * 10 + [(5, 1)] * 20 + [(5, 0)] * 30
     clients = spark.createDataFrame(rows, "n int, TARGET int")

@@ -150,6 +150,16 @@ def test_calibration_line(df, data):
     assert table["n"].max() - table["n"].min() <= 1 and table["n"].sum() == len(y)
 
 
+def test_calibration_line_without_a_finite_slope(spark):
+    rows = [("flat", y, 0.5) for y in (1, 1, 1, 0)] + [("apart", y, p) for y, p in ((0, 0.1), (0, 0.2), (1, 0.7), (1, 0.9))] + [("ones", 1, 0.3), ("ones", 1, 0.6)]
+    rows += [("mixed", y, p) for y, p in ((0, 0.1), (1, 0.2), (0, 0.7), (1, 0.9))]
+    got = {r["k"]: r for r in E.calibration_line(spark.createDataFrame(rows, "k string, y int, p double"), "y", "p", ["k"]).collect()}
+    assert got["flat"]["intercept"] == pytest.approx(math.log(3)) and got["flat"]["slope"] is None and got["flat"]["fit"] == "constant"
+    assert got["apart"]["slope"] is None and got["apart"]["fit"] == "separated" and got["apart"]["intercept"] is not None
+    assert (got["ones"]["slope"], got["ones"]["intercept"], got["ones"]["fit"]) == (None, None, "one class")
+    assert got["mixed"]["fit"] == "ok" and got["mixed"]["slope"] > 0
+
+
 def test_guards(spark):
     def make(rows):
         return spark.createDataFrame(rows, "y int, s double")
