@@ -13,16 +13,30 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_SLICES = 256
+#: Bound of the edge table that every row is compared with; more tasks than this never rank one value axis.
+MAX_SLICES = 16_384
 SKETCH_ACCURACY = 10_000
+#: Groups whose quantiles come to the driver; a larger request is an error, not a cut.
+MAX_GROUPS = 100_000
 
 
 def _slices(df: DataFrame, asked: int | None) -> int:
+    """As many slices as the session asks for shuffle partitions."""
     if asked:
         return asked
     return max(2, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_SLICES))
 
 
+def _edges_below(edges: Column, value: Column, n_edges: int) -> Column:
+    """Number of sorted edges under a value: every w-th edge is compared first, then the w edges after it."""
+    count = lambda some: F.size(F.filter(some, lambda e: e < value))
+    if n_edges <= 64:
+        return count(edges)
+    w = math.isqrt(n_edges)
+    before = w * count(F.transform(F.sequence(F.lit(w), F.lit(n_edges), F.lit(w)), lambda i: F.get(edges, i - 1)))
+    return before + count(F.slice(edges, before + 1, w))
+
+
 def prefix_by_value(
     df: DataFrame,
     value: str,
@@ -43,25 +57,24 @@ def prefix_by_value(
         .groupBy(*keys, value)
         .agg(*[e.alias(name) for name, e in aggs.items()])
     )
-    # slice edges and totals of each key; both sides below read all of them, so that the collapsed
-    # values are computed and shuffled once and reused
+    # one set of edges serves all keys: a slice of one key is part of a slice of the whole, so no task grows
+    # with a frequent key, and no row is shuffled by its bare key
     n_slices = _slices(df, slices)
-    edges = F.percentile_approx(F.col(value).cast("double"), [i / n_slices for i in range(1, n_slices)], 20 * n_slices)
-    about = F.struct(edges.alias("edges"), *[F.sum(n).alias(f"tot_{n}") for n in aggs]).alias("_about")
-    if keys:
-        known = per_value.join(per_value.groupBy(*keys).agg(about), keys)
-    else:
-        known = per_value.withColumn("_about", per_value.agg(about).scalar())
-    below = F.size(F.filter("_about.edges", lambda e: e < F.col(value)))
-    sliced = known.select(
-        *keys, value, *aggs, F.coalesce(below, F.lit(0)).alias("_slice"), *[F.col(f"_about.tot_{n}").alias(f"tot_{n}") for n in aggs]
-    )
-    totals = sliced.groupBy(*keys, "_slice").agg(
-        *[F.sum(n).alias(n) for n in aggs], *[F.max(f"tot_{n}").alias(f"tot_{n}") for n in aggs]
-    )
+    asked = [i / n_slices for i in range(1, n_slices)]
+    edges = per_value.agg(F.percentile_approx(F.col(value).cast("double"), asked, 20 * n_slices)).scalar()
+    cut = per_value.withColumn("_edges", edges)
+    below = _edges_below(F.col("_edges"), F.col(value).cast("double"), n_slices - 1)
+    sliced = cut.select(*keys, value, *aggs, F.coalesce(below, F.lit(0)).alias("_slice"))
+    totals = sliced.groupBy(*keys, "_slice").agg(*[F.sum(n).alias(n) for n in aggs])
     # at most one row per slice and key
-    onwards = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, 0)
-    offsets = totals.select(*keys, "_slice", *[(F.col(f"tot_{n}") - F.sum(n).over(onwards)).alias(f"_off_{n}") for n in aggs])
+    every = Window.partitionBy(*(keys or [F.lit(0)]))
+    onwards = every.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, 0)
+    offsets = totals.select(
+        *keys,
+        "_slice",
+        *[F.sum(n).over(every).alias(f"tot_{n}") for n in aggs],
+        *[(F.sum(n).over(every) - F.sum(n).over(onwards)).alias(f"_off_{n}") for n in aggs],
+    )
     inside = (
         Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -128,7 +141,7 @@ def unique_ranks(
     start = prefix_by_value(df, value, keys).select(
         *keys, value, (F.col("cum_n") - F.col("n")).alias("_start"), "tot_n"
     )
-    inner = hash_rank(df.filter(F.col(value).isNotNull()), id_col, "tie", [*keys, value], "_tie", 2)
+    inner = hash_rank(df.filter(F.col(value).isNotNull()), id_col, "tie", [*keys, value], "_tie")
     return (
         inner.join(start, [*keys, value]).withColumn(name, F.col("_start") + F.col("_tie")).drop("_start", "_tie")
     )
@@ -157,10 +170,10 @@ def exact_quantiles(
 ) -> dict[tuple, list[float | None]]:
     """Linearly interpolated quantiles of many columns, exact, in two scans.
 
-    The first scan brackets every asked position with a quantile sketch. The second counts the rows
-    below each bracket and the distinct values inside it, which are few, and reads the exact order
-    statistics off those counts. A bracket that misses its position is widened to the whole range and
-    read again. Returns ``{(*by, column): [one value per prob]}``; a column without data is absent.
+    The first scan brackets every asked position with a quantile sketch. The second keeps the values inside
+    the brackets, which are few, counts what lies between them, and reads the exact order statistics off
+    running totals that many tasks compute. A bracket that misses its position is widened to the whole range
+    and read again in the same way. Returns ``{(*by, column): [one value per prob]}``; a column without data is absent.
     """
     by, probs = list(by), [float(p) for p in probs]
     exprs = dict(columns) if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
@@ -178,8 +191,11 @@ def exact_quantiles(
             for i, e in enumerate(exprs.values())
         ]
     )
+    groups = sketch.limit(MAX_GROUPS + 1).collect()
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"quantiles of more than {MAX_GROUPS} groups are not read on the driver")
     brackets = []
-    for row in sketch.collect():
+    for row in groups:
         group = tuple(row[b] for b in by)
         for i, name in enumerate(exprs):
             s = row[f"s{i}"]
@@ -207,31 +223,39 @@ def _read_brackets(df, exprs, by, brackets, spark) -> dict[tuple, float]:
     if not brackets:
         return {}
     dtypes = dict(df.dtypes)
-    schema = ", ".join(
-        [f"`{b}` {dtypes[b]}" for b in by]
-        + ["_feature string", "_j int", "_lo double", "_hi double", "_k bigint", "_frac double"]
-    )
-    table = spark.createDataFrame([b[:-2] for b in brackets], schema)
-    keys = [*by, "_feature", "_j"]
-    value, lo, hi = F.col("_value"), F.col("_lo"), F.col("_hi")
-    # one row per group, column and probability, built on the driver: safe to broadcast
-    hits = _long(df, exprs, by).join(F.broadcast(table), [*by, "_feature"])
-    counts = (
-        hits.filter(value <= hi)
-        .groupBy(*keys, "_k", "_frac", F.when(value >= lo, value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    order = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    run = counts.withColumn("_cum", F.sum("_c").over(order)).filter(F.col("_v").isNotNull())
-    first, at = F.col("_cum") - F.col("_c"), F.col("_k")
+    keys = [*by, "_feature"]
+    named = ", ".join([f"`{b}` {dtypes[b]}" for b in by] + ["_feature string"])
+    spans: dict[tuple, list[list[float]]] = {}
+    for b in sorted(brackets, key=lambda b: (b[len(by) + 2], b[len(by) + 3])):
+        merged, (lo, hi) = spans.setdefault(b[: len(by) + 1], []), b[len(by) + 2 : len(by) + 4]
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], hi)
+        else:
+            merged.append([lo, hi])
+    read = spark.createDataFrame([(*k, [x for x, _ in v], [x for _, x in v]) for k, v in spans.items()], f"{named}, _los array<double>, _his array<double>")
+    asked = spark.createDataFrame([(*b[: len(by) + 2], *b[len(by) + 4 : len(by) + 6]) for b in brackets], f"{named}, _j int, _k bigint, _frac double")
+    # a value inside a span stands for itself; one outside is counted with the end of the span below it
+    value = F.col("_value")
+    below = F.array_max(F.filter("_his", lambda h: h < value))
+    within = F.exists(F.arrays_zip("_los", "_his"), lambda x: (x["_los"] <= value) & (value <= x["_his"]))
+    # the two tables hold one row per group, column and probability at most, built on the driver: safe to broadcast
+    cells = _long(df, exprs, by).join(F.broadcast(read), keys).withColumn("_in", within)
+    cells = cells.withColumn("_at", F.when(F.col("_in"), value).otherwise(F.coalesce(below, F.lit(float("-inf")))))
+    run = prefix_by_value(cells, "_at", keys, {"_within": F.count_if("_in")})
+    first, at = F.col("cum_n") - F.col("n"), F.col("_k")
+    last = first + F.col("_within")
     rows = (
-        run.groupBy(*keys, "_frac")
+        run.filter("_within > 0")
+        .join(F.broadcast(asked), keys)
+        .filter((first <= at + 1) & (at < last))
+        .groupBy(*keys, "_j", "_frac")
         .agg(
-            F.max(F.when((first <= at) & (at < F.col("_cum")), F.col("_v"))).alias("_a"),
-            F.max(F.when((first <= at + 1) & (at + 1 < F.col("_cum")), F.col("_v"))).alias("_b"),
+            F.max(F.when((first <= at) & (at < last), F.col("_at"))).alias("_a"),
+            F.max(F.when((first <= at + 1) & (at + 1 < last), F.col("_at"))).alias("_b"),
         )
         .collect()
     )
+    keys = [*keys, "_j"]
     found = {}
     for r in rows:
         if r["_a"] is None or (r["_b"] is None and r["_frac"] > 0):

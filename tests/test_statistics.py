@@ -249,3 +249,23 @@ def test_exact_neighbours_with_duplicates(spark):
         assert got[got["SK_ID_CURR"] == k].sort_values("rk")["nb"].tolist() == ids[np.lexsort((ids, d[i]))[:4]].tolist()
     grown = RS.synthetic_minority(df, list("abc")).toPandas()
     assert grown["TARGET"].value_counts().nunique() == 1 and grown["SK_ID_CURR"].is_unique
+
+
+def test_two_level_edges_count_like_one(spark):
+    from riskloom.operators.ranks import _edges_below
+
+    for n in (1, 64, 65, 70, 255, 1000):
+        edges = sorted(float(i * i % 97) for i in range(n))
+        t = spark.createDataFrame([(edges, float(v)) for v in (-1, 0, 1, 48.5, 96, 200)], "e array<double>, v double")
+        got = t.select("e", "v", _edges_below(F.col("e"), F.col("v"), n).alias("k")).collect()
+        assert [r["k"] for r in got] == [sum(x < r["v"] for x in edges) for r in got]
+
+
+def test_quantiles_by_group_with_a_hot_group_and_ties(spark):
+    rng = np.random.default_rng(5)
+    rows = [("hot", float(round(v, 1))) for v in rng.normal(0, 3, 4000)] + [("one", 7.0)] + [("far", float(v)) for v in rng.normal(1e6, 1e5, 500)] + [("flat", 2.0)] * 30 + [("none", None)]
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["v"], probs, ["g"])
+    for g in ("hot", "one", "far", "flat"):
+        assert got[(g, "v")] == pytest.approx(np.quantile([v for k, v in rows if k == g], probs).tolist())
+    assert ("none", "v") not in got
