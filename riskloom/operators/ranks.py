@@ -52,8 +52,11 @@ def prefix_by_value(
     """
     keys = list(keys)
     aggs = {"n": F.count(F.lit(1)), **(sums or {})}
+    known = F.col(value).isNotNull()
+    for k in keys:  # the last join leaves null keys out; done here, both sides below read the same rows
+        known = known & F.col(k).isNotNull()
     per_value = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(known)
         .groupBy(*keys, value)
         .agg(*[e.alias(name) for name, e in aggs.items()])
     )
@@ -61,9 +64,11 @@ def prefix_by_value(
     # with a frequent key, and no row is shuffled by its bare key
     n_slices = _slices(df, slices)
     asked = [i / n_slices for i in range(1, n_slices)]
-    edges = per_value.agg(F.percentile_approx(F.col(value).cast("double"), asked, 20 * n_slices)).scalar()
-    cut = per_value.withColumn("_edges", edges)
-    below = _edges_below(F.col("_edges"), F.col(value).cast("double"), n_slices - 1)
+    edges = F.percentile_approx(F.col(value).cast("double"), asked, 20 * n_slices)
+    # the sums are not read; with them both sides need the same collapsed values, which are then shuffled once
+    about = per_value.agg(F.struct(edges.alias("edges"), *[F.sum(n).alias(n) for n in aggs])).scalar()
+    cut = per_value.withColumn("_about", about)
+    below = _edges_below(F.col("_about.edges"), F.col(value).cast("double"), n_slices - 1)
     sliced = cut.select(*keys, value, *aggs, F.coalesce(below, F.lit(0)).alias("_slice"))
     totals = sliced.groupBy(*keys, "_slice").agg(*[F.sum(n).alias(n) for n in aggs])
     # at most one row per slice and key
@@ -234,19 +239,24 @@ def _read_brackets(df, exprs, by, brackets, spark) -> dict[tuple, float]:
             merged.append([lo, hi])
     read = spark.createDataFrame([(*k, [x for x, _ in v], [x for _, x in v]) for k, v in spans.items()], f"{named}, _los array<double>, _his array<double>")
     asked = spark.createDataFrame([(*b[: len(by) + 2], *b[len(by) + 4 : len(by) + 6]) for b in brackets], f"{named}, _j int, _k bigint, _frac double")
-    # a value inside a span stands for itself; one outside is counted with the end of the span below it
-    value = F.col("_value")
-    below = F.array_max(F.filter("_his", lambda h: h < value))
-    within = F.exists(F.arrays_zip("_los", "_his"), lambda x: (x["_los"] <= value) & (value <= x["_his"]))
+    value, passed = F.col("_value"), F.col("_passed")
     # the two tables hold one row per group, column and probability at most, built on the driver: safe to broadcast
-    cells = _long(df, exprs, by).join(F.broadcast(read), keys).withColumn("_in", within)
-    cells = cells.withColumn("_at", F.when(F.col("_in"), value).otherwise(F.coalesce(below, F.lit(float("-inf")))))
-    run = prefix_by_value(cells, "_at", keys, {"_within": F.count_if("_in")})
-    first, at = F.col("cum_n") - F.col("n"), F.col("_k")
-    last = first + F.col("_within")
+    cells = _long(df, exprs, by).join(F.broadcast(read), keys).withColumn("_passed", F.size(F.filter("_his", lambda h: h < value)))
+    # a span is cut into parts of equal width, one task each; what lies between two spans is one count in part -1
+    lo, hi, parts = F.get("_los", passed), F.get("_his", passed), _slices(df, None)
+    inside = F.coalesce(lo <= value, F.lit(False))
+    part = F.least(F.lit(parts - 1), F.coalesce(F.floor(F.try_divide(value - lo, hi - lo) * parts).cast("int"), F.lit(0)))
+    counts = cells.groupBy(*keys, "_passed", F.when(inside, part).otherwise(-1).alias("_part"), F.when(inside, value).alias("_at")).agg(F.count(F.lit(1)).alias("_c"))
+    totals = counts.groupBy(*keys, "_passed", "_part").agg(F.sum("_c").alias("_t"))
+    # at most one row per part of a span
+    before = Window.partitionBy(*keys).orderBy("_passed", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_passed", "_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    order = Window.partitionBy(*keys, "_passed", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    run = counts.withColumn("_run", F.sum("_c").over(order)).join(offsets, [*keys, "_passed", "_part"]).filter("_part >= 0")
+    at, last = F.col("_k"), F.col("_off") + F.col("_run")
+    first = last - F.col("_c")
     rows = (
-        run.filter("_within > 0")
-        .join(F.broadcast(asked), keys)
+        run.join(F.broadcast(asked), keys)
         .filter((first <= at + 1) & (at < last))
         .groupBy(*keys, "_j", "_frac")
         .agg(
