@@ -85,15 +85,21 @@ def populations() -> dict[str, Column | None]:
     }
 
 
-def client_window_end(name: str = "window_end") -> Column:
+def _with_client_days(prev: DataFrame, **ends: Column) -> DataFrame:
+    """Rows with aggregates of their client. The rows are not gathered by client: the aggregates are joined back."""
+    per_client = prev.groupBy(F.col(CLIENT).alias("_client")).agg(*[e.alias(n) for n, e in ends.items()])
+    return prev.join(per_client, F.col(CLIENT).eqNullSafe(F.col("_client")), "left").drop("_client")
+
+
+def with_window_end(prev: DataFrame, name: str = "window_end") -> DataFrame:
     """Latest decision of the client, repeated on each of its rows."""
-    return F.max("DAYS_DECISION").over(Window.partitionBy(CLIENT)).alias(name)
+    return _with_client_days(prev, **{name: F.max("DAYS_DECISION")})
 
 
 def oldest_rows(prev: DataFrame) -> DataFrame:
     """Mark the rows decided on the client's oldest day; ties all count."""
-    first = F.min("DAYS_DECISION").over(Window.partitionBy(CLIENT))
-    return prev.withColumn("is_oldest", holds(F.col("DAYS_DECISION") == first).cast("int"))
+    marked = _with_client_days(prev, _first=F.min("DAYS_DECISION"))
+    return marked.withColumn("is_oldest", holds(F.col("DAYS_DECISION") == F.col("_first")).cast("int")).drop("_first")
 
 
 def from_street() -> Column:
@@ -198,21 +204,34 @@ def denominator_counts(prev: DataFrame) -> DataFrame:
 def relative_recency(
     prev: DataFrame, window: float = P.RECENT_WINDOW_DAYS, hour_max: float = P.EARLY_HOUR_MAX, relative: bool = True
 ) -> DataFrame:
-    """Six recency readings per client, counted back from the client's own last application."""
-    rows = cleaned(prev).withColumn("_end", client_window_end())
-    end, days = F.col("_end"), F.col("DAYS_DECISION")
+    """Six recency readings per client, counted back from the client's own last application.
+
+    Rows are first summed up by (client, day), with map-side partial sums; what meets per client is one row per
+    distinct day, however busy the client.
+    """
+    refused, days = F.col("NAME_CONTRACT_STATUS") == "Refused", F.col("DAYS_DECISION")
+    parts = {
+        "STREET": flag_where(from_street(), combination_defined()),
+        "EARLY_HOUR": holds(F.col("HOUR_APPR_PROCESS_START") <= hour_max).cast("double"),
+        "NO_SUITE": F.col("NAME_TYPE_SUITE").isNull().cast("double"),
+    }
+    by_day = cleaned(prev).groupBy(CLIENT, "DAYS_DECISION").agg(
+        F.count(F.lit(1)).alias("_n"),
+        any_of(refused).alias("_refused"),
+        *[F.sum(e.cast("double")).alias(f"_s_{n}") for n, e in parts.items()],
+        *[F.count(e).alias(f"_c_{n}") for n, e in parts.items()],
+    )
+    by_day = by_day.withColumn("_end", F.max("DAYS_DECISION").over(Window.partitionBy(CLIENT)))
+    end, hit = F.col("_end"), F.col("_refused") > 0
     recent = is_recent(window, end if relative else None)
-    refused = F.col("NAME_CONTRACT_STATUS") == "Refused"
-    street = flag_where(from_street(), combination_defined())
-
-    def mean_recent(value: Column) -> Column:
-        return F.avg(F.when(recent, value))
-
-    return rows.groupBy(CLIENT).agg(
-        F.max(holds(refused & (days == end)).cast("double")).alias("PREV_EXIT_REFUSED_FLAG"),
-        F.max(F.when(refused, days - end)).alias("PREV_DAYS_SINCE_REFUSED_REL"),
-        count_of(recent).cast("double").alias("PREV_COUNT_12M_REL"),
-        mean_recent(street).alias("PREV_STREET_RATIO_REL"),
-        mean_recent(holds(F.col("HOUR_APPR_PROCESS_START") <= hour_max).cast("double")).alias("PREV_EARLY_HOUR_RATIO_REL"),
-        mean_recent(F.col("NAME_TYPE_SUITE").isNull().cast("double")).alias("PREV_NO_SUITE_RATIO_REL"),
+
+    def mean_recent(name: str) -> Column:
+        total, count = (F.sum(F.when(recent, F.col(f"_{k}_{name}"))) for k in ("s", "c"))
+        return F.try_divide(total, count)
+
+    return by_day.groupBy(CLIENT).agg(
+        F.max(holds(hit & (days == end)).cast("double")).alias("PREV_EXIT_REFUSED_FLAG"),
+        F.max(F.when(hit, days - end)).alias("PREV_DAYS_SINCE_REFUSED_REL"),
+        F.coalesce(F.sum(F.when(recent, F.col("_n"))), F.lit(0)).cast("double").alias("PREV_COUNT_12M_REL"),
+        *[mean_recent(n).alias(f"PREV_{n}_RATIO_REL") for n in parts],
     )

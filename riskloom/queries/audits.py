@@ -6,18 +6,21 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from riskloom import params as P
 from riskloom.operators import audits as A
 from riskloom.operators import cleaning as C
 from riskloom.operators import joins as J
 from riskloom.operators import splits as X
 from riskloom.operators.binning import fixed_bin
+from riskloom.operators.features import LATE_RATIOS
 from riskloom.plans.assemble import assemble
+from riskloom.plans.presets import MAIN_FLAGS, MAIN_NUMBERS
 from riskloom.queries import standin as S
 from riskloom.queries.base import CUTS, app, clients, hist_t, labels, n_if
 from riskloom.queries.registry import add
 from riskloom.queries.rows import APP_TEXT
 from riskloom.queries.signals import two_by_two_sql, union
-from riskloom.session import checkpoint_dir
+from riskloom.session import checkpoint_dir, checkpointed
 from riskloom.sources import artifacts as R
 from riskloom.sources import tables as T
 
@@ -38,6 +41,11 @@ SELECT {Y}, fl + CASE WHEN row_number() OVER (ORDER BY fl - ex, {Y}) <= need - s
 SELECT {Y}, count(*) * need / tot AS ex, floor(count(*) * need / tot) AS fl, any_value(need) AS need FROM lab, (SELECT count(*) AS tot, ceil(count(*) * 0.2) AS need FROM lab) GROUP BY {Y}, need, tot)) USING ({Y})"""
 
 
+def folds_sql(seeds, k: int, rel: str = "lab") -> str:
+    """(id, target, seed, fold) of the hash-dealt folds."""
+    return union(f"SELECT {K}, {Y}, {s} AS seed, (row_number() OVER (PARTITION BY {Y} ORDER BY md5({K} || '|{s}'), {K}) - 1) % {k} AS fold FROM {rel}" for s in seeds)
+
+
 def split(s, d):
     """Stratified split of the training population."""
     return X.stratified_split(app(s, d))
@@ -97,48 +105,73 @@ add("SRC7_read_cuts", _cuts, _CUTS_SQL, ("purposes",))
 add("SNK3_write_cuts", _cuts, _CUTS_SQL, ("purposes",))
 
 
+#: Numbers and flags of the main table, without the ratios that a later stage builds
+_NUM = [c for c in (*MAIN_NUMBERS, *MAIN_FLAGS) if c not in LATE_RATIOS]
+
+
+def _numbers(s, d):
+    """The main table's numbers as doubles, materialised: every part of every fold reads them."""
+    return checkpointed(app(s, d).select(K, Y, *[F.col(c).cast("double").alias(c) for c in _NUM]))
+
+
 def _fold_cache(s, d):
-    path, base = scratch(s, "folds"), app(s, d)
-    context = base.select(K, Y, "AMT_CREDIT")
-    folds = X.stratified_folds(base, (0,), 3)
-    narrow = base.select(K, Y, "LTV", "AGE_YEARS").join(folds.select(K, "fold"), K)
+    path, base = scratch(s, "folds"), _numbers(s, d)
+    rows = checkpointed(base.join(X.stratified_folds(base).select(K, "seed", "fold"), K))
 
     def parts():
-        for f in range(3):
-            yield 0, f, "fit", narrow.filter(F.col("fold") != f).drop("fold")
-            yield 0, f, "eval", narrow.filter(F.col("fold") == f).drop("fold")
+        for seed in P.SEEDS:
+            for f in range(P.N_FOLDS):
+                one = rows.filter(F.col("seed") == seed)
+                yield seed, f, "fit", one.filter(F.col("fold") != f).drop("seed", "fold")
+                yield seed, f, "eval", one.filter(F.col("fold") == f).drop("seed", "fold")
 
-    R.write_folds(parts(), context, "mark", path)
+    R.write_folds(parts(), base.select(K, Y, "AMT_CREDIT"), "mark", path)
     return path
 
 
 def _read_cache(s, d):
     out = None
-    for seed, k, fit, held in R.read_folds(s, _fold_cache(s, d), "mark", (0,)):
-        t = fit.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("n_fit"), F.sum(Y).alias("bads_fit"))
+    for seed, k, fit, held in R.read_folds(s, _fold_cache(s, d), "mark"):
+        t = fit.agg(F.lit(seed).alias("seed"), F.lit(k).alias("k"), F.count(F.lit(1)).alias("n_fit"), F.sum(Y).alias("bads_fit"))
         e = held.agg(F.count(F.lit(1)).alias("n_eval"), F.sum(Y).alias("bads_eval"))
         t = t.withColumns({"n_eval": e.select("n_eval").scalar(), "bads_eval": e.select("bads_eval").scalar()})
         out = t if out is None else out.unionByName(t)
     return out
 
 
-_F3 = f"SELECT {K}, {Y}, (row_number() OVER (PARTITION BY {Y} ORDER BY md5({K} || '|0'), {K}) - 1) % 3 AS fold FROM lab"
-_CACHE = union(f"SELECT {k} AS k, {n_if(f'fold <> {k}')} AS n_fit, sum({Y}) FILTER (WHERE fold <> {k}) AS bads_fit, {n_if(f'fold = {k}')} AS n_eval, sum({Y}) FILTER (WHERE fold = {k}) AS bads_eval FROM ({_F3})" for k in range(3))
+def _read_parts(s, d):
+    out = None
+    for seed, k, _, held in R.read_folds(s, _fold_cache(s, d), "mark"):
+        t = held.select(F.lit(seed).alias("seed"), F.lit(k).alias("k"), K, *[F.col(c).cast("double").alias(c) for c in _NUM])
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+_FOLDS = folds_sql(P.SEEDS, P.N_FOLDS)
+_CACHE = union(f"SELECT seed, {k} AS k, {n_if(f'fold <> {k}')} AS n_fit, sum({Y}) FILTER (WHERE fold <> {k}) AS bads_fit, {n_if(f'fold = {k}')} AS n_eval, sum({Y}) FILTER (WHERE fold = {k}) AS bads_eval FROM ({_FOLDS}) GROUP BY seed" for k in range(P.N_FOLDS))
 add("SRC8_read_folds", _read_cache, _CACHE)
 add("SRC9_read_context", lambda s, d: R.read_context(s, _fold_cache(s, d), "mark"), f"SELECT {K}, {Y}, AMT_CREDIT FROM app1")
 add("SNK1_write_split", lambda s, d: X.split_summary(R.write_split(app(s, d), scratch(s, "split"))), f"SELECT split AS part, count(*) AS clients, sum({Y}) AS positives, avg({Y}) * 100 AS rate_pct FROM ({SPLIT_SQL}) GROUP BY 1 UNION ALL SELECT 'conjunto', count(*), sum({Y}), avg({Y}) * 100 FROM lab", ("part",))
 
 
 def _matrices(s, d):
-    sp, base = split(s, d), app(s, d).select(K, Y, "LTV", "AGE_YEARS")
-    reg = s.createDataFrame([("LTV", 1)], "feature string, kept int")
+    sp, base = split(s, d), _numbers(s, d)
+    reg = s.createDataFrame([(c, 1) for c in _NUM], "feature string, kept int")
     paths = R.write_matrices(X.only(base, "train", sp), X.only(base, "valid", sp), reg, scratch(s, "matrices"))
-    x, y = s.read.parquet(paths["X_train"]), s.read.parquet(paths["y_train"])
-    return x.join(y, K)
+    kept = s.read.option("header", True).csv(paths["register"])
+    parts = [
+        s.read.parquet(paths[f"X_{part}"]).join(s.read.parquet(paths[f"y_{part}"]), K).withColumn("part", F.lit(part)) for part in X.PARTS
+    ]
+    return parts[0].unionByName(parts[1]).withColumn("registered", kept.agg(F.count(F.lit(1))).scalar())
 
 
-add("SNK2_write_matrices", _matrices, f"SELECT {K}, LTV, AGE_YEARS, {Y} FROM app1 JOIN (SELECT {K} FROM ({SPLIT_SQL}) WHERE split = 'train') USING ({K})")
-add("SNK4_write_folds", lambda s, d: R.read_fold(s, _fold_cache(s, d), 0, 1, "eval").select(K, F.col("AGE_YEARS").cast("double").alias("AGE_YEARS")), f"SELECT {K}, CAST(CAST(AGE_YEARS AS FLOAT) AS DOUBLE) AS AGE_YEARS FROM app1 JOIN ({_F3}) USING ({K}) WHERE fold = 1", digits=4)
+add("SNK2_write_matrices", _matrices, f"SELECT {K}, {', '.join(_NUM)}, {Y}, split AS part, {len(_NUM)} AS registered FROM (SELECT {K}, {', '.join(_NUM)} FROM app1) JOIN ({SPLIT_SQL}) USING ({K})", ("part",))
+add(
+    "SNK4_write_folds",
+    _read_parts,
+    f"SELECT seed, fold AS k, {K}, {', '.join(f'CAST(CAST(CAST({c} AS DOUBLE) AS FLOAT) AS DOUBLE) AS {c}' for c in _NUM)} FROM app1 JOIN (SELECT {K}, seed, fold FROM ({_FOLDS})) USING ({K})",
+    digits=4,
+)
 
 
 def _accumulate(s, d):
@@ -308,11 +341,6 @@ def _folds_report(s, d):
     return A.fold_report(X.stratified_folds(X.only(app(s, d), "train", sp), (0, 1), 5), sp)
 
 
-def folds_sql(seeds, k: int, rel: str = "lab") -> str:
-    """(id, target, seed, fold) of the hash-dealt folds."""
-    return union(f"SELECT {K}, {Y}, {s} AS seed, (row_number() OVER (PARTITION BY {Y} ORDER BY md5({K} || '|{s}'), {K}) - 1) % {k} AS fold FROM {rel}" for s in seeds)
-
-
 _TR = f"(SELECT * FROM ({SPLIT_SQL}) WHERE split = 'train')"
 add(
     "AUD21_fold_report",

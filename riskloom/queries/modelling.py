@@ -12,12 +12,15 @@ from riskloom.operators import selection as R
 from riskloom.operators import splits as X
 from riskloom.operators import stages as G
 from riskloom.operators.features import LATE_RATIOS
-from riskloom.operators.panel import TRAJECTORIES
+from riskloom.operators.history import HISTORY_FLAGS
+from riskloom.operators.panel import PANEL_FLAGS, TRAJECTORIES
+from riskloom.operators.previous import PREVIOUS_FLAGS
 from riskloom.plans import assemble as Pl
 from riskloom.plans import presets as Pr
 from riskloom.queries.audits import SPLIT_SQL, folds_sql, split
 from riskloom.queries.base import app, clients, n_if
 from riskloom.queries.registry import add, cte
+from riskloom.queries.rows import DAY_SQL, PART_SQL
 from riskloom.queries.signals import NULO, cond, iv_sql, qbin, strat, union, vbin, woe_sql
 from riskloom.session import checkpointed
 
@@ -186,18 +189,64 @@ _PSQL = (
 add("P13_stage_chain", _matrix, _PSQL)
 
 
+def _column_profile(matrix, part: str):
+    """Rows, mean and range of every column of a matrix."""
+    names = [c for c in matrix.columns if c not in (K, Y)]
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), G.quoted(c).cast("double").alias("v")) for c in names])
+    return (
+        matrix.select(F.explode(cells).alias("x"))
+        .groupBy("x.feature")
+        .agg(F.count(F.lit(1)).alias("n"), F.avg("x.v").alias("mean"), F.min("x.v").alias("least"), F.max("x.v").alias("most"))
+        .withColumn("part", F.lit(part))
+    )
+
+
 def _full_chain(s, d):
     df = checkpointed(clients(s, d))
     _, tr, va = Pl.fit_matrices(df, split(s, d), Pl.feature_stages(Pr.full_buckets(), min_rows=20))
-    measures = {"train rows": tr.agg(F.count(F.lit(1)).alias("v")), "valid rows": va.agg(F.count(F.lit(1)).alias("v"))}
-    out = None
-    for name, one in measures.items():
-        row = one.select(F.lit(name).alias("measure"), F.col("v").cast("double").alias("value"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return _column_profile(tr, "train").unionByName(_column_profile(va, "valid"))
 
 
-add("P14_fit_on_train_only", _full_chain, "SELECT 'train rows' AS measure, count(*) FILTER (WHERE split = 'train') AS value FROM split_t UNION ALL SELECT 'valid rows', count(*) FILTER (WHERE split = 'valid') FROM split_t", ("measure",))
+_CAPS = ", ".join(f"least({c}, (SELECT {G.WINSOR_FACTORS.get(c, P.WINSOR_FACTOR)} * quantile_cont({c}, 0.99) FROM cl_tr)) AS {c}" for c in G.WINSOR_COLUMNS if c != "OBS_60_CNT_SOCIAL_CIRCLE")
+_quoted = lambda names: ", ".join(f"'{n}'" for n in names)
+cte("fc_capped", f"SELECT * REPLACE ({_CAPS}) FROM cl JOIN (SELECT {K}, split FROM split_t) USING ({K})")
+cte(
+    "fc_rows",
+    f"SELECT * EXCLUDE (HOUR_APPR_PROCESS_START) REPLACE ({DAY_SQL} AS WEEKDAY_APPR_PROCESS_START, coalesce(OCCUPATION_TYPE, 'Sin declarar') AS OCCUPATION_TYPE), {PART_SQL} AS HORA_FRANJA, AMT_ANNUITY / nullif(AMT_INCOME_TOTAL, 0) AS ANNUITY_TO_INCOME_RATIO, CNT_CHILDREN / nullif(CNT_FAM_MEMBERS, 0) AS CHILDREN_TO_FAM_RATIO FROM fc_capped",
+)
+_FC_TEXT = (*Pr.MAIN_TEXTS, "NAME_EDUCATION_TYPE", "BB_TRAJECTORY", "ORGANIZATION_TYPE", "OCCUPATION_TYPE")
+cte("fc_numbers", f"SELECT * FROM (SELECT split AS part, CAST(COLUMNS(* EXCLUDE ({K}, {Y}, split, {', '.join(_FC_TEXT)})) AS DOUBLE) FROM fc_rows) UNPIVOT INCLUDE NULLS (v FOR feature IN (COLUMNS(* EXCLUDE (part))))")
+cte("fc_median", "SELECT feature, median(v) AS md FROM fc_numbers WHERE part = 'train' GROUP BY 1")
+_FC_ZERO = _quoted((*HISTORY_FLAGS, *PANEL_FLAGS, *PREVIOUS_FLAGS))
+cte("fc_filled", f"SELECT part, feature, CASE WHEN feature IN ({_FC_ZERO}) THEN coalesce(v, 0) WHEN feature IN ({_quoted((*Pr.MAIN_FLAGS, *Pr.PRESENCE))}) THEN v ELSE coalesce(v, md, 0) END AS v FROM fc_numbers JOIN fc_median USING (feature)")
+cte("fc_texts", f"SELECT * FROM (SELECT split AS part, {', '.join(Pr.MAIN_TEXTS)} FROM fc_rows) UNPIVOT INCLUDE NULLS (lv FOR feature IN (COLUMNS(* EXCLUDE (part))))")
+cte("fc_rare", "SELECT feature, lv FROM fc_texts WHERE part = 'train' GROUP BY 1, 2 HAVING count(*) < 20")
+cte("fc_grouped", "SELECT t.part, t.feature, CASE WHEN r.feature IS NOT NULL THEN 'Other' ELSE t.lv END AS lv FROM fc_texts t LEFT JOIN fc_rare r ON r.feature = t.feature AND r.lv IS NOT DISTINCT FROM t.lv")
+cte("fc_levels", "SELECT feature, lv FROM (SELECT feature, lv, count(*) OVER (PARTITION BY feature) AS m, row_number() OVER (PARTITION BY feature ORDER BY lv NULLS LAST) AS i FROM (SELECT DISTINCT feature, lv FROM fc_grouped WHERE part = 'train')) WHERE m > 2 OR (m = 2 AND i = 2)")
+cte("fc_cells", "SELECT part, feature, lv, count(*) AS k FROM fc_grouped GROUP BY 1, 2, 3")
+cte("fc_occ", f"SELECT split AS part, OCCUPATION_TYPE AS v, {Y} AS y, CAST('0x' || substr(md5({K} || '|42'), 1, 8) AS BIGINT) % 5 AS f FROM fc_rows")
+_FC_MEANS = """WITH lf AS (SELECT v, f, count(*) AS n, sum(y) AS s FROM fc_occ WHERE part = 'train' GROUP BY 1, 2), l AS (SELECT v, sum(n) AS n, sum(s) AS s FROM lf GROUP BY 1), gf AS (SELECT f, sum(n) AS n, sum(s) AS s FROM lf GROUP BY 1), g AS (SELECT sum(n) AS n, sum(s) AS s FROM lf)
+SELECT part, 'OCCUPATION_TYPE' AS feature, CASE WHEN l.n = lf.n THEN (g.s - gf.s) / (g.n - gf.n) ELSE (l.s - lf.s + 20 * (g.s - gf.s) / (g.n - gf.n)) / (l.n - lf.n + 20) END AS v FROM fc_occ t JOIN lf ON lf.v = t.v AND lf.f = t.f JOIN l ON l.v = t.v JOIN gf ON gf.f = t.f, g WHERE part = 'train'
+UNION ALL SELECT part, 'OCCUPATION_TYPE', coalesce((l.s + 20 * g.s / g.n) / (l.n + 20), g.s / g.n) FROM fc_occ t LEFT JOIN l ON l.v = t.v, g WHERE part = 'valid'"""
+_TRAJ = " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(TRAJECTORIES))
+_FC_CODES = union(
+    [
+        f"SELECT split AS part, 'NAME_EDUCATION_TYPE' AS feature, CAST(CASE NAME_EDUCATION_TYPE {_EDU} ELSE -1 END AS DOUBLE) AS v FROM fc_rows",
+        f"SELECT split, 'BB_TRAJECTORY', CAST(CASE BB_TRAJECTORY {_TRAJ} ELSE -1 END AS DOUBLE) FROM fc_rows",
+        f"SELECT split, 'ORGANIZATION_TYPE_WOE', coalesce(woe, 0) FROM fc_rows LEFT JOIN (SELECT bin, woe FROM ({woe_sql(strat(vbin('cl_tr', 'ORGANIZATION_TYPE')))})) ON bin = coalesce(ORGANIZATION_TYPE, '{NULO}')",
+    ]
+)
+cte("fc_values", f"SELECT part, feature, v FROM fc_filled UNION ALL {_FC_CODES} UNION ALL SELECT * FROM ({_FC_MEANS})")
+cte("fc_profile", "SELECT part, feature, count(*) AS n, avg(v) AS mean, min(v) AS least, max(v) AS most FROM fc_values GROUP BY 1, 2")
+add(
+    "P14_fit_on_train_only",
+    _full_chain,
+    """SELECT * FROM fc_profile WHERE feature IN (SELECT feature FROM fc_profile WHERE part = 'train' AND least IS DISTINCT FROM most)
+UNION ALL SELECT p.part, l.feature || '_' || coalesce(l.lv, 'nan'), p.n, coalesce(c.k, 0) / p.n, CASE WHEN coalesce(c.k, 0) = p.n THEN 1 ELSE 0 END, CASE WHEN coalesce(c.k, 0) > 0 THEN 1 ELSE 0 END
+FROM fc_levels l CROSS JOIN (SELECT split AS part, count(*) AS n FROM split_t GROUP BY 1) p LEFT JOIN fc_cells c ON c.part = p.part AND c.feature = l.feature AND c.lv IS NOT DISTINCT FROM l.lv""",
+    ("part", "feature"),
+    digits=4,
+)
 _RECOVER = {
     "EXT_SOURCE_1": ("FLAG_EXT_SOURCE_1_NULL = 1"), "OWN_CAR_AGE": ("FLAG_OWN_CAR = 'N'"), "BUREAU_LOAN_COUNT": ("HAS_BUREAU_HISTORY = 0"), "BUREAU_CURRENT_OVERDUE_SUM": ("HAS_BUREAU_HISTORY = 0"),
     "BUREAU_DEBT_CREDIT_RATIO": ("HAS_BUREAU_FINANCIAL_DETAIL = 0"), "BB_STATUS_WORST": ("HAS_BUREAU_BALANCE = 0 OR BB_MONTHS_REPORTED = 0"), "BB_MONTHS_SINCE_LAST_DPD": ("HAS_BUREAU_BALANCE = 0 OR BB_ANY_DPD_FLAG = 0"), "LTV": ("FALSE"),
@@ -359,7 +408,7 @@ add("X3_train_population", _context, f"SELECT {K}, {Y}, AMT_CREDIT, HAS_BUREAU_H
 _UNDER = f"SELECT {K}, {Y} FROM lab WHERE {Y} = 1 UNION ALL SELECT {K}, {Y} FROM (SELECT *, row_number() OVER (ORDER BY md5({K} || '|0'), {K}) AS rk FROM lab WHERE {Y} = 0) WHERE rk <= (SELECT sum({Y}) FROM lab)"
 add("X5_undersample", lambda s, d: X.undersample(app(s, d)).select(K, Y), _UNDER)
 add("X8_resampled_size", lambda s, d: X.resampled_size(X.undersample(app(s, d))), f"SELECT count(*) AS n_rows, avg({Y}) AS prevalence FROM ({_UNDER})")
-_REPS = 20
+_REPS = 2000
 
 
 def _bootstrap(s, d):
@@ -547,7 +596,7 @@ add("L7_constant_floor", _floor, f"SELECT k, pd, sh * power(1 - pd, 2) + (1 - sh
 
 def _oof(s, d):
     t = modelling_table(s, d)
-    return t, X.stratified_folds(t, (0,), 3)
+    return t, checkpointed(X.stratified_folds(t))
 
 
 def _score_folds(s, d):

@@ -100,10 +100,10 @@ add(
     ),
     f"SELECT {K}, BUREAU_LOAN_COUNT, HAS_BEEN_PROLONGED, BUREAU_DEBT_CREDIT_RATIO FROM agg_h",
 )
-_PART = "CASE WHEN HOUR_APPR_PROCESS_START >= 6 AND HOUR_APPR_PROCESS_START < 12 THEN 'manana' WHEN HOUR_APPR_PROCESS_START >= 12 AND HOUR_APPR_PROCESS_START < 18 THEN 'tarde' WHEN HOUR_APPR_PROCESS_START IS NOT NULL THEN 'fuera de horario' END"
-_DAY = "CASE WHEN WEEKDAY_APPR_PROCESS_START IN ('SATURDAY', 'SUNDAY') THEN 'fin de semana' WHEN WEEKDAY_APPR_PROCESS_START IN ('MONDAY', 'TUESDAY', 'WEDNESDAY', 'THURSDAY', 'FRIDAY') THEN 'entresemana' ELSE WEEKDAY_APPR_PROCESS_START END"
-add("C19_day_part", lambda s, d: C.recode_domain(S.application(s, d)).select(K, C.DAY_PART), f"SELECT {K}, {_PART} AS HORA_FRANJA FROM app_raw", ("HORA_FRANJA",))
-add("C20_day_kind", lambda s, d: C.recode_domain(C.recode_domain(S.application(s, d))).select(K, C.WEEKDAY), f"SELECT {K}, {_DAY} AS {C.WEEKDAY} FROM app_raw", (C.WEEKDAY,))
+PART_SQL = "CASE WHEN HOUR_APPR_PROCESS_START >= 6 AND HOUR_APPR_PROCESS_START < 12 THEN 'manana' WHEN HOUR_APPR_PROCESS_START >= 12 AND HOUR_APPR_PROCESS_START < 18 THEN 'tarde' WHEN HOUR_APPR_PROCESS_START IS NOT NULL THEN 'fuera de horario' END"
+DAY_SQL = "CASE WHEN WEEKDAY_APPR_PROCESS_START IN ('SATURDAY', 'SUNDAY') THEN 'fin de semana' WHEN WEEKDAY_APPR_PROCESS_START IN ('MONDAY', 'TUESDAY', 'WEDNESDAY', 'THURSDAY', 'FRIDAY') THEN 'entresemana' ELSE WEEKDAY_APPR_PROCESS_START END"
+add("C19_day_part", lambda s, d: C.recode_domain(S.application(s, d)).select(K, C.DAY_PART), f"SELECT {K}, {PART_SQL} AS HORA_FRANJA FROM app_raw", ("HORA_FRANJA",))
+add("C20_day_kind", lambda s, d: C.recode_domain(C.recode_domain(S.application(s, d))).select(K, C.WEEKDAY), f"SELECT {K}, {DAY_SQL} AS {C.WEEKDAY} FROM app_raw", (C.WEEKDAY,))
 add("C21_missing_occupation", lambda s, d: C.recode_domain(S.application(s, d)).select(K, C.OCCUPATION), f"SELECT {K}, coalesce(OCCUPATION_TYPE, 'Sin declarar') AS OCCUPATION_TYPE FROM app_raw", (C.OCCUPATION,))
 add(
     "C22_sane_names",
@@ -129,8 +129,7 @@ add("F10_declared_purpose", lambda s, d: S.previous(s, d).select("SK_ID_PREV", X
 add("F11_defined_combination", lambda s, d: S.previous(s, d).select("SK_ID_PREV", X.combination_defined().cast("int").alias("defined")), "SELECT SK_ID_PREV, CASE WHEN PRODUCT_COMBINATION IS NULL THEN 0 ELSE 1 END AS defined FROM prev_raw")
 add(
     "F12_recent_mask",
-    lambda s, d: C.clean_previous(S.previous(s, d))
-    .withColumn("fin", V.client_window_end())
+    lambda s, d: V.with_window_end(C.clean_previous(S.previous(s, d)), "fin")
     .select("SK_ID_PREV", X.is_recent(365).cast("int").alias("recent"), X.is_recent(365, F.col("fin")).cast("int").alias("recent_rel")),
     "SELECT SK_ID_PREV, CASE WHEN DAYS_DECISION > -365 THEN 1 ELSE 0 END AS recent, CASE WHEN DAYS_DECISION - d1 > -365 THEN 1 ELSE 0 END AS recent_rel FROM prev_x",
 )
@@ -254,7 +253,7 @@ add(
     "SELECT SK_ID_BUREAU, MONTHS_BALANCE, CASE WHEN is_recent THEN 1 ELSE 0 END AS recent FROM panel_halves",
 )
 add("W2_oldest_rows", lambda s, d: V.oldest_rows(C.clean_previous(S.previous(s, d))).select("SK_ID_PREV", "is_oldest"), "SELECT SK_ID_PREV, CASE WHEN DAYS_DECISION = d0 THEN 1 ELSE 0 END AS is_oldest FROM prev_x")
-add("W3_window_end", lambda s, d: C.clean_previous(S.previous(s, d)).select("SK_ID_PREV", V.client_window_end("fin")), "SELECT SK_ID_PREV, d1 AS fin FROM prev_x")
+add("W3_window_end", lambda s, d: V.with_window_end(C.clean_previous(S.previous(s, d)), "fin").select("SK_ID_PREV", "fin"), "SELECT SK_ID_PREV, d1 AS fin FROM prev_x")
 add("W4_last_state", lambda s, d: B.last_state(C.clean_panel(S.panel(s, d))), "SELECT SK_ID_BUREAU, arg_max(STATUS, MONTHS_BALANCE) AS last_status, max(MONTHS_BALANCE) AS last_month FROM panel_clean GROUP BY 1", ("last_status",))
 _LEAD = "SELECT *, lead(STATUS) OVER w AS next_status, CASE WHEN lead(MONTHS_BALANCE) OVER w - MONTHS_BALANCE = 1 THEN 1 ELSE 0 END AS is_consecutive, coalesce(lag(BB_IS_DPD) OVER w, 0) AS prev_dpd FROM panel_clean WINDOW w AS (PARTITION BY SK_ID_BUREAU ORDER BY MONTHS_BALANCE)"
 add(
