@@ -207,7 +207,12 @@ def _full_chain(s, d):
     return _column_profile(tr, "train").unionByName(_column_profile(va, "valid"))
 
 
-_CAPS = ", ".join(f"least({c}, (SELECT {G.WINSOR_FACTORS.get(c, P.WINSOR_FACTOR)} * quantile_cont({c}, 0.99) FROM cl_tr)) AS {c}" for c in G.WINSOR_COLUMNS if c != "OBS_60_CNT_SOCIAL_CIRCLE")
+def _capped(c: str) -> str:
+    cap = f"(SELECT {G.WINSOR_FACTORS.get(c, P.WINSOR_FACTOR)} * quantile_cont({c}, 0.99) FROM cl_tr)"
+    return f"CASE WHEN {c} > {cap} THEN {cap} ELSE {c} END AS {c}"
+
+
+_CAPS = ", ".join(_capped(c) for c in G.WINSOR_COLUMNS)
 _quoted = lambda names: ", ".join(f"'{n}'" for n in names)
 cte("fc_capped", f"SELECT * REPLACE ({_CAPS}) FROM cl JOIN (SELECT {K}, split FROM split_t) USING ({K})")
 cte(
