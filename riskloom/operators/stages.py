@@ -8,6 +8,7 @@ travels as JSON inside the model, so a fitted chain is saved and loaded like any
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.ml import Estimator, Model, Transformer
@@ -24,6 +25,7 @@ from riskloom.operators.cleaning import recode_domain
 from riskloom.operators.features import LATE_RATIOS, add_late_ratios
 from riskloom.operators.ranks import exact_quantiles, hash_of
 from riskloom.operators.woe import bin_counts, woe_table
+from riskloom.session import checkpoint_dir, checkpointed
 
 ID, TARGET = "SK_ID_CURR", "TARGET"
 # Winsorised columns and the ones capped at the bare percentile
@@ -184,19 +186,29 @@ class ColumnContract(Transformer, _Settings, DefaultParamsReadable, DefaultParam
 # -- categories --------------------------------------------------------------------------------
 
 
-def level_counts(df: DataFrame, columns: Iterable[str]) -> dict[str, dict]:
-    """Rows of every level of every column, missing included, in one aggregate."""
-    columns = list(columns)
-    if not columns:
-        return {}
+#: Fitted levels of a stage that travel inside the model and its expressions; more of them stay a table that is joined.
+INLINE_LEVELS = 2000
+
+
+def level_table(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """(c, v, n): rows of every level of every column, missing included, in one aggregate."""
     cells = F.array(*[F.struct(F.lit(c).alias("c"), quoted(c).cast("string").alias("v")) for c in columns])
-    rows = (
-        df.select(F.explode(cells).alias("x")).groupBy("x.c", "x.v").agg(F.count(F.lit(1)).alias("n")).collect()
-    )
-    out: dict[str, dict] = {c: {} for c in columns}
-    for r in rows:
-        out[r["c"]][r["v"]] = r["n"]
-    return out
+    return df.select(F.explode(cells).alias("x")).groupBy("x.c", "x.v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def kept_levels(table: DataFrame) -> dict:
+    """Fitted state of a table of levels: its rows while there are few, else the path it was written to.
+
+    The table is written once to the shared folder of the session and counted there. A model whose state is a path
+    needs that folder for as long as it is used.
+    """
+    spark = table.sparkSession
+    path = f"{checkpoint_dir(spark)}/levels-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    rows = spark.read.parquet(path).limit(INLINE_LEVELS + 1).collect()
+    if len(rows) > INLINE_LEVELS:
+        return {"path": path}
+    return {"rows": sorted((list(r) for r in rows), key=lambda r: (r[0], r[1] is None, r[1]))}
 
 
 def texts_of(df: DataFrame, columns: Iterable[str] | None) -> list[str]:
@@ -205,30 +217,49 @@ def texts_of(df: DataFrame, columns: Iterable[str] | None) -> list[str]:
     return names if columns is None else [c for c in columns if c in names]
 
 
-class RareGrouperModel(_Fitted):
-    """Sends rare levels to the residual; a level unseen at fit passes through."""
+class _LevelsModel(_Fitted):
+    """A model whose state is a table of levels (c, v, ...)."""
 
     def needs(self):
-        return self.fitted("rare")
+        return self.fitted("columns")
+
+    def inline(self, c: str) -> list[list] | None:
+        """Rows of one column without its name, or None when the state is a written table."""
+        rows = self.fitted("rows")
+        return None if rows is None else [r[1:] for r in rows if r[0] == c]
+
+    def table(self, spark, schema: str) -> DataFrame:
+        """The whole state as a frame."""
+        path = self.fitted("path")
+        return spark.read.parquet(path) if path else spark.createDataFrame([tuple(r) for r in self.fitted("rows")], schema)
+
+    def met(self, df: DataFrame, c: str, key: Column) -> DataFrame:
+        """The frame with ``_hit``, the written row of the column's level, or NULL."""
+        table = df.sparkSession.read.parquet(self.fitted("path")).filter(F.col("c") == c)
+        return df.join(table.select(F.col("v").alias("_v"), F.struct("*").alias("_hit")), key.eqNullSafe(F.col("_v")), "left").drop("_v")
+
+
+class RareGrouperModel(_LevelsModel):
+    """Sends rare levels to the residual; a level unseen at fit passes through."""
 
     def apply(self, df):
-        new = {}
-        for c, levels in self.fitted("rare").items():
-            named = [v for v in levels if v is not None]
+        for c in self.fitted("columns"):
+            levels = self.inline(c)
+            if levels is None:
+                df = self.met(df, c, quoted(c))
+                df = df.withColumn(c, F.when(F.col("_hit").isNotNull(), P.RESIDUAL_LEVEL).otherwise(quoted(c))).drop("_hit")
+                continue
+            named = [v for v, _ in levels if v is not None]
             hit = F.coalesce(quoted(c).isin(*named), F.lit(False)) if named else F.lit(False)
-            if None in levels:
+            if len(named) < len(levels):
                 hit = hit | quoted(c).isNull()
-            new[c] = F.when(hit, P.RESIDUAL_LEVEL).otherwise(quoted(c))
-        return df.withColumns(new) if new else df
+            df = df.withColumn(c, F.when(hit, P.RESIDUAL_LEVEL).otherwise(quoted(c)))
+        return df
 
     def report(self, spark) -> DataFrame:
         """Absorbed levels with their rows."""
-        rows = [
-            (c, "(nulo)" if v is None else v, n, P.RESIDUAL_LEVEL)
-            for c, levels in self.fitted("detail").items()
-            for v, n in levels
-        ]
-        return spark.createDataFrame(rows, "feature string, level string, n bigint, residual string")
+        t = self.table(spark, "c string, v string, n bigint")
+        return t.select(F.col("c").alias("feature"), F.coalesce("v", F.lit("(nulo)")).alias("level"), "n", F.lit(P.RESIDUAL_LEVEL).alias("residual"))
 
 
 class RareGrouper(_Stage):
@@ -237,16 +268,19 @@ class RareGrouper(_Stage):
     model = RareGrouperModel
 
     def state_of(self, df):
-        least = self.get("min_rows", P.MIN_CATEGORY_ROWS)
-        rare, detail = {}, {}
-        for c, levels in level_counts(df, texts_of(df, self.get("columns"))).items():
-            few = sorted(((v, n) for v, n in levels.items() if n < least), key=lambda x: (x[0] is None, x[0]))
-            if not few:
-                continue
-            if P.RESIDUAL_LEVEL in levels:
+        columns = texts_of(df, self.get("columns"))
+        if not columns:
+            return {"columns": [], "rows": []}
+        few = F.col("n") < self.get("min_rows", P.MIN_CATEGORY_ROWS)
+        counted = checkpointed(level_table(df, columns))
+        taken = F.bool_or(F.col("v").eqNullSafe(P.RESIDUAL_LEVEL))
+        # one row per column
+        marks = {r["c"]: r for r in counted.groupBy("c").agg(F.bool_or(few).alias("few"), taken.alias("taken")).collect()}
+        affected = [c for c in columns if c in marks and marks[c]["few"]]
+        for c in affected:
+            if marks[c]["taken"]:
                 raise ValueError(f"{c} already has a level {P.RESIDUAL_LEVEL!r}")
-            rare[c], detail[c] = [v for v, _ in few], few
-        return {"rare": rare, "detail": detail}
+        return {"columns": affected} | kept_levels(counted.filter(few))
 
 
 class OneHotModel(_Fitted):
@@ -265,33 +299,41 @@ class OneHotModel(_Fitted):
 
 
 class OneHot(_Stage):
-    """Levels of each column, missing included; a two-level column keeps its second level only."""
+    """Levels of each column, missing included; a two-level column keeps its second level only.
+
+    Every level becomes a column, so the levels must be few: more than ``INLINE_LEVELS`` in all is an error.
+    """
 
     model = OneHotModel
 
     def state_of(self, df):
-        counts = level_counts(df, [c for c in self.get("columns") if c in df.columns])
-        return {"levels": {c: sorted(v, key=lambda x: (x is None, x)) for c, v in counts.items()}}
+        columns = [c for c in self.get("columns") if c in df.columns]
+        levels: dict[str, list] = {c: [] for c in columns}
+        rows = level_table(df, columns).limit(INLINE_LEVELS + 1).collect() if columns else []
+        if len(rows) > INLINE_LEVELS:
+            raise ValueError(f"one column per level: over {INLINE_LEVELS} levels in {columns}")
+        for r in sorted(rows, key=lambda r: (r["v"] is None, r["v"])):
+            levels[r["c"]].append(r["v"])
+        return {"levels": levels}
 
 
-class WoeModel(_Fitted):
+class WoeModel(_LevelsModel):
     """Each level replaced by its evidence, unseen levels by 0; the column is renamed."""
 
-    def needs(self):
-        return self.fitted("woe")
-
     def apply(self, df):
-        for c, table in self.fitted("woe").items():
-            key = F.coalesce(quoted(c).cast("string"), F.lit(P.NULL_LEVEL))
-            df = df.withColumn(f"{c}_WOE", _mapped(key, table, 0.0)).drop(c)
+        for c in self.fitted("columns"):
+            key, levels = F.coalesce(quoted(c).cast("string"), F.lit(P.NULL_LEVEL)), self.inline(c)
+            if levels is None:
+                df = self.met(df, c, key)
+                df = df.withColumn(f"{c}_WOE", F.coalesce("_hit.woe", F.lit(0.0))).drop("_hit", c)
+            else:
+                df = df.withColumn(f"{c}_WOE", _mapped(key, dict(levels), 0.0)).drop(c)
         return df
 
     def report(self, spark) -> DataFrame:
         """Evidence of each level."""
-        rows = [
-            (c, "(nulo)" if v == P.NULL_LEVEL else v, w) for c, t in self.fitted("woe").items() for v, w in t.items()
-        ]
-        return spark.createDataFrame(rows, "feature string, level string, woe double")
+        level = F.when(F.col("v") == P.NULL_LEVEL, "(nulo)").otherwise(F.col("v"))
+        return self.table(spark, "c string, v string, woe double").select(F.col("c").alias("feature"), level.alias("level"), "woe")
 
 
 class WoeEncoder(_Stage):
@@ -304,15 +346,15 @@ class WoeEncoder(_Stage):
         if target not in df.columns:
             raise ValueError("evidence needs the target: there are no bads to count without it")
         columns = texts_of(df, self.get("columns"))
-        clash = [c for c, lv in level_counts(df, columns).items() if P.NULL_LEVEL in lv]
+        if not columns:
+            return {"columns": [], "rows": []}
+        real = df.agg(*[F.bool_or(quoted(c) == P.NULL_LEVEL).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+        clash = [c for i, c in enumerate(columns) if real[i]]
         if clash:
             raise ValueError(f"columns with a real {P.NULL_LEVEL!r} level: {clash}")
         labels = {c: F.coalesce(quoted(c), F.lit(P.NULL_LEVEL)) for c in columns}
-        out: dict[str, dict] = {c: {} for c in columns}
-        if columns:
-            for r in woe_table(bin_counts(df, labels, target)).select("feature", "bin", "woe").collect():
-                out[r["feature"]][r["bin"]] = r["woe"]
-        return {"woe": out}
+        woe = woe_table(bin_counts(df, labels, target)).select(F.col("feature").alias("c"), F.col("bin").alias("v"), "woe")
+        return {"columns": columns} | kept_levels(woe)
 
 
 def _mapped(key: Column, table: Mapping, default) -> Column:
@@ -323,31 +365,28 @@ def _mapped(key: Column, table: Mapping, default) -> Column:
     return F.coalesce(F.try_element_at(pairs, key), F.lit(default))
 
 
-class TargetMeanModel(_Fitted):
+class TargetMeanModel(_LevelsModel):
     """Smoothed target mean per level. Training rows get the mean of the other folds."""
 
-    def needs(self):
-        return self.fitted("means")
-
     def apply(self, df):
-        overall = self.fitted("overall")
-        new = {
-            c: _mapped(F.coalesce(quoted(c).cast("string"), F.lit(P.NULL_LEVEL)), table, overall)
-            for c, table in self.fitted("means").items()
-        }
-        return df.withColumns(new) if new else df
+        return self._encoded(df, lambda row: row[0], F.col("_hit.mean"), F.lit(self.fitted("overall")))
 
     def transform_train(self, df: DataFrame) -> DataFrame:
         """Encoding of the training rows, each from the folds it is not in."""
-        fold = fold_of(self.get("id_col", ID), self.get("folds", 5), self.get("seed", 42)).cast("string")
-        others = self.fitted("overall_by_fold")
-        default = _mapped(fold, others, self.fitted("overall"))
-        new = {}
-        for c, table in self.fitted("means_by_fold").items():
-            key = F.concat_ws("|", fold, F.coalesce(quoted(c).cast("string"), F.lit(P.NULL_LEVEL)))
-            pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-            new[c] = F.coalesce(F.try_element_at(pairs, key), default)
-        return df.withColumns(new) if new else df
+        fold = fold_of(self.get("id_col", ID), self.get("folds", 5), self.get("seed", 42))
+        rest = F.get(F.array(*[F.lit(v) for v in self.fitted("overall_by_fold")]), fold)
+        return self._encoded(df, lambda row: F.array(*[F.lit(v) for v in row[1]]), F.get("_hit.others", fold), rest, fold)
+
+    def _encoded(self, df, of_row, of_hit, default, at=None) -> DataFrame:
+        for c in self.fitted("columns"):
+            key, levels = F.coalesce(quoted(c).cast("string"), F.lit(P.NULL_LEVEL)), self.inline(c)
+            if levels is None:
+                df = self.met(df, c, key).withColumn(c, F.coalesce(of_hit, default)).drop("_hit")
+                continue
+            pairs = F.create_map(*[x for v, *row in levels for x in (F.lit(v), of_row(row) if at is not None else F.lit(of_row(row)))])
+            hit = F.try_element_at(pairs, key) if levels else F.lit(None).cast("double")
+            df = df.withColumn(c, F.coalesce(F.get(hit, at) if at is not None and levels else hit, default))
+        return df
 
 
 def fold_of(id_col: str, folds: int, seed: int | str) -> Column:
@@ -365,41 +404,33 @@ class TargetMeanEncoder(_Stage):
         target, folds, m = self.get("target", TARGET), self.get("folds", 5), float(self.get("smoothing", 20.0))
         columns = [c for c in self.get("columns") if c in df.columns]
         fold = fold_of(self.get("id_col", ID), folds, self.get("seed", 42))
+        known = df.filter(F.col(target).isNotNull()).withColumns({"_f": fold, "_y": F.col(target).cast("double")})
+        # one row per fold
+        per_fold = {r["_f"]: (r["n"], r["s"]) for r in known.groupBy("_f").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s")).collect()}
+        n, s = (sum(v[i] for v in per_fold.values()) for i in (0, 1))
+        overall = s / n if n else 0.0
+        rest = []
+        for f in range(folds):
+            fn, fs = per_fold.get(f, (0, 0.0))
+            rest.append((s - fs) / (n - fn) if n > fn else overall)
+        state = {"columns": columns, "overall": overall, "overall_by_fold": rest}
+        if not columns:
+            return state | {"rows": []}
         cells = F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(quoted(c).cast("string"), F.lit(P.NULL_LEVEL)).alias("v")) for c in columns])
-        rows = (
-            df.filter(F.col(target).isNotNull())
-            .select(fold.alias("f"), F.col(target).cast("double").alias("y"), F.explode(cells).alias("x"))
-            .groupBy("x.c", "x.v", "f")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
-            .collect()
+        inside = [F.col("_f") == f for f in range(folds)]
+        sums = known.select("_f", "_y", F.explode(cells).alias("x")).groupBy("x.c", "x.v").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("_y").alias("s"),
+            F.array(*[F.count_if(i) for i in inside]).alias("fn"),
+            F.array(*[F.coalesce(F.sum(F.when(i, F.col("_y"))), F.lit(0.0)) for i in inside]).alias("fs"),
         )
-        by_fold: dict[int, list[float]] = {}
-        levels: dict[str, dict[str, dict[int, tuple]]] = {c: {} for c in columns}
-        for r in rows:
-            levels[r["c"]].setdefault(r["v"], {})[r["f"]] = (r["n"], r["s"])
-            if r["c"] == columns[0]:
-                acc = by_fold.setdefault(r["f"], [0.0, 0.0])
-                acc[0] += r["n"]
-                acc[1] += r["s"]
-        n, s = sum(v[0] for v in by_fold.values()), sum(v[1] for v in by_fold.values())
-        overall = s / n if n else 0.0
-        rest = {f: ((s - v[1]) / (n - v[0]) if n > v[0] else overall) for f, v in by_fold.items()}
-        means: dict[str, dict] = {}
-        crossed: dict[str, dict] = {}
-        for c, table in levels.items():
-            means[c], crossed[c] = {}, {}
-            for v, parts in table.items():
-                ln, ls = sum(p[0] for p in parts.values()), sum(p[1] for p in parts.values())
-                means[c][v] = (ls + m * overall) / (ln + m)
-                for f in by_fold:
-                    fn, fs = parts.get(f, (0, 0.0))
-                    crossed[c][f"{f}|{v}"] = rest[f] if ln == fn else (ls - fs + m * rest[f]) / (ln - fn + m)
-        return {
-            "means": means,
-            "means_by_fold": crossed,
-            "overall": overall,
-            "overall_by_fold": {str(f): v for f, v in rest.items()},
-        }
+
+        def others(f: int) -> Column:
+            left, bads = F.col("n") - F.get("fn", F.lit(f)), F.col("s") - F.get("fs", F.lit(f))
+            return F.when(left == 0, F.lit(rest[f])).otherwise((bads + m * rest[f]) / (left + m))
+
+        mean = (F.col("s") + m * overall) / (F.col("n") + m)
+        return state | kept_levels(sums.select("c", "v", mean.alias("mean"), F.array(*[others(f) for f in range(folds)]).alias("others")))
 
 
 class OrdinalModel(_Fitted):

@@ -33,7 +33,7 @@ def test_winsor_is_fitted_on_train_only(table):
 
 def test_encoders(table, spark):
     rare = G.RareGrouper(columns=["t", "b"], min_rows=100).fit(table)
-    assert rare.fitted("rare") == {"t": [None]}
+    assert [r[:2] for r in rare.fitted("rows")] == [["t", None]] and rare.fitted("columns") == ["t"]
     hot = G.OneHot(columns=["t", "b"]).fit(table)
     assert hot.fitted("levels") == {"t": ["a", "b", "c", None], "b": ["x", "y"]}
     out = hot.transform(table.withColumn("t", F.lit("unseen")))
@@ -59,6 +59,26 @@ def test_target_mean_leaves_out_the_own_fold(table):
     assert a.exceptAll(b).count() == 0
 
 
+def test_many_levels_stay_a_table(table, monkeypatch):
+    """A state that is a joined table encodes like one inside the model."""
+    def run():
+        rare = G.RareGrouper(columns=["t", "b"], min_rows=100).fit(table)
+        woe, mean = G.WoeEncoder(columns=["t", "b"]).fit(table), G.TargetMeanEncoder(columns=["t"], smoothing=10.0).fit(table)
+        seen = table.withColumn("t", F.when(F.col("SK_ID_CURR") == 7, "unseen").otherwise(F.col("t")))
+        models = (rare, woe, mean)
+        frames = [m.transform(seen) for m in models] + [mean.transform_train(seen), rare.report(table.sparkSession), woe.report(table.sparkSession)]
+        rounded = [f.select(*[F.round(c, 12).alias(c) if t == "double" else F.col(c) for c, t in f.dtypes]) for f in frames]
+        return models, [sorted(map(str, f.collect())) for f in rounded]
+
+    inline, expected = run()
+    monkeypatch.setattr(G, "INLINE_LEVELS", 0)
+    joined, got = run()
+    assert all(m.fitted("path") is None for m in inline) and all(m.fitted("path") for m in joined)
+    assert got == expected
+    with pytest.raises(ValueError, match="levels"):
+        G.OneHot(columns=["t"]).fit(table)
+
+
 def test_chain_saves_and_loads(table, tmp_path):
     chain = [G.Winsorizer(columns=["n"]), G.MedianImputer(columns=["n"]), G.RareGrouper(columns=["t"]), G.OneHot(columns=["t", "b"]), G.ConstantDropper()]
     fitted = Pipeline(stages=chain).fit(table)
