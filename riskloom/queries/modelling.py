@@ -359,6 +359,15 @@ def _stability_sql() -> str:
 add("R6_fold_stability", _stability, _stability_sql(), ("feature",))
 
 
+def _band(s, d):
+    df = checkpointed(clients(s, d, "h").select(K, Y, *_STAB))
+    measured = {r["feature"]: r["iv"] for r in R.information_value(df, _STAB, Y).collect()}
+    return R.stability(df, X.stratified_folds(df), measured, _STAB, (0.0, float("inf")))
+
+
+add("R6_folds_reached", _band, f"SELECT feature, count(*) FILTER (WHERE iv >= 0.02) AS folds_reached, count(*) AS n_folds FROM ({_stability_sql()}) GROUP BY 1", ("feature",))
+
+
 def _register(s, d):
     df = clients(s, d, "h").select(*_SELCOLS)
     df = checkpointed(G.OneHot(columns=["NAME_HOUSING_TYPE"]).fit(df).transform(df))

@@ -16,9 +16,14 @@ from riskloom.operators import reports as Rp
 from riskloom.operators import signals as M
 from riskloom.operators import woe as W
 from riskloom.operators.gram import pairwise_pearson, spearman
+from riskloom.operators.history import HISTORY_FLAGS
+from riskloom.operators.panel import PANEL_FLAGS
+from riskloom.operators.previous import PREVIOUS_FLAGS
+from riskloom.plans import presets as Pr
 from riskloom.queries import standin as S
 from riskloom.queries.base import P_CUTS, RELATIVE, clients, hist_t, labels, n_if
 from riskloom.queries.registry import add, cte
+from riskloom.session import checkpointed
 
 K, Y = "SK_ID_CURR", "TARGET"
 TENTHS = "[0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]"
@@ -439,19 +444,20 @@ add(
     union(f"SELECT feature, '{b}' AS inside, iv FROM ({iv_sql(cond('cl_h', a, b, True, True))})" for a, b in _CP),
     ("feature", "inside"),
 )
-_CAND = {"BUREAU_LOAN_COUNT": "HAS_BUREAU_HISTORY", "BUREAU_CREDITS_PER_YEAR": "HAS_BUREAU_HISTORY", "BUREAU_OVERDUE_UNION": "HAS_BUREAU_HISTORY", "NAME_HOUSING_TYPE": None, "FLAG_EMAIL": None, "EXT_SOURCE_3": None}
+_CAND = Pr.IV_CANDIDATES | {"BUREAU_LOAN_COUNT": "HAS_BUREAU_HISTORY", "BUREAU_CREDITS_PER_YEAR": "HAS_BUREAU_HISTORY", "BUREAU_OVERDUE_UNION": "HAS_BUREAU_HISTORY", "EXT_SOURCE_3": None}
+_CAND_TEXT = {"NAME_HOUSING_TYPE", "FONDKAPREMONT_MODE", "HOUSETYPE_MODE", "WALLSMATERIAL_MODE", "EMERGENCYSTATE_MODE", "BB_TRAJECTORY"}
+_CAND_FLAG = {c for c in _CAND if c in {*HISTORY_FLAGS, *PANEL_FLAGS, *PREVIOUS_FLAGS, *Pr.MAIN_FLAGS, *Pr.PRESENCE}}
 
 
 def _iv_report_sql() -> str:
-    q = {"BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "EXT_SOURCE_3"}
-    alone = union(f"SELECT feature, iv, n_bins FROM ({iv_sql(strat((qbin if c in q else vbin)('cl_h', c)))})" for c in _CAND)
-    inside = union(f"SELECT feature, iv AS inside FROM ({iv_sql(cond('cl_h', c, p, c in q, False))})" for c, p in _CAND.items() if p)
-    marked = {"BUREAU_OVERDUE_UNION", "FLAG_EMAIL"}
-    filled = union(f"SELECT '{c}' AS feature, count({c}) AS n, {f'sum({c})' if c in marked else 'NULL'} AS n_marked FROM cl_h" for c in _CAND)
+    q = set(_CAND) - _CAND_TEXT - _CAND_FLAG
+    alone = union(f"SELECT feature, iv, n_bins FROM ({iv_sql(strat((qbin if c in q else vbin)('cl', c)))})" for c in _CAND)
+    inside = union(f"SELECT feature, iv AS inside FROM ({iv_sql(cond('cl', c, p, c in q, False))})" for c, p in _CAND.items() if p)
+    filled = union(f"SELECT '{c}' AS feature, count({c}) AS n, {f'sum({c})' if c in _CAND_FLAG else 'NULL'} AS n_marked FROM cl" for c in _CAND)
     return f"SELECT feature, iv, n_bins, inside AS iv_without_presence, n, n_marked, coalesce(inside, iv) AS iv_reading, CASE WHEN coalesce(inside, iv) >= 0.02 THEN 1 ELSE 0 END AS reaches FROM ({alone}) LEFT JOIN ({inside}) USING (feature) JOIN ({filled}) USING (feature)"
 
 
-add("V4_iv_report", lambda s, d: W.iv_report(clients(s, d, "h"), _CAND), _iv_report_sql(), ("feature",))
+add("V4_iv_report", lambda s, d: W.iv_report(checkpointed(clients(s, d)), _CAND), _iv_report_sql(), ("feature",))
 _SUMPOS = "CASE WHEN BUREAU_CURRENT_OVERDUE_SUM > 0 THEN 1.0 WHEN BUREAU_CURRENT_OVERDUE_SUM IS NOT NULL THEN 0.0 END"
 _MORA = {"BUREAU_HAS_CURRENT_OVERDUE": "BUREAU_HAS_CURRENT_OVERDUE", "BUREAU_CURRENT_OVERDUE_SUM > 0": "sum_pos"}
 add(
@@ -554,4 +560,24 @@ def _all_cuts(s, d):
     return s.createDataFrame([(k, json.dumps(v)) for k, v in cuts.items()], "name string, value string")
 
 
-add("K8_fit_all_cuts", _all_cuts)
+def _all_cuts_sql() -> str:
+    def crossing(name: str, rel: str, start: int) -> str:
+        return f"SELECT '{name}' AS name, CAST(CAST(min(cut) AS BIGINT) AS VARCHAR) AS value FROM ({_sweep_sql(rel, start)}) WHERE delta_pp >= 0.1"
+
+    peak = f"(SELECT low, high FROM ({_G}) ORDER BY rate DESC NULLS LAST, bin LIMIT 1)"
+    said = f"(SELECT NAME_CASH_LOAN_PURPOSE AS purpose, count(*) AS n, (avg({Y}) - (SELECT avg({Y}) FROM prev_t WHERE declared)) * 100 AS delta FROM prev_t WHERE declared GROUP BY 1)"
+    return union(
+        [
+            f"SELECT 'bureau_enddate_tramo_min_anios' AS name, coalesce(CAST(CAST(low AS DOUBLE) AS VARCHAR), '-Infinity') AS value FROM {peak}",
+            f"SELECT 'bureau_enddate_tramo_max_anios', coalesce(CAST(CAST(high AS DOUBLE) AS VARCHAR), 'Infinity') FROM {peak}",
+            crossing("bureau_count_cola", _HC, 2),
+            crossing("bb_many_credits_corte", _BC, 2),
+            crossing("prev_count_cola", _PC, 2),
+            crossing("prev_actividad_12m_cola", _AC, 1),
+            f"SELECT 'prev_sobreconcesion_corte', CAST(CAST(cut AS DOUBLE) AS VARCHAR) FROM ({_over_sql()}) WHERE chosen = 1",
+            f"SELECT 'prev_finalidades_urgentes', '[' || string_agg('\"' || purpose || '\"', ', ' ORDER BY purpose) || ']' FROM {said} WHERE n >= 20 AND delta >= 0.1",
+        ]
+    )
+
+
+add("K8_fit_all_cuts", _all_cuts, _all_cuts_sql(), ("name", "value"), all_text=True)
