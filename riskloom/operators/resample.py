@@ -1,6 +1,6 @@
 """Synthetic minority rows and Tomek links over an exact distributed nearest-neighbour search.
 
-Points are dealt to the cells of a bounded set of pivots. A first pass inside the own cell bounds the
+Points are dealt to the cells of pivots whose number follows the square root of the points. A first pass inside the own cell bounds the
 distance to the k-th neighbour of every point; a second pass visits only the cells the triangle
 inequality cannot rule out. Repeated points are searched once with their multiplicity, and a crowded
 cell is cut into blocks that different tasks search, so neither duplicates nor a dense region end up in
@@ -9,6 +9,7 @@ one task. What leaves a task is at most k neighbours per point and block, never
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 import numpy as np
@@ -21,12 +22,17 @@ from riskloom.operators.ranks import hash_of, hash_rank
 from riskloom.operators.splits import CLIENT, TARGET, class_sizes
 from riskloom.session import checkpointed
 
-PIVOTS = 64
+LEAST_PIVOTS = 64
 BLOCK_ROWS = 2000
 
 
+def pivots_for(points: int) -> int:
+    """Pivots for so many points: their square root, so that cells grow as slowly as the table of pivots."""
+    return max(LEAST_PIVOTS, math.isqrt(points))
+
+
 def _pivots(points: DataFrame, key: str, n: int) -> np.ndarray:
-    """Up to ``n`` points chosen by the hash of their key; bounded, so safe on the driver."""
+    """``n`` points chosen by the hash of their key: the square root of all, small enough for the driver."""
     rows = points.select("v", hash_of(key, "pivot").alias("h")).orderBy("h").limit(n).collect()
     return np.array([r["v"] for r in rows], dtype="float64")
 
@@ -89,12 +95,14 @@ def _nearest(found: DataFrame, key: str, k: int) -> DataFrame:
     return found.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
 
 
-def exact_neighbours(points: DataFrame, key: str, k: int, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def exact_neighbours(points: DataFrame, key: str, k: int, pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, nb, dist, mult, rk): the k nearest distinct points of every distinct point.
 
     ``points`` has a bigint key, ``v`` (array of doubles) and ``mult`` (rows at that point).
     """
-    piv = _pivots(points, key, pivots)
+    piv = _pivots(points, key, pivots or pivots_for(points.count()))
+    if not len(piv):
+        return points.sparkSession.createDataFrame([], f"`{key}` bigint, nb bigint, dist double, mult bigint, rk int")
     placed = checkpointed(_assign(points, key, piv))
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("to_pivot").alias("radius"))
     sized = placed.join(cells, "cell")
@@ -114,23 +122,25 @@ def exact_neighbours(points: DataFrame, key: str, k: int, pivots: int = PIVOTS,
 
     def reach(batches):
         ids = np.array(sorted(balls), dtype="int32")
-        radii = np.array([balls[i][1] for i in ids])
+        radii, parts = (np.array([balls[i][j] for i in ids]) for j in (1, 0))
         for pdf in batches:
             if not len(pdf):
                 continue
             d = _distances(np.stack(pdf["v"].to_numpy()), piv[ids])
             ub = pdf["ub"].fillna(np.inf).to_numpy()
             r, c = np.nonzero(d - radii[None, :] <= ub[:, None])
-            yield pd.DataFrame({key: pdf[key].to_numpy()[r], "v": pdf["v"].to_numpy()[r], "cell": ids[c], "qblock": pdf["qb"].to_numpy()[r]})
-
-    asking = stored.select(key, "v", F.col("block").alias("qb")).join(bound, key, "left")
-    # queries that meet at one cell are cut by hash too, so a popular cell is many tasks
-    asking = asking.withColumn("qb", F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(16)).cast("int"))
-    sent = asking.mapInPandas(reach, f"`{key}` bigint, v array<double>, cell int, qblock int")
-    n_blocks = F.create_map(*[F.lit(x) for c, b, _ in shape for x in (c, b)])
-    every = F.sequence(F.lit(0), F.element_at(n_blocks, F.col("cell")) - 1)
-    sent = sent.withColumn("block", F.explode(every))
-    meet = stored.select("cell", "block", key, "v", "mult").withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(15))))
+            # every block of a crowded cell is asked; the queries of one are cut in as many parts
+            blocks = parts[c]
+            r, c = np.repeat(r, blocks), np.repeat(c, blocks)
+            block = np.arange(len(r)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            yield pd.DataFrame({
+                key: pdf[key].to_numpy()[r], "v": pdf["v"].to_numpy()[r], "cell": ids[c], "block": block.astype("int32"),
+                "qblock": (pdf["h"].to_numpy()[r] % parts[c]).astype("int32"),
+            })
+
+    asking = stored.select(key, "v", F.xxhash64(F.col(key), F.lit(1)).alias("h")).join(bound, key, "left")
+    sent = asking.mapInPandas(reach, f"`{key}` bigint, v array<double>, cell int, block int, qblock int")
+    meet = stored.select("cell", "block", key, "v", "mult", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("qblock"))
     return _nearest(_search(sent, meet, key, k), key, k)
 
 
@@ -174,10 +184,8 @@ def synthetic_minority(
     dev = rows.agg(*[F.stddev_samp(c).alias(f"d{i}") for i, c in enumerate(continuous)]).first() if continuous else []
     spread = [d for d in dev if d is not None]
     penalty = float(np.median(spread)) if spread else 1.0
-    spans = {}
-    for c in nominal:
-        r = rows.agg(F.min(c).alias("a"), F.max(c).alias("b")).first()
-        spans[c] = (r["a"], (r["b"] - r["a"]) or 1.0)
+    ends = rows.agg(*[F.array(F.min(c), F.max(c)).alias(f"e{i}") for i, c in enumerate(nominal)]).first() if nominal else []
+    spans = {c: (low, (high - low) or 1.0) for c, (low, high) in zip(nominal, ends)}
     unit = {c: (F.col(c) - a) / s for c, (a, s) in spans.items()}
     vector = F.array(*[F.col(c) for c in continuous], *[e * penalty for e in unit.values()])
     points = checkpointed(distinct_points(rows, features, vector, id_col))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from riskloom import params as P
@@ -645,10 +647,32 @@ _SX = ["EXT_SOURCE_1", "EXT_SOURCE_3", "CAR"]
 
 
 def _sizes(df):
-    return df.groupBy(Y).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("CAR").isin(0, 1)).alias("whole"), F.count_distinct(K).alias("ids"))
+    """Rows of each class, whole nominal values, distinct ids, and the rows inside the range of the real minority."""
+    df = checkpointed(df)
+    # one row: the range of each feature
+    ends = df.filter((F.col(Y) == 1) & (F.col(K) > 0)).agg(*[f(c).alias(f"{n}_{c}") for c in _SX for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    inside = reduce(lambda x, y: x & y, [F.col(c).between(ends[f"lo_{c}"], ends[f"hi_{c}"]) for c in _SX])
+    made = F.col(K) < 0
+    return df.groupBy(Y).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("CAR").isin(0, 1)).alias("whole"), F.count_distinct(K).alias("ids"),
+        F.count_if(made).alias("made"), F.count_if(made & inside).alias("made_inside"),
+    )
+
+
+add(
+    "X6_synthetic_minority",
+    lambda s, d: _sizes(R2.synthetic_minority(_synthetic_input(s, d), _SX)),
+    f"SELECT t.v AS {Y}, n, n AS whole, n AS ids, CASE WHEN t.v = 1 THEN n - m ELSE 0 END AS made, CASE WHEN t.v = 1 THEN n - m ELSE 0 END AS made_inside FROM (SELECT count(*) FILTER (WHERE {Y} = 0) AS n, count(*) FILTER (WHERE {Y} = 1) AS m FROM lab), (VALUES (0), (1)) AS t(v)",
+)
+
+
+def _clean_synthetic(s, d):
+    """What is left of the grown table once the rows of its Tomek links are gone."""
+    left = checkpointed(R2.synthetic_without_links(_synthetic_input(s, d), _SX))
+    return left.groupBy(Y).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(K) < 0).alias("made"), F.count_distinct(K).alias("ids"))
 
 
-add("X6_synthetic_minority", lambda s, d: _sizes(R2.synthetic_minority(_synthetic_input(s, d), _SX)), f"SELECT t.v AS {Y}, n, n AS whole, n AS ids FROM (SELECT count(*) AS n FROM lab WHERE {Y} = 0), (VALUES (0), (1)) AS t(v)")
+add("X7_synthetic_without_links", _clean_synthetic)
 
 
 def _links(s, d):

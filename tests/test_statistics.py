@@ -249,6 +249,26 @@ def test_exact_neighbours_with_duplicates(spark):
         assert got[got["SK_ID_CURR"] == k].sort_values("rk")["nb"].tolist() == ids[np.lexsort((ids, d[i]))[:4]].tolist()
     grown = RS.synthetic_minority(df, list("abc")).toPandas()
     assert grown["TARGET"].value_counts().nunique() == 1 and grown["SK_ID_CURR"].is_unique
+    # every synthetic row lies between a minority row and one of its five nearest minority neighbours
+    real = pdf[pdf["TARGET"] == 1][list("abc")].to_numpy()
+    d = np.sqrt(((real[:, None] - real[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    pairs = [(i, j) for i in range(len(real)) for j in np.flatnonzero(d[i] <= np.sort(d[i])[4] + 1e-12)]
+    a, b = (real[[p[i] for p in pairs]] for i in (0, 1))
+    for v in grown[grown["SK_ID_CURR"] < 0][list("abc")].to_numpy():
+        detour = np.linalg.norm(a - v, axis=1) + np.linalg.norm(b - v, axis=1) - np.linalg.norm(a - b, axis=1)
+        assert detour.min() < 1e-9
+    # brute force over the grown rows: the rows of every link go, and only they
+    rows = grown.sort_values("SK_ID_CURR")
+    v, y, ids = rows[list("abc")].to_numpy(), rows["TARGET"].to_numpy(), rows["SK_ID_CURR"].to_numpy()
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    alone = (d == 0).sum(1) == 0
+    near = d.argmin(1)
+    linked = {ids[i] for i in range(len(ids)) if alone[i] and alone[near[i]] and near[near[i]] == i and y[i] != y[near[i]]}
+    linked |= {ids[i] for i in range(len(ids)) if (d[i] == 0).sum() == 1 and y[near[i]] != y[i]}
+    left = RS.synthetic_without_links(df, list("abc")).toPandas()
+    assert set(left["SK_ID_CURR"]) == set(ids) - linked
 
 
 def test_two_level_edges_count_like_one(spark):
