@@ -33,6 +33,12 @@ HEADLINE = (
     "E2_strategy_curve",
     "P1_winsorise",
     "P8_median_imputation",
+    "P14_fit_on_train_only",
+    "L1_logistic",
+    "L2_forest",
+    "L3_boosted",
+    "X6_synthetic_minority",
+    "X7_synthetic_without_links",
 )
 
 

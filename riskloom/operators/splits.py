@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from riskloom import params as P
 from riskloom.operators.joins import require_unique
 from riskloom.operators.ranks import hash_rank
+from riskloom.session import checkpointed
 
 CLIENT, TARGET, PART = "SK_ID_CURR", "TARGET", "split"
 PARTS = ("train", "valid")
@@ -110,24 +111,31 @@ def resampled_size(df: DataFrame, target: str = TARGET) -> DataFrame:
 # -- bootstrap ---------------------------------------------------------------------------------
 
 
-def bootstrap_weights(
+def bootstrap_rows(
     df: DataFrame, replicates: int, seed: int | str = 42, id_col: str = CLIENT, target: str = TARGET
 ) -> DataFrame:
-    """(replicate, id, weight): how often each row is drawn, each class resampled to its own size.
+    """The drawn rows with ``replicate`` and ``weight``, how often each is drawn; every class keeps its own size.
 
     A draw picks a row of its class by the hash of (row, replicate); draws are counted before they meet
-    the rows, so what is shuffled is one count per drawn row.
+    the rows, so what is shuffled is one count per drawn row, and the rows are met once.
     """
     sizes = class_sizes(df, target)
-    indexed = hash_rank(df.select(id_col, target), id_col, seed, [target], "idx")
-    number = F.conv(F.substring(F.md5(F.concat_ws("|", "idx", "replicate", F.lit(str(seed)))), 1, 12), 16, 10).cast("bigint")
+    indexed = checkpointed(hash_rank(df, id_col, seed, [target], "_idx"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", "_idx", "replicate", F.lit(str(seed)))), 1, 12), 16, 10).cast("bigint")
     draws = (
-        indexed.select(target, "idx", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-        .select(target, "replicate", (F.pmod(number, per_class(target, sizes)) + 1).alias("idx"))
-        .groupBy(target, "replicate", "idx")
+        indexed.select(target, "_idx", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+        .select(target, "replicate", (F.pmod(number, per_class(target, sizes)) + 1).alias("_idx"))
+        .groupBy(target, "replicate", "_idx")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
-    return draws.join(indexed, [target, "idx"]).select("replicate", id_col, "weight")
+    return indexed.join(draws, [target, "_idx"]).drop("_idx")
+
+
+def bootstrap_weights(
+    df: DataFrame, replicates: int, seed: int | str = 42, id_col: str = CLIENT, target: str = TARGET
+) -> DataFrame:
+    """(replicate, id, weight) of the drawn rows."""
+    return bootstrap_rows(df.select(id_col, target), replicates, seed, id_col, target).select("replicate", id_col, "weight")
 
 
 def bootstrap_interval(
@@ -146,7 +154,7 @@ def bootstrap_interval(
     """
     if replicates < 2 or not 0 < level < 1:
         raise ValueError(f"replicates {replicates} or level {level} not valid")
-    weighted = df.join(bootstrap_weights(df, replicates, seed, id_col, target), id_col)
+    weighted = bootstrap_rows(df, replicates, seed, id_col, target)
     tail = (1 - level) / 2
     # one value per replicate and name
     q = F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail)))
