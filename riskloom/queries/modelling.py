@@ -594,9 +594,9 @@ def _scored(model, df):
 
 
 add("L1_logistic", lambda s, d: (lambda t: _scored(L.fit_logistic(t, _FX, balanced=True), t))(modelling_table(s, d)))
-add("L2_forest", lambda s, d: (lambda t: _scored(L.fit_forest(t, _FX, balanced=True, trees=20, depth=6), t))(modelling_table(s, d)))
-add("L3_boosted", lambda s, d: (lambda t: _scored(L.fit_boosted(t, _FX, rounds=10, depth=3), t))(modelling_table(s, d)))
-add("L4_balanced_forest", lambda s, d: (lambda t: _scored(L.fit_balanced_forest(t, _FX, samples=3, trees_each=5, depth=5), t))(modelling_table(s, d)))
+add("L2_forest", lambda s, d: (lambda t: _scored(L.fit_forest(t, _FX, balanced=True), t))(modelling_table(s, d)))
+add("L3_boosted", lambda s, d: (lambda t: _scored(L.fit_boosted(t, _FX), t))(modelling_table(s, d)))
+add("L4_balanced_forest", lambda s, d: (lambda t: _scored(L.fit_balanced_forest(t, _FX), t))(modelling_table(s, d)))
 add("L6_class_one_probability", lambda s, d: (lambda t: L.positive_probability(L.fit_logistic(t, list(L.FLOOR_FEATURES)), t).select(K, "score"))(modelling_table(s, d)))
 
 
