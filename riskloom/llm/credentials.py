@@ -22,8 +22,8 @@ from riskloom.llm.common import partitions, staged
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-#: A run of exactly 40 with lower case, upper case and digit.
-KEY = r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
+#: A run of exactly 40 with lower case, upper case and digit. "=" before it ends a name, behind it pads a longer value.
+KEY = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 ENDPOINT = r"(?:https?|s3|ftp)://[A-Za-z0-9.-]+(?::[0-9]+)?"
 KINDS = ("assign", "access", "hex", "key", "endpoint")
 SCOPE = 200
