@@ -293,8 +293,19 @@ def _owner(c: str) -> str:
     return "bureau" if c.startswith("BUREAU") else "bureau_balance" if c.startswith("BB") else "previous_application" if c.startswith("PREV") else ""
 
 
+def _assembled(s, d):
+    """The assembled table with its late ratios, materialised."""
+    df = clients(s, d)
+    return checkpointed(G.LateRatioBuilder().fit(df).transform(df))
+
+
+def _pairs_of(df):
+    """Redundant pairs among all numeric columns of the assembled table."""
+    return R.redundant_pairs(df, [c for c in df.columns if c not in (K, Y)], Pr.table_of(), _DECL)
+
+
 def _pairs(s, d):
-    return R.redundant_pairs(checkpointed(clients(s, d).select(*_RC)), _RC, {c: _owner(c) for c in _RC}, _DECL)
+    return _pairs_of(_assembled(s, d))
 
 
 def _pairs_sql() -> str:
@@ -321,8 +332,10 @@ _RP = [("BB_N_CREDITS_WBAL", "BUREAU_LOAN_COUNT"), ("BB_MONTHS_TOTAL", "BUREAU_D
 
 
 def _resolved(s, d):
-    df = checkpointed(clients(s, d, "hb").select(Y, *sorted({c for p in _RP for c in p})))
-    return R.resolve_redundancy(df, _RP, ["EXT_SOURCE_3"])
+    df = _assembled(s, d)
+    # a few rows per pair of columns, whatever the number of clients
+    pairs = sorted((r["a"], r["b"]) for r in _pairs_of(df).select("a", "b").collect())
+    return R.resolve_redundancy(df.select(Y, *sorted({c for p in pairs for c in p})), pairs, ["EXT_SOURCE_3"])
 
 
 def _resolve_sql() -> str:
