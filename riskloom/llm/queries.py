@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from riskloom.llm import chat, credentials, fingerprints, langid, lines, mixing, neighbours, pieces, simhash, toxicity
+from riskloom.llm import chat, credentials, crosswalk, fingerprints, langid, lines, mixing, neighbours, pieces, simhash, toxicity
 from riskloom.llm.common import WORD, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,6 +55,10 @@ def op10_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf, "embeddings"))
 
 
+def op11_crosswalk(spark: SparkSession, sf: str) -> DataFrame:
+    return crosswalk.report(table(spark, sf, "documents"), BYTES, PIECES)
+
+
 def _time_sql(share: str) -> str:
     """The inverse of the schedules' integrals, as in ``mixing.time_of``."""
     cases = []
@@ -149,7 +154,7 @@ FROM documents d LEFT JOIN by_doc b ON d.doc_id = b.doc_id
 
 def runs() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> Spark plan builder."""
-    found = (op1_fingerprints, op2_language, op3_mixing, op4_pieces, op5_toxicity, op6_lines, op7_chat, op8_simhash, op9_secrets, op10_neighbours)
+    found = (op1_fingerprints, op2_language, op3_mixing, op4_pieces, op5_toxicity, op6_lines, op7_chat, op8_simhash, op9_secrets, op10_neighbours, op11_crosswalk)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
