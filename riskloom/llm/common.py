@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +60,32 @@ def with_text(docs: DataFrame, text: Column) -> DataFrame:
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as remainder -1, which no fold holds."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus, F.lit(-1))
+
+
+def tree(states: DataFrame, key: str, join: Callable[[dict, dict], dict], fan: int = 16) -> DataFrame:
+    """One row for each ``key``: rows are joined ``fan`` at a time, level by level, each task holding one joined row at once.
+
+    ``states`` has the whole-number columns ``key`` and ``part``; ``join`` gets two rows as dictionaries and returns the joined one.
+    """
+    states = staged(states)
+    widest, schema = states.agg(F.max("part")).first()[0] or 0, states.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for k in range(len(batch)):
+                own = batch.slice(k, 1).to_pylist()[0]
+                own["part"] //= fan
+                if held is not None and (held[key], held["part"]) == (own[key], own["part"]):
+                    held = own | join(held, own)
+                else:
+                    if held is not None:
+                        yield pa.RecordBatch.from_pylist([held], schema=batch.schema)
+                    held = own
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([held], schema=batch.schema)
+
+    while widest > 0:
+        dealt = states.withColumn("bucket", F.expr(f"part div {fan}")).repartition(key, "bucket").sortWithinPartitions(key, "bucket", "part").drop("bucket")
+        states, widest = staged(dealt.mapInArrow(run, schema)), widest // fan
+    return states

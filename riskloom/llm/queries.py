@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from riskloom.llm import chat, credentials, crosswalk, fingerprints, langid, lines, mixing, neighbours, pieces, simhash, toxicity, whitening
+from riskloom.llm import chat, credentials, crosswalk, fingerprints, langid, lines, mixing, neighbours, pieces, recurrent, simhash, toxicity, whitening
 from riskloom.llm.common import WORD, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -63,6 +63,10 @@ def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whitened(table(spark, sf, "embeddings"))
 
 
+def op13_recurrent(spark: SparkSession, sf: str) -> DataFrame:
+    return recurrent.scores(table(spark, sf, "documents"))
+
+
 def _time_sql(share: str) -> str:
     """The inverse of the schedules' integrals, as in ``mixing.time_of``."""
     cases = []
@@ -158,7 +162,7 @@ FROM documents d LEFT JOIN by_doc b ON d.doc_id = b.doc_id
 
 def runs() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> Spark plan builder."""
-    found = (op1_fingerprints, op2_language, op3_mixing, op4_pieces, op5_toxicity, op6_lines, op7_chat, op8_simhash, op9_secrets, op10_neighbours, op11_crosswalk, op12_whitening)
+    found = (op1_fingerprints, op2_language, op3_mixing, op4_pieces, op5_toxicity, op6_lines, op7_chat, op8_simhash, op9_secrets, op10_neighbours, op11_crosswalk, op12_whitening, op13_recurrent)
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 

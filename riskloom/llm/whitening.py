@@ -17,7 +17,7 @@ to 0 and doesn't count for identity_error; explained is 0 where the trace is. A
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,12 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import staged
+from riskloom.llm.common import tree
 
 COMPONENTS = 8
 SCALE, SHIFT, MOST = 1024, 100_000, 2.0**53
-#: States joined by one task at a level of the tree, numbers of the fits that the driver holds at once.
-FAN, HELD = 16, 1 << 22
+#: Numbers of the fits that the driver holds at once.
+HELD = 1 << 22
 #: Steps of the root finder; it needs about six.
 STEPS = 60
 NO_VARIANCE = 1e-12
@@ -216,42 +216,22 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndar
         yield length, rows, grid(column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), length))
 
 
-_STATE = "length int, part bigint, n bigint, sums array<string>, numbers array<double>"
+_STATE = "length bigint, part bigint, n bigint, sums array<string>, numbers binary"
 
 
 def _state(length: int, part: int, n: int, sums: list[int], numbers: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([length], pa.int32()), pa.array([part]), pa.array([n]), pa.array([[str(s) for s in sums]], pa.list_(pa.string())), pa.array([numbers], pa.list_(pa.float64()))]
+    columns = [pa.array([length], pa.int64()), pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([[str(s) for s in sums]], pa.list_(pa.string())), pa.array([numbers.tobytes()], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["length", "part", "n", "sums", "numbers"])
 
 
-def _spectrum(length: int, n: int, sums: list[str], numbers: np.ndarray) -> Spectrum:
-    return Spectrum(n, [int(s) for s in sums], numbers[:length].copy(), numbers[length:].reshape(length, length).copy())
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(bytes(raw), dtype=np.float64)
 
 
-def tree(states: DataFrame, join: Callable[[list, list], list]) -> DataFrame:
-    """One state for each length: states are joined ``FAN`` at a time, level by level, one of them held at once."""
-    states = staged(states)
-    widest = states.agg(F.max("part")).first()[0] or 0
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            for k in range(len(batch)):
-                length, part, n = (batch[c][k].as_py() for c in ("length", "part", "n"))
-                own = [length, part // FAN, n, batch["sums"][k].as_py(), batch["numbers"].slice(k, 1).flatten().to_numpy()]
-                if held is not None and held[:2] == own[:2]:
-                    held[2:] = join(held, own)
-                else:
-                    if held is not None:
-                        yield _state(*held)
-                    held = own
-        if held is not None:
-            yield _state(*held)
-
-    while widest > 0:
-        dealt = states.withColumn("bucket", F.expr(f"part div {FAN}")).repartition("length", "bucket").sortWithinPartitions("length", "bucket", "part").drop("bucket")
-        states, widest = staged(dealt.mapInArrow(run, _STATE)), widest // FAN
-    return states
+def _spectrum(state) -> Spectrum:
+    """The spectrum that a state holds."""
+    length, numbers = state["length"], _numbers(state["numbers"])
+    return Spectrum(state["n"], [int(s) for s in state["sums"]], numbers[:length].copy(), numbers[length:].reshape(length, length).copy())
 
 
 def spectra(rows: DataFrame) -> DataFrame:
@@ -268,12 +248,12 @@ def spectra(rows: DataFrame) -> DataFrame:
         for length, s in sorted(own.items()):
             yield _state(length, TaskContext.get().partitionId(), s.n, s.sums, np.concatenate([s.values, s.vectors.ravel()]))
 
-    def join(held: list, own: list) -> list:
-        s = _spectrum(held[0], *held[2:])
-        s.join(_spectrum(own[0], *own[2:]))
-        return [s.n, s.sums, np.concatenate([s.values, s.vectors.ravel()])]
+    def join(held: dict, own: dict) -> dict:
+        s = _spectrum(held)
+        s.join(_spectrum(own))
+        return {"n": s.n, "sums": [str(x) for x in s.sums], "numbers": np.concatenate([s.values, s.vectors.ravel()]).tobytes()}
 
-    return tree(rows.select("vec_id", "v").mapInArrow(run, _STATE), join)
+    return tree(rows.select("vec_id", "v").mapInArrow(run, _STATE), "length", join)
 
 
 def scatters(rows: DataFrame, centres: dict[int, np.ndarray], axes: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
@@ -289,8 +269,8 @@ def scatters(rows: DataFrame, centres: dict[int, np.ndarray], axes: dict[int, np
         for length, g in sorted(own.items()):
             yield _state(length, TaskContext.get().partitionId(), 0, [], g.ravel())
 
-    summed = tree(rows.mapInArrow(run, _STATE), lambda held, own: [0, [], held[4] + own[4]])
-    return {r["length"]: np.array(r["numbers"]).reshape(axes[r["length"]].shape[1], -1) for r in summed.collect()}  # a state for each length of the group
+    summed = tree(rows.mapInArrow(run, _STATE), "length", lambda held, own: {"numbers": (_numbers(held["numbers"]) + _numbers(own["numbers"])).tobytes()})
+    return {r["length"]: _numbers(r["numbers"]).reshape(axes[r["length"]].shape[1], -1) for r in summed.collect()}  # a state for each length of the group
 
 
 def refined(rows: DataFrame, found: dict[int, Spectrum], components: int = COMPONENTS) -> dict[int, Whitener]:
@@ -315,7 +295,7 @@ def fits(rows: DataFrame, components: int = COMPONENTS) -> Iterator[dict[int, Wh
             groups.append([])
         groups[-1].append(length)
     for own in groups:
-        found = {r["length"]: _spectrum(r["length"], r["n"], r["sums"], np.array(r["numbers"])) for r in states.filter(F.col("length").isin(own)).collect()}
+        found = {r["length"]: _spectrum(r) for r in states.filter(F.col("length").isin(own)).collect()}
         if found:
             yield refined(rows, found, components)
 
