@@ -338,14 +338,14 @@ add("AUD20_same_person", lambda s, d: A.identity_report(app(s, d), split(s, d)),
 
 def _folds_report(s, d):
     sp = split(s, d)
-    return A.fold_report(X.stratified_folds(X.only(app(s, d), "train", sp), (0, 1), 5), sp)
+    return A.fold_report(X.stratified_folds(X.only(app(s, d), "train", sp)), sp)
 
 
 _TR = f"(SELECT * FROM ({SPLIT_SQL}) WHERE split = 'train')"
 add(
     "AUD21_fold_report",
     _folds_report,
-    f"SELECT seed, fold, tot - n AS n_fit, n AS n_eval, (ts - s) / (tot - n) * 100 AS pct_fit, s / n * 100 AS pct_eval, 1 AS disjoint, 0 AS outside_train FROM (SELECT *, sum(n) OVER (PARTITION BY seed) AS tot, sum(s) OVER (PARTITION BY seed) AS ts FROM (SELECT seed, fold, count(*) AS n, sum({Y}) AS s FROM ({folds_sql((0, 1), 5, _TR)}) GROUP BY 1, 2))",
+    f"SELECT seed, fold, tot - n AS n_fit, n AS n_eval, (ts - s) / (tot - n) * 100 AS pct_fit, s / n * 100 AS pct_eval, 1 AS disjoint, 0 AS outside_train FROM (SELECT *, sum(n) OVER (PARTITION BY seed) AS tot, sum(s) OVER (PARTITION BY seed) AS ts FROM (SELECT seed, fold, count(*) AS n, sum({Y}) AS s FROM ({folds_sql(P.SEEDS, P.N_FOLDS, _TR)}) GROUP BY 1, 2))",
 )
 add("AUD23_same_population", lambda s, d: J.same_population(labels(s, d), S.history(s, d)), f"SELECT (SELECT count(*) FROM lab WHERE {K} NOT IN (SELECT {K} FROM hist_raw)) AS only_left, (SELECT count(DISTINCT {K}) FROM hist_raw WHERE {K} NOT IN (SELECT {K} FROM lab)) AS only_right")
 add("AUD24_join_integrity", lambda s, d: J.join_integrity(app(s, d), clients(s, d, "h")), "SELECT (SELECT count(*) FROM app1) AS rows_before, count(*) AS rows_after, 0 AS repeated_keys, CASE WHEN (SELECT count(*) FROM app1) = count(*) THEN 1 ELSE 0 END AS intact FROM cl_h")

@@ -552,15 +552,15 @@ add(
 
 def _fold_diffs(s, d):
     df = scores(s, d)
-    folds = X.stratified_folds(df.withColumnRenamed("y", Y), (0, 1), 5).select(K, "seed", "fold")
+    folds = X.stratified_folds(df.withColumnRenamed("y", Y)).select(K, "seed", "fold")
     rows = df.join(folds, K)
     keys = ["seed", "fold"]
     a = E.ranking(E.score_groups(rows, "y", "s", keys), keys).select(*keys, F.col("auc").alias("a"))
     b = E.ranking(E.score_groups(rows, "y", "s2", keys), keys).select(*keys, F.col("auc").alias("b"))
-    return a.join(b, keys)
+    return checkpointed(a.join(b, keys))
 
 
-add("E8_corrected_t", lambda s, d: E.corrected_t(_fold_diffs(s, d).withColumn("diff", F.col("a") - F.col("b"))).drop("p"), f"""WITH f AS ({folds_sql((0, 1), 5, '(SELECT ' + K + ', y AS TARGET FROM sc)')}), j AS (SELECT seed, fold, y, s, s2 FROM sc JOIN f USING ({K})),
+add("E8_corrected_t", lambda s, d: E.corrected_t(_fold_diffs(s, d).withColumn("diff", F.col("a") - F.col("b"))).drop("p"), f"""WITH f AS ({folds_sql(P.SEEDS, P.N_FOLDS, '(SELECT ' + K + ', y AS TARGET FROM sc)')}), j AS (SELECT seed, fold, y, s, s2 FROM sc JOIN f USING ({K})),
 auc AS (SELECT seed, fold, (sum(y * ra) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) - (sum(y * rb) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) AS d FROM (SELECT *, rank() OVER (PARTITION BY seed, fold ORDER BY s) + (count(*) OVER (PARTITION BY seed, fold, s) - 1) / 2 AS ra, rank() OVER (PARTITION BY seed, fold ORDER BY s2) + (count(*) OVER (PARTITION BY seed, fold, s2) - 1) / 2 AS rb FROM j) GROUP BY 1, 2)
 SELECT count(*) AS n, avg(d) AS mean, avg(d) / sqrt((1 / count(*) + 0.25) * var_samp(d)) AS t FROM auc""")
 _DL = """WITH c AS (SELECT y, CASE WHEN y = 1 THEN (rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 - rank() OVER (PARTITION BY y ORDER BY s) - (count(*) OVER (PARTITION BY y, s) - 1) / 2) / n0 ELSE 1 - (rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 - rank() OVER (PARTITION BY y ORDER BY s) - (count(*) OVER (PARTITION BY y, s) - 1) / 2) / n1 END AS a,
@@ -587,7 +587,7 @@ def _contrast(s, d):
     return E.contrast_strategies(rows, "pesos", {"m": 1}).select("model", "strategy", "auc_mean", "zone_mean")
 
 
-add("E13_contrast_strategies", _contrast, f"""WITH f AS ({folds_sql((0, 1), 5, '(SELECT ' + K + ', y AS TARGET FROM sc)')}), j AS (SELECT seed, fold, y, s, s2 FROM sc JOIN f USING ({K})),
+add("E13_contrast_strategies", _contrast, f"""WITH f AS ({folds_sql(P.SEEDS, P.N_FOLDS, '(SELECT ' + K + ', y AS TARGET FROM sc)')}), j AS (SELECT seed, fold, y, s, s2 FROM sc JOIN f USING ({K})),
 auc AS (SELECT seed, fold, (sum(y * ra) - sum(y * rb)) / (sum(y) * sum(1 - y)) AS d FROM (SELECT *, rank() OVER (PARTITION BY seed, fold ORDER BY s) + (count(*) OVER (PARTITION BY seed, fold, s) - 1) / 2 AS ra, rank() OVER (PARTITION BY seed, fold ORDER BY s2) + (count(*) OVER (PARTITION BY seed, fold, s2) - 1) / 2 AS rb FROM j) GROUP BY 1, 2)
 SELECT 'm' AS model, 'nada' AS strategy, avg(d) AS auc_mean, avg(d) AS zone_mean FROM auc""", ("model", "strategy"))
 
@@ -615,12 +615,12 @@ add("L6_class_one_probability", lambda s, d: (lambda t: L.positive_probability(L
 
 def _floor(s, d):
     t = app(s, d).select(K, Y)
-    folds = X.stratified_folds(t, (0,), 5).withColumnRenamed("fold", "k")
-    fit = folds.select(Y, F.explode(F.filter(F.array(*[F.lit(i) for i in range(5)]), lambda i: i != F.col("k"))).alias("k"))
-    return E.constant_floor(fit, folds, Y, ["k"])
+    folds = X.stratified_folds(t).withColumnRenamed("fold", "k")
+    fit = folds.select(Y, "seed", F.explode(F.filter(F.array(*[F.lit(i) for i in range(P.N_FOLDS)]), lambda i: i != F.col("k"))).alias("k"))
+    return E.constant_floor(fit, folds, Y, ["seed", "k"])
 
 
-add("L7_constant_floor", _floor, f"SELECT k, pd, sh * power(1 - pd, 2) + (1 - sh) * pd * pd AS brier, -(sh * ln(pd) + (1 - sh) * ln(1 - pd)) AS log_loss FROM (SELECT fold AS k, avg({Y}) AS sh, (ts - sum({Y})) / (tn - count(*)) AS pd FROM ({folds_sql((0,), 5)}), (SELECT sum({Y}) AS ts, count(*) AS tn FROM lab) GROUP BY fold, ts, tn)")
+add("L7_constant_floor", _floor, f"SELECT seed, k, pd, sh * power(1 - pd, 2) + (1 - sh) * pd * pd AS brier, -(sh * ln(pd) + (1 - sh) * ln(1 - pd)) AS log_loss FROM (SELECT seed, fold AS k, avg({Y}) AS sh, (ts - sum({Y})) / (tn - count(*)) AS pd FROM ({folds_sql(P.SEEDS, P.N_FOLDS)}), (SELECT sum({Y}) AS ts, count(*) AS tn FROM lab) GROUP BY seed, fold, ts, tn)")
 
 
 def _oof(s, d):
