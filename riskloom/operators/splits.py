@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import params as P
+from riskloom.operators import bootstrap as B
 from riskloom.operators.joins import require_unique
 from riskloom.operators.ranks import hash_rank
-from riskloom.session import checkpointed
 
 CLIENT, TARGET, PART = "SK_ID_CURR", "TARGET", "split"
 PARTS = ("train", "valid")
@@ -111,31 +111,56 @@ def resampled_size(df: DataFrame, target: str = TARGET) -> DataFrame:
 # -- bootstrap ---------------------------------------------------------------------------------
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def bootstrap_rows(
-    df: DataFrame, replicates: int, seed: int | str = 42, id_col: str = CLIENT, target: str = TARGET
+    df: DataFrame, replicates: int, seed: int | str = 42, id_col: str = CLIENT, target: str = TARGET, bucket_rows: int = B.BUCKET_ROWS
 ) -> DataFrame:
     """The drawn rows with ``replicate`` and ``weight``, how often each is drawn; every class keeps its own size.
 
-    A draw picks a row of its class by the hash of (row, replicate); draws are counted before they meet
-    the rows, so what is shuffled is one count per drawn row, and the rows are met once.
+    The rows of a bucket are drawn in the task that holds them, so no draw is shuffled.
     """
-    sizes = class_sizes(df, target)
-    indexed = checkpointed(hash_rank(df, id_col, seed, [target], "_idx"))
-    number = F.conv(F.substring(F.md5(F.concat_ws("|", "_idx", "replicate", F.lit(str(seed)))), 1, 12), 16, 10).cast("bigint")
-    draws = (
-        indexed.select(target, "_idx", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-        .select(target, "replicate", (F.pmod(number, per_class(target, sizes)) + 1).alias("_idx"))
-        .groupBy(target, "replicate", "_idx")
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
-    return indexed.join(draws, [target, "_idx"]).drop("_idx")
+    rows, plan = B.dealt(df, class_sizes(df, target), replicates, seed, id_col, target, bucket_rows)
+    return B.drawn_rows(rows, plan, df.columns, id_col, _partitions(df))
 
 
 def bootstrap_weights(
-    df: DataFrame, replicates: int, seed: int | str = 42, id_col: str = CLIENT, target: str = TARGET
+    df: DataFrame, replicates: int, seed: int | str = 42, id_col: str = CLIENT, target: str = TARGET, bucket_rows: int = B.BUCKET_ROWS
 ) -> DataFrame:
     """(replicate, id, weight) of the drawn rows."""
-    return bootstrap_rows(df.select(id_col, target), replicates, seed, id_col, target).select("replicate", id_col, "weight")
+    return bootstrap_rows(df.select(id_col, target), replicates, seed, id_col, target, bucket_rows).select("replicate", id_col, "weight")
+
+
+class WeightedMeans:
+    """Statistic for the bootstrap: weighted means of the given expressions.
+
+    Its totals are sums over rows, so the bootstrap keeps two numbers per replicate and name instead of drawn rows.
+    """
+
+    def __init__(self, names: Mapping[str, Column]):
+        self.names = dict(names)
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        g = rows.groupBy("replicate").agg(
+            *[(F.sum(e * F.col("weight")) / F.sum(F.when(e.isNotNull(), F.col("weight")))).alias(n) for n, e in self.names.items()]
+        )
+        return g.unpivot("replicate", list(self.names), "name", "value")
+
+
+weighted_means = WeightedMeans
+
+
+def bootstrap_means(
+    df: DataFrame, means: WeightedMeans, replicates: int, seed: int | str = 42, id_col: str = CLIENT, target: str = TARGET, bucket_rows: int = B.BUCKET_ROWS
+) -> DataFrame:
+    """(replicate, name, value): the weighted means of every replicate, from sums that each task keeps."""
+    values = {f"_v{i}": e.cast("double") for i, e in enumerate(means.names.values())}
+    rows, plan = B.dealt(df.select(id_col, target, *[e.alias(v) for v, e in values.items()]), class_sizes(df, target), replicates, seed, id_col, target, bucket_rows)
+    sums = B.drawn_sums(rows, plan, values, id_col, _partitions(df))
+    names = F.create_map(*[F.lit(x) for pair in zip(values, means.names) for x in pair])
+    return sums.select("replicate", F.element_at(names, F.col("name")).alias("name"), F.try_divide("total", "weight").alias("value"))
 
 
 def bootstrap_interval(
@@ -146,6 +171,7 @@ def bootstrap_interval(
     seed: int | str = 42,
     id_col: str = CLIENT,
     target: str = TARGET,
+    bucket_rows: int = B.BUCKET_ROWS,
 ) -> DataFrame:
     """Percentile interval of a statistic, scalar or many named values per replicate.
 
@@ -154,23 +180,14 @@ def bootstrap_interval(
     """
     if replicates < 2 or not 0 < level < 1:
         raise ValueError(f"replicates {replicates} or level {level} not valid")
-    weighted = bootstrap_rows(df, replicates, seed, id_col, target)
+    if isinstance(statistic, WeightedMeans):
+        values = bootstrap_means(df, statistic, replicates, seed, id_col, target, bucket_rows)
+    else:
+        values = statistic(bootstrap_rows(df, replicates, seed, id_col, target, bucket_rows))
     tail = (1 - level) / 2
     # one value per replicate and name
     q = F.percentile("value", F.array(F.lit(tail), F.lit(1 - tail)))
-    return statistic(weighted).groupBy("name").agg(q[0].alias("lower"), q[1].alias("upper"))
-
-
-def weighted_means(names: Mapping[str, Column]) -> Callable[[DataFrame], DataFrame]:
-    """Statistic for the bootstrap: weighted means of the given expressions."""
-
-    def run(rows: DataFrame) -> DataFrame:
-        g = rows.groupBy("replicate").agg(
-            *[(F.sum(e * F.col("weight")) / F.sum(F.when(e.isNotNull(), F.col("weight")))).alias(n) for n, e in names.items()]
-        )
-        return g.unpivot("replicate", list(names), "name", "value")
-
-    return run
+    return values.groupBy("name").agg(q[0].alias("lower"), q[1].alias("upper"))
 
 
 # -- fingerprints ------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from riskloom import params as P
+from riskloom.operators import bootstrap as B
 from riskloom.operators import evaluation as E
 from riskloom.operators import models as L
 from riskloom.operators import resample as R2
@@ -440,17 +441,40 @@ add("X8_resampled_size", lambda s, d: X.resampled_size(X.undersample(app(s, d)))
 _REPS = 2000
 
 
+#: Rows of a bucket in the registered query: few, so that the small tables have several buckets a class.
+_BUCKET = 256
+
+
 def _bootstrap(s, d):
     stat = X.weighted_means({"rate": F.col(Y).cast("double"), "mean_ext3": F.col("EXT_SOURCE_3"), "mean_credit": F.col("AMT_CREDIT")})
-    return X.bootstrap_interval(app(s, d).select(K, Y, "EXT_SOURCE_3", "AMT_CREDIT"), stat, _REPS)
+    return X.bootstrap_interval(app(s, d).select(K, Y, "EXT_SOURCE_3", "AMT_CREDIT"), stat, _REPS, bucket_rows=_BUCKET)
+
+
+def _mix(x: str) -> str:
+    """x ** 5 modulo the prime."""
+    p = B.PRIME
+    return f"(({x} * {x} % {p}) * ({x} * {x} % {p}) % {p} * {x} % {p})"
+
+
+def _streams(rel: str, bucket: str) -> str:
+    """The rows of ``rel`` with start and stride of their stream of draws."""
+    a, b, c = B.STEPS
+    base = f"SELECT *, (rep * {a} + ({Y} + 1) * {b} + ({bucket} + 1) * {c} + {B.seed_number(42)}) % {B.PRIME} AS x0 FROM {rel}"
+    return f"(SELECT *, 1 + {_mix('x1')} % {B.PRIME - 1} AS stride FROM (SELECT *, (start + 1) % {B.PRIME} AS x1 FROM (SELECT *, {_mix('x0')} AS start FROM ({base}))))"
 
 
 add(
     "X9_bootstrap_interval",
     _bootstrap,
-    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY {Y} ORDER BY md5({K} || '|42'), {K}) AS idx, count(*) OVER (PARTITION BY {Y}) AS m FROM app1),
-dr AS (SELECT {Y}, q.rep, CAST('0x' || substr(md5(idx || '|' || q.rep || '|42'), 1, 12) AS BIGINT) % m + 1 AS idx FROM r, (SELECT unnest(range(1, {_REPS + 1})) AS rep) q),
-st AS (SELECT rep, avg({Y}) AS rate, avg(EXT_SOURCE_3) AS mean_ext3, avg(AMT_CREDIT) AS mean_credit FROM dr JOIN r USING ({Y}, idx) GROUP BY 1)
+    f"""WITH h AS (SELECT *, md5({K} || '|42') AS h, count(*) OVER (PARTITION BY {Y}) AS m FROM app1),
+r AS (SELECT *, row_number() OVER (PARTITION BY {Y}, b ORDER BY h, {K}) - 1 AS idx FROM (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % CAST(ceil(m / {_BUCKET}) AS BIGINT) AS b FROM h)),
+bk AS (SELECT *, sum(n) OVER (PARTITION BY {Y} ORDER BY b) - n AS lo FROM (SELECT {Y}, b, count(*) AS n FROM r GROUP BY 1, 2)),
+cr AS (SELECT {Y}, m, rep FROM (SELECT {Y}, count(*) AS m FROM app1 GROUP BY 1), (SELECT unnest(range(1, {_REPS + 1})) AS rep)),
+ch AS (SELECT {Y}, rep, m, start, {_mix('x2')} AS f FROM (SELECT *, (start + k * stride) % {B.PRIME} AS x2 FROM (SELECT *, unnest(range(m)) AS k FROM {_streams('cr', '-1')}))),
+po AS (SELECT {Y}, rep, (f * {B.PRIME + 1} + {_mix('x3')}) % m AS pos FROM (SELECT *, (f + start) % {B.PRIME} AS x3 FROM ch)),
+n1 AS (SELECT a.{Y}, a.rep, b.b, b.n, count(*) AS draws FROM po a JOIN bk b ON a.{Y} = b.{Y} AND a.pos >= b.lo AND a.pos < b.lo + b.n GROUP BY 1, 2, 3, 4),
+d2 AS (SELECT {Y}, rep, b, {_mix('x2')} % n AS idx FROM (SELECT *, (start + k * stride) % {B.PRIME} AS x2 FROM (SELECT *, unnest(range(draws)) AS k FROM {_streams('n1', 'b')}))),
+st AS (SELECT rep, avg({Y}) AS rate, avg(EXT_SOURCE_3) AS mean_ext3, avg(AMT_CREDIT) AS mean_credit FROM d2 JOIN r USING ({Y}, b, idx) GROUP BY 1)
 """
     + union(f"SELECT '{c}' AS name, quantile_cont({c}, 0.025) AS lower, quantile_cont({c}, 0.975) AS upper FROM st" for c in ("rate", "mean_ext3", "mean_credit")),
     ("name",),

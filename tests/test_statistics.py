@@ -232,6 +232,19 @@ def test_bootstrap_keeps_classes(df):
     assert ci["mean"]["lower"] < base.agg(F.avg("v")).first()[0] < ci["mean"]["upper"]
 
 
+def test_bootstrap_sums_equal_the_statistic_over_drawn_rows(df):
+    base = df.select(F.col("id").alias("SK_ID_CURR"), F.col("y").alias("TARGET"), F.when(F.col("id") % 7 > 0, F.col("v")).alias("v"))
+    mean = X.weighted_means({"mean": F.col("v"), "rate": F.col("TARGET").cast("double")})
+    for bucket_rows in (5, 1000):
+        rows = X.bootstrap_rows(base, 30, bucket_rows=bucket_rows)
+        direct = {(r["replicate"], r["name"]): r["value"] for r in mean(rows).collect()}
+        sums = {(r["replicate"], r["name"]): r["value"] for r in X.bootstrap_means(base, mean, 30, bucket_rows=bucket_rows).collect()}
+        assert direct.keys() == sums.keys() and all(abs(direct[k] - sums[k]) < 1e-9 for k in sums)
+        sizes = {r["TARGET"]: r["count"] for r in base.groupBy("TARGET").count().collect()}
+        drawn = rows.groupBy("replicate", "TARGET").agg(F.sum("weight").alias("n"), F.max("weight").alias("most")).collect()
+        assert len(drawn) == 60 and all(r["n"] == sizes[r["TARGET"]] for r in drawn) and max(r["most"] for r in drawn) > 1
+
+
 def test_exact_neighbours_with_duplicates(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(240, 3))
