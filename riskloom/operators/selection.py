@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from riskloom import params as P
 from riskloom.operators.binning import distinct_edges, fit_bins, numbers_of, zero_one
 from riskloom.operators.gram import pairwise_pearson
-from riskloom.operators.ranks import exact_quantiles
+from riskloom.operators.ranks import exact_quantiles, prefix_by_value
 from riskloom.operators.stages import ID, TARGET, ColumnDropModel, _Stage, quoted
 from riskloom.operators.woe import bin_counts, conditional_iv, information_value, iv_of, woe_table
+from riskloom.session import checkpointed
 
 EVENT = " > 0"
 
@@ -260,58 +261,84 @@ class IvSelector(_Stage):
 # -- stability and register --------------------------------------------------------------------
 
 
-def fold_iv(
-    df: DataFrame, folds: DataFrame, columns: Iterable[str], target: str = TARGET, id_col: str = ID
-) -> DataFrame:
-    """(feature, seed, fold, iv): IV of each column on the fitting part of every fold, bins refitted there.
+def fold_counts(df: DataFrame, folds: DataFrame, columns: Iterable[str], target: str = TARGET, id_col: str = ID) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """(feature, v, label, n0.., b0..): rows and bads of every value outside each (seed, fold), and the cells in order.
 
-    One job for all folds: a row is repeated once per fold it helps to fit, and edges come back
-    as a table of one row per fold and column.
+    Rows are counted once, by value and own folds; what fits a fold is the total less the fold's own count. A row meets its folds
+    in one join whatever the number of seeds, and no row is repeated for the folds that it helps to fit.
     """
     columns = list(columns)
-    spark = df.sparkSession
-    seeds = folds.select(id_col, "seed", "fold")
+    seeds = sorted(r["seed"] for r in folds.select("seed").distinct().collect())
     k = folds.agg((F.max("fold") + 1).alias("k")).first()["k"]
-    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("_own"))
-    rows = (
-        df.select(id_col, target, *[quoted(c).alias(f"c{i}") for i, c in enumerate(columns)])
-        .join(seeds.withColumnRenamed("fold", "_own"), id_col)
-        .withColumn("fold", F.explode(others))
-        .drop("_own")
-    )
+    own = folds.groupBy(id_col).agg(*[F.max(F.when(F.col("seed") == s, F.col("fold"))).alias(f"_own{i}") for i, s in enumerate(seeds)])
     numbers = set(numbers_of(df, columns))
-    wide = [f"c{i}" for i, c in enumerate(columns) if c in numbers]
-    edges = exact_quantiles(rows, wide, [i / P.MAX_BINS for i in range(P.MAX_BINS + 1)], ["seed", "fold"]) if wide else {}
-    table = spark.createDataFrame(
-        [(s, f, c, list(distinct_edges(v))) for (s, f, c), v in edges.items()] or [(-1, -1, "", [0.0])],
-        "seed int, fold int, feature string, edges array<double>",
-    )
     cells = F.array(
         *[
             F.struct(
-                F.lit(f"c{i}").alias("feature"),
-                (F.col(f"c{i}").cast("double") if c in numbers else F.lit(None).cast("double")).alias("v"),
-                F.coalesce(F.col(f"c{i}").cast("string"), F.lit(P.NULL_LEVEL)).alias("label"),
+                F.lit(c).alias("feature"),
+                (quoted(c).cast("double") if c in numbers else F.lit(None).cast("double")).alias("v"),
+                F.coalesce(quoted(c).cast("string"), F.lit(P.NULL_LEVEL)).alias("label"),
             )
-            for i, c in enumerate(columns)
+            for c in columns
         ]
     )
-    long = rows.select("seed", "fold", F.col(target).cast("double").alias("y"), F.explode(cells).alias("x")).select("seed", "fold", "y", "x.*")
-    # one row per fold and column, built on the driver: safe to broadcast
-    long = long.join(F.broadcast(table), ["seed", "fold", "feature"], "left")
-    lo, hi = F.element_at("edges", 1), F.element_at("edges", -1)
-    many = long.groupBy("seed", "fold", "feature").agg(F.bool_or((F.col("v") > lo) & (F.col("v") < hi)).alias("many"))
+    y = F.col(target).cast("double")
+    rows = df.filter(F.col(target).isNotNull()).select(id_col, y.alias("_y"), F.explode(cells).alias("x")).join(own, id_col)
+    parts = {}
+    for i in range(len(seeds)):
+        there = F.col(f"_own{i}").isNotNull()
+        parts |= {f"tn{i}": F.count_if(there), f"tb{i}": F.sum(F.when(there, F.col("_y")).otherwise(0.0))}
+        for g in range(k):
+            inside = F.col(f"_own{i}") == g
+            parts |= {f"n{i}_{g}": F.count_if(inside), f"b{i}_{g}": F.sum(F.when(inside, F.col("_y")).otherwise(0.0))}
+    grouped = rows.groupBy("x.feature", "x.v", "x.label").agg(*[e.alias(n) for n, e in parts.items()])
+    cells_of = [(i, s, g) for i, s in enumerate(seeds) for g in range(k)]
+    outside = [
+        e for w, (i, _, g) in enumerate(cells_of)
+        for e in ((F.col(f"tn{i}") - F.col(f"n{i}_{g}")).alias(f"n{w}"), (F.col(f"tb{i}") - F.col(f"b{i}_{g}")).alias(f"b{w}"))
+    ]
+    return checkpointed(grouped.select("feature", "v", "label", *outside)), [(s, g) for _, s, g in cells_of]
+
+
+def _fold_edges(counts: DataFrame, width: int) -> DataFrame:
+    """(feature, w, edges, many): distinct tenths of every numeric column in each fitting part, and whether it has more than two values."""
+    named = prefix_by_value(counts, "v", ["feature"], {f"n{w}": F.sum(f"n{w}") for w in range(width)})
+    each = named.select("feature", "v", F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col(f"n{w}").alias("n"), F.col(f"cum_n{w}").alias("cum"), F.col(f"tot_n{w}").alias("tot")) for w in range(width)])).alias("c"))
+    each = each.select("feature", "v", "c.*").filter("n > 0")
+    many = each.groupBy("feature", "w").agg((F.count(F.lit(1)) > 2).alias("many"))
+    probs = F.array(*[F.lit(i / P.MAX_BINS) for i in range(P.MAX_BINS + 1)])
+    first, last = F.col("cum") - F.col("n"), F.col("cum")
+
+    def hit(p: Column) -> Column:
+        at = p * (F.col("tot") - 1)
+        k = F.floor(at)
+        return F.struct(p.alias("p"), (at - k).alias("frac"), ((first <= k) & (k < last)).alias("a"), ((first <= k + 1) & (k + 1 < last)).alias("b"))
+
+    hits = F.filter(F.transform(probs, hit), lambda h: h["a"] | h["b"])
+    found = each.select("feature", "w", "v", F.explode(hits).alias("h")).groupBy("feature", "w", "h.p", "h.frac").agg(F.max(F.when(F.col("h.a"), F.col("v"))).alias("a"), F.max(F.when(F.col("h.b"), F.col("v"))).alias("b"))
+    value = F.col("a") + F.when(F.col("frac") > 0, (F.col("b") - F.col("a")) * F.col("frac")).otherwise(0.0)
+    # eleven numbers a column and fold
+    edges = found.groupBy("feature", "w").agg(F.array_sort(F.collect_list(F.struct("p", value.alias("e")))).alias("es"))
+    return edges.select("feature", "w", F.array_distinct(F.col("es.e")).alias("edges")).join(many, ["feature", "w"])
+
+
+def fold_iv(
+    df: DataFrame, folds: DataFrame, columns: Iterable[str], target: str = TARGET, id_col: str = ID
+) -> DataFrame:
+    """(feature, seed, fold, iv): IV of each column on the fitting part of every fold, bins refitted there."""
+    counts, cells = fold_counts(df, folds, columns, target, id_col)
+    width = len(cells)
+    each = counts.select("feature", "v", "label", F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.col(f"n{w}").alias("n"), F.col(f"b{w}").alias("b")) for w in range(width)])).alias("c"))
+    each = each.select("feature", "v", "label", "c.*").filter("n > 0")
+    # one row per fold and column: safe to broadcast
+    met = each.join(F.broadcast(_fold_edges(counts, width)), ["feature", "w"], "left")
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     index = F.size(F.filter(inner, lambda e: e < F.col("v"))).cast("string")
     binned = F.when(F.col("many") & F.col("v").isNotNull(), index).otherwise(F.col("label"))
-    counts = (
-        long.join(F.broadcast(many), ["seed", "fold", "feature"])
-        .groupBy("seed", "fold", "feature", F.lit("all").alias("stratum"), binned.alias("bin"))
-        .agg(F.count("y").alias("n"), F.sum("y").alias("bads"))
-    )
-    iv = iv_of(woe_table(counts, by=["seed", "fold"]), ["seed", "fold"])
-    names = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(f"c{i}"), F.lit(c))])
-    return iv.select(F.element_at(names, F.col("feature")).alias("feature"), "seed", "fold", "iv")
+    bins = met.groupBy("feature", "w", F.lit("all").alias("stratum"), binned.alias("bin")).agg(F.sum("n").alias("n"), F.sum("b").alias("bads"))
+    iv = iv_of(woe_table(bins, by=["w"]), ["w"])
+    names = df.sparkSession.createDataFrame([(w, int(s), g) for w, (s, g) in enumerate(cells)], "w int, seed int, fold int")
+    return iv.join(names, "w").select("feature", "seed", "fold", "iv")
 
 
 def stability(

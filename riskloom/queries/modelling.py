@@ -24,7 +24,7 @@ from riskloom.queries.audits import SPLIT_SQL, folds_sql, split
 from riskloom.queries.base import app, clients, n_if
 from riskloom.queries.registry import add, cte
 from riskloom.queries.rows import DAY_SQL, PART_SQL
-from riskloom.queries.signals import NULO, cond, iv_sql, qbin, strat, union, vbin, woe_sql
+from riskloom.queries.signals import CAND_TEXT, NULO, TENTHS, cond, index_sql, iv_sql, qbin, strat, union, vbin, woe_sql
 from riskloom.session import checkpointed
 
 K, Y = "SK_ID_CURR", "TARGET"
@@ -353,35 +353,35 @@ def _resolve_sql() -> str:
 
 
 add("R2_resolve_redundancy", _resolved, _resolve_sql(), ("a", "b", "keep", "motive"))
-_STAB = ["BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "NAME_HOUSING_TYPE"]
+_STAB = sorted(Pr.IV_CANDIDATES)
 
 
 def _stability(s, d):
-    df = checkpointed(clients(s, d, "h").select(K, Y, *_STAB))
-    return R.fold_iv(df, X.stratified_folds(df, (0, 1, 2), 5), _STAB)
+    df = checkpointed(clients(s, d).select(K, Y, *_STAB))
+    return R.fold_iv(df, X.stratified_folds(df), _STAB)
 
 
-def _stability_sql() -> str:
-    base = f"(SELECT f.seed, g.k AS fold, c.* FROM (SELECT {K}, {', '.join(_STAB)}, {Y} FROM cl_h) c JOIN ({folds_sql((0, 1, 2), 5)}) f USING ({K}), (SELECT unnest(range(0, 5)) AS k) g WHERE f.fold <> g.k)"
-    cte("stab_rows", f"SELECT * FROM {base}")
-    parts = []
-    for c in _STAB[:2]:
-        edges = f"SELECT seed, fold, list_sort(list_distinct(quantile_cont({c}, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM stab_rows GROUP BY 1, 2"
-        parts.append(f"SELECT '{c}' AS feature, seed, fold, 'all' AS stratum, CASE WHEN {c} IS NULL THEN '{NULO}' ELSE CAST(len([v for v in e[2:len(e) - 1] if v < {c}]) AS VARCHAR) END AS bin, {Y} AS y FROM stab_rows JOIN ({edges}) USING (seed, fold)")
-    parts.append(f"SELECT '{_STAB[2]}', seed, fold, 'all', coalesce({_STAB[2]}, '{NULO}'), {Y} FROM stab_rows")
-    return f"SELECT feature, seed, fold, iv FROM ({iv_sql(union(parts), 'feature, seed, fold')})"
-
-
-add("R6_fold_stability", _stability, _stability_sql(), ("feature",))
+_STAB_TEXT = [c for c in _STAB if c in CAND_TEXT]
+_STAB_NUM = [c for c in _STAB if c not in CAND_TEXT]
+cte("stab_rows", f"SELECT f.seed, g.k AS fold, c.* FROM (SELECT {K}, {', '.join(_STAB)}, {Y} FROM cl) c JOIN ({folds_sql(P.SEEDS, P.N_FOLDS)}) f USING ({K}), (SELECT unnest(range(0, {P.N_FOLDS})) AS k) g WHERE f.fold <> g.k")
+cte("stab_num", f"SELECT seed, fold, y, feature, val FROM (SELECT seed, fold, {Y} AS y, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _STAB_NUM)} FROM stab_rows) UNPIVOT INCLUDE NULLS (val FOR feature IN ({', '.join(_STAB_NUM)}))")
+cte("stab_edges", f"SELECT seed, fold, feature, count(DISTINCT val) > 2 AS many, list_sort(list_distinct(quantile_cont(val, {TENTHS}))) AS e FROM stab_num GROUP BY 1, 2, 3")
+cte(
+    "stab_bins",
+    f"SELECT feature, seed, fold, 'all' AS stratum, CASE WHEN val IS NULL THEN '{NULO}' WHEN many THEN CAST({index_sql('val')} AS VARCHAR) ELSE CAST(val AS VARCHAR) END AS bin, y FROM stab_num JOIN stab_edges USING (seed, fold, feature) "
+    + " ".join(f"UNION ALL SELECT '{c}', seed, fold, 'all', coalesce({c}, '{NULO}'), {Y} FROM stab_rows" for c in _STAB_TEXT),
+)
+_STAB_SQL = f"SELECT feature, seed, fold, iv FROM ({iv_sql('SELECT * FROM stab_bins', 'feature, seed, fold')})"
+add("R6_fold_stability", _stability, _STAB_SQL, ("feature",))
 
 
 def _band(s, d):
-    df = checkpointed(clients(s, d, "h").select(K, Y, *_STAB))
+    df = checkpointed(clients(s, d).select(K, Y, *_STAB))
     measured = {r["feature"]: r["iv"] for r in R.information_value(df, _STAB, Y).collect()}
     return R.stability(df, X.stratified_folds(df), measured, _STAB, (0.0, float("inf")))
 
 
-add("R6_folds_reached", _band, f"SELECT feature, count(*) FILTER (WHERE iv >= 0.02) AS folds_reached, count(*) AS n_folds FROM ({_stability_sql()}) GROUP BY 1", ("feature",))
+add("R6_folds_reached", _band, f"SELECT feature, count(*) FILTER (WHERE iv >= 0.02) AS folds_reached, count(*) AS n_folds FROM ({_STAB_SQL}) GROUP BY 1", ("feature",))
 
 
 def _register(s, d):

@@ -445,12 +445,12 @@ add(
     ("feature", "inside"),
 )
 _CAND = Pr.IV_CANDIDATES | {"BUREAU_LOAN_COUNT": "HAS_BUREAU_HISTORY", "BUREAU_CREDITS_PER_YEAR": "HAS_BUREAU_HISTORY", "BUREAU_OVERDUE_UNION": "HAS_BUREAU_HISTORY", "EXT_SOURCE_3": None}
-_CAND_TEXT = {"NAME_HOUSING_TYPE", "FONDKAPREMONT_MODE", "HOUSETYPE_MODE", "WALLSMATERIAL_MODE", "EMERGENCYSTATE_MODE", "BB_TRAJECTORY"}
+CAND_TEXT = {"NAME_HOUSING_TYPE", "FONDKAPREMONT_MODE", "HOUSETYPE_MODE", "WALLSMATERIAL_MODE", "EMERGENCYSTATE_MODE", "BB_TRAJECTORY"}
 _CAND_FLAG = {c for c in _CAND if c in {*HISTORY_FLAGS, *PANEL_FLAGS, *PREVIOUS_FLAGS, *Pr.MAIN_FLAGS, *Pr.PRESENCE}}
 
 
 def _iv_report_sql() -> str:
-    q = set(_CAND) - _CAND_TEXT - _CAND_FLAG
+    q = set(_CAND) - CAND_TEXT - _CAND_FLAG
     alone = union(f"SELECT feature, iv, n_bins FROM ({iv_sql(strat((qbin if c in q else vbin)('cl', c)))})" for c in _CAND)
     inside = union(f"SELECT feature, iv AS inside FROM ({iv_sql(cond('cl', c, p, c in q, False))})" for c, p in _CAND.items() if p)
     filled = union(f"SELECT '{c}' AS feature, count({c}) AS n, {f'sum({c})' if c in _CAND_FLAG else 'NULL'} AS n_marked FROM cl" for c in _CAND)
