@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import params as P
-from riskloom.operators.binning import distinct_edges, fit_bins, numbers_of, zero_one
+from riskloom.operators.binning import distinct_edges, numbers_of, zero_one
 from riskloom.operators.gram import pairwise_pearson
 from riskloom.operators.ranks import exact_quantiles, prefix_by_value
 from riskloom.operators.stages import ID, TARGET, ColumnDropModel, _Stage, quoted
-from riskloom.operators.woe import bin_counts, conditional_iv, information_value, iv_of, woe_table
+from riskloom.operators.woe import information_value, iv_of, woe_table
 from riskloom.session import checkpointed
 
 EVENT = " > 0"
@@ -72,38 +73,66 @@ def redundant_pairs(
     )
 
 
+def pair_rows(df: DataFrame, pairs: list[tuple[str, str]], target: str = TARGET) -> DataFrame:
+    """(pair, a, b, la, lb, y): the rows of each pair on which both columns have a value, as numbers and as text.
+
+    The values of a row are one array and the pairs are places in it, so the plan doesn't grow with the pairs.
+    """
+    columns = sorted({c for p in pairs for c in p})
+    at = {c: i for i, c in enumerate(columns)}
+    numbers = set(numbers_of(df, columns))
+    values = F.array(*[(quoted(c) if c in numbers else F.lit(None)).cast("double") for c in columns])
+    texts = F.array(*[quoted(c).cast("string") for c in columns])
+    places = df.sparkSession.createDataFrame([(i, at[a], at[b]) for i, (a, b) in enumerate(pairs)], "pair int, ia int, ib int")
+    # one row a pair of columns, built from the list
+    every = places.agg(F.array_sort(F.collect_list(F.struct("pair", "ia", "ib"))).alias("_pairs"))
+    rows = df.select(F.col(target).cast("double").alias("y"), values.alias("_v"), texts.alias("_t")).filter("y IS NOT NULL").join(F.broadcast(every))
+    both = F.filter("_pairs", lambda p: F.get("_t", p["ia"]).isNotNull() & F.get("_t", p["ib"]).isNotNull())
+    each = rows.select("y", "_v", "_t", F.explode(both).alias("p"))
+    return each.select(F.col("p.pair").alias("pair"), "y", F.get("_v", F.col("p.ia")).alias("a"), F.get("_v", F.col("p.ib")).alias("b"), F.get("_t", F.col("p.ia")).alias("la"), F.get("_t", F.col("p.ib")).alias("lb"))
+
+
+def contingency(df: DataFrame, pairs: list[tuple[str, str]], target: str = TARGET) -> DataFrame:
+    """(pair, bin_a, bin_b, n, bads): the crossed bins of every pair in one aggregate, with bins of the pair's own rows."""
+    rows = pair_rows(df, pairs, target)
+    quantiles = exact_quantiles(rows, ["a", "b"], [i / P.MAX_BINS for i in range(P.MAX_BINS + 1)], ["pair"])
+    # eleven numbers for each column of a pair
+    edges = rows.sparkSession.createDataFrame(
+        [(i, *[list(distinct_edges(quantiles[i, side])) if (i, side) in quantiles else None for side in ("a", "b")]) for i in range(len(pairs))],
+        "pair int, ea array<double>, eb array<double>",
+    )
+    met = rows.join(F.broadcast(edges), "pair")
+    inside = lambda x, e: F.coalesce((F.col(x) > F.element_at(e, 1)) & (F.col(x) < F.element_at(e, -1)), F.lit(False))
+    wide = met.groupBy("pair").agg(F.bool_or(inside("a", "ea")).alias("wide_a"), F.bool_or(inside("b", "eb")).alias("wide_b"))
+
+    def binned(x: str) -> Column:
+        inner = F.slice(f"e{x}", 2, F.greatest(F.size(f"e{x}") - 2, F.lit(0)))
+        return F.when(F.col(f"wide_{x}"), F.size(F.filter(inner, lambda e: e < F.col(x))).cast("string")).otherwise(F.col(f"l{x}"))
+
+    return met.join(F.broadcast(wide), "pair").groupBy("pair", binned("a").alias("bin_a"), binned("b").alias("bin_b")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bads"))
+
+
 def resolve_redundancy(
     df: DataFrame, pairs: Iterable[tuple[str, str]], protected: Iterable[str] = (), target: str = TARGET, min_iv: float = P.MIN_IV
 ) -> DataFrame:
     """Which column of each pair stays: IV inside the other, protection, then IV alone.
 
-    Everything is measured on the rows where both have a value, with bins of those rows.
+    Everything is measured on the rows where both have a value, with bins of those rows; the four readings of a pair are sums of
+    its crossed bins.
     """
     pairs, protected = list(pairs), set(protected)
-    cols: dict[str, Column] = {}
-    for i, (a, b) in enumerate(pairs):
-        both = quoted(a).isNotNull() & quoted(b).isNotNull()
-        cols[f"a{i}"], cols[f"b{i}"] = F.when(both, quoted(a)), F.when(both, quoted(b))
-    rows = df.select(*[e.alias(n) for n, e in cols.items()], target)
-    where = {n: F.col(n).isNotNull() for n in cols}
-    bins = fit_bins(rows, cols)
-    alone = information_value(rows, cols, target, bins, where)
-    crossed = conditional_iv(
-        rows, [x for i in range(len(pairs)) for x in ((f"a{i}", f"b{i}"), (f"b{i}", f"a{i}"))], target, where, bins=bins
-    )
-    spark = df.sparkSession
-    index = spark.createDataFrame(
-        [(a, b, f"a{i}", f"b{i}", a in protected, b in protected) for i, (a, b) in enumerate(pairs)],
-        "a string, b string, ka string, kb string, pa boolean, pb boolean",
-    )
-    iv = alone.select(F.col("feature").alias("k"), F.col("iv").alias("v"), "n")
-    inc = crossed.select(F.col("feature").alias("k"), F.col("iv").alias("v"))
-    t = (
-        index.join(iv.select(F.col("k").alias("ka"), F.col("v").alias("iv_a"), "n"), "ka")
-        .join(iv.select(F.col("k").alias("kb"), F.col("v").alias("iv_b")), "kb")
-        .join(inc.select(F.col("k").alias("ka"), F.col("v").alias("inc_a")), "ka")
-        .join(inc.select(F.col("k").alias("kb"), F.col("v").alias("inc_b")), "kb")
-    )
+    crossed = checkpointed(contingency(df, pairs, target))
+
+    def reading(name: str, bin_: str, stratum: Column) -> DataFrame:
+        return crossed.select("pair", F.lit(name).alias("feature"), stratum.alias("stratum"), F.col(bin_).alias("bin"), "n", "bads")
+
+    all_ = F.lit("all")
+    four = [reading("iv_a", "bin_a", all_), reading("iv_b", "bin_b", all_), reading("inc_a", "bin_a", F.col("bin_b")), reading("inc_b", "bin_b", F.col("bin_a"))]
+    counts = reduce(DataFrame.unionByName, four).groupBy("pair", "feature", "stratum", "bin").agg(F.sum("n").alias("n"), F.sum("bads").alias("bads"))
+    measured = iv_of(woe_table(counts, by=["pair"]), ["pair"])
+    wide = measured.groupBy("pair").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("feature") == x, F.col("iv"))).alias(x) for x in ("iv_a", "iv_b", "inc_a", "inc_b")])
+    index = df.sparkSession.createDataFrame([(i, a, b, a in protected, b in protected) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string, pa boolean, pb boolean")
+    t = index.join(wide, "pair")
     a_in, b_in = F.col("inc_a") >= min_iv, F.col("inc_b") >= min_iv
     pa, pb = F.col("pa"), F.col("pb")
     keep = (

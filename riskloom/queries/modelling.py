@@ -28,6 +28,8 @@ from riskloom.queries.signals import CAND_TEXT, NULO, TENTHS, cond, index_sql, i
 from riskloom.session import checkpointed
 
 K, Y = "SK_ID_CURR", "TARGET"
+#: Texts of the assembled table.
+ASSEMBLED_TEXTS = (*[c for c in Pr.MAIN_TEXTS if c != "HORA_FRANJA"], "NAME_EDUCATION_TYPE", "OCCUPATION_TYPE", "ORGANIZATION_TYPE", "BB_TRAJECTORY")
 cte("split_t", SPLIT_SQL)
 cte("app_tr", f"SELECT * FROM app1 WHERE {K} IN (SELECT {K} FROM split_t WHERE split = 'train')")
 cte("cl_tr", f"SELECT * FROM cl WHERE {K} IN (SELECT {K} FROM split_t WHERE split = 'train')")
@@ -286,7 +288,6 @@ add(
 
 # -- redundancy and selection ------------------------------------------------------------------
 
-_RC = ["BUREAU_LOAN_COUNT", "BUREAU_DAYS_CREDIT_MIN", "BUREAU_OVERDUE_UNION", "BB_N_CREDITS_WBAL", "BB_MONTHS_TOTAL", "BB_ANY_DPD_FLAG", "BB_OVERDUE_UNION", "PREV_APPLICATION_COUNT", "EXT_SOURCE_3"]
 _DECL = [("BUREAU_DAYS_CREDIT_MIN", "BUREAU_LOAN_COUNT")]
 
 
@@ -309,27 +310,26 @@ def _pairs(s, d):
     return _pairs_of(_assembled(s, d))
 
 
-def _pairs_sql() -> str:
-    cols = sorted(_RC)
-    flags = {"BUREAU_OVERDUE_UNION", "BB_ANY_DPD_FLAG", "BB_OVERDUE_UNION"}
-    out = []
-    for i, a in enumerate(cols):
-        for b in cols[i + 1 :]:
-            declared = (a, b) in [tuple(sorted(p)) for p in _DECL]
-            if _owner(a) == _owner(b) and not declared:
-                continue
-            kind = {2: "FF", 1: "FM", 0: "MM"}[(a in flags) + (b in flags)]
-            ev = "NULL"
-            if kind == "FM":
-                f, m = (a, b) if a in flags else (b, a)
-                ev = f"CASE WHEN (SELECT min({m}) FROM cl) >= 0 AND min({f}) FILTER (WHERE {m} IS NOT NULL) < max({f}) FILTER (WHERE {m} IS NOT NULL) AND min({m} > 0) FILTER (WHERE {f} IS NOT NULL) < max({m} > 0) FILTER (WHERE {f} IS NOT NULL) THEN corr({f}, CASE WHEN {m} > 0 THEN 1.0 WHEN {m} IS NOT NULL THEN 0.0 END) END"
-            out.append(f"SELECT '{a}' AS a, '{b}' AS b, '{_owner(a)}' AS table_a, '{_owner(b)}' AS table_b, '{kind}' AS kind, nullif(corr({a}, {b}), 'nan'::DOUBLE) AS r, {ev} AS r_event, {n_if(f'{a} IS NOT NULL AND {b} IS NOT NULL')} AS n, {int(declared)} AS declared FROM cl")
-    over = "abs(r) > CASE WHEN kind = 'FF' THEN 0.5 ELSE 0.7 END OR coalesce(abs(r_event), 0) > 0.5"
-    return f"SELECT * FROM (SELECT *, CASE WHEN {over} THEN 'above' WHEN kind <> 'FF' AND abs(r) >= 0.6 THEN 'band' WHEN declared = 1 THEN 'declared' END AS zone FROM ({union(out)})) WHERE zone IS NOT NULL"
-
-
-add("R1_redundant_pairs", _pairs, _pairs_sql(), ("a", "b", "table_a", "table_b", "kind", "zone"))
-_RP = [("BB_N_CREDITS_WBAL", "BUREAU_LOAN_COUNT"), ("BB_MONTHS_TOTAL", "BUREAU_DAYS_CREDIT_MIN"), ("BUREAU_ACTIVE_COUNT", "EXT_SOURCE_3")]
+# every numeric column of the assembled table with its late ratios, as rows
+cte("rc_wide", f"SELECT *, AMT_ANNUITY / nullif(AMT_INCOME_TOTAL, 0) AS ANNUITY_TO_INCOME_RATIO, CNT_CHILDREN / nullif(CNT_FAM_MEMBERS, 0) AS CHILDREN_TO_FAM_RATIO FROM cl")
+cte("rc_long", f"SELECT {K}, y, feature, val FROM (SELECT {K}, {Y} AS y, CAST(COLUMNS(* EXCLUDE ({K}, {Y}, {', '.join(ASSEMBLED_TEXTS)})) AS DOUBLE) FROM rc_wide) UNPIVOT (val FOR feature IN (COLUMNS(* EXCLUDE ({K}, y))))")
+_OWNER_SQL = "CASE WHEN feature IN ('HAS_BUREAU_HISTORY') THEN 'bureau' WHEN feature = 'HAS_BUREAU_BALANCE' THEN 'bureau_balance' WHEN feature = 'HAS_PREV_APPLICATION' THEN 'previous_application' WHEN feature IN (SELECT column_name FROM (DESCRIBE SELECT * FROM cl_h)) AND feature NOT IN (SELECT column_name FROM (DESCRIBE SELECT * FROM app1)) THEN 'bureau' WHEN feature LIKE 'BB%' THEN 'bureau_balance' WHEN feature LIKE 'PREV%' THEN 'previous_application' ELSE '' END"
+cte("rc_cols", f"SELECT feature, bool_and(val IN (0, 1)) AS is_flag, min(val) AS low, {_OWNER_SQL} AS tbl FROM rc_long GROUP BY feature")
+cte(
+    "rc_pairs",
+    """SELECT x.feature AS a, y.feature AS b, count(*) AS n, CASE WHEN min(x.val) < max(x.val) AND min(y.val) < max(y.val) THEN corr(x.val, y.val) END AS r,
+CASE WHEN min(x.val) < max(x.val) AND min(y.val > 0) < max(y.val > 0) THEN corr(x.val, CAST(y.val > 0 AS DOUBLE)) END AS r_b, CASE WHEN min(y.val) < max(y.val) AND min(x.val > 0) < max(x.val > 0) THEN corr(y.val, CAST(x.val > 0 AS DOUBLE)) END AS r_a
+FROM rc_long x JOIN rc_long y USING (SK_ID_CURR) WHERE x.feature < y.feature GROUP BY 1, 2""",
+)
+_DECLARED_SQL = " OR ".join(f"(a = '{min(p)}' AND b = '{max(p)}')" for p in _DECL)
+cte(
+    "rc_zones",
+    f"""SELECT *, CASE WHEN abs(r) > CASE WHEN kind = 'FF' THEN 0.5 ELSE 0.7 END OR coalesce(abs(r_event), 0) > 0.5 THEN 'above' WHEN kind <> 'FF' AND abs(r) >= 0.6 THEN 'band' WHEN declared = 1 THEN 'declared' END AS zone FROM (
+SELECT a, b, ca.tbl AS table_a, cb.tbl AS table_b, CASE WHEN ca.is_flag AND cb.is_flag THEN 'FF' WHEN ca.is_flag OR cb.is_flag THEN 'FM' ELSE 'MM' END AS kind, r,
+CASE WHEN ca.is_flag AND NOT cb.is_flag AND cb.low >= 0 THEN r_b WHEN cb.is_flag AND NOT ca.is_flag AND ca.low >= 0 THEN r_a END AS r_event, n, CASE WHEN {_DECLARED_SQL} THEN 1 ELSE 0 END AS declared
+FROM rc_pairs JOIN rc_cols ca ON a = ca.feature JOIN rc_cols cb ON b = cb.feature) WHERE table_a <> table_b OR declared = 1""",
+)
+add("R1_redundant_pairs", _pairs, "SELECT * FROM rc_zones WHERE zone IS NOT NULL", ("a", "b", "table_a", "table_b", "kind", "zone"))
 
 
 def _resolved(s, d):
@@ -339,17 +339,20 @@ def _resolved(s, d):
     return R.resolve_redundancy(df.select(Y, *sorted({c for p in pairs for c in p})), pairs, ["EXT_SOURCE_3"])
 
 
+cte("rp_rows", f"SELECT a, b, x.{K}, x.y, x.val AS va, z.val AS vb FROM rc_zones JOIN rc_long x ON x.feature = a JOIN rc_long z ON z.feature = b AND z.{K} = x.{K} WHERE zone IS NOT NULL")
+cte("rp_edges", f"SELECT a, b, count(DISTINCT va) > 2 AS wa, count(DISTINCT vb) > 2 AS wb, list_sort(list_distinct(quantile_cont(va, {TENTHS}))) AS ea, list_sort(list_distinct(quantile_cont(vb, {TENTHS}))) AS eb FROM rp_rows GROUP BY 1, 2")
+_code = lambda x: f"CASE WHEN w{x} THEN CAST(len([q for q in e{x}[2:len(e{x}) - 1] if q < v{x}]) AS VARCHAR) ELSE CAST(v{x} AS VARCHAR) END"
+cte("rp_codes", f"SELECT a, b, y, {_code('a')} AS qa, {_code('b')} AS qb FROM rp_rows JOIN rp_edges USING (a, b)")
+
+
 def _resolve_sql() -> str:
-    out = []
-    for a, b in _RP:
-        rel = f"(SELECT * FROM cl_hb WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
-        out.append(
-            f"SELECT '{a}' AS a, '{b}' AS b, (SELECT count(*) FROM {rel}) AS n, x.iv AS iv_a, y.iv AS iv_b, u.iv AS inc_a, v.iv AS inc_b FROM ({iv_sql(strat(qbin(rel, a)))}) x, ({iv_sql(strat(qbin(rel, b)))}) y, ({iv_sql(cond(rel, a, b, True, True))}) u, ({iv_sql(cond(rel, b, a, True, True))}) v"
-        )
-    pb = "b = 'EXT_SOURCE_3'"
-    keep = f"CASE WHEN {pb} THEN CASE WHEN inc_a >= 0.02 THEN 'both' ELSE 'b' END WHEN inc_a >= 0.02 AND inc_b >= 0.02 THEN 'both' WHEN inc_a >= 0.02 THEN 'a' WHEN inc_b >= 0.02 THEN 'b' WHEN iv_a >= iv_b THEN 'a' ELSE 'b' END"
-    motive = f"CASE WHEN {pb} THEN 'one protected' WHEN inc_a >= 0.02 AND inc_b >= 0.02 THEN 'each adds to the other' WHEN inc_a >= 0.02 OR inc_b >= 0.02 THEN 'only one adds to the other' ELSE 'neither adds, higher IV alone' END"
-    return f"SELECT *, {keep} AS keep, {motive} AS motive FROM ({union(out)})"
+    read = lambda name, bin_, stratum: f"SELECT a, b, '{name}' AS feature, {stratum} AS stratum, {bin_} AS bin, y FROM rp_codes"
+    four = union([read("iv_a", "qa", "'all'"), read("iv_b", "qb", "'all'"), read("inc_a", "qa", "qb"), read("inc_b", "qb", "qa")])
+    wide = f"SELECT a, b, max(n) AS n, {', '.join(f"max(iv) FILTER (WHERE feature = '{x}') AS {x}" for x in ('iv_a', 'iv_b', 'inc_a', 'inc_b'))} FROM ({iv_sql(four, 'a, b, feature')}) GROUP BY 1, 2"
+    pa, pb = "a = 'EXT_SOURCE_3'", "b = 'EXT_SOURCE_3'"
+    keep = f"CASE WHEN {pa} THEN CASE WHEN inc_b >= 0.02 THEN 'both' ELSE 'a' END WHEN {pb} THEN CASE WHEN inc_a >= 0.02 THEN 'both' ELSE 'b' END WHEN inc_a >= 0.02 AND inc_b >= 0.02 THEN 'both' WHEN inc_a >= 0.02 THEN 'a' WHEN inc_b >= 0.02 THEN 'b' WHEN iv_a >= iv_b THEN 'a' ELSE 'b' END"
+    motive = f"CASE WHEN {pa} OR {pb} THEN 'one protected' WHEN inc_a >= 0.02 AND inc_b >= 0.02 THEN 'each adds to the other' WHEN inc_a >= 0.02 OR inc_b >= 0.02 THEN 'only one adds to the other' ELSE 'neither adds, higher IV alone' END"
+    return f"SELECT *, {keep} AS keep, {motive} AS motive FROM ({wide})"
 
 
 add("R2_resolve_redundancy", _resolved, _resolve_sql(), ("a", "b", "keep", "motive"))
