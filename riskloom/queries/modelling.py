@@ -24,7 +24,7 @@ from riskloom.queries.audits import SPLIT_SQL, folds_sql, split
 from riskloom.queries.base import app, clients, n_if
 from riskloom.queries.registry import add, cte
 from riskloom.queries.rows import DAY_SQL, PART_SQL
-from riskloom.queries.signals import CAND_TEXT, NULO, TENTHS, cond, index_sql, iv_sql, qbin, strat, union, vbin, woe_sql
+from riskloom.queries.signals import CAND_FLAG, CAND_TEXT, CANDIDATES, NULO, TENTHS, cond, index_sql, iv_sql, qbin, strat, union, vbin, woe_sql
 from riskloom.session import checkpointed
 
 K, Y = "SK_ID_CURR", "TARGET"
@@ -123,30 +123,37 @@ def _constants(s, d):
 
 add("P11_drop_constants", _constants, f"SELECT {K}, {Y}, FLAG_EMAIL, AGE_YEARS FROM app1")
 _SEL = {
-    "candidates": {"BUREAU_LOAN_COUNT": "HAS_BUREAU_HISTORY", "BUREAU_CREDITS_PER_YEAR": "HAS_BUREAU_HISTORY", "EXT_SOURCE_3": None, "NAME_HOUSING_TYPE": None, "BUREAU_ACTIVE_COUNT": "HAS_BUREAU_HISTORY"},
+    "candidates": CANDIDATES | {"BUREAU_ACTIVE_COUNT": "HAS_BUREAU_HISTORY"},
     "discards": {"FLAG_EMAIL": "frozen"},
     "protected": ["AGE_YEARS"],
     "redundant": {"BUREAU_ACTIVE_COUNT": ["BUREAU_LOAN_COUNT"]},
+    "categorical": ["BB_TRAJECTORY"],
 }
-_SELCOLS = [K, Y, "BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "BUREAU_ACTIVE_COUNT", "EXT_SOURCE_3", "FLAG_EMAIL", "AGE_YEARS", "HAS_BUREAU_HISTORY", "NAME_HOUSING_TYPE"]
+_SEL_TEXT = sorted(c for c in _SEL["candidates"] if c in CAND_TEXT and c != "BB_TRAJECTORY")
+
+
+def _fitted_selector(s, d):
+    """The selector fitted on the assembled table, its text candidates encoded."""
+    df = clients(s, d)
+    df = G.OrdinalEncoder(orders={"BB_TRAJECTORY": list(TRAJECTORIES)}).fit(df).transform(df)
+    df = checkpointed(G.OneHot(columns=_SEL_TEXT).fit(df).transform(df))
+    return R.IvSelector(**_SEL).fit(df)
 
 
 def _selector(s, d):
-    df = clients(s, d, "h").select(*_SELCOLS)
-    df = checkpointed(G.OneHot(columns=["NAME_HOUSING_TYPE"]).fit(df).transform(df))
-    m = R.IvSelector(**_SEL).fit(df)
+    m = _fitted_selector(s, d)
     iv, out = m.fitted("iv"), m.fitted("motives")
     return s.createDataFrame([(o, v, int(o not in out)) for o, v in sorted(iv.items())], "origin string, iv double, kept int")
 
 
-_IN = "(SELECT * FROM cl_h WHERE HAS_BUREAU_HISTORY = 1)"
-_SELIV = union(
-    [
-        *(iv_sql(strat(qbin(_IN, c))) for c in ("BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "BUREAU_ACTIVE_COUNT")),
-        *(iv_sql(strat(qbin("cl_h", c))) for c in ("EXT_SOURCE_3", "AGE_YEARS")),
-        *(iv_sql(strat(vbin("cl_h", c))) for c in ("NAME_HOUSING_TYPE", "FLAG_EMAIL")),
-    ]
-)
+def _candidate_sql(c: str, presence: str | None) -> str:
+    text = c in CAND_TEXT
+    inside = [f"{presence} = 1"] * bool(presence) + [f"{c} IS NOT NULL"] * bool(presence and not text)
+    rel = f"(SELECT * FROM cl{' WHERE ' + ' AND '.join(inside) if inside else ''})"
+    return iv_sql(strat((vbin if text or c in CAND_FLAG else qbin)(rel, c)))
+
+
+_SELIV = union([*(_candidate_sql(c, p) for c, p in _SEL["candidates"].items()), iv_sql(strat(qbin("cl", "AGE_YEARS")))])
 cte("sel_iv", _SELIV)
 add(
     "P12_iv_selector",
@@ -388,23 +395,21 @@ add("R6_folds_reached", _band, f"SELECT feature, count(*) FILTER (WHERE iv >= 0.
 
 
 def _register(s, d):
-    df = clients(s, d, "h").select(*_SELCOLS)
-    df = checkpointed(G.OneHot(columns=["NAME_HOUSING_TYPE"]).fit(df).transform(df))
-    m = R.IvSelector(**_SEL).fit(df)
-    return R.selection_register(s, _REG, m, {c: _owner(c) for c in _REG}).select("feature", "source", "iv", "in_band", "kept", "motive")
+    m, own = _fitted_selector(s, d), Pr.table_of()
+    columns = [c for c in clients(s, d).columns if c not in (K, Y)]
+    return R.selection_register(s, columns, m, {c: own.get(c, "") for c in columns}).select("feature", "source", "iv", "in_band", "kept", "motive")
 
 
-_REG = ["BUREAU_LOAN_COUNT", "BUREAU_CREDITS_PER_YEAR", "BUREAU_ACTIVE_COUNT", "EXT_SOURCE_3", "FLAG_EMAIL", "AGE_YEARS", "HAS_BUREAU_HISTORY"]
+_CAND_SQL = ", ".join(f"'{c}'" for c in _SEL["candidates"])
 add(
     "R7_selection_register",
     _register,
-    """SELECT feature, source, iv, in_band, CASE WHEN motive LIKE '%below%' OR motive LIKE 'redundant%' OR motive = 'frozen' THEN 0 ELSE 1 END AS kept, motive FROM (
-SELECT c AS feature, o AS source, iv, CASE WHEN cand AND iv >= 0.015 AND iv < 0.025 THEN 1 ELSE 0 END AS in_band,
-CASE c WHEN 'FLAG_EMAIL' THEN 'frozen' WHEN 'AGE_YEARS' THEN 'protected' WHEN 'HAS_BUREAU_HISTORY' THEN 'not judged by IV'
-WHEN 'BUREAU_ACTIVE_COUNT' THEN CASE WHEN (SELECT iv FROM sel_iv WHERE feature = 'BUREAU_LOAN_COUNT') >= 0.02 THEN 'redundant with BUREAU_LOAN_COUNT' ELSE printf('IV %.4f ', iv) || CASE WHEN iv < 0.02 THEN 'below' ELSE 'reaches' END || ' 0.0200; no winner left' END
-ELSE printf('IV %.4f ', iv) || CASE WHEN iv < 0.02 THEN 'below' ELSE 'reaches' END || ' 0.0200' END AS motive FROM (VALUES """
-    + ", ".join(f"('{c}', '{_owner(c)}', {c in _SEL['candidates']})" for c in _REG)
-    + ") AS t(c, o, cand) LEFT JOIN sel_iv ON feature = c)",
+    f"""SELECT feature, source, iv, in_band, CASE WHEN motive LIKE '%below%' OR motive LIKE 'redundant%' OR motive = 'frozen' THEN 0 ELSE 1 END AS kept, motive FROM (
+SELECT feature, source, iv, CASE WHEN feature IN ({_CAND_SQL}) AND iv >= 0.015 AND iv < 0.025 THEN 1 ELSE 0 END AS in_band,
+CASE WHEN feature = 'FLAG_EMAIL' THEN 'frozen' WHEN feature = 'AGE_YEARS' THEN 'protected' WHEN iv IS NULL THEN 'not judged by IV'
+WHEN feature = 'BUREAU_ACTIVE_COUNT' THEN CASE WHEN (SELECT iv FROM sel_iv WHERE feature = 'BUREAU_LOAN_COUNT') >= 0.02 THEN 'redundant with BUREAU_LOAN_COUNT' ELSE printf('IV %.4f ', iv) || CASE WHEN iv < 0.02 THEN 'below' ELSE 'reaches' END || ' 0.0200; no winner left' END
+ELSE printf('IV %.4f ', iv) || CASE WHEN iv < 0.02 THEN 'below' ELSE 'reaches' END || ' 0.0200' END AS motive
+FROM (SELECT column_name AS feature, {_OWNER_SQL.replace('feature', 'column_name')} AS source FROM (DESCRIBE SELECT * EXCLUDE ({K}, {Y}) FROM cl)) LEFT JOIN sel_iv USING (feature))""",
     ("feature", "source", "motive"),
 )
 

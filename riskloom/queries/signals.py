@@ -444,20 +444,20 @@ add(
     union(f"SELECT feature, '{b}' AS inside, iv FROM ({iv_sql(cond('cl_h', a, b, True, True))})" for a, b in _CP),
     ("feature", "inside"),
 )
-_CAND = Pr.IV_CANDIDATES | {"BUREAU_LOAN_COUNT": "HAS_BUREAU_HISTORY", "BUREAU_CREDITS_PER_YEAR": "HAS_BUREAU_HISTORY", "BUREAU_OVERDUE_UNION": "HAS_BUREAU_HISTORY", "EXT_SOURCE_3": None}
+CANDIDATES = Pr.IV_CANDIDATES | {"BUREAU_LOAN_COUNT": "HAS_BUREAU_HISTORY", "BUREAU_CREDITS_PER_YEAR": "HAS_BUREAU_HISTORY", "BUREAU_OVERDUE_UNION": "HAS_BUREAU_HISTORY", "EXT_SOURCE_3": None}
 CAND_TEXT = {"NAME_HOUSING_TYPE", "FONDKAPREMONT_MODE", "HOUSETYPE_MODE", "WALLSMATERIAL_MODE", "EMERGENCYSTATE_MODE", "BB_TRAJECTORY"}
-_CAND_FLAG = {c for c in _CAND if c in {*HISTORY_FLAGS, *PANEL_FLAGS, *PREVIOUS_FLAGS, *Pr.MAIN_FLAGS, *Pr.PRESENCE}}
+CAND_FLAG = {c for c in CANDIDATES if c in {*HISTORY_FLAGS, *PANEL_FLAGS, *PREVIOUS_FLAGS, *Pr.MAIN_FLAGS, *Pr.PRESENCE}}
 
 
 def _iv_report_sql() -> str:
-    q = set(_CAND) - CAND_TEXT - _CAND_FLAG
-    alone = union(f"SELECT feature, iv, n_bins FROM ({iv_sql(strat((qbin if c in q else vbin)('cl', c)))})" for c in _CAND)
-    inside = union(f"SELECT feature, iv AS inside FROM ({iv_sql(cond('cl', c, p, c in q, False))})" for c, p in _CAND.items() if p)
-    filled = union(f"SELECT '{c}' AS feature, count({c}) AS n, {f'sum({c})' if c in _CAND_FLAG else 'NULL'} AS n_marked FROM cl" for c in _CAND)
+    q = set(CANDIDATES) - CAND_TEXT - CAND_FLAG
+    alone = union(f"SELECT feature, iv, n_bins FROM ({iv_sql(strat((qbin if c in q else vbin)('cl', c)))})" for c in CANDIDATES)
+    inside = union(f"SELECT feature, iv AS inside FROM ({iv_sql(cond('cl', c, p, c in q, False))})" for c, p in CANDIDATES.items() if p)
+    filled = union(f"SELECT '{c}' AS feature, count({c}) AS n, {f'sum({c})' if c in CAND_FLAG else 'NULL'} AS n_marked FROM cl" for c in CANDIDATES)
     return f"SELECT feature, iv, n_bins, inside AS iv_without_presence, n, n_marked, coalesce(inside, iv) AS iv_reading, CASE WHEN coalesce(inside, iv) >= 0.02 THEN 1 ELSE 0 END AS reaches FROM ({alone}) LEFT JOIN ({inside}) USING (feature) JOIN ({filled}) USING (feature)"
 
 
-add("V4_iv_report", lambda s, d: W.iv_report(checkpointed(clients(s, d)), _CAND), _iv_report_sql(), ("feature",))
+add("V4_iv_report", lambda s, d: W.iv_report(checkpointed(clients(s, d)), CANDIDATES), _iv_report_sql(), ("feature",))
 _SUMPOS = "CASE WHEN BUREAU_CURRENT_OVERDUE_SUM > 0 THEN 1.0 WHEN BUREAU_CURRENT_OVERDUE_SUM IS NOT NULL THEN 0.0 END"
 _MORA = {"BUREAU_HAS_CURRENT_OVERDUE": "BUREAU_HAS_CURRENT_OVERDUE", "BUREAU_CURRENT_OVERDUE_SUM > 0": "sum_pos"}
 add(
