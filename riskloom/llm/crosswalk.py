@@ -20,10 +20,12 @@ repeat doc_id, or have none, are documents of their own. Texts are encoded whole
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -35,14 +37,16 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import staged
 
 #: Characters aligned at once, (document, pair) entries of a block.
-BATCH_CHARS, BLOCK = 1_500_000, 1 << 18
-#: Parts remembered by a worker, and their longest.
-REMEMBERED, LONGEST = 300_000, 48
+BATCH_CHARS, BLOCK = 400_000, 1 << 18
+#: Parts that a worker remembers before it forgets those not seen since it last did, and the longest kept.
+REMEMBERED, LONGEST = 60_000, 32
 #: Groups with more links are reduced to distinct ids before they are paired.
 WIDE = 64
 #: A single blank between visible characters of the Latin blocks (none of which is white space).
 CUT = re.compile("(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
 MARK = "▁"
+#: Stands for the ids of a part that its tokens don't give back.
+_BROKEN = (b"", b"")
 
 
 def byte_characters() -> dict[str, int]:
@@ -125,36 +129,50 @@ class Aligner:
         self.b_size = np.array([len(t) for t in self.b_bytes], dtype=np.int64)
         self.b_bits = len(self.b_bytes).bit_length()
         self.pair_bits = self.b_bits + len(self.a_bytes).bit_length()
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.broken = False
         self.width = max(len(self.a_bytes), len(self.b_bytes))
         self.printed = pa.array([f"{i}{s}".encode() for s in (",", "|", ";", "") for i in range(self.width)], pa.large_binary())
 
-    def _learn(self, parts: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """Ids of parts by the libraries; None for a part whose tokens don't give it back."""
+    def _learn(self, parts: list[str]) -> None:
+        """Remember the ids of parts by the libraries; a part whose tokens don't give it back is marked."""
+        wholes = [(" " + p).encode() for p in parts]
+        ends = np.cumsum([len(w) for w in wholes])
+        runs, same = [], np.ones(len(parts), dtype=bool)
         firsts = [e.ids for e in self.first.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        out = {}
-        for part, a, b in zip(parts, firsts, self.second.encode(parts, num_threads=1)):
-            whole = (" " + part).encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
-            out[part] = (array("i", a).tobytes(), array("i", b).tobytes()) if same else None
-        return out
+        for found, printed, size in ((firsts, self.a_bytes, self.a_size), (self.second.encode(parts, num_threads=1), self.b_bytes, self.b_size)):
+            flat = array("i", chain.from_iterable(found))
+            past = np.cumsum(list(map(len, found)))
+            raw, cuts = flat.tobytes(), (4 * past).tolist()
+            runs.append([raw[i:j] for i, j in zip([0, *cuts], cuts)])
+            ids = np.frombuffer(raw, dtype=np.int32)
+            if not np.array_equal(np.cumsum(size[ids])[past - 1], ends) or b"".join(map(printed.__getitem__, flat)) != b"".join(wholes):
+                same &= np.array([b"".join([printed[x] for x in ids]) == w for ids, w in zip(found, wholes)])
+        self.broken |= not same.all()
+        self.known.update(zip(parts, zip(*runs)) if same.all() else ((p, pair if ok else _BROKEN) for p, pair, ok in zip(parts, zip(*runs), same.tolist())))
 
     def align(self, texts: list[str | None]) -> Alignment:
         """Encode and align some texts."""
         parts = [CUT.split(t) if t else [] for t in texts]
-        missing = {p for own in parts for p in own if p not in self.known}
-        fresh = self._learn(list(missing)) if missing else {}
-        a_runs, b_runs, a_counts, b_counts = [], [], [], []
-        for own in parts:
-            found = [self.known[p] if p in self.known else fresh[p] for p in own]
-            a, b = (b"", b"") if None in found else (b"".join([f[0] for f in found]), b"".join([f[1] for f in found]))
-            a_runs.append(a)
-            b_runs.append(b)
-            a_counts.append(len(a) // 4)
-            b_counts.append(len(b) // 4)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-        self.known.update((p, f) for p, f in fresh.items() if len(p) <= LONGEST)
+        found = [list(map(self.known.get, own)) for own in parts]
+        missing = {p for own, ids in zip(parts, found) if None in ids for p, f in zip(own, ids) if f is None}
+        if missing:
+            older = self.older
+            self.known.update((p, older[p]) for p in missing if p in older)
+            missing = [p for p in missing if p not in older]
+            if missing:
+                self._learn(missing)
+        a_runs, b_runs = [], []
+        for own, ids in zip(parts, found):
+            if None in ids:
+                ids = [f or self.known[p] for p, f in zip(own, ids)]
+            whole = not (self.broken and _BROKEN in ids)
+            a_runs.append(b"".join([f[0] for f in ids]) if whole else b"")
+            b_runs.append(b"".join([f[1] for f in ids]) if whole else b"")
+        a_counts, b_counts = ([len(r) // 4 for r in runs] for runs in (a_runs, b_runs))
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, {p: f for p, f in self.known.items() if len(p) <= LONGEST}
         a, b = (np.frombuffer(b"".join(runs), dtype=np.int32) for runs in (a_runs, b_runs))
         a_group, b_group = coalesce(self.a_size[a], self.b_size[b])
         a_ends, b_ends = (np.concatenate([[0], np.cumsum(c, dtype=np.int64)]) for c in (a_counts, b_counts))
@@ -179,7 +197,7 @@ class Aligner:
         return [hashlib.sha256(data[i:j]).hexdigest() if i < j else "" for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def links(self, al: Alignment) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-        """First and last text (exclusive), then text, pair and number of links of each distinct (text, pair) among them.
+        """First and last text (exclusive), then text, pair and number of links of each distinct (text, pair) among them, by text.
 
         At most about ``BLOCK`` links before counting; a text with more comes in several parts, no pair in two of them.
         """
@@ -242,6 +260,18 @@ class Aligner:
             at = upto
 
 
+_ALIGNERS: dict[int, tuple[Pair, Aligner]] = {}
+
+
+def _aligner(pair: Pair) -> Aligner:
+    """One aligner for each pair of files in a worker process; what it remembers serves later tasks."""
+    key = hash((pair.a, pair.b))
+    if key not in _ALIGNERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its share of the cores
+        _ALIGNERS[key] = (pair, Aligner(pair))
+    return _ALIGNERS[key][1]
+
+
 def _in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
     """doc_ids and texts, at most about ``BATCH_CHARS`` characters at once; one longer text is alone."""
     for batch in batches:
@@ -262,7 +292,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     pair = Pair.of(a_path, b_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(pair)
+        aligner = _aligner(pair)
         for ids, texts in _in_batches(batches):
             al = aligner.align(texts)
             n_a, n_b = al.sizes
@@ -284,24 +314,37 @@ def blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row a block: what is known of its documents, its distinct pairs with the number of documents that hold each, and every document's (place of the pair, links)."""
     pair = Pair.of(a_path, b_path)
 
+    def block(number: int, pieces: list) -> pa.RecordBatch:
+        """One row of what several runs of texts hold."""
+        facts, counts, pairs, many = zip(*pieces)
+        distinct, place = np.unique(np.concatenate(pairs), return_inverse=True)
+        columns = [pa.array([np.concatenate([f[k] for f in facts])], pa.list_(pa.int64())) for k in range(len(_PER_TEXT) - 1)]
+        columns.insert(1, pa.array([[x for f in facts for x in f[-2]]], pa.list_(pa.int64())))
+        columns += [pa.array([[x for f in facts for x in f[-1]]], pa.list_(pa.string())), pa.array([number], pa.int64())]
+        columns += [pa.array([distinct], pa.list_(pa.int64())), pa.array([np.bincount(place, minlength=len(distinct))], pa.list_(pa.int64()))]
+        columns += [pa.array([np.cumsum(np.concatenate(counts))], pa.list_(pa.int64())), pa.array([place.astype(np.uint16 if len(distinct) <= 1 << 16 else np.int32).tobytes()]), pa.array([np.concatenate(many).astype(np.int64).tobytes()])]
+        return pa.RecordBatch.from_arrays(columns, names=[*_PER_TEXT, "digest", "block", "pair", "docs", "ends", "places", "links"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, base, row, block = Aligner(pair), TaskContext.get().partitionId() << 40, 0, 0
+        aligner, base, row, number = _aligner(pair), TaskContext.get().partitionId() << 40, 0, 0
+        pieces, held = [], 0
         for ids, texts in _in_batches(batches):
             al = aligner.align(texts)
             n_a, n_b = al.sizes
             links = np.bincount(al.text_of_group, weights=n_a * n_b, minlength=len(texts)).astype(np.int64)
-            facts = [np.arange(row, row + len(texts)) + base, ids, np.diff(al.a_ends), np.diff(al.b_ends), np.diff(al.group_ends), links, aligner.digests(al)]
+            numbers = [np.arange(row, row + len(texts)) + base, np.diff(al.a_ends), np.diff(al.b_ends), np.diff(al.group_ends), links]
+            doc_ids, digests = ids.to_pylist(), aligner.digests(al)
             row += len(texts)
             for start, stop, text, pairs, many in aligner.links(al):
-                distinct, place = np.unique(pairs, return_inverse=True)
-                places = place.astype(np.uint16 if len(distinct) <= 1 << 16 else np.int32)
-                columns = [pa.array([f[start:stop]] if isinstance(f, list) else [f[start:stop].tolist()]) for f in facts[:1]]
-                columns += [pa.array([facts[1].slice(start, stop - start).to_pylist()], pa.list_(pa.int64()))]
-                columns += [pa.array([f[start:stop]], pa.list_(pa.int64())) for f in facts[2:6]] + [pa.array([facts[6][start:stop]], pa.list_(pa.string()))]
-                columns += [pa.array([base + block]), pa.array([distinct], pa.list_(pa.int64())), pa.array([np.bincount(place, minlength=len(distinct))], pa.list_(pa.int64()))]
-                columns += [pa.array([np.searchsorted(text, np.arange(start + 1, stop + 1))], pa.list_(pa.int64())), pa.array([places.tobytes()]), pa.array([many.astype(np.int64).tobytes()])]
-                block += 1
-                yield pa.RecordBatch.from_arrays(columns, names=[*_PER_TEXT, "digest", "block", "pair", "docs", "ends", "places", "links"])
+                size = len(pairs) + stop - start
+                if pieces and held + size > BLOCK:
+                    yield block(base + number, pieces)
+                    pieces, held, number = [], 0, number + 1
+                counts = np.bincount(text - start, minlength=stop - start)
+                pieces.append(([*[n[start:stop] for n in numbers], doc_ids[start:stop], digests[start:stop]], counts, pairs, many))
+                held += size
+        if pieces:
+            yield block(base + number, pieces)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _BLOCK)
 
@@ -317,7 +360,7 @@ def report(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Per document: counts of tokens, groups and links, the digest of its groups, links to an A id's commonest partners, sum of counts."""
     blocked = staged(blocks(docs, a_path, b_path))
     pair = Pair.of(a_path, b_path)
-    counts = pair_counts(blocked, Aligner(pair).b_bits)
+    counts = pair_counts(blocked, _aligner(pair).b_bits)
     asked = blocked.select("block", F.posexplode("pair").alias("at", "pair"))
     answers = asked.join(counts, "pair").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "docs", "best"))).alias("answer"))
     answers = answers.select("block", F.col("answer.docs").alias("counts"), F.col("answer.best").cast("array<int>").alias("best"))
