@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators import evaluation as E
+from riskloom.operators.logistic import Cells
 from riskloom.operators.splits import CLIENT, TARGET, class_sizes, per_class, undersample
 from riskloom.session import checkpointed
 
@@ -173,13 +174,29 @@ def summarise(oof: DataFrame, context: DataFrame, per_fold: DataFrame, target: s
     return {"summary": one, "curve": mean_curve}
 
 
+def logistic_folds(
+    matrix: DataFrame, folds: DataFrame, features: Iterable[str], balanced: bool = False, c: float = 1.0, target: str = TARGET, id_col: str = CLIENT
+) -> tuple[DataFrame, DataFrame, list]:
+    """(out-of-fold scores, fitting-part scores, fits) of the scaled logistic regression of every seed and fold, all fitted together."""
+    cells = Cells(matrix, features, folds, target, id_col)
+    fits = cells.fit(balanced, c)
+    scored = checkpointed(cells.scores(fits))
+    return scored.filter("held").drop("held"), scored.filter("NOT held").drop("held"), fits
+
+
 def strategy_cell(
     model: str, strategy: str, matrix: DataFrame, folds: DataFrame, fit: Callable, features: Iterable[str], context: DataFrame,
     target: str = TARGET, id_col: str = CLIENT, amount: str = "AMT_CREDIT",
 ) -> tuple[DataFrame, DataFrame]:
     """One cell of the comparison: its summary row, and AUC and zone arrears of each fold."""
     oof, seen = score_folds(matrix, folds, fit, features, target, id_col)
-    oof, seen = checkpointed(oof), checkpointed(seen)
+    return compared(model, strategy, checkpointed(oof), checkpointed(seen), context, target, id_col, amount)
+
+
+def compared(
+    model: str, strategy: str, oof: DataFrame, seen: DataFrame, context: DataFrame, target: str = TARGET, id_col: str = CLIENT, amount: str = "AMT_CREDIT"
+) -> tuple[DataFrame, DataFrame]:
+    """Summary row, and AUC and zone arrears of each fold, of scores made by any model."""
     require_one_score(oof, id_col)
     folds_table = per_fold_metrics(oof, seen, target)
     keys = ["seed", "k"]

@@ -15,12 +15,14 @@ from riskloom.operators import selection as R
 from riskloom.operators import splits as X
 from riskloom.operators import stages as G
 from riskloom.operators.features import LATE_RATIOS
+from riskloom.operators.cleaning import sanitise_names
 from riskloom.operators.history import HISTORY_FLAGS
+from riskloom.operators.logistic import Cells, coefficients
 from riskloom.operators.panel import PANEL_FLAGS, TRAJECTORIES
 from riskloom.operators.previous import PREVIOUS_FLAGS
 from riskloom.plans import assemble as Pl
 from riskloom.plans import presets as Pr
-from riskloom.queries.audits import SPLIT_SQL, folds_sql, split
+from riskloom.queries.audits import SPLIT_SQL, folds_sql, scratch, split
 from riskloom.queries.base import app, clients, n_if
 from riskloom.queries.registry import add, cte
 from riskloom.queries.rows import DAY_SQL, PART_SQL
@@ -625,24 +627,54 @@ SELECT 'm' AS model, 'nada' AS strategy, avg(d) AS auc_mean, avg(d) AS zone_mean
 
 # -- models ------------------------------------------------------------------------------------
 
-_FX = ["EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3", "AGE_YEARS", "AMT_CREDIT"]
+_MATRICES: dict[tuple[str, str], str] = {}
 
 
-def modelling_table(s, d):
-    """Complete numeric matrix of the population, materialised: every fold and model reads it."""
-    df = app(s, d).select(K, Y, *_FX)
-    return checkpointed(G.MedianImputer(columns=_FX).fit(df).transform(df))
+def encoded(s, d):
+    """(train, valid): the fitted matrix of every declared column, written once for a session and folder."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _MATRICES:
+        path = f"{scratch(s, 'encoded')}"
+        _, tr, va = Pl.fit_matrices(checkpointed(clients(s, d)), split(s, d), Pl.feature_stages(Pr.full_buckets(), min_rows=20))
+        sanitise_names(tr.withColumn("part", F.lit("train")).unionByName(va.withColumn("part", F.lit("valid")))).write.parquet(path)
+        _MATRICES[key] = path
+    both = s.read.parquet(_MATRICES[key])
+    return both.filter("part = 'train'").drop("part"), both.filter("part = 'valid'").drop("part")
 
 
-def _scored(model, df):
-    return E.ranking(E.score_groups(L.positive_probability(model, df), Y, "score"))
+def features_of(df):
+    """The encoded columns."""
+    return [c for c in df.columns if c not in (K, Y)]
 
 
-add("L1_logistic", lambda s, d: (lambda t: _scored(L.fit_logistic(t, _FX, balanced=True), t))(modelling_table(s, d)))
-add("L2_forest", lambda s, d: (lambda t: _scored(L.fit_forest(t, _FX, balanced=True), t))(modelling_table(s, d)))
-add("L3_boosted", lambda s, d: (lambda t: _scored(L.fit_boosted(t, _FX), t))(modelling_table(s, d)))
-add("L4_balanced_forest", lambda s, d: (lambda t: _scored(L.fit_balanced_forest(t, _FX), t))(modelling_table(s, d)))
-add("L6_class_one_probability", lambda s, d: (lambda t: L.positive_probability(L.fit_logistic(t, list(L.FLOOR_FEATURES)), t).select(K, "score"))(modelling_table(s, d)))
+def _judged(fit):
+    """Ranking of the valid part by a model fitted on the training part."""
+
+    def run(s, d):
+        tr, va = encoded(s, d)
+        return E.ranking(E.score_groups(L.positive_probability(fit(tr, features_of(tr)), va), Y, "score"))
+
+    return run
+
+
+def _logistic(s, d):
+    """Coefficients of the scaled logistic regression, and how far the gradient is from zero."""
+    tr, _ = encoded(s, d)
+    fit = Cells(tr, features_of(tr)).fit(balanced=True)
+    return coefficients(s, fit).select("feature", "coefficient", "plain", F.lit(fit[0].gradient).alias("gradient"))
+
+
+def _probabilities(s, d):
+    tr, va = encoded(s, d)
+    cells = Cells(va, features_of(tr))
+    return cells.scores(Cells(tr, features_of(tr)).fit(balanced=True)).select(K, "score")
+
+
+add("L1_logistic", _logistic)
+add("L2_forest", _judged(lambda t, fx: L.fit_forest(t, fx, balanced=True)))
+add("L3_boosted", _judged(lambda t, fx: L.fit_boosted(t, fx)))
+add("L4_balanced_forest", _judged(lambda t, fx: L.fit_balanced_forest(t, fx)))
+add("L6_class_one_probability", _probabilities)
 
 
 def _floor(s, d):
@@ -655,24 +687,24 @@ def _floor(s, d):
 add("L7_constant_floor", _floor, f"SELECT seed, k, pd, sh * power(1 - pd, 2) + (1 - sh) * pd * pd AS brier, -(sh * ln(pd) + (1 - sh) * ln(1 - pd)) AS log_loss FROM (SELECT seed, fold AS k, avg({Y}) AS sh, (ts - sum({Y})) / (tn - count(*)) AS pd FROM ({folds_sql(P.SEEDS, P.N_FOLDS)}), (SELECT sum({Y}) AS ts, count(*) AS tn FROM lab) GROUP BY seed, fold, ts, tn)")
 
 
-def _oof(s, d):
-    t = modelling_table(s, d)
-    return t, checkpointed(X.stratified_folds(t))
+def _oof(s, d, balanced: bool):
+    """Scores of the logistic regression of every seed and fold on the training matrix."""
+    tr, _ = encoded(s, d)
+    return L.logistic_folds(tr, checkpointed(X.stratified_folds(tr)), features_of(tr), balanced)
 
 
 def _score_folds(s, d):
-    t, folds = _oof(s, d)
-    oof, seen = L.score_folds(t, folds, lambda df, fx: L.fit_logistic(df, fx), _FX)
-    return L.per_fold_metrics(checkpointed(oof), checkpointed(seen))
+    oof, seen, _ = _oof(s, d, False)
+    return L.per_fold_metrics(oof, seen, check=False)
 
 
 add("L8_score_folds", _score_folds)
 
 
 def _cell(s, d, part: int):
-    t, folds = _oof(s, d)
+    oof, seen, _ = _oof(s, d, True)
     context = clients(s, d, "h").select(K, "AMT_CREDIT", "HAS_BUREAU_HISTORY")
-    return L.strategy_cell("logistica", "pesos", t.withColumnRenamed("AMT_CREDIT", "CREDIT"), folds, lambda df, fx: L.fit_logistic(df, fx, balanced=True), [*_FX[:4], "CREDIT"], context)[part]
+    return L.compared("logistica", "pesos", oof, seen, context)[part]
 
 
 add("L9_summary", lambda s, d: _cell(s, d, 0))
@@ -681,55 +713,61 @@ add("L10_strategy_cell", lambda s, d: _cell(s, d, 1))
 # -- synthetic rows ----------------------------------------------------------------------------
 
 
-def _synthetic_input(s, d):
-    t = modelling_table(s, d).withColumn("CAR", F.pmod(K, F.lit(2)).cast("double"))
-    # whole coordinates keep equal distances equal on both engines
-    whole = [F.floor(F.col(c) * 1000).cast("double").alias(c) for c in ("EXT_SOURCE_1", "EXT_SOURCE_3")]
-    return checkpointed(t.select(K, Y, *whole, "CAR"))
-
+def _scaled(s, d):
+    """The training matrix with every column between its least and greatest value."""
+    tr, _ = encoded(s, d)
+    names = features_of(tr)
+    # one row: two numbers a column
+    ends = tr.agg(*[F.min(c).alias(f"a{i}") for i, c in enumerate(names)], *[F.max(c).alias(f"b{i}") for i, c in enumerate(names)]).first()
+    unit = [((F.col(c).cast("double") - float(ends[f"a{i}"])) / (float(ends[f"b{i}"] - ends[f"a{i}"]) or 1.0)).alias(c) for i, c in enumerate(names)]
+    return checkpointed(tr.select(K, Y, *unit)), names
 
-_SX = ["EXT_SOURCE_1", "EXT_SOURCE_3", "CAR"]
 
-
-def _sizes(df):
-    """Rows of each class, whole nominal values, distinct ids, and the rows inside the range of the real minority."""
-    df = checkpointed(df)
+def _grown(s, d):
+    """Rows of each class, distinct ids, synthetic rows, and how many of their values lie in the range of the real minority."""
+    df, names = _scaled(s, d)
+    left = checkpointed(R2.synthetic_minority(df, names))
     # one row: the range of each feature
-    ends = df.filter((F.col(Y) == 1) & (F.col(K) > 0)).agg(*[f(c).alias(f"{n}_{c}") for c in _SX for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    inside = reduce(lambda x, y: x & y, [F.col(c).between(ends[f"lo_{c}"], ends[f"hi_{c}"]) for c in _SX])
+    ends = left.filter((F.col(Y) == 1) & (F.col(K) > 0)).agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(names) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    inside = reduce(lambda x, y: x + y, [F.col(c).between(ends[f"lo{i}"] - 1e-12, ends[f"hi{i}"] + 1e-12).cast("int") for i, c in enumerate(names)])
     made = F.col(K) < 0
-    return df.groupBy(Y).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("CAR").isin(0, 1)).alias("whole"), F.count_distinct(K).alias("ids"),
-        F.count_if(made).alias("made"), F.count_if(made & inside).alias("made_inside"),
-    )
+    return left.groupBy(Y).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(K).alias("ids"), F.count_if(made).alias("made"), F.count_if(made & (inside == len(names))).alias("made_inside"))
 
 
 add(
     "X6_synthetic_minority",
-    lambda s, d: _sizes(R2.synthetic_minority(_synthetic_input(s, d), _SX)),
-    f"SELECT t.v AS {Y}, n, n AS whole, n AS ids, CASE WHEN t.v = 1 THEN n - m ELSE 0 END AS made, CASE WHEN t.v = 1 THEN n - m ELSE 0 END AS made_inside FROM (SELECT count(*) FILTER (WHERE {Y} = 0) AS n, count(*) FILTER (WHERE {Y} = 1) AS m FROM lab), (VALUES (0), (1)) AS t(v)",
+    _grown,
+    f"SELECT t.v AS {Y}, n, n AS ids, CASE WHEN t.v = 1 THEN n - m ELSE 0 END AS made, CASE WHEN t.v = 1 THEN n - m ELSE 0 END AS made_inside FROM (SELECT count(*) FILTER (WHERE {Y} = 0) AS n, count(*) FILTER (WHERE {Y} = 1) AS m FROM split_t WHERE split = 'train'), (VALUES (0), (1)) AS t(v)",
 )
 
 
 def _clean_synthetic(s, d):
     """What is left of the grown table once the rows of its Tomek links are gone."""
-    left = checkpointed(R2.synthetic_without_links(_synthetic_input(s, d), _SX))
+    left = checkpointed(R2.synthetic_without_links(*_scaled(s, d)))
     return left.groupBy(Y).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(K) < 0).alias("made"), F.count_distinct(K).alias("ids"))
 
 
 add("X7_synthetic_without_links", _clean_synthetic)
+#: Columns of the links that SQL can follow: whole coordinates keep equal distances equal on both engines.
+_TX = {c: f"floor({c} * 1000)" for c in ("EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3")} | {"AGE_YEARS": "floor(AGE_YEARS * 10)"} | {c: c for c in ("FLAG_WORK_PHONE", "FLAG_PHONE", "FLAG_EMAIL", "HAS_BUILDING_INFO")}
+_TX_TEXT = {"OWN_CAR": "CASE WHEN FLAG_OWN_CAR = 'Y' THEN 1 ELSE 0 END", "CASH": "CASE WHEN NAME_CONTRACT_TYPE = 'Cash loans' THEN 1 ELSE 0 END"}
 
 
 def _links(s, d):
-    return R2.tomek_links(_synthetic_input(s, d), _SX)
+    df = app(s, d)
+    df = G.MedianImputer(columns=list(_TX)).fit(df).transform(df)
+    return R2.tomek_links(checkpointed(df.select(K, Y, *[F.expr(e).cast("double").alias(c) for c, e in (_TX | _TX_TEXT).items()])), [*_TX, *_TX_TEXT])
 
 
-_NNV = f"SELECT {K}, {Y}, a, b, {K} % 2 AS c FROM (SELECT {K}, {Y}, floor(coalesce(EXT_SOURCE_1, (SELECT median(EXT_SOURCE_1) FROM app1)) * 1000) AS a, floor(coalesce(EXT_SOURCE_3, (SELECT median(EXT_SOURCE_3) FROM app1)) * 1000) AS b FROM app1)"
+_FILLED = ", ".join(f"coalesce({c}, (SELECT median({c}) FROM app1)) AS {c}" for c in _TX)
+_XS = ", ".join(f"x{i}" for i in range(len(_TX) + len(_TX_TEXT)))
+_NNV = f"SELECT {K}, {Y}, {', '.join(f'{e} AS x{i}' for i, e in enumerate((_TX | _TX_TEXT).values()))} FROM (SELECT * REPLACE ({_FILLED}) FROM app1)"
+_GAP = " + ".join(f"power(p.x{i} - q.x{i}, 2)" for i in range(len(_TX) + len(_TX_TEXT)))
 add(
     "X7_tomek_links",
     _links,
-    f"""WITH v AS ({_NNV}), u AS (SELECT a, b, c, min({K}) AS {K}, count(*) AS m, min({Y}) AS lo, max({Y}) AS hi FROM v GROUP BY 1, 2, 3),
-nn AS (SELECT p.{K} AS p, q.{K} AS q FROM u p JOIN u q ON p.{K} <> q.{K} QUALIFY row_number() OVER (PARTITION BY p.{K} ORDER BY power(p.a - q.a, 2) + power(p.b - q.b, 2) + power(p.c - q.c, 2), q.{K}) = 1)
+    f"""WITH v AS ({_NNV}), u AS (SELECT {_XS}, min({K}) AS {K}, count(*) AS m, min({Y}) AS lo, max({Y}) AS hi FROM v GROUP BY {_XS}),
+nn AS (SELECT p.{K} AS p, q.{K} AS q FROM u p JOIN u q ON p.{K} <> q.{K} QUALIFY row_number() OVER (PARTITION BY p.{K} ORDER BY {_GAP}, q.{K}) = 1)
 SELECT x.p AS {K} FROM nn x JOIN nn y ON x.q = y.p AND y.q = x.p JOIN u ON u.{K} = x.p JOIN u w ON w.{K} = x.q WHERE u.m = 1 AND w.m = 1 AND u.lo <> w.lo
-UNION SELECT v.{K} FROM v JOIN u USING (a, b, c) WHERE u.m = 2 AND u.lo <> u.hi""",
+UNION SELECT v.{K} FROM v JOIN u USING ({_XS}) WHERE u.m = 2 AND u.lo <> u.hi""",
 )
