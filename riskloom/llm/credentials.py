@@ -2,12 +2,13 @@
 
 Strong findings stand alone: assignments to names of secrets, access identifiers, long hexadecimal runs. Weak candidates are
 runs that look like secret keys (40 base64 characters, mixed) and endpoints (addresses with a scheme); alone they mean nothing. Parts
-of one kind of credential are linked by an interval join: a weak key counts if an access identifier begins within ``SCOPE`` code
-points of it, an endpoint if an access identifier or such a key does, in the same document. The join meets parts in bins of that width
-and only asks whether a partner exists, so no pairs are made.
+are linked by an interval join: identifiers (access), secrets (assign, hex, key) and endpoints complement each other. A weak key counts
+if an identifier or an endpoint begins within ``SCOPE`` code points of it, an endpoint if an identifier or a secret does, in the same
+document. The join meets parts in bins of that width and only asks whether a partner exists, so no pairs are made.
 
 Only DataFrame functions are used. Positions come from splitting a text at the pattern: what lies between the matches and the matches
-themselves, in turn, add up to all starts and ends. Patterns that cannot match a text cost one test.
+themselves, in turn, add up to all starts and ends; they are added up in runs of ``RUN`` matches, so that a text with very many
+costs little more than its share. Patterns that cannot match a text cost one test.
 
 Cases: null and empty texts have no findings; rows that share doc_id and text share their findings.
 """
@@ -27,6 +28,8 @@ KEY = r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za
 ENDPOINT = r"(?:https?|s3|ftp)://[A-Za-z0-9.-]+(?::[0-9]+)?"
 KINDS = ("assign", "access", "hex", "key", "endpoint")
 SCOPE = 200
+#: Matches whose positions are added up in one array.
+RUN = 64
 
 
 def _spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
@@ -37,7 +40,6 @@ def _spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
     zipped = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("b"), whole.alias("m"), value.alias("v"))
     zipped = F.transform(zipped, lambda x: F.struct(F.length(x["b"]).alias("b"), F.length(x["m"]).alias("m"), F.length(x["v"]).alias("v")))
     empty = F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["b"]
@@ -46,7 +48,16 @@ def _spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
         kept = F.concat(acc["out"], found) if not least else F.when(x["v"] >= least, F.concat(acc["out"], found)).otherwise(acc["out"])
         return F.struct(end.alias("at"), kept.alias("out"))
 
-    spans = F.aggregate(zipped, begin, step, lambda acc: acc["out"])
+    # an array that grows by one is copied each time: runs keep it short
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / RUN).cast("int")), lambda i: F.slice(zipped, i * RUN + 1, RUN))
+    length = lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + x["b"] + x["m"])
+    none = F.expr("cast(array() as array<int>)")
+    offsets = F.aggregate(
+        F.transform(runs, length), F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"],
+    )
+    placed = F.arrays_zip(runs.alias("run"), offsets.alias("at"))
+    spans = F.flatten(F.transform(placed, lambda r: F.aggregate(r["run"], F.struct(r["at"].alias("at"), empty.alias("out")), step, lambda acc: acc["out"])))
     return F.when(text.rlike(pattern), spans).otherwise(empty)
 
 
@@ -61,7 +72,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 def linked(found: DataFrame) -> DataFrame:
     """(rid, tid, spans) of the weak candidates that have their complement within the scope."""
     bin_of = lambda c: F.floor(c / SCOPE)
-    parts = found.select("rid", "tid", F.explode(F.concat("base", "weak")).alias("p")).select("rid", "tid", "p.*").filter(F.col("kind").isin(1, 3, 4)).distinct()
+    parts = found.select("rid", "tid", F.explode(F.concat("base", "weak")).alias("p")).select("rid", "tid", "p.*").distinct()
     parts = parts.repartition(partitions(found.sparkSession), "rid", "tid")
     around = F.explode(F.sequence(bin_of(F.col("start")) - 1, bin_of(F.col("start")) + 1))
     near = F.abs(F.col("start") - F.col("other")) <= SCOPE
@@ -72,9 +83,8 @@ def linked(found: DataFrame) -> DataFrame:
         cond = [here[c] == placed[c] for c in ("rid", "tid", "bin")] + [near]
         return here.join(placed, cond, "left_semi").drop("bin")
 
-    access = parts.filter(F.col("kind") == 1)
-    keys = with_partner(parts.filter(F.col("kind") == 3), access)
-    endpoints = with_partner(parts.filter(F.col("kind") == 4), access.unionByName(keys))
+    keys = with_partner(parts.filter(F.col("kind") == 3), parts.filter(F.col("kind").isin(1, 4)))
+    endpoints = with_partner(parts.filter(F.col("kind") == 4), parts.filter(F.col("kind") != 4))
     return keys.unionByName(endpoints).groupBy("rid", "tid").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
 
 

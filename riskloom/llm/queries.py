@@ -139,7 +139,7 @@ FROM turns GROUP BY conv_id
 
 def _secrets_sql() -> str:
     assign = credentials.ASSIGN.replace("'", "''").replace("(?i:password", "(?i:password")
-    kinds = ((0, assign, 1, "length(v) >= 8"), (1, credentials.ACCESS, 0, "true"), (2, credentials.HEX, 0, "true"), (3, "[A-Za-z0-9+/=]+", 0, "length(m) = 40 AND NOT contains(m, '=') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')"), (4, credentials.ENDPOINT, 0, "true"))
+    kinds = ((0, assign, 1, "length(v) >= 8"), (1, credentials.ACCESS, 0, "true"), (2, credentials.HEX, 0, "true"), (3, "[A-Za-z0-9+/]+=?", 0, "length(m) = 40 AND NOT contains(m, '=') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')"), (4, credentials.ENDPOINT, 0, "true"))
     union = " UNION ALL ".join(
         f"SELECT doc_id, {k} AS k, start, start + length(m) AS stop FROM (SELECT doc_id, m, v, sum(length(b)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (SELECT doc_id, unnest(b[1:len(m)]) AS b, unnest(m) AS m, unnest(v) AS v, generate_subscripts(m, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(t, '{p}') AS b, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {g}) AS v FROM texts)) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE {cond}"
         for k, p, g, cond in kinds
@@ -149,8 +149,8 @@ def _secrets_sql() -> str:
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 spans AS MATERIALIZED (SELECT doc_id, k, start::BIGINT AS start, stop::BIGINT AS stop FROM ({union})),
-keys AS (SELECT * FROM spans s WHERE k = 3 AND EXISTS (SELECT 1 FROM spans a WHERE a.doc_id = s.doc_id AND a.k = 1 AND {near})),
-ends AS (SELECT * FROM spans s WHERE k = 4 AND (EXISTS (SELECT 1 FROM spans a WHERE a.doc_id = s.doc_id AND a.k = 1 AND {near}) OR EXISTS (SELECT 1 FROM keys a WHERE a.doc_id = s.doc_id AND {near}))),
+keys AS (SELECT * FROM spans s WHERE k = 3 AND EXISTS (SELECT 1 FROM spans a WHERE a.doc_id = s.doc_id AND a.k IN (1, 4) AND {near})),
+ends AS (SELECT * FROM spans s WHERE k = 4 AND EXISTS (SELECT 1 FROM spans a WHERE a.doc_id = s.doc_id AND a.k < 4 AND {near})),
 kept AS (SELECT * FROM spans WHERE k < 3 UNION ALL SELECT * FROM keys UNION ALL SELECT * FROM ends),
 by_doc AS (
   SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
