@@ -4,8 +4,9 @@ A text, lower-cased and framed by blanks, is the set of its hashed character n-g
 Each n-gram's feature value is the logarithm of the ratio of its smoothed frequencies in toxic and other texts;
 a logistic classifier is trained on these values, and its weights are multiplied with the ratios into one table.
 
-The classifier is fitted on a bounded sample of labelled texts: at most ``SAMPLE`` of each label, the lowest by a
-hash of the id, and of these the texts of at most ``MOST_CHARS`` code points. The intercept is corrected for the share of each label among all labelled rows. Scoring reads
+The classifier is fitted on a bounded sample of labelled texts: of each label the lowest by a hash of the id, up to ``SAMPLE`` texts and
+``MOST_TOTAL`` code points together. A text longer than ``MOST_CHARS`` gives a span of that length, its place drawn by the hash, so a label that
+only has long texts is learned too. The intercept is corrected for the share of each label among all labelled rows. Scoring reads
 every whole text.
 
 Cases: null and empty texts get the score of a text without n-grams; labels other than 0 and 1 teach nothing;
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -29,8 +30,8 @@ ORDERS = (3, 4, 5)
 BITS = 20
 #: Most labelled texts of each label that the fit reads.
 SAMPLE = 1500
-#: Longer texts are not learned from (they are scored whole), so the sample's size has a bound.
-MOST_CHARS = 60_000
+#: Code points learned of one text, and of all texts of a label (the last one taken may exceed it); scoring reads whole texts.
+MOST_CHARS, MOST_TOTAL = 60_000, 20_000_000
 #: n-grams found in fewer sampled texts carry no weight.
 LEAST_TEXTS = 3
 #: And so do those whose chi-square statistic against the label is smaller: in long texts their noise would add up.
@@ -135,8 +136,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
         part = marks.filter(F.col("toxic") == y).orderBy("order", "doc_id").limit(SAMPLE)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").withColumn("text", F.coalesce("text", F.lit(""))).filter(F.length("text") <= MOST_CHARS)
-    found = found.select("order", "doc_id", "toxic", "text").orderBy("order", "doc_id", "text").limit(2 * SAMPLE).toArrow()
+    text = F.coalesce("text", F.lit(""))
+    start = F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.greatest(F.length(text) - MOST_CHARS, F.lit(0)) + 1).cast("int")
+    found = texts.join(F.broadcast(chosen), "doc_id").withColumn("text", F.substring(text, start + 1, F.lit(MOST_CHARS)))
+    # rows that repeat an id come once each, within the same bound
+    found = found.select("order", "doc_id", "toxic", "text").orderBy("order", "doc_id", "text").limit(2 * SAMPLE)
+    before = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy("order", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < MOST_TOTAL).orderBy("order", "doc_id", "text").toArrow()
     return train(found["text"].to_pylist(), found["toxic"].to_numpy(), (float(shares.get(0, 0)), float(shares.get(1, 0))))
 
 
