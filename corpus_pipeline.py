@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import lines, mixing, pieces, simhash, toxicity
-from riskloom.llm.common import partitions, quoted, staged, table
+from riskloom.llm.common import partitions, quoted, spare, staged, table
 
 #: SQL expresses neither the classifier nor the encoder.
 ORACLE_SQL = None
@@ -20,7 +20,8 @@ ORACLE_SQL = None
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below one half."""
     score = toxicity.scorer(toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return docs.withColumn("__score", score(F.col("text").cast("string"))).filter("__score < 0.5").select(*[quoted(c) for c in docs.columns])
+    (name,) = spare(docs, "__score")
+    return docs.withColumn(name, score(F.col("text").cast("string"))).filter(F.col(name) < 0.5).select(*[quoted(c) for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +40,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that its source's target cuts is taken whole if at least half of its words are due, else not. Rows that repeat
     doc_id, text and source all get the passes of one of them.
     """
-    plan = mixing.planned(docs)
+    plan = mixing.planned(docs.select("doc_id", "text", "source"))
+    doc, tie, none, named, spots, place = spare(docs, "__doc", "__tie", "__none", "__name", "__at", "__position")
     whole = F.transform(F.filter("passes", lambda p: 2 * p["words"] >= F.col("size")), lambda p: p["position"])
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    picked = plan.select(F.col("doc_id").alias("__doc"), F.col("__tie"), F.col("source").isNull().alias("__none"), name(F.col("source")).alias("__name"), whole.alias("__at"))
-    picked = picked.filter(F.size("__at") > 0).groupBy("__doc", "__tie", "__none", "__name").agg(F.max("__at").alias("__at"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__tie")) & (F.col("source").isNull() == F.col("__none")) & (name(F.col("source")) == F.col("__name"))
-    rows = docs.join(picked, on).select(*[quoted(c) for c in docs.columns], F.explode("__at").alias("__position"))
-    return rows.repartitionByRange(partitions(spark), "__position", "doc_id").sortWithinPartitions("__position", "doc_id").drop("__position")
+    picked = plan.select(F.col("doc_id").alias(doc), F.col("__tie").alias(tie), F.col("source").isNull().alias(none), name(F.col("source")).alias(named), whole.alias(spots))
+    picked = picked.filter(F.size(spots) > 0).groupBy(doc, tie, none, named).agg(F.max(spots).alias(spots))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(tie)) & (F.col("source").isNull() == F.col(none)) & (name(F.col("source")) == F.col(named))
+    rows = docs.join(picked, on).select(*[quoted(c) for c in docs.columns], F.explode(spots).alias(place))
+    return rows.repartitionByRange(partitions(spark), place, "doc_id").sortWithinPartitions(place, "doc_id").drop(place)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

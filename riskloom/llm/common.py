@@ -44,6 +44,17 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def with_text(docs: DataFrame, text: Column) -> DataFrame:
     """``docs`` with another text and its length; other columns stay."""
     out = []

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import BLANKS, partitions, staged, with_text
+from riskloom.llm.common import BLANKS, partitions, quoted, spare, staged, with_text
 
 LEAST = 10
 WORD_BITS = 64
@@ -79,17 +79,18 @@ def _applied(text: Column, keep: Column) -> Column:
     return F.when(keep.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n"))
 
 
-def with_bitmaps(docs: DataFrame) -> DataFrame:
-    """``docs`` with __n_dropped and __keep (null: keep all)."""
-    maps = keep_bitmaps(docs).select(F.col("doc_id").alias("__doc"), F.col("rid").alias("__rid"), F.col("n_dropped").alias("__n_dropped"), F.col("keep").alias("__keep"))
-    on = (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__rid"))
-    return docs.join(maps, on, "left").drop("__doc", "__rid")
+def with_bitmaps(docs: DataFrame, n_dropped: str, keep: str) -> DataFrame:
+    """``docs`` with two more columns: lines dropped and the bitmap (null: keep all)."""
+    doc, rid = spare(docs, "__doc", "__rid")
+    maps = keep_bitmaps(docs.select("doc_id", "text")).select(F.col("doc_id").alias(doc), F.col("rid").alias(rid), F.col("n_dropped").alias(n_dropped), F.col("keep").alias(keep))
+    on = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(rid))
+    return docs.join(maps, on, "left").drop(doc, rid)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """Line counts, dropped lines and the digest of what stays, of every document."""
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return with_bitmaps(base).select(
+    return with_bitmaps(base, "__n_dropped", "__keep").select(
         "doc_id", F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"), F.coalesce("__n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
         F.sha2(_applied(F.col("text"), F.col("__keep")), 256).alias("kept_sha256"),
     )
@@ -97,7 +98,7 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without the dropped lines; texts that lose nothing stay as they are, nulls included."""
-    marked = with_bitmaps(docs)
-    cols = docs.columns
-    text = F.when(F.col("__keep").isNull(), F.col("text")).otherwise(_applied(F.col("text"), F.col("__keep")))
-    return with_text(marked, text).select(*[F.col("`" + c + "`") for c in cols])
+    n_dropped, keep = spare(docs, "__n_dropped", "__keep")
+    marked = with_bitmaps(docs, n_dropped, keep)
+    text = F.when(F.col(keep).isNull(), F.col("text")).otherwise(_applied(F.col("text"), F.col(keep)))
+    return with_text(marked, text).select(*[quoted(c) for c in docs.columns])

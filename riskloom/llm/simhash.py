@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from riskloom.llm.common import partitions, quoted, staged
+from riskloom.llm.common import partitions, quoted, spare, staged
 
 SHINGLE, SEED, LINK = 3, 42, 3
 #: Homes compared at once at an anchor, and visitors at once with them.
@@ -254,7 +254,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class, its least doc_id; of rows that repeat it, one stays. Rows without doc_id stay."""
-    keep = classes(docs).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__doc")).distinct()
-    stay = docs.join(keep, F.col("doc_id").cast("long") == F.col("__doc"))
-    one = stay.withColumn("__n", F.row_number().over(Window.partitionBy("__doc").orderBy(F.xxhash64("text")))).filter("__n = 1")
+    doc, n = spare(docs, "__doc", "__n")
+    keep = classes(docs.select("doc_id", "text")).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc)).distinct()
+    stay = docs.join(keep, F.col("doc_id").cast("long") == F.col(doc))
+    one = stay.withColumn(n, F.row_number().over(Window.partitionBy(doc).orderBy(F.xxhash64("text")))).filter(F.col(n) == 1)
     return one.select(*[quoted(c) for c in docs.columns]).unionByName(docs.filter(F.col("doc_id").isNull()))
