@@ -35,6 +35,15 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert last.count() == before.count()
 
 
+def test_stages_with_clashing_names(spark):
+    names = ["__doc", "__rid", "__keep", "__n_dropped", "__n", "__tie", "__position", "__at", "__score", "__none", "__name", "a`b", "a.b"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr("*", *[f"doc_id AS `{n.replace('`', '``')}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        rows = after.collect()
+        assert after.columns == docs.columns and rows and all(r[n] == r["doc_id"] for r in rows for n in names), name
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
