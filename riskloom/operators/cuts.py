@@ -161,8 +161,7 @@ def purpose_rates(rows: DataFrame, target: str = TARGET, min_rows: int = P.MIN_C
     g = said.groupBy(F.col("NAME_CASH_LOAN_PURPOSE").alias("purpose")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("double")).alias("bads")
     )
-    whole = Window.partitionBy(F.lit(0))
-    overall = F.sum("bads").over(whole) / F.sum("n").over(whole)
+    overall = g.agg(F.sum("bads") / F.sum("n")).scalar()
     t = g.withColumns({"rate": F.col("bads") / F.col("n") * 100, "delta_pp": (F.col("bads") / F.col("n") - overall) * 100})
     return t.drop("bads").withColumn("chosen", ((F.col("n") >= min_rows) & (F.col("delta_pp") >= threshold)).cast("int"))
 

@@ -206,7 +206,7 @@ def crosstab(df: DataFrame, a: str | Column, b: str | Column) -> DataFrame:
         {
             "n_row": F.sum("n").over(Window.partitionBy("a")),
             "n_col": F.sum("n").over(Window.partitionBy("b")),
-            "n_all": F.sum("n").over(Window.partitionBy(F.lit(0))),
+            "n_all": counts.agg(F.sum("n")).scalar(),
         }
     ).withColumns({"row_share": F.col("n") / F.col("n_row"), "col_share": F.col("n") / F.col("n_col"), "expected": F.col("n_row") * F.col("n_col") / F.col("n_all")})
 

@@ -533,6 +533,14 @@ def _tails(s, d):
 
 
 add("K4_count_tails", _tails, union(f"SELECT *, '{n}' AS cut_of FROM ({_sweep_sql(r, k)})" for n, r, k in (("panel", _BC, 2), ("previous", _PC, 2), ("activity", _AC, 1))), ("cut_of",))
+
+
+def _p99(s, d):
+    counts = Q.panel_counts(S.panel(s, d), B.credit_bridge(S.history(s, d)), labels(s, d))
+    return s.createDataFrame([(Q.p99_plus_one(counts),)], "cut bigint")
+
+
+add("K4_p99_plus_one", _p99, f"SELECT CAST(floor(quantile_cont(n, 0.99)) AS BIGINT) + 1 AS cut FROM {_BC}")
 _GRID = [(None, -5), (-5, -2), (-2, 0), (0, 2), (2, 5), (5, 10), (10, None)]
 _TERM = "(CASE WHEN CREDIT_TYPE IS DISTINCT FROM 'Credit card' THEN DAYS_CREDIT_ENDDATE END) / 365.25"
 _G = union(f"SELECT {i} AS bin, {lo if lo is not None else 'NULL'} AS low, {hi if hi is not None else 'NULL'} AS high, count(*) AS n, avg({Y}) AS rate FROM hist_ct WHERE {_TERM} IS NOT NULL" + (f" AND {_TERM} > {lo}" if lo is not None else "") + (f" AND {_TERM} <= {hi}" if hi is not None else "") for i, (lo, hi) in enumerate(_GRID))
@@ -547,12 +555,12 @@ def _over_sql() -> str:
 
 
 add("K6_overgrant_cut", lambda s, d: Q.overgrant_sweep(Q.train_previous(S.previous(s, d), labels(s, d))), _over_sql())
-add(
-    "K7_urgent_purposes",
-    lambda s, d: Q.purpose_rates(Q.train_previous(S.previous(s, d), labels(s, d)), min_rows=20, threshold=0.1),
-    f"SELECT *, CASE WHEN n >= 20 AND delta_pp >= 0.1 THEN 1 ELSE 0 END AS chosen FROM (SELECT NAME_CASH_LOAN_PURPOSE AS purpose, count(*) AS n, avg({Y}) * 100 AS rate, (avg({Y}) - (SELECT avg({Y}) FROM prev_t WHERE declared)) * 100 AS delta_pp FROM prev_t WHERE declared GROUP BY 1)",
-    ("purpose",),
-)
+def _purposes_sql(least: int, delta: float) -> str:
+    return f"SELECT *, CASE WHEN n >= {least} AND delta_pp >= {delta} THEN 1 ELSE 0 END AS chosen FROM (SELECT NAME_CASH_LOAN_PURPOSE AS purpose, count(*) AS n, avg({Y}) * 100 AS rate, (avg({Y}) - (SELECT avg({Y}) FROM prev_t WHERE declared)) * 100 AS delta_pp FROM prev_t WHERE declared GROUP BY 1)"
+
+
+add("K7_urgent_purposes", lambda s, d: Q.purpose_rates(Q.train_previous(S.previous(s, d), labels(s, d)), min_rows=20, threshold=0.1), _purposes_sql(20, 0.1), ("purpose",))
+add("K7_default_floors", lambda s, d: Q.purpose_rates(Q.train_previous(S.previous(s, d), labels(s, d))), _purposes_sql(P.MIN_CATEGORY_ROWS, P.MIN_FLAG_DELTA_PP), ("purpose",))
 
 
 def _all_cuts(s, d):
