@@ -1,6 +1,6 @@
 """Language-model scores of whole texts by a gated recurrent network with a class-factored softmax.
 
-Texts (A-Z lower-cased) are words between white space and one end. The commonest ``WORDS`` training tokens are outputs of the network,
+Gates and candidates use x / (1 + |x|), which costs a fraction of a tanh. Texts (A-Z lower-cased) are words between white space and one end. The commonest ``WORDS`` training tokens are outputs of the network,
 ``CLASS`` neighbouring ranks to a class: a class is predicted from the state, then the word inside it. All other words are one more
 class, inside which a word has its smoothed share of the corpus counts; words never seen share one more count. So the probabilities of all
 texts add up, and the untrained network equals the base model.
@@ -10,7 +10,7 @@ is carried from window to window until a document ends. Training goes in rounds
 starts from the same parameters and trains on its own documents, and the parameters are averaged, weighed by tokens. Scoring
 carries the state through each document in the same way.
 
-Counts are gathered in blocks: a task emits blocks of about ``BLOCK`` tokens with the block's own list of distinct words, so only these lists meet
+Counts are gathered in blocks: a task emits blocks of about ``BLOCK`` code points with the block's own list of distinct words, so only these lists meet
 in the shuffles and a word in every document is one row a block.
 
 Cases: null and empty texts are the end alone; rows that repeat doc_id, or have none, are documents of their own, and the latter are learned
@@ -25,26 +25,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import remainder, staged, tree
 
-WORDS, CLASS, HIDDEN = 2048, 64, 32
-LANES, STEPS, BLOCK = 128, 24, 1_000_000
+WORDS, CLASS, HIDDEN = 1024, 64, 16
+#: Documents read side by side, steps of a window, windows filled at once, code points of a block.
+LANES, STEPS, AHEAD, BLOCK = 256, 24, 8, 12_000_000
 #: Hundredths of the documents that each round learns from, and step sizes.
 ROUNDS, RATES = (4, 16, 30, 50), (0.1, 0.1, 0.07, 0.04)
 HELD_OUT_OF, HELD_OUT = 7, 2
-END = b""
-
-
-class _Places(dict):
-    """Places of words in order of first sight."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self)
-        return place
+#: Bound of a logit, so that its exponential is finite.
+LIMIT = np.float32(80)
 
 
 @dataclass(frozen=True)
@@ -111,20 +106,24 @@ class Network:
     def forward(self, state: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         """States after each step (steps, lanes, hidden) and, to train, what each step needs again."""
         p, h = self.parts, HIDDEN
-        given = p["inputs"][inputs]
+        given = p["inputs"].take(inputs, axis=0)
         out, steps = np.empty((*inputs.shape, h), dtype=np.float32), []
         anew = fresh.any(axis=1)
         for t in range(len(inputs)):
             if anew[t]:
                 state = np.where(fresh[t][:, None], np.float32(0), state)
             turned = state @ p["turn"]
-            gates = np.tanh((given[t, :, : 2 * h] + turned[:, : 2 * h]) * np.float32(0.5))
-            gates += 1
+            gates = _softsign(given[t, :, : 2 * h] + turned[:, : 2 * h])
             gates *= np.float32(0.5)
+            gates += np.float32(0.5)
             reset, update = gates[:, :h], gates[:, h:]
             inner = turned[:, 2 * h :] + p["shift"]
-            candidate = np.tanh(given[t, :, 2 * h :] + reset * inner)
-            out[t] = candidate + update * (state - candidate)
+            candidate = reset * inner
+            candidate += given[t, :, 2 * h :]
+            candidate = _softsign(candidate)
+            np.subtract(state, candidate, out=out[t])
+            out[t] *= update
+            out[t] += candidate
             if keep:
                 steps.append((state, reset, update, inner, candidate))
             state = out[t]
@@ -135,62 +134,88 @@ class Network:
 
     def likelihoods(self, states: np.ndarray, targets: np.ndarray, gradient: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of the probability of each target (of its class, where it is no output); with ``gradient``, adds to it and returns the states' own."""
-        p, n = self.parts, len(targets)
-        rows, own = np.arange(n), self.classes_of(targets)
-        z = states @ p["classes"] + p["class_shift"]
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(axis=1)
-        found = z[rows, own] - np.log(total)
+        p, n, classes = self.parts, len(targets), self.outputs // CLASS
+        own = self.classes_of(targets)
+        order = np.argsort(own.astype(np.uint16), kind="stable")  # tokens of a class lie together
+        states, targets, own = np.ascontiguousarray(states.take(order, axis=0).T), targets[order], own[order]
+        ends, rows = np.searchsorted(own, np.arange(classes + 2)), np.arange(n)
+        z = p["classes"].T @ states + (p["class_shift"] - p["class_shift"].max()).T
+        np.minimum(z, LIMIT, out=z)
+        found = z[own, rows]
+        e = np.exp(z, out=z)
+        total = e.sum(axis=0)
+        found = found - np.log(total)
         back = None
         if gradient is not None:
-            e /= total[:, None]
-            e[rows, own] -= 1
-            gradient["classes"] = states.T @ e
-            gradient["class_shift"] = e.sum(axis=0, keepdims=True)
-            back = e @ p["classes"].T
+            e /= total
+            e[own, rows] -= 1
+            gradient["classes"] = states @ e.T
+            gradient["class_shift"] = e.sum(axis=1)[None, :]
+            back = p["classes"] @ e
             gradient["words"], gradient["word_shift"] = np.zeros_like(p["words"]), np.zeros_like(p["word_shift"])
-        order = np.argsort(own, kind="stable")
-        ends = np.searchsorted(own[order], np.arange(self.outputs // CLASS + 1))
-        for c in range(self.outputs // CLASS):
-            if ends[c] == ends[c + 1]:
+        for c in range(classes):
+            i, j, first = ends[c], ends[c + 1], c * CLASS
+            if i == j:
                 continue
-            some, first = order[ends[c] : ends[c + 1]], c * CLASS
-            h, weights, which = states[some], p["words"][first : first + CLASS], targets[some] - first
-            z = h @ weights.T + p["word_shift"][first : first + CLASS, 0]
-            z -= z.max(axis=1, keepdims=True)
-            e = np.exp(z)
-            total, at = e.sum(axis=1), np.arange(len(some))
-            found[some] += z[at, which] - np.log(total)
+            weights, shift, h = p["words"][first : first + CLASS], p["word_shift"][first : first + CLASS], states[:, i:j]
+            z = weights @ h
+            z += shift - shift.max()
+            np.minimum(z, LIMIT, out=z)
+            which, at = targets[i:j] - first, rows[: j - i]
+            chosen = z[which, at]
+            e = np.exp(z, out=z)
+            total = e.sum(axis=0)
+            found[i:j] += chosen - np.log(total)
             if gradient is not None:
-                e /= total[:, None]
-                e[at, which] -= 1
-                gradient["words"][first : first + CLASS] = e.T @ h
-                gradient["word_shift"][first : first + CLASS, 0] = e.sum(axis=0)
-                back[some] += e @ weights
-        return found, back
+                e /= total
+                e[which, at] -= 1
+                gradient["words"][first : first + CLASS] = e @ h.T
+                gradient["word_shift"][first : first + CLASS, 0] = e.sum(axis=1)
+                back[:, i:j] += weights.T @ e
+        out = np.empty(n, dtype=np.float32)
+        out[order] = found
+        if back is not None:
+            placed = np.empty((n, HIDDEN), dtype=np.float32)
+            placed[order] = back.T
+            back = placed
+        return out, back
 
     def learn(self, state: np.ndarray, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, rate: float) -> np.ndarray:
         """One step on a window; returns the state behind it."""
         p, h = self.parts, HIDDEN
         states, steps = self.forward(state, inputs, fresh, True)
         used, gradient = targets >= 0, {}
-        _, flat = self.likelihoods(states[used], targets[used], gradient)
-        due = np.zeros_like(states)
-        due[used] = flat
+        if used.all():
+            used = slice(None)  # a full window is taken as it is
+            due = self.likelihoods(states.reshape(-1, h), targets.ravel(), gradient)[1].reshape(states.shape)
+        else:
+            due = np.zeros_like(states)
+            due[used] = self.likelihoods(states[used], targets[used], gradient)[1]
         gates, inner = np.empty((*inputs.shape, 3 * h), dtype=np.float32), np.empty_like(states)
         carry = np.zeros_like(state)
+        anew = fresh.any(axis=1)
+        one, half = np.float32(1), np.float32(0.5)
+        back_gates, back_inner = np.ascontiguousarray(p["turn"][:, : 2 * h].T), np.ascontiguousarray(p["turn"][:, 2 * h :].T)
         for t in range(len(inputs) - 1, -1, -1):
             before, reset, update, turned, candidate = steps[t]
-            d = due[t] + carry
-            dc = d * (1 - update) * (1 - candidate * candidate)
-            own = gates[t]
-            own[:, 2 * h :] = dc
-            own[:, :h] = dc * turned * reset * (1 - reset)
-            own[:, h : 2 * h] = d * (before - candidate) * update * (1 - update)
-            inner[t] = dc * reset
-            carry = d * update + own[:, : 2 * h] @ p["turn"][:, : 2 * h].T + inner[t] @ p["turn"][:, 2 * h :].T
-            if fresh[t].any():
+            d, own = due[t], gates[t]
+            d += carry
+            slope = one - np.abs(candidate)
+            slope *= slope
+            slope *= d
+            slope *= one - update
+            own[:, 2 * h :] = slope
+            np.multiply(slope, reset, out=inner[t])
+            # a gate g is half a softsign and a half, so its slope is (1 - |2 g - 1|) ** 2 / 2
+            for k, gate, reached in ((0, reset, slope * turned), (1, update, d * (before - candidate))):
+                slope_g = one - np.abs(gate + gate - one)
+                slope_g *= slope_g
+                slope_g *= half
+                np.multiply(slope_g, reached, out=own[:, k * h : (k + 1) * h])
+            carry = own[:, : 2 * h] @ back_gates
+            carry += inner[t] @ back_inner
+            carry += d * update
+            if anew[t]:
                 carry[fresh[t]] = 0
         before = np.stack([s[0] for s in steps]).reshape(-1, h)
         gradient["turn"] = np.concatenate([before.T @ gates.reshape(-1, 3 * h)[:, : 2 * h], before.T @ inner.reshape(-1, h)], axis=1)
@@ -198,33 +223,45 @@ class Network:
         for k, g in gradient.items():
             self.past[k] += (g * g).mean(axis=1, keepdims=True)
             p[k] -= rate * g / np.sqrt(self.past[k])
-        order = np.argsort(inputs[used], kind="stable")
-        ids, first = np.unique(inputs[used][order], return_index=True)
-        g = np.add.reduceat(gates[used][order], first, axis=0)
+        flat = inputs[used].ravel()
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        ids = flat[order]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        ids, g = ids[first], np.add.reduceat(gates[used].reshape(-1, 3 * h).take(order, axis=0), first, axis=0)
         self.past["inputs"][ids] += (g * g).mean(axis=1, keepdims=True)
         p["inputs"][ids] -= rate * g / np.sqrt(self.past["inputs"][ids])
         return states[-1]
 
 
+def _softsign(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place."""
+    size = np.abs(x)
+    size += 1
+    x /= size
+    return x
+
+
 def windows(docs: Iterator[tuple[int, np.ndarray]], lanes: int, first: int):
     """Documents (key, ids) dealt to lanes: inputs, targets, starts and keys (steps x lanes), and which lanes of the last window go on.
 
-    The input is the token before; a document starts with ``first``. Empty places have target and key -1.
+    The input is the token before; a document starts with ``first``. Empty places have target and key -1. Lanes are filled for
+    ``AHEAD`` windows at once.
     """
     current: list[tuple[int, np.ndarray] | None] = [None] * lanes
     at = [0] * lanes
+    size = AHEAD * STEPS
     while True:
-        inputs, targets, keys = np.zeros((lanes, STEPS), dtype=np.int32), np.full((lanes, STEPS), -1, dtype=np.int32), np.full((lanes, STEPS), -1, dtype=np.int64)
-        fresh = np.zeros((lanes, STEPS), dtype=bool)
+        inputs, targets, keys = np.zeros((lanes, size), dtype=np.int32), np.full((lanes, size), -1, dtype=np.int32), np.full((lanes, size), -1, dtype=np.int64)
+        fresh = np.zeros((lanes, size), dtype=bool)
         for k in range(lanes):
             slot = 0
-            while slot < STEPS:
+            while slot < size:
                 if current[k] is None:
                     current[k], at[k] = next(docs, None), 0
                     if current[k] is None:
                         break
                 key, ids = current[k]
-                n, i = min(STEPS - slot, len(ids) - at[k]), at[k]
+                n, i = min(size - slot, len(ids) - at[k]), at[k]
                 targets[k, slot : slot + n] = ids[i : i + n]
                 if i:
                     inputs[k, slot : slot + n] = ids[i - 1 : i + n - 1]
@@ -235,11 +272,29 @@ def windows(docs: Iterator[tuple[int, np.ndarray]], lanes: int, first: int):
                 slot, at[k] = slot + n, i + n
                 if at[k] == len(ids):
                     current[k] = None
-        going = np.flatnonzero(targets[:, 0] >= 0)
-        if not len(going):
-            return
-        yield (*(np.ascontiguousarray(x[going].T) for x in (inputs, targets, fresh, keys)), going)
-        current, at, lanes = [current[k] for k in going], [at[k] for k in going], len(going)
+        for start in range(0, size, STEPS):
+            going = np.flatnonzero(targets[:, start] >= 0)
+            if not len(going):
+                return
+            if len(going) < lanes:  # a lane without a token has no more documents
+                inputs, targets, fresh, keys = (x[going] for x in (inputs, targets, fresh, keys))
+                current, at, lanes = [current[k] for k in going], [at[k] for k in going], len(going)
+            yield (*(np.ascontiguousarray(x[:, start : start + STEPS].T) for x in (inputs, targets, fresh, keys)), going)
+
+
+def split_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Tokens of each text (its end counted), all tokens as places in the list of distinct words, and that list, the end first."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+    flat = lists.flatten()
+    there = pc.not_equal(flat, "")  # white space at the ends of a text leaves empty words
+    words = flat.filter(there).dictionary_encode()
+    owner = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())[there.to_numpy(zero_copy_only=False)]
+    lengths = np.bincount(owner, minlength=len(texts)) + 1
+    places = np.zeros(int(lengths.sum()), dtype=np.int32)
+    inside = np.ones(len(places), dtype=bool)
+    inside[np.cumsum(lengths) - 1] = False
+    places[inside] = words.indices.to_numpy() + 1
+    return lengths, places, pa.concat_arrays([pa.array([""], pa.large_string()), words.dictionary])
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -248,35 +303,33 @@ def blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, count = TaskContext.get().partitionId() << 32, 0
 
-        def block(ids, held, lengths, tokens, places):
+        def block(ids, held, texts):
             nonlocal count
-            flat = np.concatenate(tokens)
+            lengths, flat, words = split_words(texts)
             learned = np.repeat(~np.array(held), lengths)
             columns = [pa.array([base + count], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int64()))]
             # two planes: most places are small, and the upper one compresses to almost nothing
             columns += [pa.array([(flat & 0xFFFF).astype(np.uint16).tobytes()]), pa.array([(flat >> 16).astype(np.uint16).tobytes()])]
-            columns += [pa.array([list(places)], pa.list_(pa.binary())), pa.array([np.bincount(flat[learned], minlength=len(places))], pa.list_(pa.int64()))]
+            one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+            columns += [one, pa.array([np.bincount(flat[learned], minlength=len(words))], pa.list_(pa.int64()))]
             count += 1
             return pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", "held", "length", "lower", "upper", "word", "n"])
 
-        ids, held, lengths, tokens, places, size = [], [], [], [], _Places(), 0
+        ids, held, texts, size = [], [], [], 0
         for batch in batches:
             for doc, out, text in zip(batch["doc_id"].to_pylist(), batch["held"].to_pylist(), batch["text"]):
-                words = (text.as_py() or b"").lower().split()
-                words.append(END)
                 ids.append(doc)
                 held.append(out)
-                lengths.append(len(words))
-                tokens.append(np.array(list(map(places.__getitem__, words)), dtype=np.int32))
-                size += len(words)
+                texts.append(text.as_py())
+                size += len(texts[-1] or "") + 8
                 if size >= BLOCK:
-                    yield block(ids, held, lengths, tokens, places)
-                    ids, held, lengths, tokens, places, size = [], [], [], [], _Places(), 0
+                    yield block(ids, held, texts)
+                    ids, held, texts, size = [], [], [], 0
         if ids:
-            yield block(ids, held, lengths, tokens, places)
+            yield block(ids, held, texts)
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), HELD_OUT_OF) == HELD_OUT).alias("held"), F.col("text").cast("string").cast("binary").alias("text"))
-    return chosen.mapInArrow(run, "block bigint, doc_id array<bigint>, held array<boolean>, length array<bigint>, lower binary, upper binary, word array<binary>, n array<bigint>")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(F.col("doc_id"), HELD_OUT_OF) == HELD_OUT).alias("held"), F.col("text").cast("string").alias("text"))
+    return chosen.mapInArrow(run, "block bigint, doc_id array<bigint>, held array<boolean>, length array<bigint>, lower binary, upper binary, word array<string>, n array<bigint>")
 
 
 _DOC = "doc_id bigint, held boolean, length bigint, known bigint, base double, rest double, ids binary"
@@ -288,12 +341,14 @@ def prepared(docs: DataFrame) -> tuple[DataFrame, Counts]:
     asked = blocked.select("block", F.posexplode(F.arrays_zip("word", "n")).alias("at", "w")).select("block", "at", "w.word", "w.n")
     counts = staged(asked.groupBy("word").agg(F.sum("n").alias("n")))
     sums = counts.agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > 0).alias("distinct")).first()
-    is_end = F.col("word") == F.lit(END)
+    is_end = F.col("word") == ""
     top = counts.filter(F.col("n") > 0).orderBy(is_end.desc(), F.col("n").desc(), "word").limit(WORDS).select("word", "n").collect()  # at most WORDS rows
     known = Counts(sums["tokens"] or 0, sums["distinct"] or 0, tuple(r["n"] for r in top))
-    ranks = docs.sparkSession.createDataFrame([(bytes(r["word"]), i) for i, r in enumerate(top)], "word binary, rank int")
-    answers = asked.select("block", "at", "word").join(counts.join(ranks, "word", "left"), "word")
-    answers = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "n", "rank"))).alias("answer")).select("block", F.col("answer.n").alias("n"), F.col("answer.rank").alias("rank"))
+    ranks = docs.sparkSession.createDataFrame([(r["word"], i) for i, r in enumerate(top)], "word string, rank int")
+    # ranks: at most WORDS rows
+    answers = asked.select("block", "at", "word").join(counts.join(F.broadcast(ranks), "word", "left").hint("shuffle_hash"), "word")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("at", "n", "rank")).alias("answer"))
+    answers = answers.select("block", F.col("answer.at").alias("at"), F.col("answer.n").alias("n"), F.col("answer.rank").alias("rank"))
     outputs = len(Network.start(known).parts["words"]) if top else 0
     whole, rest = math.log10(known.whole), math.log10(max(1, known.rest))
 
@@ -301,8 +356,10 @@ def prepared(docs: DataFrame) -> tuple[DataFrame, Counts]:
         for batch in batches:
             for k in range(len(batch)):
                 own = batch.slice(k, 1)
-                n = own["n"].flatten().to_numpy(zero_copy_only=False)
-                rank = own["rank"].flatten().fill_null(outputs).to_numpy(zero_copy_only=False)
+                at = own["at"].flatten().to_numpy(zero_copy_only=False)
+                n, rank = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
+                n[at] = own["n"].flatten().to_numpy(zero_copy_only=False)
+                rank[at] = own["rank"].flatten().fill_null(outputs).to_numpy(zero_copy_only=False)
                 places = np.frombuffer(own["lower"][0].as_py(), np.uint16).astype(np.int64) | np.frombuffer(own["upper"][0].as_py(), np.uint16).astype(np.int64) << 16
                 lengths = own["length"].flatten().to_numpy(zero_copy_only=False)
                 starts = np.cumsum(lengths) - lengths
@@ -359,6 +416,49 @@ def train(ready: DataFrame, known: Counts) -> Network:
     return network
 
 
+def scored_batches(batches: Iterator[pa.RecordBatch], network: Network, most: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Scores of documents, the state carried through each; a document leaves once its last token is scored, ``most`` or so at a time."""
+    first, state = next(batches, None), None
+    if first is None:
+        return
+    facts: dict[int, list] = {}
+    sums: dict[int, float] = {}
+    due: dict[int, int] = {}
+
+    def documents() -> Iterator[tuple[int, np.ndarray]]:
+        batch, key = first, 0
+        while batch is not None:
+            columns = [batch[c].to_pylist() for c in ("doc_id", "held", "length", "known", "base", "rest")]
+            for raw, *own in zip(batch["ids"], *columns):
+                facts[key], sums[key], due[key] = own, 0.0, own[2]
+                yield key, np.frombuffer(raw.as_py(), dtype=np.uint16)
+                key += 1
+            batch = next(batches, None)
+
+    def finished() -> Iterator[pa.RecordBatch]:
+        over = [k for k, n in due.items() if not n]
+        made = [[*own[:5], sums.pop(k) / math.log(10) + own[5]] for k in over for own in [facts.pop(k)]]
+        for k in over:
+            del due[k]
+        if made:
+            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names=["doc_id", "held", "length", "known", "base", "score"])
+
+    for inputs, targets, fresh, keys, going in windows(documents(), _lanes(100, first), 0):
+        state = np.zeros((len(going), HIDDEN), dtype=np.float32) if state is None else state[going]
+        states, _ = network.forward(state, inputs, fresh, False)
+        state = states[-1]
+        used = targets >= 0
+        found, _ = network.likelihoods(states[used], targets[used])
+        own, at, n = np.unique(keys[used], return_inverse=True, return_counts=True)
+        for key, x, k in zip(own.tolist(), np.bincount(at, weights=found).tolist(), n.tolist()):
+            sums[key] += x
+            due[key] -= k
+        if len(facts) > most:
+            yield from finished()
+    yield from finished()
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     ready, known = prepared(docs)
@@ -367,43 +467,5 @@ def scores(docs: DataFrame) -> DataFrame:
         return ready.select("doc_id", F.col("held").alias("held_out"), F.col("length").alias("n_tokens"), F.col("known").alias("n_known"), tokens, F.col("base").alias("base_score"), F.col("base").alias("score"))
     network = train(ready, known)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, state = next(batches, None), None
-        if first is None:
-            return
-        facts: dict[int, list] = {}
-        sums: dict[int, float] = {}
-
-        def documents() -> Iterator[tuple[int, np.ndarray]]:
-            batch, key = first, 0
-            while batch is not None:
-                columns = [batch[c].to_pylist() for c in ("doc_id", "held", "length", "known", "base", "rest")]
-                for raw, *own in zip(batch["ids"], *columns):
-                    facts[key], sums[key] = own, 0.0
-                    yield key, np.frombuffer(raw.as_py(), dtype=np.uint16)
-                    key += 1
-                batch = next(batches, None)
-
-        names = ["doc_id", "held", "length", "known", "base", "score"]
-        for inputs, targets, fresh, keys, going in windows(documents(), _lanes(100, first), 0):
-            state = np.zeros((len(going), HIDDEN), dtype=np.float32) if state is None else state[going]
-            states, _ = network.forward(state, inputs, fresh, False)
-            state = states[-1]
-            used = targets >= 0
-            found, _ = network.likelihoods(states[used], targets[used])
-            own, at = np.unique(keys[used], return_inverse=True)
-            for key, x in zip(own.tolist(), np.bincount(at, weights=found).tolist()):
-                sums[key] += x
-            if len(facts) > 4096:
-                yield from finished(facts, sums, names, set(keys[-1].tolist()))
-        yield from finished(facts, sums, names, set())
-
-    def finished(facts: dict, sums: dict, names: list[str], open_keys: set) -> Iterator[pa.RecordBatch]:
-        rows = [k for k in facts if k not in open_keys]
-        made = [[*own[:5], sums.pop(k) / math.log(10) + own[5]] for k in rows for own in [facts.pop(k)]]
-        if made:
-            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names=names)
-
-    scored = ready.mapInArrow(run, "doc_id bigint, held boolean, length bigint, known bigint, base double, score double")
+    scored = ready.mapInArrow(lambda batches: scored_batches(batches, network), "doc_id bigint, held boolean, length bigint, known bigint, base double, score double")
     return scored.select("doc_id", F.col("held").alias("held_out"), F.col("length").alias("n_tokens"), F.col("known").alias("n_known"), tokens, F.col("base").alias("base_score"), "score")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from riskloom.llm import crosswalk, recurrent, whitening
@@ -238,3 +239,18 @@ def test_windows_hold_every_document_in_order():
                     assert f == (not seen[k]) and i == (seen[k][-1] if seen[k] else 0)
                     seen[k].append(t)
     assert all(seen[k] == ids.tolist() for k, ids in docs) and len(seen) == 70
+
+
+def test_documents_leave_once_and_whole():
+    rng = np.random.default_rng(9)
+    net = recurrent.Network.start(recurrent.Counts(3000, 90, tuple(range(60, 0, -1))))
+    for part in net.parts.values():
+        part[...] += 0.2 * rng.normal(size=part.shape).astype(np.float32) * (np.abs(part) < 1e8)
+    ids = [rng.integers(0, 61, rng.integers(1, 400)).astype(np.uint16) for _ in range(300)]
+    names = ["doc_id", "held", "length", "known", "base", "rest", "ids"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, (i, False, len(x), 0, 0.0, 0.5, x.tobytes()))) for i, x in enumerate(ids)][k : k + 70]) for k in range(0, 300, 70)]
+    several = {r["doc_id"]: r["score"] for b in recurrent.scored_batches(iter(batches), net, 10) for r in b.to_pylist()}
+    assert sum(len(b) for b in recurrent.scored_batches(iter(batches), net, 10)) == 300
+    for i in (0, 17, 299):
+        alone = next(recurrent.scored_batches(iter([batches[i // 70].slice(i % 70, 1)]), net)).to_pylist()[0]["score"]
+        assert several[i] == pytest.approx(alone, rel=1e-4)
