@@ -34,9 +34,13 @@ from riskloom.llm.common import remainder, staged, tree
 
 WORDS, CLASS, HIDDEN = 1024, 64, 16
 #: Documents read side by side, steps of a window, windows filled at once, code points of a block.
-LANES, STEPS, AHEAD, BLOCK = 256, 24, 8, 12_000_000
+LANES, STEPS, AHEAD, BLOCK = 384, 20, 8, 9_000_000
 #: Hundredths of the documents that each round learns from, and step sizes.
-ROUNDS, RATES = (4, 16, 30, 50), (0.1, 0.1, 0.07, 0.04)
+ROUNDS, RATES = (4, 16, 30, 50), (0.05, 0.05, 0.04, 0.03)
+#: Squared steps that weights start with; offsets, which start at their corpus shares, are slow to leave them.
+WEIGHTS_PAST, SHIFTS_PAST = 10.0, 1e4
+#: Windows that a stream of documents is dealt to at least, by fewer lanes where it is short: to learn, many steps; to score, few.
+LEARNED, SCORED = 160, 8
 HELD_OUT_OF, HELD_OUT = 7, 2
 #: Bound of a logit, so that its exponential is finite.
 LIMIT = np.float32(80)
@@ -83,7 +87,7 @@ class Network:
             "inputs": random.normal(0, 0.1, (classes * CLASS + 1, 3 * HIDDEN)), "turn": random.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)), "shift": np.zeros((1, HIDDEN)),
             "classes": np.zeros((HIDDEN, classes + 1)), "class_shift": sums[None, :], "words": np.zeros((classes * CLASS, HIDDEN)), "word_shift": share[:, None],
         }
-        return Network({k: v.astype(np.float32) for k, v in parts.items()}, {k: np.ones((len(v), 1), dtype=np.float32) for k, v in parts.items()})
+        return Network({k: v.astype(np.float32) for k, v in parts.items()}, {k: np.full((len(v), 1), SHIFTS_PAST if k.endswith("_shift") else WEIGHTS_PAST, dtype=np.float32) for k, v in parts.items()})
 
     @property
     def outputs(self) -> int:
@@ -373,10 +377,9 @@ def prepared(docs: DataFrame) -> tuple[DataFrame, Counts]:
     return staged(blocked.drop("word", "n").join(answers, "block").mapInArrow(run, _DOC)), known
 
 
-def _lanes(share: int, batch: pa.RecordBatch) -> int:
-    """Lanes for a stream whose first batch is ``batch``: fewer for little text, so that it still makes many steps."""
-    tokens = sum(batch["length"].to_pylist()) * share // 100
-    return max(4, min(LANES, tokens // (40 * STEPS)))
+def _lanes(batch: pa.RecordBatch, least: int) -> int:
+    """Lanes for a stream whose first batch is ``batch``, so that it makes ``least`` windows or more."""
+    return max(4, min(LANES, sum(batch["length"].to_pylist()) // (least * STEPS)))
 
 
 def train(ready: DataFrame, known: Counts) -> Network:
@@ -400,7 +403,7 @@ def train(ready: DataFrame, known: Counts) -> Network:
 
             if first is None:
                 return
-            for inputs, targets, fresh, _, going in windows(documents(), _lanes(100, first), 0):
+            for inputs, targets, fresh, _, going in windows(documents(), _lanes(first, LEARNED), 0):
                 state = np.zeros((len(going), HIDDEN), dtype=np.float32) if state is None else state[going]
                 state = net.learn(state, inputs, targets, fresh, rate)
                 tokens += int((targets >= 0).sum())
@@ -444,7 +447,7 @@ def scored_batches(batches: Iterator[pa.RecordBatch], network: Network, most: in
             types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names=["doc_id", "held", "length", "known", "base", "score"])
 
-    for inputs, targets, fresh, keys, going in windows(documents(), _lanes(100, first), 0):
+    for inputs, targets, fresh, keys, going in windows(documents(), _lanes(first, SCORED), 0):
         state = np.zeros((len(going), HIDDEN), dtype=np.float32) if state is None else state[going]
         states, _ = network.forward(state, inputs, fresh, False)
         state = states[-1]
