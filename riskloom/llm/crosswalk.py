@@ -39,7 +39,7 @@ from riskloom.llm.common import staged
 #: Characters aligned at once, (document, pair) entries of a block.
 BATCH_CHARS, BLOCK = 400_000, 1 << 18
 #: Parts that a worker remembers before it forgets those not seen since it last did, and the longest kept.
-REMEMBERED, LONGEST = 60_000, 32
+REMEMBERED, LONGEST = 150_000, 32
 #: Groups with more links are reduced to distinct ids before they are paired.
 WIDE = 64
 #: A single blank between visible characters of the Latin blocks (none of which is white space).
