@@ -7,8 +7,10 @@ many segments, folds or models in the same job.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,16 +168,42 @@ def calibration_errors(df: DataFrame, y: str, p: str, keys: Iterable[str] = ())
     return df.groupBy(*keys).agg(brier(y, p).alias("brier"), log_loss(y, p).alias("log_loss"))
 
 
-#: A Newton step is cut to this length, so that a start far from the maximum comes back.
+#: A step of the intercept is cut to this length, so that a start far from the maximum comes back.
 LONGEST_STEP = 4.0
 
 
+class _Climb:
+    """Newton steps on a concave likelihood, each halved until the loss falls; ``at`` is the point to look at next."""
+
+    def __init__(self, start: list[float], tol: float, longest: float = math.inf):
+        self.at, self.tol, self.longest = np.array(start), tol, longest
+        self.step, self.least, self.last, self.done = np.zeros(len(start)), math.inf, False, False
+
+    def look(self, loss: float, gradient: list[float], hessian: list[list[float]]) -> None:
+        """Take loss, gradient and Hessian at ``at`` and move on."""
+        if self.done:
+            return
+        if loss > self.least + 1e-12 * abs(self.least) and not self.last:  # too far: half the way back
+            self.step /= 2
+            self.at = self.at - self.step
+            return
+        self.least = min(loss, self.least)
+        self.step = -np.linalg.solve(np.array(hessian), np.array(gradient))
+        gain = float(-self.step @ np.array(gradient))
+        if np.abs(self.step).max() > self.longest:
+            self.step *= self.longest / np.abs(self.step).max()
+        self.done = self.last or bool((np.abs(self.step) <= self.tol * (1 + np.abs(self.at))).all())
+        # what is left to gain is rounding of the loss: one more whole step squares the distance
+        self.last = gain <= 1e-13 * abs(self.least)
+        self.at = self.at + self.step
+
+
 def calibration_line(df: DataFrame, y: str, p: str, keys: Iterable[str] = (), tol: float = 1e-10, max_iter: int = 50) -> DataFrame:
     """Slope of a logistic of y on logit(p), and intercept with logit(p) as offset, per group of a few groups.
 
-    Newton steps over sums per key; each step is one aggregate over the distinct probabilities. ``fit`` says what
-    has no finite value and comes back NULL: "one class" (both), "constant" or "separated" (the slope). Two classes
-    that overlap have one finite maximum; running out of steps before it is an error.
+    Damped Newton steps over sums per key, on logits scaled by the group; each step is one aggregate over the distinct
+    probabilities. ``fit`` says what has no finite value and comes back NULL: "one class" (both), "constant" or "separated"
+    (the slope). Two classes that overlap have one finite maximum; running out of steps before it is an error.
     """
     keys = list(keys)
     spark = df.sparkSession
@@ -188,65 +216,73 @@ def calibration_line(df: DataFrame, y: str, p: str, keys: Iterable[str] = (), to
     try:
         good, bad = F.when(s < n, z), F.when(s > 0, z)
         spread = per_p.groupBy(*keys).agg(
-            F.min(z).alias("z0"), F.max(z).alias("z1"), F.min(good).alias("g0"), F.max(good).alias("g1"), F.min(bad).alias("b0"), F.max(bad).alias("b1")
+            F.min(z).alias("z0"), F.max(z).alias("z1"), F.min(good).alias("g0"), F.max(good).alias("g1"), F.min(bad).alias("b0"), F.max(bad).alias("b1"),
+            F.sum(n).alias("n"), F.sum(s).alias("s"), (F.sum(n * z) / F.sum(n)).alias("mean"),
         )
-        state, fit = {}, {}
+        lines, shifts, scales, fit = {}, {}, {}, {}
         for r in spread.collect():
             i = tuple(r[k] for k in keys)
-            state[i] = {"a": 0.0, "b": 1.0, "c": 0.0}
             if r["g0"] is None or r["b0"] is None:
                 fit[i] = "one class"
-            elif r["z0"] == r["z1"]:
+                continue
+            shifts[i] = _Climb([0.0], tol, LONGEST_STEP)
+            if r["z0"] == r["z1"]:
                 fit[i] = "constant"
+            elif r["g1"] <= r["b0"] or r["b1"] <= r["g0"]:
+                fit[i] = "separated"
             else:
-                fit[i] = "separated" if r["g1"] <= r["b0"] or r["b1"] <= r["g0"] else "ok"
-        moving = any(v != "one class" for v in fit.values())
+                fit[i] = "ok"
+                scales[i] = (r["mean"], r["z1"] - r["z0"])
+                lines[i] = _Climb([math.log(r["s"] / (r["n"] - r["s"])), 0.0], tol)
 
-        def at(name: str) -> Column:
+        def at(value: Mapping[tuple, float]) -> Column:
             if not keys:
-                return F.lit(state[()][name])
-            return F.coalesce(*[F.when(_all_equal(keys, i), F.lit(v[name])) for i, v in state.items()])
+                return F.lit(float(value.get((), 0.0)))
+            return F.coalesce(*[F.when(_all_equal(keys, i), F.lit(float(v))) for i, v in value.items()], F.lit(0.0))
 
         for _ in range(max_iter):
-            if not moving:
+            if all(c.done for c in (*lines.values(), *shifts.values())):
                 break
-            mu, nu = _expit(at("a") + at("b") * z), _expit(at("c") + z)
+            x = F.when(at({i: w for i, (_, w) in scales.items()}) > 0, (z - at({i: m for i, (m, _) in scales.items()})) / at({i: w for i, (_, w) in scales.items()})).otherwise(0.0)
+            e, o = at({i: c.at[0] for i, c in lines.items()}) + at({i: c.at[1] for i, c in lines.items()}) * x, at({i: c.at[0] for i, c in shifts.items()}) + z
+            mu, nu = _expit(e), _expit(o)
             w, u = n * mu * (1 - mu), n * nu * (1 - nu)
             rows = per_p.groupBy(*keys).agg(
-                F.sum(s - n * mu).alias("g0"),
-                F.sum((s - n * mu) * z).alias("g1"),
+                F.sum(_log_loss(e, n, s)).alias("line"),
+                F.sum(n * mu - s).alias("g0"),
+                F.sum((n * mu - s) * x).alias("g1"),
                 F.sum(w).alias("h00"),
-                F.sum(w * z).alias("h01"),
-                F.sum(w * z * z).alias("h11"),
-                F.sum(s - n * nu).alias("k0"),
+                F.sum(w * x).alias("h01"),
+                F.sum(w * x * x).alias("h11"),
+                F.sum(_log_loss(o, n, s)).alias("shift"),
+                F.sum(n * nu - s).alias("k0"),
                 F.sum(u).alias("k00"),
             ).collect()
-            moving = False
             for r in rows:
                 i = tuple(r[k] for k in keys)
-                v, steps = state[i], {}
-                if fit[i] != "one class":
-                    steps["c"] = r["k0"] / r["k00"]
-                if fit[i] == "ok":
-                    det = r["h00"] * r["h11"] - r["h01"] ** 2
-                    steps["a"] = (r["h11"] * r["g0"] - r["h01"] * r["g1"]) / det
-                    steps["b"] = (r["h00"] * r["g1"] - r["h01"] * r["g0"]) / det
-                for name, step in steps.items():
-                    v[name] += max(-LONGEST_STEP, min(LONGEST_STEP, step))
-                    moving = moving or abs(step) > tol * (1 + abs(v[name]))
-        if moving:
-            raise RuntimeError(f"the calibration line has not settled after {max_iter} steps")
+                if i in lines:
+                    lines[i].look(r["line"], [r["g0"], r["g1"]], [[r["h00"], r["h01"]], [r["h01"], r["h11"]]])
+                if i in shifts:
+                    shifts[i].look(r["shift"], [r["k0"]], [[r["k00"]]])
+        else:
+            if not all(c.done for c in (*lines.values(), *shifts.values())):
+                raise RuntimeError(f"the calibration line has not settled after {max_iter} steps")
     finally:
         per_p.unpersist()
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys]
     ordered = [f.name for f in df.schema.fields if f.name in keys]
     rows = [
-        tuple(dict(zip(keys, i))[k] for k in ordered) + (v["b"] if fit[i] == "ok" else None, None if fit[i] == "one class" else v["c"], fit[i])
-        for i, v in state.items()
+        tuple(dict(zip(keys, i))[k] for k in ordered) + (float(lines[i].at[1] / scales[i][1]) if i in lines else None, float(shifts[i].at[0]) if i in shifts else None, v)
+        for i, v in fit.items()
     ]
     return spark.createDataFrame(rows, ", ".join([*fields, "slope double", "intercept double", "fit string"]))
 
 
+def _log_loss(eta: Column, n: Column, s: Column) -> Column:
+    """Negative log likelihood of ``s`` ones among ``n`` rows at log odds ``eta``."""
+    return n * (F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))) - s * eta
+
+
 def _all_equal(keys: list[str], values: tuple) -> Column:
     out = F.lit(True)
     for k, v in zip(keys, values):

@@ -160,6 +160,25 @@ def test_calibration_line_without_a_finite_slope(spark):
     assert got["mixed"]["fit"] == "ok" and got["mixed"]["slope"] > 0
 
 
+def test_calibration_line_of_overconfident_scores(spark):
+    """Scores close to 0 and 1 that whole Newton steps from slope one do not bring to the maximum."""
+    rng = np.random.default_rng(5)
+    y = (rng.random(1200) < 0.08).astype(int)
+    z = np.where(y == 1, rng.normal(0.5, 5, 1200), rng.normal(-11, 6, 1200))
+    p = 1 / (1 + np.exp(-z))
+    got = E.calibration_line(spark.createDataFrame(list(zip(y.tolist(), p.tolist())), "y int, p double"), "y", "p").first()
+    c = np.clip(p, 1e-6, 1 - 1e-6)
+    x = np.log(c / (1 - c))
+    assert got["fit"] == "ok" and 0.05 < got["slope"] < 1
+    # the gradients vanish: of the intercept with x as offset, and of the line at the slope found
+    assert abs((1 / (1 + np.exp(-(x + got["intercept"]))) - y).sum()) < 1e-5
+    a = 0.0
+    for _ in range(200):
+        m = 1 / (1 + np.exp(-(a + got["slope"] * x)))
+        a -= max(-1, min(1, (m - y).sum() / (m * (1 - m)).sum()))
+    assert abs(((1 / (1 + np.exp(-(a + got["slope"] * x))) - y) * x).sum()) < 1e-5
+
+
 def test_guards(spark):
     def make(rows):
         return spark.createDataFrame(rows, "y int, s double")
