@@ -62,12 +62,12 @@ def cut_sweep(clients: DataFrame, count: str = "n", target: str = TARGET, start:
     )
 
 
-def first_crossing(clients: DataFrame, count: str = "n", target: str = TARGET, start: int = 2, threshold: float = P.MIN_FLAG_DELTA_PP) -> int:
-    """Smallest integer cut whose flag delta reaches the threshold; fails when none does."""
+def first_crossing(clients: DataFrame, count: str = "n", target: str = TARGET, start: int = 2, threshold: float = P.MIN_FLAG_DELTA_PP, strict: bool = True) -> int | None:
+    """Smallest integer cut whose flag delta reaches the threshold; when none does, fails if strict."""
     row = cut_levels(clients, count, target, start).filter(F.col("delta_pp") >= threshold).agg(F.min("first_cut").alias("v")).first()
-    if row["v"] is None:
+    if row["v"] is None and strict:
         raise ValueError("no cut of the count crosses the flag threshold")
-    return int(row["v"])
+    return None if row["v"] is None else int(row["v"])
 
 
 # -- populations of the fits -------------------------------------------------------------------
@@ -117,11 +117,11 @@ def end_date_rates(rows: DataFrame, target: str = TARGET) -> DataFrame:
     return t.withColumn("peak", (F.row_number().over(top) == 1).cast("int"))
 
 
-def fit_end_date_bin(rows: DataFrame, target: str = TARGET) -> tuple[float, float]:
-    """Edges, in years, of the peak bin; a peak in the past fails."""
+def fit_end_date_bin(rows: DataFrame, target: str = TARGET, strict: bool = True) -> tuple[float, float]:
+    """Edges, in years, of the peak bin; a peak in the past fails if strict."""
     row = end_date_rates(rows, target).filter("peak = 1").first()
     low = float("-inf") if row["low"] is None else row["low"]
-    if low < 0:
+    if low < 0 and strict:
         raise ValueError(f"the default rate peaks in the past: up to {row['high']} years")
     return low, float("inf") if row["high"] is None else row["high"]
 
@@ -166,31 +166,34 @@ def purpose_rates(rows: DataFrame, target: str = TARGET, min_rows: int = P.MIN_C
     return t.drop("bads").withColumn("chosen", ((F.col("n") >= min_rows) & (F.col("delta_pp") >= threshold)).cast("int"))
 
 
-def fit_purposes(rows: DataFrame, target: str = TARGET, min_rows: int = P.MIN_CATEGORY_ROWS, threshold: float = P.MIN_FLAG_DELTA_PP) -> tuple[str, ...]:
-    """Sorted list of the purposes that stand out; none fails."""
+def fit_purposes(rows: DataFrame, target: str = TARGET, min_rows: int = P.MIN_CATEGORY_ROWS, threshold: float = P.MIN_FLAG_DELTA_PP, strict: bool = True) -> tuple[str, ...] | None:
+    """Sorted list of the purposes that stand out; none fails if strict."""
     chosen = purpose_rates(rows, target, min_rows, threshold).filter("chosen = 1").agg(F.array_sort(F.collect_set("purpose")).alias("v")).first()["v"]
-    if not chosen:
+    if not chosen and strict:
         raise ValueError("no purpose stands out with enough rows")
-    return tuple(chosen)
+    return tuple(chosen) or None
 
 
 def fit_auxiliary_cuts(
     history: DataFrame, panel: DataFrame, prev: DataFrame, bridge: DataFrame, train: DataFrame, target: str = TARGET,
-    min_rows: int = P.MIN_CATEGORY_ROWS, threshold: float = P.MIN_FLAG_DELTA_PP,
+    min_rows: int = P.MIN_CATEGORY_ROWS, threshold: float = P.MIN_FLAG_DELTA_PP, strict: bool = True,
 ) -> dict[str, object]:
-    """All eight cuts, from the rows of the training clients."""
+    """All eight cuts, from the rows of the training clients.
+
+    A cut that the data do not support fails the fit; unless strict, it is unset (a peak in the past is given as it is).
+    """
     rows, apps = train_history(history, train, target), train_previous(prev, train, target)
-    low, high = fit_end_date_bin(rows, target)
+    low, high = fit_end_date_bin(rows, target, strict)
     best = overgrant_sweep(apps, target).filter("chosen = 1").first()
     return {
         "bureau_enddate_tramo_min_anios": low,
         "bureau_enddate_tramo_max_anios": high,
-        "bureau_count_cola": first_crossing(history_counts(rows, target), target=target, threshold=threshold),
-        "bb_many_credits_corte": first_crossing(panel_counts(panel, bridge, train, target), target=target, threshold=threshold),
-        "prev_count_cola": first_crossing(history_counts(apps, target), target=target, threshold=threshold),
-        "prev_actividad_12m_cola": first_crossing(recent_counts(apps, target=target), target=target, start=1, threshold=threshold),
+        "bureau_count_cola": first_crossing(history_counts(rows, target), target=target, threshold=threshold, strict=strict),
+        "bb_many_credits_corte": first_crossing(panel_counts(panel, bridge, train, target), target=target, threshold=threshold, strict=strict),
+        "prev_count_cola": first_crossing(history_counts(apps, target), target=target, threshold=threshold, strict=strict),
+        "prev_actividad_12m_cola": first_crossing(recent_counts(apps, target=target), target=target, start=1, threshold=threshold, strict=strict),
         "prev_sobreconcesion_corte": float(best["cut"]),
-        "prev_finalidades_urgentes": fit_purposes(apps, target, min_rows, threshold),
+        "prev_finalidades_urgentes": fit_purposes(apps, target, min_rows, threshold, strict),
     }
 
 

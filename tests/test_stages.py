@@ -11,6 +11,7 @@ from riskloom.operators import splits as X
 from riskloom.queries.base import CUTS
 from riskloom.sources import artifacts as A
 from riskloom.sources.tables import load_table
+from tests.helpers import history, panel, previous
 
 
 @pytest.fixture(scope="module")
@@ -133,6 +134,18 @@ def test_first_crossing_can_fall_between_counts(spark):
         Q.first_crossing(clients.withColumn("TARGET", F.lit(0)))
 
 
+def test_unsupported_cuts_are_unset_unless_strict(spark):
+    rows = [{"SK_ID_CURR": i, "SK_ID_BUREAU": i, "DAYS_CREDIT_ENDDATE": -400.0} for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "SK_ID_CURR bigint, TARGET int")
+    args = (history(spark, rows), panel(spark, {1: (0, "0")}), previous(spark, [{"SK_ID_CURR": i, "DAYS_DECISION": -9.0} for i in range(20)]))
+    bridge = args[0].select("SK_ID_BUREAU", "SK_ID_CURR")
+    with pytest.raises(ValueError, match="in the past"):
+        Q.fit_auxiliary_cuts(*args, bridge, labels)
+    found = Q.fit_auxiliary_cuts(*args, bridge, labels, strict=False)
+    assert (found["bureau_enddate_tramo_min_anios"], found["bureau_enddate_tramo_max_anios"]) == (-2.0, 0.0)
+    assert [found[c] for c in ("bureau_count_cola", "bb_many_credits_corte", "prev_count_cola", "prev_actividad_12m_cola", "prev_finalidades_urgentes")] == [None] * 5
+
+
 def test_artifacts_guard_what_they_hold(spark, table, tmp_path):
     path = str(tmp_path / "split")
     split = A.write_split(table, path)
