@@ -362,7 +362,7 @@ def _recency(s, d):
     return t.select("reading", "counterpart", "stratum", "n", "n_abs_only", "effect", "effect_abs", "redundancy")
 
 
-_STRATA = {"todos": "TRUE", "hasta 6m": "r > -180 AND r <= 0", "6 a 12m": "r > -365 AND r <= -180", "12 a 24m": "r > -730 AND r <= -365", "mas de 24m": "r <= -730"}
+_STRATA = {"todos": "r IS NOT NULL", "hasta 6m": "r > -180 AND r <= 0", "6 a 12m": "r > -365 AND r <= -180", "12 a 24m": "r > -730 AND r <= -365", "mas de 24m": "r <= -730"}
 
 
 def _rec_sql() -> str:
@@ -564,8 +564,8 @@ add("K7_default_floors", lambda s, d: Q.purpose_rates(Q.train_previous(S.previou
 
 
 def _all_cuts(s, d):
-    cuts = Q.fit_auxiliary_cuts(S.history(s, d), S.panel(s, d), S.previous(s, d), B.credit_bridge(S.history(s, d)), labels(s, d), min_rows=20, threshold=0.1)
-    return s.createDataFrame([(k, json.dumps(v)) for k, v in cuts.items()], "name string, value string")
+    cuts = Q.fit_auxiliary_cuts(S.history(s, d), S.panel(s, d), S.previous(s, d), B.credit_bridge(S.history(s, d)), labels(s, d), min_rows=20, threshold=0.1, strict=False)
+    return s.createDataFrame([(k, None if v is None else json.dumps(v)) for k, v in cuts.items()], "name string, value string")
 
 
 def _all_cuts_sql() -> str:

@@ -40,6 +40,21 @@ def test_query_matches_sql(spark, duck, name):
         assert same.all(), f"{name}.{c}: {a[c][~same].head().tolist()} against {b[c][~same].head().tolist()}"
 
 
+def test_recency_strata_leave_out_unknown_recency(spark, tmp_path):
+    """A client whose every decision day is unknown belongs to no stratum, not even to that of all clients."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{SF}/customer.parquet'")
+    con.execute(f"CREATE TABLE events AS SELECT * FROM '{SF}/events.parquet' WHERE NOT (user_id = 2 AND event_id % 10 = 1)")
+    con.execute("INSERT INTO events SELECT * REPLACE (997 * 1003 AS event_id, 2 AS user_id) FROM events LIMIT 1")
+    for t in ("customer", "events"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    keys = ["reading", "counterpart", "stratum", "n"]
+    got = queries()["M20_relative_recency"](spark, str(tmp_path)).select(keys).toPandas()
+    want = con.execute(oracle_sql()["M20_relative_recency"]).df()[keys]
+    assert set(map(tuple, got.to_numpy())) == set(map(tuple, want.to_numpy()))
+
+
 def test_entry_is_lazy_and_stable(spark):
     df = entry(spark)
     assert "BUREAU_LOAN_COUNT" in df.columns and df.schema == entry(spark).schema
