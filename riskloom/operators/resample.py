@@ -1,8 +1,9 @@
 """Synthetic minority rows and Tomek links over an exact distributed nearest-neighbour search.
 
-Points are dealt to the cells of pivots whose number follows the square root of the points. A first pass inside the own cell bounds the
+Points of many coordinates meet on a grid of groups, measured by matrix products and checked exactly where rounding could decide.
+Others are dealt to the cells of pivots whose number follows the square root of the points. A first pass inside the own cell bounds the
 distance to the k-th neighbour of every point; a second pass visits only the cells the triangle
-inequality cannot rule out. Repeated points are searched once with their multiplicity, and a crowded
+inequality cannot rule out, as a stream past one block of points at a time. Repeated points are searched once with their multiplicity, and a crowded
 cell is cut into blocks that different tasks search, so neither duplicates nor a dense region end up in
 one task. What leaves a task is at most k neighbours per point and block, never all pairs.
 """
@@ -10,7 +11,7 @@ one task. What leaves a task is at most k neighbours per point and block, never
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,11 @@ from riskloom.session import checkpointed
 
 LEAST_PIVOTS = 64
 BLOCK_ROWS = 2000
+#: Queries measured at once against a block of points.
+BATCH_ROWS = 1000
+#: Rows of a group on the grid of all pairs, and coordinates from which the triangle inequality rules out next to nothing.
+GRID_ROWS, MANY_COORDINATES = 16_000, 40
+MOST_TILES = 16_384
 
 
 def pivots_for(points: int) -> int:
@@ -51,11 +57,10 @@ def _assign(points: DataFrame, key: str, pivots: np.ndarray) -> DataFrame:
     """Add the nearest pivot of each point and the distance to it."""
 
     def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                d = _distances(np.stack(pdf["v"].to_numpy()), pivots)
-                cell = d.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype("int32"), to_pivot=d[np.arange(len(d)), cell])
+        for pdf in (whole.iloc[i : i + BATCH_ROWS] for whole in batches for i in range(0, len(whole), BATCH_ROWS)):
+            d = _distances(np.stack(pdf["v"].to_numpy()), pivots)
+            cell = d.argmin(axis=1)
+            yield pdf.assign(cell=cell.astype("int32"), to_pivot=d[np.arange(len(d)), cell])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
     return points.mapInPandas(run, f"{fields}, cell int, to_pivot double")
@@ -72,21 +77,114 @@ def _best(key: str, k: int):
         d[qk[:, None] == pk[None, :]] = np.inf
         m = min(k, len(points))
         # ties at the edge are broken by key, so the answer does not depend on the blocks
-        order = np.lexsort((np.broadcast_to(pk, d.shape), d), axis=1)[:, :m]
-        rows = np.repeat(np.arange(len(queries)), m)
-        cols = order.ravel()
-        out = pd.DataFrame({key: qk[rows], "nb": pk[cols], "dist": d[rows, cols], "mult": points["mult"].to_numpy()[cols]})
-        return out[np.isfinite(out["dist"])]
+        edge = np.partition(d, m - 1, axis=1)[:, m - 1]
+        rows, cols = np.nonzero((d <= edge[:, None]) & np.isfinite(d))
+        order = np.lexsort((pk[cols], d[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < m
+        rows, cols = rows[first], cols[first]
+        return pd.DataFrame({key: qk[rows], "nb": pk[cols], "dist": d[rows, cols], "mult": points["mult"].to_numpy()[cols]})
 
     return run
 
 
 def _search(queries: DataFrame, points: DataFrame, key: str, k: int) -> DataFrame:
-    """Neighbours of queries among the points of the same (cell, block), at most k each."""
-    q = queries.groupBy("cell", "block", "qblock")
-    p = points.groupBy("cell", "block", "qblock")
-    search = _best(key, k)
-    return q.cogroup(p).applyInPandas(lambda a, b: search(a, b), f"`{key}` bigint, nb bigint, dist double, mult bigint")
+    """Neighbours of queries among the points of the same (cell, block, qblock), at most k each.
+
+    Points come first in a stream sorted by block, then the queries batch by batch, so a task holds one block of points and
+    one batch whatever the number of queries that ask for it.
+    """
+    search, place = _best(key, k), ["cell", "block", "qblock"]
+    both = points.select(*place, F.lit(0).alias("asks"), key, "v", "mult").unionByName(queries.select(*place, F.lit(1).alias("asks"), key, "v", F.lit(1).cast("bigint").alias("mult")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for batch in batches:
+            for where, pdf in batch.groupby(place, sort=False):
+                if where != at:
+                    at, held = where, []
+                stored, asked = pdf[pdf["asks"] == 0], pdf[pdf["asks"] == 1]
+                if len(stored):
+                    held.append(stored)
+                if len(asked) and held:
+                    if len(held) > 1:
+                        held = [pd.concat(held, ignore_index=True)]
+                    for i in range(0, len(asked), BATCH_ROWS):
+                        yield search(asked.iloc[i : i + BATCH_ROWS], held[0])
+
+    return both.repartition(*place).sortWithinPartitions(*place, "asks").mapInPandas(run, f"`{key}` bigint, nb bigint, dist double, mult bigint")
+
+
+def _packed(points: DataFrame, key: str, name: str, groups: int) -> DataFrame:
+    """(name, part, keys, mults, coordinates): the points of a group by hash in packed pieces of at most ``BLOCK_ROWS``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for g, own in pdf.groupby("g", sort=False):
+                for i in range(0, len(own), BLOCK_ROWS):
+                    some = own.iloc[i : i + BLOCK_ROWS]
+                    yield pd.DataFrame({name: [g], "keys": [some[key].to_numpy("int64").tobytes()], "mults": [some["mult"].to_numpy("int64").tobytes()], "coordinates": [np.stack(some["v"].to_numpy()).tobytes()]})
+
+    placed = points.select(F.pmod(F.xxhash64(F.col(key)), F.lit(groups)).cast("int").alias("g"), key, "mult", "v")
+    return placed.repartition(groups, "g").sortWithinPartitions("g").mapInPandas(run, f"{name} int, keys binary, mults binary, coordinates binary")
+
+
+def _squares(q: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and a bound of their rounding for each query."""
+    qq, pp = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", p, p)
+    d = q @ p.T
+    d *= -2.0
+    d += qq[:, None]
+    d += pp[None, :]
+    return d, 8 * np.finfo(float).eps * (q.shape[1] + 4) * (qq + pp.max())
+
+
+def _all_pairs(points: DataFrame, key: str, k: int, width: int, groups: int) -> DataFrame:
+    """Neighbours without pruning: groups of queries meet groups of points on a grid, one tile in memory at a time."""
+    packed = checkpointed(_packed(points, key, "a", groups))
+    across = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    asking = packed.withColumn("b", across).withColumn("asks", F.lit(1))
+    stored = packed.withColumnRenamed("a", "b").withColumn("a", across).withColumn("asks", F.lit(0))
+
+    def opened(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.frombuffer(r.keys, "int64"), np.frombuffer(r.mults, "int64"), np.frombuffer(r.coordinates).reshape(-1, width)
+
+    def tile(q, held) -> pd.DataFrame:
+        qk, _, qv = q
+        out = []
+        for pk, pm, pv in held:
+            d, slack = _squares(qv, pv)
+            d[qk[:, None] == pk[None, :]] = np.inf
+            m = min(k, len(pk))
+            # whatever rounding may have moved over the edge is measured again, coordinate by coordinate
+            edge = np.partition(d, m - 1, axis=1)[:, m - 1]
+            r, c = np.nonzero(d <= (edge + 2 * slack)[:, None])
+            keep = np.isfinite(d[r, c])
+            r, c = r[keep], c[keep]
+            dist = np.concatenate([np.empty(0)] + [_lengths(qv[r[i : i + 20_000]] - pv[c[i : i + 20_000]]) for i in range(0, len(r), 20_000)])
+            out.append(pd.DataFrame({key: qk[r], "nb": pk[c], "dist": dist, "mult": pm[c]}))
+        found = pd.concat(out, ignore_index=True).sort_values([key, "dist", "nb"])
+        return found[found.groupby(key).cumcount() < k]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if (r.a, r.b) != at:
+                    at, held = (r.a, r.b), []
+                if r.asks == 0:
+                    held.append(opened(r))
+                elif held:
+                    yield tile(opened(r), held)
+
+    order = ["a", "b", "asks", "keys", "mults", "coordinates"]
+    both = asking.select(*order).unionByName(stored.select(*order))
+    # about one tile a task: packed rows are large, and a batch may hold a whole partition
+    return both.repartition(min(groups * groups, MOST_TILES), "a", "b").sortWithinPartitions("a", "b", "asks").mapInPandas(run, f"`{key}` bigint, nb bigint, dist double, mult bigint")
+
+
+def _lengths(d: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", d, d))
 
 
 def _nearest(found: DataFrame, key: str, k: int) -> DataFrame:
@@ -98,8 +196,12 @@ def _nearest(found: DataFrame, key: str, k: int) -> DataFrame:
 def exact_neighbours(points: DataFrame, key: str, k: int, pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, nb, dist, mult, rk): the k nearest distinct points of every distinct point.
 
-    ``points`` has a bigint key, ``v`` (array of doubles) and ``mult`` (rows at that point).
+    ``points`` has a bigint key, ``v`` (array of doubles) and ``mult`` (rows at that point). Few coordinates are pruned by pivots; with
+    many, where hardly a cell can be ruled out, groups meet on a grid instead of sending every point to every cell.
     """
+    shown = points.select(F.size("v").alias("n")).first()
+    if shown is not None and shown["n"] > MANY_COORDINATES:
+        return _nearest(_all_pairs(points, key, k, shown["n"], max(1, -(-points.count() // GRID_ROWS))), key, k)
     piv = _pivots(points, key, pivots or pivots_for(points.count()))
     if not len(piv):
         return points.sparkSession.createDataFrame([], f"`{key}` bigint, nb bigint, dist double, mult bigint, rk int")
@@ -123,9 +225,7 @@ def exact_neighbours(points: DataFrame, key: str, k: int, pivots: int | None = N
     def reach(batches):
         ids = np.array(sorted(balls), dtype="int32")
         radii, parts = (np.array([balls[i][j] for i in ids]) for j in (1, 0))
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (whole.iloc[i : i + BATCH_ROWS] for whole in batches for i in range(0, len(whole), BATCH_ROWS)):
             d = _distances(np.stack(pdf["v"].to_numpy()), piv[ids])
             ub = pdf["ub"].fillna(np.inf).to_numpy()
             r, c = np.nonzero(d - radii[None, :] <= ub[:, None])

@@ -11,7 +11,7 @@ from riskloom.operators import splits as X
 from riskloom.queries.base import CUTS
 from riskloom.sources import artifacts as A
 from riskloom.sources.tables import load_table
-from tests.helpers import history, panel, previous
+from helpers import history, panel, previous
 
 
 @pytest.fixture(scope="module")

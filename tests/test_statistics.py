@@ -264,6 +264,26 @@ def test_bootstrap_sums_equal_the_statistic_over_drawn_rows(df):
         assert len(drawn) == 60 and all(r["n"] == sizes[r["TARGET"]] for r in drawn) and max(r["most"] for r in drawn) > 1
 
 
+@pytest.mark.parametrize("way", ["pivots", "grid"])
+def test_neighbours_stay_exact_in_small_batches(spark, monkeypatch, way):
+    """Many coordinates, near ties and batches far smaller than a block; no query is sent to every cell as a row of its own on the grid."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((300, 50)), 1)
+    x[:, 10:] = x[:, 10:] > 0.5
+    x = np.unique(x, axis=0)
+    monkeypatch.setattr(RS, "BATCH_ROWS", 7)
+    monkeypatch.setattr(RS, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(RS, "GRID_ROWS", 90)
+    if way == "pivots":
+        monkeypatch.setattr(RS, "MANY_COORDINATES", 1000)
+    pts = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "SK_ID_CURR bigint, v array<double>, mult bigint")
+    got = RS.exact_neighbours(pts, "SK_ID_CURR", 5, block_rows=40).toPandas().sort_values(["SK_ID_CURR", "rk"])
+    d = np.sqrt(np.einsum("ijk,ijk->ij", x[:, None] - x[None], x[:, None] - x[None]))
+    np.fill_diagonal(d, np.inf)
+    want = np.lexsort((np.broadcast_to(np.arange(len(x)), d.shape), d), axis=1)[:, :5]
+    assert got["nb"].to_numpy().reshape(-1, 5).tolist() == want.tolist()
+
+
 def test_exact_neighbours_with_duplicates(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(240, 3))
