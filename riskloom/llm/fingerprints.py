@@ -28,6 +28,8 @@ TRIPLETS = ((1, 2), (1, 3), (2, 3))
 WINDOW = 4
 #: Bytes handled at once; longer texts are counted piece by piece.
 PIECE = 1 << 18
+#: Texts of a batch handled at once.
+SLICE = 256
 #: Steps of length per doubling, bounds of the header's differences.
 LENGTH_STEPS, LENGTH_BOUND, RATIO_BOUND = 8, 24, 8
 HALVING = 64.0
@@ -108,8 +110,17 @@ def difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return score
 
 
-def _bytes_of(texts: pa.Array) -> list[bytes]:
-    return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+def _stacked(texts: pa.Array) -> np.ndarray:
+    """Digests of a batch, a slice of it at a time, so that a worker holds few copies of the texts beside the batch."""
+    out = np.empty((len(texts), 2 + BUCKETS // 4), dtype=np.uint8)
+    for start in range(0, len(texts), SLICE):
+        part = texts.slice(start, SLICE).cast(pa.binary())
+        out[start : start + len(part)] = digests([t or b"" for t in part.to_pylist()])
+    return out
+
+
+def _hexes(stack: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes().hex() for row in stack], pa.string())
 
 
 def _stack(hexes: pa.Array) -> np.ndarray:
@@ -119,9 +130,7 @@ def _stack(hexes: pa.Array) -> np.ndarray:
 @arrow_udf(T.StringType())
 def fingerprint(texts: pa.Array) -> pa.Array:
     """Hexadecimal digest of each text."""
-    if not len(texts):
-        return pa.array([], pa.string())
-    return pa.array([bytes(row).hex() for row in digests(_bytes_of(texts))], pa.string())
+    return _hexes(_stacked(texts))
 
 
 @arrow_udf(T.DoubleType())
@@ -132,6 +141,17 @@ def likeness(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.exp2(-difference(_stack(a), _stack(b)) / HALVING))
 
 
+@arrow_udf(T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())]))
+def judged(edited: pa.Array, own: pa.Array, following: pa.Array) -> pa.Array:
+    """Digest of each edited text and the likeness of the own digest to it and to the next one, by one worker."""
+    stack = _stacked(edited)
+    near = [pa.array([], pa.float64())] * 2
+    if len(edited):
+        mine = _stack(own)
+        near = [pa.array(np.exp2(-difference(mine, x) / HALVING)) for x in (stack, _stack(following))]
+    return pa.StructArray.from_arrays([_hexes(stack), *near], ["fingerprint", "near_edited", "near_next"])
+
+
 def _bucket(bounds: np.ndarray):
     """How many of the descending ``bounds`` are not below an id: its run in descending order."""
     rising = bounds[::-1].copy()
@@ -176,8 +196,8 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
 def document_digests(docs: DataFrame) -> DataFrame:
     """Digests of all documents and of their edited texts, with the likeness to both."""
-    pairs = edited_pairs(docs).withColumn("edited_fingerprint", fingerprint("edited"))
+    # the hash comes before the workers, so that rows that wait for their answer hold the edited text once
+    pairs = edited_pairs(docs).withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("__j", judged("edited", "fingerprint", "next_fingerprint"))
     return pairs.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", F.col("__j.fingerprint").alias("edited_fingerprint"), F.col("__j.near_edited"), F.col("__j.near_next"),
     )

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -65,6 +67,16 @@ def test_fingerprints_follow_the_definition(docs, empty):
     assert fingerprints.document_digests(empty).count() == 0
 
 
+def test_fingerprints_of_a_batch_hold_few_copies_of_its_texts():
+    texts = pa.array([f"{i} " + "abcdefghij" * 2000 for i in range(2000)])
+    tracemalloc.start()
+    got = fingerprints.fingerprint.func(texts).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < texts.nbytes / 2
+    assert got[1000:1003] == [bytes(row).hex() for row in fingerprints.digests([t.encode() for t in texts[1000:1003].to_pylist()])]
+
+
 def test_bucket_counts_do_not_depend_on_pieces(monkeypatch):
     some = [b"", b"a", b"hello world", bytes(range(256)) * 20, "ñandú ".encode() * 999]
     whole = fingerprints.digests(some)
