@@ -18,6 +18,8 @@ MAX_SLICES = 16_384
 SKETCH_ACCURACY = 10_000
 #: Groups whose quantiles come to the driver; a larger request is an error, not a cut.
 MAX_GROUPS = 100_000
+#: Tasks that finish the sketches of the columns of a whole table.
+SKETCH_TASKS = 32
 
 
 def _slices(df: DataFrame, asked: int | None) -> int:
@@ -185,25 +187,12 @@ def exact_quantiles(
     spark = df.sparkSession
     margin = 3.0 / SKETCH_ACCURACY
     asked = [q for p in probs for q in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch = df.groupBy(*by).agg(
-        *[
-            F.struct(
-                F.count(e).alias("n"),
-                F.min(e.cast("double")).alias("lo"),
-                F.max(e.cast("double")).alias("hi"),
-                F.percentile_approx(e.cast("double"), asked, SKETCH_ACCURACY).alias("q"),
-            ).alias(f"s{i}")
-            for i, e in enumerate(exprs.values())
-        ]
-    )
-    groups = sketch.limit(MAX_GROUPS + 1).collect()
+    groups = _sketches(df, exprs, by, asked)
     if len(groups) > MAX_GROUPS:
         raise ValueError(f"quantiles of more than {MAX_GROUPS} groups are not read on the driver")
     brackets = []
-    for row in groups:
-        group = tuple(row[b] for b in by)
-        for i, name in enumerate(exprs):
-            s = row[f"s{i}"]
+    for group, sketches in groups:
+        for name, s in zip(exprs, sketches):
             if not s["n"]:
                 continue
             for j, p in enumerate(probs):
@@ -223,6 +212,30 @@ def exact_quantiles(
     return out
 
 
+def _sketches(df: DataFrame, exprs: Mapping[str, Column], by: list[str], asked: list[float]) -> list[tuple[tuple, list]]:
+    """(group, count, ends and approximate quantiles of each column) of every group, one group more than allowed at most.
+
+    Without groups the columns are dealt to several keys, so that several tasks merge the sketches that the partitions
+    send: one task would merge all columns of all partitions.
+    """
+    values = [e.cast("double") for e in exprs.values()]
+    slots = len(values) if by else math.ceil(len(values) / SKETCH_TASKS)
+    dealt = [values[i : i + slots] for i in range(0, len(values), slots)]
+    if len(dealt) > 1:
+        parts = [F.struct(F.lit(k).alias("k"), *[(part[i] if i < len(part) else F.lit(None).cast("double")).alias(f"v{i}") for i in range(slots)]) for k, part in enumerate(dealt)]
+        rows, keys, slot = df.select(F.explode(F.array(*parts)).alias("_x")), [F.col("_x.k").alias("_k")], [F.col(f"_x.v{i}") for i in range(slots)]
+    else:
+        rows, keys, slot = df, by, values
+    sketch = lambda v: F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile_approx(v, asked, SKETCH_ACCURACY).alias("q"))
+    found = rows.groupBy(*keys).agg(*[sketch(v).alias(f"_s{i}") for i, v in enumerate(slot)])
+    # without groups a row for each key, which are few
+    found = (found.limit(MAX_GROUPS + 1) if by else found).collect()
+    if len(dealt) == 1:
+        return [(tuple(row[b] for b in by), [row[f"_s{i}"] for i in range(slots)]) for row in found]
+    of_key = {row["_k"]: row for row in found}
+    return [((), [of_key[i // slots][f"_s{i % slots}"] for i in range(len(values))])] if of_key else []
+
+
 def _read_brackets(df, exprs, by, brackets, spark) -> dict[tuple, float]:
     """Exact interpolated values of the brackets that contain their position."""
     if not brackets:

@@ -15,7 +15,7 @@ from riskloom.operators import signals as M
 from riskloom.operators import splits as X
 from riskloom.operators import woe as W
 from riskloom.operators.gram import pairwise_pearson
-from riskloom.operators.ranks import exact_quantiles, prefix_by_value, unique_ranks
+from riskloom.operators.ranks import _sketches, exact_quantiles, prefix_by_value, unique_ranks
 
 
 @pytest.fixture(scope="module")
@@ -59,6 +59,23 @@ def test_quantiles_match_numpy(df, data):
         assert grouped[(k, "w")][0] == pytest.approx(np.nanquantile(g["w"], 0.5))
 
 
+def test_sketches_of_many_columns_are_merged_by_several_tasks(spark):
+    df = spark.range(0, 500, 1, 3).select(*[(F.col("id") * (i + 1)).alias(f"c{i}") for i in range(40)], F.lit(None).cast("double").alias("none"))
+    spark.sparkContext.setJobGroup("sketches", "")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it joins the tasks of so few rows
+    groups = _sketches(df, {c: F.col(c) for c in df.columns}, [], [0.5])
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("sketches") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setJobGroup("other", "")
+    ((group, found),) = groups
+    assert group == () and [s["n"] for s in found] == [500] * 40 + [0]
+    assert [s["hi"] for s in found[:3]] == [499, 998, 1497]
+    assert max((s for s in stages if s), key=lambda s: s.stageId).numTasks > 1
+    got = exact_quantiles(df, df.columns, [0.5])
+    assert [got[(f"c{i}",)][0] for i in range(40)] == [249.5 * (i + 1) for i in range(40)] and ("none",) not in got
+
+
 @pytest.mark.parametrize("slices", [2, 5, 50])
 def test_prefix_sums_do_not_depend_on_the_slices(df, data, slices):
     got = prefix_by_value(df, "v", ["k"], {"bads": F.sum("y")}, slices).toPandas().sort_values(["k", "v"]).reset_index(drop=True)
