@@ -58,3 +58,12 @@ def test_recency_strata_leave_out_unknown_recency(spark, tmp_path):
 def test_entry_is_lazy_and_stable(spark):
     df = entry(spark)
     assert "BUREAU_LOAN_COUNT" in df.columns and df.schema == entry(spark).schema
+
+
+def test_labelled_months_are_hashed_by_credit(spark, duck):
+    df = queries()["J12_inherit_target"](spark, SF)
+    assert "ShuffledHashJoin" in df._jdf.queryExecution().sparkPlan().toString()
+    rows = {r.STATUS: (r.n, r.rate) for r in df.collect()}
+    want = duck.execute(oracle_sql()["J12_inherit_target"]).df()
+    assert {k: v[0] for k, v in rows.items()} == dict(zip(want.STATUS, want.n))
+    assert [rows[k][1] for k in want.STATUS] == pytest.approx(list(want.rate))
