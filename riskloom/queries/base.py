@@ -29,9 +29,9 @@ B_CUTS = {k: v for k, v in CUTS.items() if k.startswith("bb_")}
 P_CUTS = {k: v for k, v in CUTS.items() if k.startswith("prev_")}
 
 
-def app(spark: SparkSession, sf: str) -> DataFrame:
+def app(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
     """Cleaned training population with layer 1."""
-    return layer_one(C.clean_training_application(S.application(spark, sf)))
+    return layer_one(C.clean_training_application(S.application(spark, sf, spread)))
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:

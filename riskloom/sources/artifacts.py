@@ -91,42 +91,87 @@ def read_cuts(spark: SparkSession, split: DataFrame, path: str) -> dict[str, obj
 def write_folds(parts: Iterable[tuple[int, int, str, DataFrame]], context: DataFrame, mark: str, path: str, overwrite: bool = False) -> None:
     """Matrices of every (seed, k, part) in single precision, the context, and the manifest last."""
     spark = context.sparkSession
-    require_free(spark, [f"{path}/{MANIFEST}"], overwrite)
-    if overwrite:
-        spark.createDataFrame([("stale", -1, -1)], "fingerprint string, seed int, k int").write.mode("overwrite").parquet(f"{path}/{MANIFEST}")
-    context.write.mode("overwrite").parquet(f"{path}/context")
+    _open_cache(context, path, overwrite)
     done = []
     for seed, k, part, matrix in parts:
-        doubles = [c for c, t in matrix.dtypes if t == "double"]
-        single = matrix.withColumns({c: F.col(f"`{c}`").cast("float") for c in doubles}) if doubles else matrix
         # each fold keeps its own columns, so the partition folders are written one by one
-        single.write.mode("overwrite").parquet(f"{path}/matrices/seed={seed}/k={k}/part={part}")
+        _single(matrix).write.mode("overwrite").parquet(f"{path}/matrices/seed={seed}/k={k}/part={part}")
         if part == "eval":
-            done.append((mark, seed, k))
-    spark.createDataFrame(done, "fingerprint string, seed int, k int").coalesce(1).write.mode("overwrite").parquet(f"{path}/{MANIFEST}")
+            done.append((mark, seed, k, False))
+    _close_cache(spark, done, path)
 
 
-def read_manifest(spark: SparkSession, path: str, mark: str) -> list[tuple[int, int]]:
-    """(seed, k) of a cache built for this fingerprint."""
+def write_dealt_folds(
+    matrix: DataFrame, folds: DataFrame, context: DataFrame, mark: str, path: str, seeds: Iterable[int] = P.SEEDS, overwrite: bool = False, id_col: str = ID
+) -> None:
+    """The cache of a matrix that no fold refits, from the (id, seed, fold) of its rows; the manifest last.
+
+    Every row is written once, in single precision, beside its fold in each seed: a part of a fold is the rows
+    with its number, or all others. A row without a fold in one of the seeds fails.
+    """
+    spark = context.sparkSession
+    seeds = list(seeds)
+    _open_cache(context, path, overwrite)
+    of = folds.groupBy(id_col).agg(*[F.max(F.when(F.col("seed") == s, F.col("fold"))).alias(_fold_of(s)) for s in seeds])
+    lacking = F.raise_error(F.lit("a row of the matrix has no fold")).cast("int")
+    rows = _single(matrix).join(of, id_col, "left").withColumns({_fold_of(s): F.coalesce(F.col(_fold_of(s)), lacking) for s in seeds})
+    rows.write.mode("overwrite").parquet(f"{path}/dealt")
+    pairs = F.array(*[F.struct(F.lit(s).alias("seed"), F.col(_fold_of(s)).alias("k")) for s in seeds])
+    dealt = spark.read.parquet(f"{path}/dealt").select(F.explode(pairs).alias("x")).select("x.*").distinct().collect()
+    _close_cache(spark, [(mark, r["seed"], r["k"], True) for r in dealt], path)
+
+
+def _open_cache(context: DataFrame, path: str, overwrite: bool) -> None:
+    """Nothing is replaced unasked, an old cache is unreadable from here on, and the context is there."""
+    spark = context.sparkSession
+    require_free(spark, [f"{path}/{MANIFEST}"], overwrite)
+    if overwrite:
+        _close_cache(spark, [("stale", -1, -1, False)], path)
+    context.write.mode("overwrite").parquet(f"{path}/context")
+
+
+def _close_cache(spark: SparkSession, rows: list[tuple], path: str) -> None:
+    manifest = spark.createDataFrame(rows, "fingerprint string, seed int, k int, dealt boolean")
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/{MANIFEST}")
+
+
+def _single(matrix: DataFrame) -> DataFrame:
+    doubles = [c for c, t in matrix.dtypes if t == "double"]
+    return matrix.withColumns({c: F.col(f"`{c}`").cast("float") for c in doubles}) if doubles else matrix
+
+
+def _fold_of(seed: int) -> str:
+    return f"_fold_of_seed_{seed}"
+
+
+def _manifest(spark: SparkSession, path: str, mark: str) -> list[tuple[int, int, bool]]:
     if not exists(spark, f"{path}/{MANIFEST}"):
         raise FileNotFoundError(f"no fold cache at {path}")
     rows = spark.read.parquet(f"{path}/{MANIFEST}").collect()
     if {r["fingerprint"] for r in rows} != {mark}:
         raise ValueError(f"the fold cache at {path} was built from something else")
-    return sorted((r["seed"], r["k"]) for r in rows)
+    return sorted((r["seed"], r["k"], r["dealt"]) for r in rows)
+
+
+def read_manifest(spark: SparkSession, path: str, mark: str) -> list[tuple[int, int]]:
+    """(seed, k) of a cache built for this fingerprint."""
+    return [(seed, k) for seed, k, _ in _manifest(spark, path, mark)]
 
 
-def read_fold(spark: SparkSession, path: str, seed: int, k: int, part: str) -> DataFrame:
-    """One part of one fold; only its folder is read."""
-    return spark.read.parquet(f"{path}/matrices/seed={seed}/k={k}/part={part}")
+def read_fold(spark: SparkSession, path: str, seed: int, k: int, part: str, dealt: bool = False) -> DataFrame:
+    """One part of one fold: its own folder, or its rows of a dealt matrix."""
+    if not dealt:
+        return spark.read.parquet(f"{path}/matrices/seed={seed}/k={k}/part={part}")
+    rows, fold = spark.read.parquet(f"{path}/dealt"), F.col(_fold_of(seed))
+    return rows.filter(fold == k if part == "eval" else fold != k).select(*[f"`{c}`" for c in rows.columns if not c.startswith(_fold_of(""))])
 
 
 def read_folds(spark: SparkSession, path: str, mark: str, seeds: Iterable[int] = P.SEEDS):
     """Folds of a checked cache, lazily: (seed, k, fitting part, evaluation part)."""
     wanted = set(seeds)
-    for seed, k in read_manifest(spark, path, mark):
+    for seed, k, dealt in _manifest(spark, path, mark):
         if seed in wanted:
-            yield seed, k, read_fold(spark, path, seed, k, "fit"), read_fold(spark, path, seed, k, "eval")
+            yield seed, k, read_fold(spark, path, seed, k, "fit", dealt), read_fold(spark, path, seed, k, "eval", dealt)
 
 
 def read_context(spark: SparkSession, path: str, mark: str) -> DataFrame:
