@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from riskloom.queries import standin as S
 
 SF = "/root/testdata/sf0.001"
 QUICK = (
@@ -67,3 +68,13 @@ def test_labelled_months_are_hashed_by_credit(spark, duck):
     want = duck.execute(oracle_sql()["J12_inherit_target"]).df()
     assert {k: v[0] for k, v in rows.items()} == dict(zip(want.STATUS, want.n))
     assert [rows[k][1] for k in want.STATUS] == pytest.approx(list(want.rate))
+
+
+def test_months_are_dealt_to_a_stated_number_of_tasks(spark):
+    """Twenty months come from each order after the shuffle; partitions joined by the size of the counts would hold twenty times that."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        assert S.panel(spark, SF).rdd.getNumPartitions() == 23
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
