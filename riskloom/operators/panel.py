@@ -7,7 +7,9 @@ rows are combined before the shuffle and never sorted.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,8 +96,8 @@ def unpacked_state(packed: Column) -> Column:
     return F.substring(F.lit("".join(PANEL_STATES)), packed % len(PANEL_STATES) + 1, F.lit(1))
 
 
-# months back from the application, in two longs: 0..62 and 63..96
-WORD = 63
+# months back from the application, in two longs: 0..61 and 62..96, so that the sum of two words is a long
+WORD = 62
 
 
 def month_words(month: str = MONTH) -> dict[str, Column]:
@@ -283,28 +285,85 @@ def with_next_state(panel: DataFrame) -> DataFrame:
     )
 
 
+def state_months(panel: DataFrame, sets: Mapping[str, Iterable[str]], extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """One row per credit: the months of each set of states as two longs (``<name>_lo``, ``<name>_hi``), without sorting.
+
+    The sets are disjoint. Equal rows count once; a month in two of the sets has no order and fails the query.
+    """
+    rows = panel.withColumns(month_words())
+    none, bits = F.lit(0).cast("bigint"), {}
+    for name, states in sets.items():
+        here = F.col(STATUS).isin(*states)
+        bits[f"{name}_lo"] = F.bit_or(F.when(here, F.col("_low")).otherwise(none))
+        bits[f"{name}_hi"] = F.bit_or(F.when(here, F.col("_high")).otherwise(none))
+    g = rows.groupBy(CREDIT).agg(*[e.alias(n) for n, e in (bits | dict(extra or {})).items()])
+    counted = reduce(add, [F.bit_count(n) for n in bits])
+    joined = [F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), [F.col(f"{n}_{w}") for n in sets])) for w in ("lo", "hi")]
+    message = F.concat(F.lit("two states in one month of the panel: "), F.coalesce(F.col(CREDIT).cast("string"), F.lit("NULL")))
+    first = next(iter(bits))
+    return g.withColumn(first, F.when(counted == joined[0] + joined[1], F.col(first)).otherwise(F.raise_error(message).cast("bigint")))
+
+
+def months_of(*names: str) -> tuple[Column, Column]:
+    """Months in any of the named sets of ``state_months``."""
+    return tuple(reduce(lambda a, b: a.bitwiseOR(b), [F.col(f"{n}_{w}") for n in names]) for w in ("lo", "hi"))
+
+
+def month_before(months: tuple[Column, Column]) -> tuple[Column, Column]:
+    """The month before each of the months: one more month back."""
+    low, high = months
+    up = F.call_function("shiftleft", low, F.lit(1)).bitwiseAND(F.lit(2**WORD - 1))
+    return up, F.call_function("shiftleft", high, F.lit(1)).bitwiseOR(F.call_function("shiftright", low, F.lit(WORD - 1)))
+
+
+def both(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+    """Months in both."""
+    return a[0].bitwiseAND(b[0]), a[1].bitwiseAND(b[1])
+
+
+def how_many(months: tuple[Column, Column]) -> Column:
+    """Number of months."""
+    return F.bit_count(months[0]) + F.bit_count(months[1])
+
+
+def runs_of(late: tuple[Column, Column], other: tuple[Column, Column]) -> Column:
+    """Runs of the late months in the order of the rows, where only another month, not a gap, ends a run.
+
+    Every month that is not another one is filled; adding the late months to the filled ones carries into the
+    month behind a stretch exactly when the stretch holds a late month.
+    """
+    width = P.PANEL_MONTHS[1] - P.PANEL_MONTHS[0] + 1 - WORD
+    low = F.lit(2**WORD - 1) - other[0] + late[0]
+    high = F.lit(2**width - 1) - other[1] + late[1] + F.call_function("shiftright", low, F.lit(WORD))
+    return how_many((low.bitwiseAND(other[0]), high.bitwiseAND(other[1].bitwiseOR(F.lit(2**width)))))
+
+
 def roll_rates(panel: DataFrame) -> DataFrame:
     """Share of each next state after each reported state, consecutive months only."""
-    moves = with_next_state(clean_panel(panel)).filter(
-        (F.col("is_consecutive") == 1) & F.col(SEVERITY).isNotNull()
-    )
-    counts = moves.groupBy(STATUS, "next_status").agg(F.count(F.lit(1)).alias("n"))
+    credits = state_months(clean_panel(panel), {f"s{s}": (s,) for s in PANEL_STATES})
+    moves = [(s, t) for s in PANEL_STATES[FIRST_REPORTED:] for t in PANEL_STATES]
+    sums = credits.agg(*[F.sum(how_many(both(months_of(f"s{s}"), month_before(months_of(f"s{t}"))))).alias(f"{s}{t}") for s, t in moves])
+    cells = F.array(*[F.struct(F.lit(s).alias(STATUS), F.lit(t).alias("next_status"), F.col(f"{s}{t}").alias("n")) for s, t in moves])
+    counts = sums.select(F.explode(cells).alias("x")).select("x.*").filter("n > 0")
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(STATUS)))
 
 
 def arrears_path(panel: DataFrame) -> DataFrame:
     """Per credit: arrears episodes, whether level 1 escalated or cured, months to the first arrears."""
-    rows = with_next_state(clean_panel(panel)).withColumn(
-        "_prev", F.coalesce(F.lag(IS_ARREARS).over(in_order()), F.lit(0))
-    )
-    from_one = (F.col("is_consecutive") == 1) & (F.col(STATUS) == "1")
-    late = F.col(IS_ARREARS) == 1
-    return rows.groupBy(CREDIT).agg(
-        F.count_if(late & (F.col("_prev") == 0)).alias("episodes"),
-        F.bool_or(from_one).cast("int").alias("passed_level_1"),
-        F.bool_or(holds(from_one & F.col("next_status").isin("2", "3", "4", "5"))).cast("int").alias("escalated"),
-        F.bool_or(holds(from_one & F.col("next_status").isin("0", "C"))).cast("int").alias("cured"),
-        (F.min(F.when(late, F.col(MONTH))) - F.min(MONTH)).alias("months_to_first_arrears"),
+    late = F.min(F.when(F.col(IS_ARREARS) == 1, F.col(MONTH)))
+    sets = {"one": ("1",), "worse": ("2", "3", "4", "5"), "well": ("0", "C"), "blind": ("X",)}
+    credits = state_months(clean_panel(panel), sets, {"months_to_first_arrears": late - F.min(MONTH)})
+
+    def followed(*names: str) -> Column:
+        return (how_many(both(months_of("one"), month_before(months_of(*names)))) > 0).cast("int")
+
+    return credits.select(
+        CREDIT,
+        runs_of(months_of("one", "worse"), months_of("well", "blind")).cast("bigint").alias("episodes"),
+        followed(*sets).alias("passed_level_1"),
+        followed("worse").alias("escalated"),
+        followed("well").alias("cured"),
+        "months_to_first_arrears",
     )
 
 
