@@ -16,6 +16,7 @@ from riskloom.operators import splits as X
 from riskloom.operators import woe as W
 from riskloom.operators.gram import pairwise_pearson
 from riskloom.operators.ranks import _sketches, exact_quantiles, prefix_by_value, unique_ranks
+from riskloom.session import checkpointed
 
 
 @pytest.fixture(scope="module")
@@ -340,6 +341,58 @@ def test_exact_neighbours_with_duplicates(spark):
     assert set(left["SK_ID_CURR"]) == set(ids) - linked
 
 
+def test_links_of_many_coordinates_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    # whole coordinates give ties; the blend lies between rows as synthetic ones do; wide values are met by single precision
+    x = rng.integers(0, 2, size=(500, 150)).astype(float) * rng.random(150)
+    x[300:400] = (x[:100] + 0.1 * (x[100:200] - x[:100])).round(3)
+    x[400:420], x[420:440] = x[:20], x[20:40]
+    x[440:460] = x[20:40]
+    y = rng.integers(0, 2, 500)
+    for scale, shift in ((1.0, 0.0), (1e5, 1e6)):
+        v = x * scale + shift
+        pdf = pd.DataFrame(v, columns=[f"c{i}" for i in range(150)]).assign(SK_ID_CURR=np.arange(500) - 250, TARGET=y)
+        df = spark.createDataFrame(pdf)
+        points = df.withColumn("v", F.array(*[f"c{i}" for i in range(150)])).groupBy("v").agg(F.min("SK_ID_CURR").alias("SK_ID_CURR"), F.count(F.lit(1)).alias("mult"), F.min("TARGET").alias("lo"))
+        points = checkpointed(points.select("SK_ID_CURR", "v", F.when(F.col("mult") == 1, F.col("lo").cast("string")).alias("cls")))
+        p = points.toPandas().sort_values("SK_ID_CURR").reset_index(drop=True)
+        q = np.stack(p["v"].to_numpy())
+        d = np.sqrt(np.stack([np.einsum("ij,ij->i", a - q, a - q) for a in q]))
+        np.fill_diagonal(d, np.inf)
+        near, cls, ids = d.argmin(axis=1), p["cls"], p["SK_ID_CURR"]
+        want = {ids[i] for i in range(len(p)) if near[near[i]] == i and cls[i] and cls[near[i]] and cls[i] != cls[near[i]]}
+        assert len(want) > 10
+        for region_rows in (60, 1000):
+            got = [r[0] for r in RS.links_of_many(points, "SK_ID_CURR", region_rows).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    # the whole operator, with the twins of opposite classes
+    names, linked = [f"c{i}" for i in range(150)], set(want)
+    for _, own in pdf.groupby(names):
+        if len(own) == 2 and own["TARGET"].nunique() == 2:
+            linked |= set(own["SK_ID_CURR"])
+    assert len(linked) > len(want)
+    for few in (RS.FEW_POINTS, 0):
+        monkeypatch.setattr(RS, "FEW_POINTS", few)
+        assert {r[0] for r in RS.tomek_links(df, names).collect()} == linked
+
+
+def test_grid_of_many_coordinates_shuffles_each_point_once(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.random((600, 100))
+    pts = checkpointed(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id bigint, v array<double>, mult bigint"))
+    monkeypatch.setattr(RS, "GRID_ROWS", 50)
+
+    def written() -> int:
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = written()
+    got = RS.exact_neighbours(pts, "id", 1).toPandas().sort_values("id")
+    assert written() - before < 3 * x.nbytes
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    assert got["nb"].tolist() == d.argmin(axis=1).tolist()
+
+
 def test_two_level_edges_count_like_one(spark):
     from riskloom.operators.ranks import _edges_below
 
